@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup
+from . import bpe, decontam, line_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontam.op2_decontamination,
+        "op3_bpe": bpe.op3_bpe,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op8_warc": warc.op8_warc,
     }
 
 
