@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, line_dedup, warc
+from . import bpe, decontam, langid, line_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_warc": warc.op8_warc,
+        "op9_langid": langid.op9_langid,
     }
 
 
