@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, line_dedup, warc
+from . import bpe, decontam, langid, line_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontam.op2_decontamination,
         "op3_bpe": bpe.op3_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_warc": warc.op8_warc,
         "op9_langid": langid.op9_langid,
