@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, line_dedup, toxicity, warc
+from . import bpe, decontam, langid, line_dedup, near_dup, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_warc": warc.op8_warc,
         "op9_langid": langid.op9_langid,
+        "op10_minhash": near_dup.op10_minhash,
     }
 
 
