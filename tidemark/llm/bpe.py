@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def byte_chars() -> list[str]:
 class SpeculativeBpe:
     """Encodes words of the vocabulary in `path` (a tokenizers JSON file)."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -60,6 +61,7 @@ class SpeculativeBpe:
         self.cache = cache
         self.new: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.coded: dict[str, list[int]] = {}
 
     # -- exact merging
 
@@ -74,8 +76,24 @@ class SpeculativeBpe:
         return [self.ids[c] for c in chars[:-1]] + [self.ids[chars[-1] + (self.end if last else "")]]
 
     def merge(self, s: list[int]) -> list[int]:
-        """Lowest rank first, leftmost first, until no pair merges."""
+        """Lowest rank first, leftmost first, until no pair merges; short words without a heap."""
         n, get = len(s), self.merges.get
+        if n <= 20:
+            found = [get(p) for p in zip(s, s[1:], strict=False)]
+            s = list(s)
+            while True:
+                best = None
+                for i, m in enumerate(found):
+                    if m is not None and (best is None or m[0] < best[0]):
+                        best, at = m, i
+                if best is None:
+                    return s
+                s[at : at + 2] = (best[1],)
+                del found[at]
+                if at < len(found):
+                    found[at] = get((s[at], s[at + 1]))
+                if at:
+                    found[at - 1] = get((s[at - 1], s[at]))
         s, nxt, prv = list(s), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, s[i], s[i + 1], m[1]) for i in range(n - 1) if (m := get((s[i], s[i + 1])))]
         heapq.heapify(heap)
@@ -157,11 +175,15 @@ class SpeculativeBpe:
 
     def _learn(self, chunks: list[str]) -> None:
         parts = [self.pattern.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks]
-        each = list({w for p in parts for w in p})
-        code = dict(zip(each, self.words(each), strict=True))
+        code = self.coded
+        each = list({w for p in parts for w in p if w not in code})
+        if len(code) + len(each) > self.cache:
+            code = self.coded = {}
+            each = list({w for p in parts for w in p})
+        code.update(zip(each, self.words(each), strict=True))
         for c, p in zip(chunks, parts, strict=True):
-            ids = [t for w in p for t in code[w]]
-            self.new[c] = (np.array(ids, "<u4").tobytes(), " ".join([self.text_of[t] for t in ids]))
+            ids = code[p[0]] if len(p) == 1 else [t for w in p for t in code[w]]
+            self.new[c] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text_of[t] for t in ids]))
 
     def _split(self, text: str) -> list[str]:
         return [x for x in self.space.split(text) if x] if self.odd_space.search(text) else text.split()
