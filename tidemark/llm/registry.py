@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, line_dedup, near_dup, toxicity, warc
+from . import bpe, decontam, embed_dedup, langid, line_dedup, near_dup, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_decontamination": decontam.op2_decontamination,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_warc": warc.op8_warc,
         "op9_langid": langid.op9_langid,
