@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, embed_dedup, langid, line_dedup, near_dup, toxicity, warc
+from . import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, lm_score, near_dup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extract.op1_html_extraction,
         "op2_decontamination": decontam.op2_decontamination,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_lm_score": lm_score.op7_lm_score,
         "op8_warc": warc.op8_warc,
         "op9_langid": langid.op9_langid,
         "op10_minhash": near_dup.op10_minhash,
