@@ -44,97 +44,119 @@ def load_pieces(path: str) -> list[str]:
     return sorted({p for p in found if _WORD.fullmatch(p.lstrip(MARK) or "1") and p == p.lower()})
 
 
-_PIECES: dict[str, dict[str, int]] = {}
+class Pieces:
+    """The vocabulary by length, as sorted 64-bit hashes: a whole batch of substrings is looked up at once."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, vocab: list[str]):
+        self.n = len(vocab)  # number n stands for a letter that no piece holds, n + 1 for no piece
+        by: dict[int, list[tuple[int, int]]] = {}
+        for i, p in enumerate(vocab):
+            h = 0
+            for c in p:
+                h = (h * self.BASE + ord(c) + 1) & (1 << 64) - 1
+            by.setdefault(len(p), []).append((h, i))
+        self.longest = max(by, default=1)
+        self.tables = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int64)) for k, v in by.items()}
+
+    def edges(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """For words of one length: (stop, length) -> (words, pieces) of the pieces that fit there."""
+        size = len(words[0]) + 1
+        code = np.empty((len(words), size), np.uint64)
+        code[:, 0] = ord(MARK) + 1
+        code[:, 1:] = np.array(words, f"U{size - 1}").view(np.uint32).reshape(len(words), size - 1)
+        code[:, 1:] += np.uint64(1)
+        base = np.uint64(self.BASE)
+        pre, power = [np.zeros(len(words), np.uint64)], [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                pre.append(pre[-1] * base + code[:, j])
+                power.append(power[-1] * base)
+            out = {}
+            for k, (hashes, ids) in self.tables.items():
+                for j in range(k, size + 1):
+                    h = pre[j] - pre[j - k] * power[k]
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    hit = np.flatnonzero(hashes[at] == h)
+                    if len(hit):
+                        out[j, k] = (hit, ids[at[hit]])
+        everyone = np.arange(len(words))
+        for j in range(1, size + 1):
+            hit, ids = out.get((j, 1), (everyone[:0], everyone[:0]))
+            rest = np.setdiff1d(everyone, hit, assume_unique=True)
+            if len(rest):
+                out[j, 1] = (np.concatenate([hit, rest]), np.concatenate([ids, np.full(len(rest), self.n)]))
+        return out
+
+
+_PIECES: dict[str, Pieces] = {}
 
 
-def pieces(path: str) -> dict[str, int]:
-    """Piece to number, once a worker process."""
+def pieces(path: str) -> Pieces:
+    """The vocabulary's tables, once a worker process."""
     if path not in _PIECES:
-        _PIECES[path] = {p: i for i, p in enumerate(load_pieces(path))}
+        _PIECES[path] = Pieces(load_pieces(path))
     return _PIECES[path]
 
 
 class Lattice:
-    """The cuts of a batch of words: an edge (word, start, stop, piece) for each piece that fits."""
-
-    def __init__(self, words: list[str], vocab: dict[str, int], longest: int):
-        n = len(vocab)
-        edges: list[tuple[int, int, int, int]] = []
-        self.sizes = np.array([len(w) + 1 for w in words])
-        for k, w in enumerate(words):
-            s = MARK + w
-            size = len(s)
-            for i in range(size):
-                alone = True
-                for j in range(i + 1, min(size, i + longest) + 1):
-                    p = vocab.get(s[i:j])
-                    if p is not None:
-                        edges.append((j, k, i, p))
-                        alone = alone and j > i + 1
-                if alone:
-                    edges.append((i + 1, k, i, n))
-        e = np.array(edges, np.int64).reshape(-1, 4)
-        self.e = e[np.lexsort((e[:, 1], e[:, 0]))]
-        self.top = int(self.sizes.max()) if len(words) else 0
-        self.k = len(words)
-
-    def _steps(self, by: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-        cuts = np.searchsorted(by, at)
-        yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-
-    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(alpha[position, word, language], scale[position, word, language]); the true sum is alpha * exp(scale)."""
-        langs = prob.shape[1]
-        alpha, scale = np.zeros((self.top + 1, self.k, langs)), np.zeros((self.top + 1, self.k, langs))
-        alpha[0] = 1
-        stop, word, start, piece = self.e.T
-        for j, part in enumerate(self._steps(stop, np.arange(1, self.top + 2)), 1):
-            w, s, p = word[part], start[part], piece[part]
-            if not len(w):
-                continue
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            own = w[first]
-            base = np.maximum.reduceat(np.where(alpha[s, w] > 0, scale[s, w], -np.inf), first)
-            base = np.where(np.isfinite(base), base, 0)
-            got = np.add.reduceat(alpha[s, w] * np.exp(scale[s, w] - np.repeat(base, np.diff(np.r_[first, len(w)]), 0)) * prob[p], first)
-            size = np.where(got > 0, got, 1)
-            alpha[j, own], scale[j, own] = got / size, base + np.log(size)
-        return alpha, scale
+    """All cuts of a batch of words of one length into pieces.
+
+    Position j's sum is kept relative to a running scale, so that neither long words nor rare letters underflow.
+    """
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.size, self.k = len(words[0]) + 1, len(words)
+        edges = pieces.edges(words)
+        self.into = [[(k, *edges[j, k]) for k in range(1, min(j, pieces.longest) + 1) if (j, k) in edges] for j in range(self.size + 1)]
+
+    def forward(self, prob: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(sums by position, each times exp(-scale of the position); log likelihoods [word, language])."""
+        shape = (self.k, prob.shape[1])
+        alpha, scale, self.scales = [np.ones(shape)], np.zeros(shape), [np.zeros(shape)]
+        for j in range(1, self.size + 1):
+            now = np.zeros(shape)
+            for k, w, p in self.into[j]:
+                got = alpha[j - k][w] * prob[p]
+                if j - k:
+                    got *= np.exp(self.scales[j - k][w] - scale[w]) if j > 32 else 1
+                now[w] += got
+            if j >= 32:
+                # Long words: keep each position near one and remember by how much.
+                m = np.maximum(now, 1e-300)
+                scale = scale + np.log(m)
+                now = now / m
+                self.scales.append(scale)
+            else:
+                self.scales.append(scale)
+            alpha.append(now)
+        return alpha, np.log(np.maximum(alpha[-1], 1e-300)) + self.scales[-1]
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece, language], words weighted by weight[word, language]."""
-        langs = prob.shape[1]
-        alpha, ascale = self.forward(prob)
-        beta, bscale = np.zeros_like(alpha), np.zeros_like(alpha)
-        at = np.arange(self.k)
-        beta[self.sizes, at] = 1
-        total = ascale[self.sizes, at]
-        order = np.lexsort((self.e[:, 1], self.e[:, 2]))
-        stop, word, start, piece = self.e[order].T
+        alpha, total = self.forward(prob)
         out = np.zeros_like(prob)
-        parts = list(self._steps(start, np.arange(0, self.top + 1)))
-        for i in range(len(parts) - 1, -1, -1):
-            w, j, p = word[parts[i]], stop[parts[i]], piece[parts[i]]
-            if not len(w):
-                continue
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            own = w[first]
-            base = np.maximum.reduceat(np.where(beta[j, w] > 0, bscale[j, w], -np.inf), first)
-            base = np.where(np.isfinite(base), base, 0)
-            got = np.add.reduceat(beta[j, w] * np.exp(bscale[j, w] - np.repeat(base, np.diff(np.r_[first, len(w)]), 0)) * prob[p], first)
-            size = np.where(got > 0, got, 1)
-            beta[i, own], bscale[i, own] = got / size, base + np.log(size)
-            share = np.exp(np.minimum(0, ascale[i, w] + bscale[j, w] + np.log(prob[p]) - total[w])) * (alpha[i, w] > 0) * (beta[j, w] > 0)
-            for k in range(langs):
-                out[:, k] += np.bincount(p, share[:, k] * weight[w, k], minlength=len(out))
+        if self.size >= 32:
+            return out  # a handful of junk words; they are scored, not learned from
+        beta = [np.zeros_like(alpha[0]) for _ in alpha]
+        beta[-1] += 1
+        unit = weight / np.maximum(alpha[-1], 1e-300)
+        for j in range(self.size, 0, -1):
+            for k, w, p in self.into[j]:
+                onward = prob[p] * beta[j][w]
+                beta[j - k][w] += onward
+                share = alpha[j - k][w] * onward * unit[w]
+                for x in range(prob.shape[1]):
+                    out[:, x] += np.bincount(p, share[:, x], minlength=len(out))
         return out
 
 
-def by_size(words: list[str], most: int = 200_000) -> Iterator[list[str]]:
-    """Batches of words of like length whose tables stay small; one very long word makes a batch by itself."""
-    run, top = [], 0
+def by_size(words: list[str], most: int = 400_000) -> Iterator[list[str]]:
+    """Batches of words of one length whose tables stay small; one very long word makes a batch by itself."""
+    run: list[str] = []
     for w in sorted(words, key=len):
-        if run and (len(run) + 1) * (len(w) + 2) > most:
+        if run and (len(run[0]) != len(w) or len(run) * (len(w) + 2) > most):
             yield run
             run = []
         run.append(w)
@@ -143,51 +165,51 @@ def by_size(words: list[str], most: int = 200_000) -> Iterator[list[str]]:
 
 
 class Scorer:
-    """Log likelihoods by white-space chunk, kept in a bounded two-generation cache."""
-
-    def __init__(self, vocab: dict[str, int], prob: np.ndarray, cache: int = 150_000):
-        self.vocab, self.prob, self.longest, self.cache = vocab, prob, max(map(len, vocab), default=1), cache
-        self.new: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-        self.table = np.zeros((0, prob.shape[1] + 1))
-        self.old_table = self.table
-        self.rows: list[np.ndarray] = []
-
-    def words(self, words: list[str]) -> dict[str, np.ndarray]:
-        out = {}
+    """Log likelihoods by white-space chunk and by word, kept in caches of bounded size."""
+
+    def __init__(self, pieces: Pieces, prob: np.ndarray, cache: int = 300_000):
+        self.pieces, self.prob, self.cache = pieces, prob, cache
+        self.chunks: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.chunk_rows = np.zeros((0, prob.shape[1] + 1))
+        self.word_rows = np.zeros((0, prob.shape[1]))
+
+    def _words(self, words: list[str]) -> None:
+        """Score words not seen before."""
+        add = []
         for some in by_size(words):
-            lattice = Lattice(some, self.vocab, self.longest)
-            _, scale = lattice.forward(self.prob)
-            out.update(zip(some, scale[lattice.sizes, np.arange(len(some))], strict=True))
-        return out
+            add.append(Lattice(some, self.pieces).forward(self.prob)[1])
+            self.words.update(zip(some, range(len(self.words), len(self.words) + len(some)), strict=True))
+        self.word_rows = np.concatenate([self.word_rows, *add])
+
+    def _chunks(self, chunks: list[str]) -> None:
+        found = [_WORD.findall(unicodedata.normalize("NFC", c).lower()) for c in chunks]
+        if len(self.words) > self.cache:
+            self.words, self.word_rows = {}, self.word_rows[:0]
+        self._words(list({w for ws in found for w in ws if w not in self.words}))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter((self.words[w] for ws in found for w in ws), np.int64, int(size.sum()))
+        add = np.zeros((len(chunks), self.prob.shape[1] + 1))
+        add[:, -1] = size
+        owner = np.repeat(np.arange(len(chunks)), size)
+        for x in range(self.prob.shape[1]):
+            add[:, x] = np.bincount(owner, self.word_rows[at, x], len(chunks))
+        n = len(self.chunks)
+        self.chunks.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.chunk_rows = np.concatenate([self.chunk_rows, add])
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """[text, language] log likelihoods, with the number of words as the last column."""
         cut = [t.split() for t in texts]
-        todo = [c for c in {c for doc in cut for c in doc} if c not in self.new]
+        if len(self.chunks) > self.cache:
+            self.chunks, self.chunk_rows = {}, self.chunk_rows[:0]
+        todo = list({c for doc in cut for c in doc if c not in self.chunks})
         if todo:
-            add = np.zeros((len(todo), self.prob.shape[1] + 1))
-            fresh = []
-            for k, c in enumerate(todo):
-                i = self.old.get(c)
-                if i is None:
-                    fresh.append((k, _WORD.findall(unicodedata.normalize("NFC", c).lower())))
-                else:
-                    add[k] = self.old_table[i]
-            score = self.words(list({w for _, ws in fresh for w in ws}))
-            for k, ws in fresh:
-                for w in ws:
-                    add[k, :-1] += score[w]
-                add[k, -1] = len(ws)
-            n = len(self.table)
-            self.table = np.concatenate([self.table, add])
-            self.new.update(zip(todo, range(n, n + len(todo)), strict=True))
-        get, table = self.new.__getitem__, self.table
-        out = np.array([table[np.fromiter(map(get, c), np.int64, len(c))].sum(0) for c in cut]).reshape(len(texts), -1)
-        if len(self.new) > self.cache:
-            self.old, self.old_table = self.new, self.table
-            self.new, self.table = {}, self.table[:0]
-        return out
+            self._chunks(todo)
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter((k for c in cut for k in map(self.chunks.__getitem__, c)), np.int64, int(size.sum()))
+        owner = np.repeat(np.arange(len(cut)), size)
+        return np.stack([np.bincount(owner, self.chunk_rows[at, x], len(cut)) for x in range(self.prob.shape[1] + 1)], 1)
 
 
 def runs(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
@@ -202,9 +224,9 @@ def runs(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
         yield run
 
 
-def fit(rows: DataFrame, path: str, fit_rows: int = 6_000, rounds: int = 3, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, path: str, fit_rows: int = 4_000, rounds: int = 3, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, prob[piece, language]) from rows (id, text, lang), by EM on the fit_rows of least hash."""
-    vocab_size = len(pieces(path))
+    vocab_size = pieces(path).n
     picked = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(F.lit(11), F.col(id_col)).alias("h"), F.col(id_col).alias("id"), "lang")
     picked = picked.orderBy("h", "id", "lang").limit(fit_rows).select("id", "lang").distinct()  # bounded by fit_rows
     sample = rows.select(F.col(id_col).alias("id"), "lang", "text").join(F.broadcast(picked), ["id", "lang"]).where("text IS NOT NULL")
@@ -218,8 +240,7 @@ def fit(rows: DataFrame, path: str, fit_rows: int = 6_000, rounds: int = 3, id_c
     for _ in range(rounds):
 
         def expect(batches: Iterator[pd.DataFrame], prob: np.ndarray = prob) -> Iterator[pd.DataFrame]:
-            vocab = pieces(path)
-            longest, out = max(map(len, vocab), default=1), np.zeros_like(prob)
+            out = np.zeros_like(prob)
             for b in batches:
                 counts: dict[str, Counter] = {}
                 for x, t in zip(b["lang"], b["text"], strict=True):
@@ -228,7 +249,7 @@ def fit(rows: DataFrame, path: str, fit_rows: int = 6_000, rounds: int = 3, id_c
                     weight = np.zeros((len(some), prob.shape[1]))
                     for x, c in counts.items():
                         weight[:, place[x]] = [c[w] for w in some]
-                    out += Lattice(some, vocab, longest).expected(prob, weight)
+                    out += Lattice(some, pieces(path)).expected(prob, weight)
             p, k = np.nonzero(out)
             yield pd.DataFrame({"p": p, "k": k, "n": out[p, k]})
 
