@@ -12,8 +12,10 @@ linked if 100 * intersection >= percent * union. The result is each document's c
    pairs): sizes and sketches discard what can't be similar, full sets confirm the rest; components are formed.
    This is done twice with other leaders, in buckets that still hold more than one component.
 4. In buckets that still do, every pair of classes of different components is compared by sketch, in blocks of
-   bounded size that are dealt over all tasks, and confirmed on full sets. So every pair that shares a bucket is either
-   connected already or checked; none is capped. A large group of copies is connected in step 3 and costs a row each.
+   bounded size that are dealt over all tasks. In buckets of up to HOT classes what passes goes to the full sets by
+   joins; in larger ones the full sets come to the blocks, which return confirmed links only, so that near misses in a
+   large group make no rows. Every pair that shares a bucket is either connected already or checked; none is capped.
+   A large group of copies is connected in step 3 and costs a row each.
 
 At a similarity of 0.8, 24 bands of 4 rows miss a pair with probability 3e-6; the sketch test leaves a margin of 5.5
 standard deviations.
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 BANDS, ROWS, BITS = 24, 4, 512
-BLOCK = 512
+#: Classes in a block; classes in a bucket beyond which full sets are sent to the blocks.
+BLOCK, HOT = 512, 64
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | _U(1)
@@ -139,24 +142,35 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64)), F.lit(0))
 
 
-def _blocks(cross: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components in one bucket and alike by size and sketch; cross: bucket, rep, component, n, keys, sketch, count."""
+def _blocks(cross: DataFrame, percent: int, confirm: bool) -> DataFrame:
+    """(a, b) of different components in one bucket and alike by size and sketch; confirm: by full sets, too.
+
+    cross: bucket, rep, component, n, keys, sketch, count and, to confirm, shingles.
+    """
     deal = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
     rows = cross.withColumn("parts", deal).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    # A block meets every other once: row of block o goes to the tasks (min(o, x), max(o, x)) for all x.
+    # A block meets every other once: a row of block o goes to the tasks (min(o, x), max(o, x)) for all x.
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "rep", "component", "n", "keys", "sketch")
+    more = ["shingles"] if confirm else []
+    rows = rows.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "rep", "component", "n", "keys", "sketch", *more)
     most = most_bits(percent)
 
-    def pairs(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(g: pd.DataFrame) -> tuple[list[int], list[int]]:
         left = g[g["own"] == g["i"]]
         right = g[g["own"] == g["j"]]
+        if not len(left) or not len(right):
+            return [], []
         ka, kb = np.stack(left["keys"]), np.stack(right["keys"])
         sa, sb = np.stack(left["sketch"]), np.stack(right["sketch"])
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
         ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
         key, same = g["bucket"].iat[0], g["i"].iat[0] == g["j"].iat[0]
+        if confirm:
+            # The block's own vocabulary: then one row's overlaps with all others are one look-up and sum.
+            vocab, flat = np.unique(np.concatenate(right["shingles"].to_list()), return_inverse=True)
+            starts = np.r_[0, np.cumsum(nb)[:-1]]
+            sets = left["shingles"].to_list()
         ia, ib = [], []
         for r in range(len(left)):
             ok = (ca[r] != cb) & (100 * np.minimum(na[r], nb) >= percent * np.maximum(na[r], nb))
@@ -164,32 +178,39 @@ def _blocks(cross: DataFrame, percent: int) -> DataFrame:
                 ok &= rb > ra[r]
             at = np.flatnonzero(ok)
             if len(at):
-                at = at[np.bitwise_count(sa[r] ^ sb[at]).sum(1) <= most]
+                at = at[np.bitwise_count((sa[r] ^ sb[at]).view(np.uint64)).sum(1) <= most]
             if len(at):
                 eq = ka[r] == kb[at]  # only in the first bucket that they share
-                first = eq.argmax(1)
-                at = at[ka[r][first] == key]
-            ia += [ra[r]] * len(at)
+                at = at[ka[r][eq.argmax(1)] == key]
+            if len(at) and confirm:
+                place = np.minimum(np.searchsorted(vocab, sets[r]), len(vocab) - 1)
+                mark = np.zeros(len(vocab), np.int64)
+                mark[place[vocab[place] == sets[r]]] = 1
+                inter = np.add.reduceat(mark[flat], starts)[at]
+                at = at[100 * inter >= percent * (na[r] + nb[at] - inter)]
+            ia += [int(ra[r])] * len(at)
             ib += rb[at].tolist()
-        return np.array(ia, np.int64), np.array(ib, np.int64)
+        return ia, ib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            cut = np.flatnonzero((b[["bucket", "i", "j"]].to_numpy()[1:] != b[["bucket", "i", "j"]].to_numpy()[:-1]).any(1)) + 1
-            bounds = [0, *cut.tolist()]
-            got = [pairs(b.iloc[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            rest = b.iloc[bounds[-1] :]
-            if got:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in got]), "b": np.concatenate([y for _, y in got])})
+            k = b[["bucket", "i", "j"]].to_numpy()
+            ends = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                x, y = pairs(b.iloc[s:e])
+                if x:
+                    yield pd.DataFrame({"a": x, "b": y})
+            rest = b.iloc[ends[-1] :]
         if rest is not None and len(rest):
             x, y = pairs(rest)
-            yield pd.DataFrame({"a": x, "b": y})
+            if x:
+                yield pd.DataFrame({"a": x, "b": y})
 
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    pairs_ = rows.mapInPandas(run, "a long, b long")
-    return pairs_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.mapInPandas(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -239,7 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = bands.join(component, bands["rep"] == component["id"], "left").select("bucket", "rep", "count", F.coalesce("component", "rep").alias("component"))
     open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     cross = members.join(open_, "bucket").join(classes.select("rep", "n", "keys", "sketch"), "rep")
-    last = confirmed(_blocks(cross, percent))
+    cross = materialize(cross, "cross")
+    hot = cross.where(F.col("count") > HOT).join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    last = confirmed(_blocks(cross.where(F.col("count") <= HOT), percent, False)).unionByName(_blocks(hot, percent, True))
     component = components(materialize(links.unionByName(last), "links"))
     reps = classes.select("f1", "f2", "rep").join(component, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = own.select("id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left")
