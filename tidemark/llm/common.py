@@ -29,18 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. clear_scratch() removes those made so far."""
+    """A new path in the shared folder; clear_scratch() removes those made since a mark."""
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-scratch/{uuid.uuid4().hex}-{name}"
     _SCRATCH.append(path)
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this process's scratch tables; call it only when no frame that reads them is needed any more."""
+def scratch_mark() -> int:
+    """What to give to clear_scratch() for the tables made from here on."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, since: int, but: str = "") -> None:
+    """Delete the scratch tables made since a mark, except `but`; call it only when no frame that reads them is needed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for found in [p for p in _SCRATCH[since:] if p != but]:
+        path = jvm.org.apache.hadoop.fs.Path(found)
         path.getFileSystem(conf).delete(path, True)
+    _SCRATCH[since:] = [but] if but else []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, decontam, embed_dedup, html_extract, langid, line_dedup, lm_score, near_dup, toxicity, warc
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_langid": langid.op9_langid,
         "op10_minhash": near_dup.op10_minhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
