@@ -66,7 +66,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         at = at.join(F.broadcast(p), "h").where("pos >= off AND pos - off + len <= size(_words)")
         at = at.where(F.translate(F.array_join(F.slice("_words", F.col("pos") - F.col("off") + 1, F.col("len")), " "), UPPER, LOWER) == F.array_join("words", " "))
         found.append(at.select("_id", "_t", (F.col("pos") - F.col("off")).alias("start"), (F.col("pos") - F.col("off") + F.col("len")).alias("stop"), "w"))
-    found = reduce(DataFrame.unionByName, found)
+    found = materialize(reduce(DataFrame.unionByName, found), "matches")
     ids = found.select("_id", "_t", "w").distinct().join(wins.select("w", F.explode("ids").alias("item")), "w")
     ids = ids.groupBy("_id", "_t").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     # Words hit: lay the intervals in order and add what each has beyond the last end.
