@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.plans import market, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**market.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**market.SQL, **texts.SQL}
