@@ -1,9 +1,9 @@
 """BPE encoding and decoding by speculation and verification.
 
-A word is cut by greedy longest match. The cut is the BPE encoding if, and only if, each token merges to itself and
+Words are cut by greedy longest match, a whole batch in one run of an automaton of the vocabulary. A word's cut is the BPE encoding if, and only if, each token merges to itself and
 each pair of neighbours, merged alone, stays that pair; so all neighbour pairs of a batch of words are looked up in
 a sorted array of checked pairs (numpy), pairs not met before are merged exactly once, and only words with a failing
-pair go through exact merging. Results per white-space chunk are kept in a two-generation cache of bounded size.
+pair go through exact merging. Results per white-space chunk are kept in caches of bounded size.
 
 Semantics are those of the tokenizers library for the given file (BPE with an end-of-word suffix over byte-level
 characters, NFC, lower case): special tokens that stand in the text become their ids; decoding joins the tokens'
@@ -22,6 +22,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -39,7 +40,7 @@ def byte_chars() -> list[str]:
 class SpeculativeBpe:
     """Encodes words of the vocabulary in `path` (a tokenizers JSON file)."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -49,8 +50,8 @@ class SpeculativeBpe:
         self.text_of = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
         self.bytes = byte_chars()
+        self.plain = str.maketrans(dict(enumerate(self.bytes)))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # The pre-tokenizer's pattern (fixed value, as in the vocabulary's file).
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
@@ -59,9 +60,16 @@ class SpeculativeBpe:
         self.known, self.good = np.empty(0, np.int64), np.empty(0, bool)
         self.whole: dict[int, bool] = {}
         self.cache = cache
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-        self.coded: dict[str, list[int]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.coded: dict[str, bytes] = {}
+        # A word's last character, with its end mark, is one character of a range that no token uses otherwise.
+        self.last = {c: chr(0xE000 + i) for i, c in enumerate(self.bytes)}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            stem = t[: -len(self.end)]
+            ends = t.endswith(self.end) and stem
+            self.automaton.add_word(stem[:-1] + self.last[stem[-1]] if ends else t, i)
+        self.automaton.make_automaton()
 
     # -- exact merging
 
@@ -114,18 +122,18 @@ class SpeculativeBpe:
 
     # -- speculation and verification
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over the word's byte characters with its end mark."""
-        raw = "".join([self.bytes[b] for b in word.encode()])
-        n, at, out, ids = len(raw), 0, [], self.ids
-        while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
-                t = ids.get(raw[at:stop] + self.end if stop == n else raw[at:stop])
-                if t is not None:
-                    out.append(t)
-                    at = stop
-                    break
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, word of each): greedy longest matches over the words' byte characters, the last with its end mark."""
+        last, plain = self.last, self.plain
+        raw = []
+        for w in words:
+            r = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(plain)
+            raw.append(r[:-1] + last[r[-1]])
+        found = list(self.automaton.iter_long("\n".join(raw)))  # the line feed's byte character is another
+        tokens = np.array([t for _, t in found], np.int64)
+        stops = np.array([e for e, _ in found], np.int64)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 2  # each word's last character
+        return tokens, np.searchsorted(ends, stops)
 
     def _pair_ok(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
@@ -151,39 +159,46 @@ class SpeculativeBpe:
             self.good = self.good[first]
         return ok[at]
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The encodings of words that the pre-tokenizer has cut."""
-        cut = [self.propose(w) for w in words]
-        size = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((t for c in cut for t in c), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(cut)), size)
+    def words(self, words: list[str]) -> list[bytes]:
+        """The encodings of words that the pre-tokenizer has cut, as little-endian 32-bit integers."""
+        if not words:
+            return []
+        flat, owner = self.propose(words)
         beside = owner[1:] == owner[:-1]
-        bad = set(owner[1:][beside][~self.verify((flat[:-1][beside] << 32) | flat[1:][beside])].tolist()) if len(flat) > 1 else set()
-        for i, c in enumerate(cut):
-            if len(c) == 1:
-                ok = self.whole.get(c[0])
-                if ok is None:
-                    ok = self.whole[c[0]] = self.merge(self.symbols_of(c[0])) == c
-                if ok:
-                    continue
-            elif i not in bad:
-                continue
-            cut[i] = self.merge(self.symbols(words[i]))
-        return cut
+        bad = set(owner[1:][beside][~self.verify((flat[:-1][beside] << 32) | flat[1:][beside])].tolist())
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1))
+        for i in np.flatnonzero(np.diff(cuts) == 1).tolist():
+            t = int(flat[cuts[i]])
+            ok = self.whole.get(t)
+            if ok is None:
+                ok = self.whole[t] = self.merge(self.symbols_of(t)) == [t]
+            if not ok:
+                bad.add(i)
+        raw, at = flat.astype("<u4").tobytes(), (cuts * 4).tolist()
+        return [self.pack(self.merge(self.symbols(words[i]))) if i in bad else raw[at[i] : at[i + 1]] for i in range(len(words))]
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     # -- texts
 
     def _learn(self, chunks: list[str]) -> None:
-        parts = [self.pattern.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks]
-        code = self.coded
-        each = list({w for p in parts for w in p if w not in code})
+        find, code = self.pattern.findall, self.coded
+        parts = [find(c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks]
+        each = list({w for p in parts for w in p}.difference(code))
         if len(code) + len(each) > self.cache:
             code = self.coded = {}
             each = list({w for p in parts for w in p})
         code.update(zip(each, self.words(each), strict=True))
-        for c, p in zip(chunks, parts, strict=True):
-            ids = code[p[0]] if len(p) == 1 else [t for w in p for t in code[w]]
-            self.new[c] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text_of[t] for t in ids]))
+        ids = [code[p[0]] if len(p) == 1 else b"".join([code[w] for w in p]) for p in parts]
+        # All tokens' texts at once, cut again at each chunk's end.
+        texts = [self.text_of[t] for t in np.frombuffer(b"".join(ids), "<u4").tolist()]
+        at = 0
+        for c, i in zip(chunks, ids, strict=True):
+            n = len(i) >> 2
+            self.chunks[c] = (i, " ".join(texts[at : at + n]))
+            at += n
 
     def _split(self, text: str) -> list[str]:
         return [x for x in self.space.split(text) if x] if self.odd_space.search(text) else text.split()
@@ -195,26 +210,23 @@ class SpeculativeBpe:
         for text in texts:
             pieces = self.split_special.split(text) if self.split_special and "<" in text else [text]
             cut.append([(k % 2 == 1, p) if k % 2 else (False, self._split(p)) for k, p in enumerate(pieces)])
-        new, old = self.new, self.old
-        todo = []
-        for c in {c for doc in cut for special, p in doc if not special for c in p}:
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    todo.append(c)
+        if len(self.chunks) > self.cache:
+            self.chunks = {}
+        new = self.chunks
+        todo = set().union(*[p for doc in cut for special, p in doc if not special]).difference(new)
         if todo:
-            self._learn(todo)
+            self._learn(list(todo))
         for doc in cut:
-            got = []
-            for special, p in doc:
-                if special:
-                    got.append((np.array([self.special[p]], "<u4").tobytes(), p))
-                else:
-                    got += [new[c] for c in p]
+            if len(doc) == 1:
+                got = [new[c] for c in doc[0][1]]
+            else:
+                got = []
+                for special, p in doc:
+                    if special:
+                        got.append((struct.pack("<I", self.special[p]), p))
+                    else:
+                        got += [new[c] for c in p]
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
-        if len(new) > self.cache:
-            self.old, self.new = new, {}
         return out
 
 
