@@ -19,7 +19,7 @@ MODELS = ("naive_bayes", "logistic_regression", "random_forest", "gradient_boost
 def classifier(name: str, width: int = 0, seed: int = 42):
     common = {"featuresCol": "features", "labelCol": "label"}
     made = {
-        "naive_bayes": lambda: NaiveBayes(**common), "logistic_regression": lambda: LogisticRegression(maxIter=100, **common), "random_forest": lambda: RandomForestClassifier(seed=seed, **common),
+        "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common), "logistic_regression": lambda: LogisticRegression(maxIter=100, **common), "random_forest": lambda: RandomForestClassifier(seed=seed, **common),
         "gradient_boosting": lambda: GBTClassifier(seed=seed, **common), "svm": lambda: LinearSVC(maxIter=100, **common), "mlp": lambda: MultilayerPerceptronClassifier(layers=[width, 16, 2], seed=seed, **common),
     }
     if name not in made:
@@ -28,7 +28,10 @@ def classifier(name: str, width: int = 0, seed: int = 42):
 
 
 def pipeline(name: str, features: list[str], seed: int = 42) -> Pipeline:
-    """Assemble, scale (to 0..1 for naive Bayes, else to mean 0 and spread 1) and classify."""
+    """Assemble, scale (to 0..1 for naive Bayes, else to mean 0 and spread 1) and classify.
+
+    Naive Bayes is Gaussian: test rows outside the range of the training rows scale to negative values, which it takes.
+    """
     scale = MinMaxScaler(inputCol="raw_features", outputCol="features") if name == "naive_bayes" else StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="skip"), scale, classifier(name, len(features), seed)])
 

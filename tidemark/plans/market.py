@@ -68,7 +68,7 @@ SQL: dict[str, str] = {
     "volume_anomalies": f"""WITH {_E}, v AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS tweet_count FROM e GROUP BY 1), r AS (SELECT *, avg(tweet_count) OVER w AS m, stddev_samp(tweet_count) OVER w AS s FROM v WINDOW w AS (ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
   z AS (SELECT *, CASE WHEN s > 0 THEN (tweet_count - m) / s ELSE 0.0 END AS z_score FROM r) SELECT window_start, tweet_count, round(m, 6) AS rolling_mean, round(s, 6) AS rolling_std, round(z_score, 6) AS z_score, (abs(z_score) > 3)::INT AS is_anomaly,
   CASE WHEN abs(z_score) > 3 AND z_score > 0 THEN 'spike' WHEN abs(z_score) > 3 THEN 'drop' ELSE 'normal' END AS anomaly_type FROM z""",
-    "general_brand_series": f"WITH {_E} SELECT 'general' AS brand, date_trunc('hour', ts) AS window_start, count(*) AS mention_count, round(avg(y), 6) AS sentiment_score, round(count_if(y = 1) / count(*), 6) AS positive_ratio FROM e GROUP BY 2",
+    "general_brand_series": f"WITH {_E} SELECT 'general' AS brand, date_trunc('hour', ts) AS window_start, count(*) AS mention_count, round(avg(y), 6) AS sentiment_score, round(count(*) FILTER (y = 1) / count(*), 6) AS positive_ratio FROM e GROUP BY 2",
     "seasonal_decomposition": f"""WITH {_E}, v AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*)::DOUBLE AS x FROM e GROUP BY 1),
   a AS (SELECT *, row_number() OVER (ORDER BY window_start) - 1 AS k, count(*) OVER w AS n, avg(x) OVER w AS t FROM v WINDOW w AS (ORDER BY window_start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
   b AS (SELECT *, CASE WHEN n = 7 THEN t END AS trend, k % 7 AS phase FROM a), s AS (SELECT phase, avg(x - trend) AS pm FROM b GROUP BY phase)
