@@ -144,6 +144,18 @@ def test_products_and_context(spark, terms):
     assert got == {("apple", "samsung"): "comparison", ("apple", "tesla"): "comparison"}
 
 
+def test_brand_info(spark, terms):
+    got = {r.kind: r.terms for r in entity.brand_info(terms, "APPLE").collect()}
+    assert got["product"] == ["iphone", "macbook"] and got["name"] == ["apple"]
+
+
+def test_benchmark(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 20 > 9).cast("int").alias("sentiment"))
+    got = models.benchmark(spark, df, "id", ["x"], (0.5, 1.0), ("logistic_regression",))
+    r = models.benchmark_summary(got).first()
+    assert r.runs == 2 and r.avg_accuracy > 0.95
+
+
 def test_disambiguation(spark):
     df = spark.createDataFrame([(1, "apple pie phone", "Apple", "tech", 0.8, 0, 2), (1, "apple pie phone", "Pie", "food", 0.6, 1, 1)], "id long, text string, brand string, industry string, confidence double, position int, n int")
     words = spark.createDataFrame([("tech", "phone"), ("food", "pie")], "industry string, word string")
@@ -188,6 +200,7 @@ def test_models(spark):
     df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 20 > 9).cast("int").alias("sentiment"))
     train, test = quality.hash_split(df, "id")
     got = models.compare(spark, (train, test), ["x", "z"], ("logistic_regression", "naive_bayes", "nonsense")).collect()
+    assert models.best_model(spark.createDataFrame(got)) == got[0].model
     assert got[0].accuracy > 0.9 and got[-1].model == "nonsense" and got[-1].error
     fitted = [models.train(train, n, ["x", "z"])[0] for n in ("logistic_regression", "random_forest")]
     assert models.soft_vote(fitted, test, "id").where("prediction <> cast(id % 20 > 9 as double)").count() < 10

@@ -46,6 +46,12 @@ def test_language(spark):
     assert lang("привет мир снова здесь") == ("ru", 0.7)
 
 
+def test_keyword_sentiment(spark):
+    df = spark.createDataFrame([("I love it",), ("so bad",), ("well",), (None,), ("good and bad",)], "text string")
+    r = X.sentiment_summary(df).first()
+    assert (r.total, r.positive, r.negative, r.neutral) == (5, 2, 1, 2) and abs(r.avg_confidence - 0.78) < 1e-9
+
+
 def test_statistics_of_empty_texts(spark):
     for v in ("", None):
         assert one(spark, v, X.uppercase_ratio) == 0.0 and one(spark, v, X.punctuation_density) == 0.0 and one(spark, v, lambda c: X.count_of(c, "!")) == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # -- fixed values: patterns and word lists that results depend on
@@ -176,6 +176,13 @@ def keyword_sentiment(text: Column) -> Column:
     return F.when(any_of(GOOD_WORDS), made("positive", 0.85, 0.85, 0.10, 0.05)).when(any_of(BAD_WORDS), made("negative", 0.80, 0.10, 0.80, 0.10)).otherwise(made("neutral", 0.70, 0.30, 0.25, 0.45))
 
 
+def sentiment_summary(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row for a batch of texts: how many, how many of each sentiment, and the mean confidence."""
+    rows = df.select(keyword_sentiment(F.col(text)).alias("s"))
+    counts = [F.count_if(F.col("s.sentiment") == k).alias(k) for k in ("positive", "negative", "neutral")]
+    return rows.agg(F.count("*").alias("total"), *counts, F.avg("s.confidence").alias("avg_confidence"))
+
+
 # -- statistics and dictionary features
 
 

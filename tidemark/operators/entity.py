@@ -57,6 +57,11 @@ def competitor_map(pairs: DataFrame) -> DataFrame:
     return low.unionByName(back).where("brand <> competitor").distinct()
 
 
+def brand_info(terms: DataFrame, brand: str) -> DataFrame:
+    """(brand, industry, kind, terms) of one brand, whatever the case of its name."""
+    return terms.where(F.lower("brand") == brand.lower()).groupBy("brand", "industry", "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
 # -- similarity
 
 

@@ -127,6 +127,18 @@ def benchmark(spark: SparkSession, df: DataFrame, id_col: str, features: list[st
     return reduce(DataFrame.unionByName, parts)
 
 
+def benchmark_summary(results: DataFrame) -> DataFrame:
+    """Mean accuracy, F1 and times of each model over the shares that benchmark() tried."""
+    means = [F.avg(c).alias(f"avg_{c}") for c in ("accuracy", "f1", "train_seconds", "predict_seconds")]
+    return results.groupBy("model").agg(*means, F.count("*").alias("runs"))
+
+
+def best_model(results: DataFrame, by: str = "auc") -> str | None:
+    """The name of compare()'s best model that ran; None if none did."""
+    row = results.where("error IS NULL").orderBy(F.desc(by), "model").first()
+    return row["model"] if row else None
+
+
 def vocabulary(df: DataFrame, tokens: str = "tokens", size: int = 10_000) -> DataFrame:
     """(word, n, index): the commonest words by rank from 1, as a deep model's tokenizer numbers them."""
     from pyspark.sql import Window

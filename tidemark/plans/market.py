@@ -120,8 +120,6 @@ SQL: dict[str, str] = {
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """events as a stream of files, aggregated by hour in complete mode and read back."""
-    import tempfile
-
     from tidemark.streaming import streams
 
     path = f"{d}/events.parquet"
@@ -132,10 +130,7 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name if not _is_dir(spark, path) else "*").parquet(folder if not _is_dir(spark, path) else path)
     rows = source.select(F.col("ts").cast("timestamp").alias("timestamp"), kind.alias("topic"), label.alias("sentiment"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    import uuid
-
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = streams.work_folder(spark)
     q = streams.windowed(rows, ["topic"]).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")

@@ -6,6 +6,8 @@ ranks, rolling means) runs on each finished batch of windows through foreachBatc
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+def work_folder(spark: SparkSession, name: str = "stream") -> str:
+    """A new path for a stream's state and output in spark.checkpoint.dir; in local mode without it, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
     """A folder of Parquet files as a stream."""
     reader = spark.readStream.schema(schema)
