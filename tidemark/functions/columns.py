@@ -27,8 +27,8 @@ def calendar(start: Column) -> dict[str, Column]:
 def bucket(ts: Column, grain: str) -> Column:
     """struct(start, end) of the event-time bucket: hourly, daily, weekly (from Thursday, as epoch weeks) or monthly."""
     if grain == "monthly":
-        start = F.date_trunc("month", ts)
-        return F.struct(start.alias("start"), F.date_trunc("month", F.date_add(start, 32)).alias("end"))
+        start = F.trunc(ts, "month")  # a date: no time zone takes part
+        return F.struct(start.cast("timestamp_ntz").alias("start"), F.add_months(start, 1).cast("timestamp_ntz").alias("end"))
     return F.window(ts, {"hourly": "1 hour", "daily": "1 day", "weekly": "1 week"}.get(grain, grain if " " in grain else "1 hour"))
 
 
