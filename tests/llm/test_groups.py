@@ -172,7 +172,7 @@ PAGE = "<html><head><title>T</title></head><body><header><a>Logo</a></header><na
     [
         (None, ""), ("", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a b"), ("<article>x<script>var t='</p>';</script> y", "x y"),
         ("<body><main><p>m</p></main><p>o</p></body>", "m"), ("<div><article><header><h1>T</h1></header><p>x</p><section id='comments'>c</section></article>tail</div>", "T x"),
-        ("<article><p>cut &am", "cut &am"), ("<article>a<!-- x", "a"), ("<article><p>1 < 2 and <b", "1 < 2 and"), ("<article><ul><li>a<li>b</ul>a<br>b <i>c</i>d</article>", "a b a b cd"),
+        ("<article><p>cut &am", "cut &am"), ("<article>a<!-- x", "a"), ("<div class='content with-sidebar'><div class='article-header'><h1>T</h1></div>x<div class='ad-slot'>no</div></div><p>o", "T x"), ("<article>x<article class='comment'>no</article></article>", "x"), ("<article><p>1 < 2 and <b", "1 < 2 and"), ("<article><ul><li>a<li>b</ul>a<br>b <i>c</i>d</article>", "a b a b cd"),
     ],
 )
 def test_html_cases(source, text):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +18,14 @@ _SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests), a temporary one of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc.getCheckpointDir()
         if not found:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -67,13 +72,67 @@ def key128(c: Column, prefix: str = "h") -> list[Column]:
     return [F.xxhash64(c).alias(f"{prefix}1"), F.xxhash64(F.lit(0x9E3779B9), c).alias(f"{prefix}2")]
 
 
+#: What a Python worker keeps between tasks, and for which operator.
+_KEPT: list[dict] = []
+_OWNER = [""]
+
+
+def worker_cache() -> dict:
+    """A dict that a worker keeps for later tasks of one operator; it is emptied when another operator's task starts."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, beside an executor that needs it."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def enter(owner: str) -> None:
+    if _OWNER[0] != owner:
+        for kept in _KEPT:
+            kept.clear()
+        _OWNER[0] = owner
+        trim()
+
+
+def tidy(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a task's batches, as `owner`; memory is given back at the end."""
+
+    def wrapped(batches):
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32(column as text) mod m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def least_by_hash(df: DataFrame, seed: int, columns: list[str], k: int) -> DataFrame:
+    """The k rows of least hash of `columns` (ties by the columns): a sample of bounded size that any run repeats.
+
+    Rows that can't be among them are filtered by a threshold first, so that no task sends k rows of its own to the
+    driver: with n rows, the threshold lets about twice k pass.
+    """
+    h = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40))
+    n = df.count()
+    rows = df.withColumn("_hash", h)
+    if n > 4 * k:
+        rows = rows.where(F.col("_hash") < int((1 << 40) * (2 * k + 100) / n))
+    return rows.orderBy("_hash", *columns).limit(k).drop("_hash")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, least_by_hash, materialize, tidy
 
 BLOCK = 1024
 
@@ -133,7 +133,7 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) ->
             yield pd.DataFrame({"id": b["id"].array, "label": b["label"].array}).join(pd.DataFrame(rows, columns=["dim", "f1", "f2"]).astype("int64"))
 
     flat = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(label_col).isNotNull().alias("has"), F.col(vec_col).cast("array<double>").alias("v"))
-    return flat.mapInPandas(run, "id string, label string, dim long, f1 long, f2 long")
+    return flat.mapInPandas(tidy("embed", run), "id string, label string, dim long, f1 long, f2 long")
 
 
 def _compare(least: float):
@@ -209,10 +209,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             b = b.assign(f1=np.array([xxhash.xxh64_intdigest(r, 1) - (1 << 63) for r in raw], "int64"), f2=np.array([xxhash.xxh64_intdigest(r, 2) - (1 << 63) for r in raw], "int64"), dim=np.array([len(r) // 8 for r in raw], "int64"))
             yield b[["label", "v", "f1", "f2", "dim"]]
 
-    full = vecs.where("v IS NOT NULL AND label IS NOT NULL").select("label", "v").mapInPandas(named, "label string, v array<double>, f1 long, f2 long, dim long").where("dim > 0")
+    full = vecs.where("v IS NOT NULL AND label IS NOT NULL").select("label", "v").mapInPandas(tidy("embed", named), "label string, v array<double>, f1 long, f2 long, dim long").where("dim > 0")
     full = full.groupBy("label", "dim", "f1", "f2").agg(F.first("v").alias("v")).select(node, "label", "dim", "v")
     full = materialize(full.join(facts.select("node", "m"), "node"), "units")
-    sample = [unit(r["v"]) for r in full.select(F.xxhash64(F.lit(3), "node").alias("h"), "v").orderBy("h").limit(fit_rows).collect()]  # bounded by fit_rows
+    sample = [unit(r["v"]) for r in full.join(F.broadcast(least_by_hash(full.select("node"), 3, ["node"], fit_rows)), "node", "left_semi").orderBy("node").select("v").collect()]  # bounded by fit_rows
     grid = spark.sparkContext.broadcast(Grid(sample, cells))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +221,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 cell, seen = grid.value.visits(np.stack(g["v"].map(unit)), stop)
                 yield g[["node", "label", "dim", "m", "v"]].assign(own=cell, seen=seen)
 
-    rows = full.mapInPandas(index, "node long, label string, dim long, m long, v array<double>, own long, seen array<long>")
+    rows = full.mapInPandas(tidy("embed", index), "node long, label string, dim long, m long, v array<double>, own long, seen array<long>")
     rows = materialize(rows, "indexed")
     visits = rows.select("node", "label", "dim", "m", "v", "own", F.explode("seen").alias("cell"))
     key = ["label", "dim", "cell"]
@@ -233,7 +233,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ask = dealt.select(*base, F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("rb"), block(F.col("qs")).alias("qb"), F.lit(False).alias("resident"))
     stay = dealt.where("own = cell").select(*base, block(F.col("rs")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), F.lit(True).alias("resident"))
     tasks = ask.unionByName(stay).repartition(*key, "rb", "qb").sortWithinPartitions(*key, "rb", "qb", "node")
-    found = materialize(tasks.mapInPandas(_compare(least), "a long, b long, n long"), "links")
+    found = materialize(tasks.mapInPandas(tidy("embed", _compare(least)), "a long, b long, n long"), "links")
     counted = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("node"), "component")
     facts = facts.join(counted, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

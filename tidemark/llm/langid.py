@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import crc_mod, least_by_hash, materialize, tidy, worker_cache
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MARK = "▁"
@@ -90,7 +90,7 @@ class Pieces:
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[str, Pieces] = worker_cache()
 
 
 def pieces(path: str) -> Pieces:
@@ -227,8 +227,8 @@ def runs(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
 def fit(rows: DataFrame, path: str, fit_rows: int = 4_000, rounds: int = 3, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, prob[piece, language]) from rows (id, text, lang), by EM on the fit_rows of least hash."""
     vocab_size = pieces(path).n
-    picked = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(F.lit(11), F.col(id_col)).alias("h"), F.col(id_col).alias("id"), "lang")
-    picked = picked.orderBy("h", "id", "lang").limit(fit_rows).select("id", "lang").distinct()  # bounded by fit_rows
+    able = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col(id_col).alias("id"), "lang")
+    picked = least_by_hash(able, 11, ["id", "lang"], fit_rows).distinct()  # bounded by fit_rows
     sample = rows.select(F.col(id_col).alias("id"), "lang", "text").join(F.broadcast(picked), ["id", "lang"]).where("text IS NOT NULL")
     sample = materialize(sample.select("lang", "text").repartition(max(2, fit_rows // 500)), "langfit")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
@@ -253,7 +253,7 @@ def fit(rows: DataFrame, path: str, fit_rows: int = 4_000, rounds: int = 3, id_c
             p, k = np.nonzero(out)
             yield pd.DataFrame({"p": p, "k": k, "n": out[p, k]})
 
-        got = sample.mapInPandas(expect, "p long, k long, n double").groupBy("p", "k").agg(F.sum("n").alias("n")).toPandas()
+        got = sample.mapInPandas(tidy("langid", expect), "p long, k long, n double").groupBy("p", "k").agg(F.sum("n").alias("n")).toPandas()
         count = np.zeros_like(prob)
         count[got["p"], got["k"]] = got["n"]
         count[-1] = 0
@@ -283,7 +283,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, id_c
                     score.append(float(1 / np.exp(row[:-1] - row[k]).sum()))
             yield pd.DataFrame({id_col: b[id_col].array, "lang_pred": pred, "score": score})
 
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(tidy("langid", run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

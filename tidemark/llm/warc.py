@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     # Ids travel as decimal strings: pandas would turn a column with nulls into floats.
     rows = rows.withColumns({"page_id": F.col("page_id").cast("string"), "holder": F.col("holder").cast("string")})
-    return materialize(rows.mapInPandas(write, "file string, size long, records long"), "manifest")
+    return materialize(rows.mapInPandas(tidy("warc", write), "file string, size long, records long"), "manifest")
 
 
 def members(read, start: int, stop: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
@@ -199,7 +199,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame
                 if rows:
                     yield pd.DataFrame({"row": rows})
 
-    rows = ranges.mapInPandas(read, "row string")
+    rows = ranges.mapInPandas(tidy("warc", read), "row string")
     got = F.from_json("row", "array<string>")
     names = [x.split() for x in FIELDS.split(", ")]
     return rows.select(got.alias("r")).select(*[F.get("r", i).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
