@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
 from collections import Counter
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|<[a-zA-Z/][^<>]*$", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -52,8 +53,10 @@ CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs "
     "sidebar aside rail widget widgets footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall "
     "comment comments commentlist disqus replies reply respond discussion feedback share sharing social related recommended recommendations trending popular newsletter subscribe subscription signup login search searchbox "
-    "pagination pager skip hidden complementary contentinfo tags byline-share legal copyright".split()
+    "pagination pager skip hidden complementary contentinfo tags legal copyright".split()
 )
+#: First parts of a mark that make its other parts describe the content or its layout.
+OF_CONTENT = frozenset("has with without no article post entry story".split())
 CONTENT_WORDS = frozenset("article articlebody content maincontent post entry story main body-text articletext".split())
 
 
@@ -79,6 +82,13 @@ _TOP = Frame("", 0, False, 0)
 ARTICLE, MAIN, CONTENT = 3, 2, 1
 
 
+@functools.lru_cache(maxsize=10_000)
+def _is_chrome(mark: str) -> bool:
+    """Whether a class, id or role is, begins or ends with a word of chrome; not "with-sidebar", not "article-header"."""
+    parts = re.split(r"[-_:]+", mark)
+    return mark in CHROME_WORDS or (parts[0] not in OF_CONTENT and (parts[0] in CHROME_WORDS or parts[-1] in CHROME_WORDS))
+
+
 def _open(name: str, attrs: str, up: Frame) -> Frame:
     marks: list[str] = []
     hidden = False
@@ -92,8 +102,8 @@ def _open(name: str, attrs: str, up: Frame) -> Frame:
     words = {w for m in marks for w in (m, *re.split(r"[-_:]+", m))}
     root = up.root
     chrome = up.chrome or hidden or name in CHROME_TAGS or (name == "header" and up.root < ARTICLE)
-    if not chrome and words and name not in ("html", "body"):
-        chrome = bool(words & CHROME_WORDS) and not (words & {"article", "articlebody"})
+    if not chrome and marks and name not in ("html", "body", "main"):
+        chrome = any(map(_is_chrome, marks)) and not (name == "article" and not words & {"comment", "comments", "reply"})
     if not chrome:
         if name == "article":
             root = ARTICLE
@@ -245,7 +255,7 @@ def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4) -> DataFram
                 rows += [(host, t, is_text, p, k, at / n) for t, is_text, k, at in template_tokens(page)]
             yield pd.DataFrame(rows, columns=["host", "token", "is_text", "page", "n", "at"])
 
-    seen = pages.mapInPandas(run, "host string, token long, is_text boolean, page long, n long, at double")
+    seen = pages.mapInPandas(tidy("html", run), "host string, token long, is_text boolean, page long, n long, at double")
     # Copies of a page count once; then one number stands for a token's occurrence vector over the host's pages.
     seen = seen.groupBy("host", "token", "page").agg(F.first("is_text").alias("is_text"), F.first("n").alias("n"), F.first("at").alias("at"))
     vector = F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1)))
@@ -281,7 +291,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append(main_text(page, own, set(texts) if texts is not None else set()))
             yield pd.DataFrame({"id": b["id"].array, "url": b["url"].array, "text": out})
 
-    return joined.mapInPandas(run, f"id {kind}, url string, text string")
+    return joined.mapInPandas(tidy("html", run), f"id {kind}, url string, text string")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
