@@ -13,8 +13,9 @@ linked if 100 * intersection >= percent * union. The result is each document's c
    This is done twice with other leaders, in buckets that still hold more than one component.
 4. In buckets that still do, every pair of classes of different components is compared by sketch, in blocks of
    bounded size that are dealt over all tasks. In buckets of up to HOT classes what passes goes to the full sets by
-   joins; in larger ones the full sets come to the blocks, which return confirmed links only, so that near misses in a
-   large group make no rows. Every pair that shares a bucket is either connected already or checked; none is capped.
+   joins; in larger ones the sets, folded to 31-bit hashes, come to the blocks, which return what may still be a link
+   (folding only adds to an intersection) for the full sets to confirm, so that near misses in a large group make no
+   rows. Every pair that shares a bucket is either connected already or checked; none is capped.
    A large group of copies is connected in step 3 and costs a row each.
 
 At a similarity of 0.8, 24 bands of 4 rows miss a pair with probability 3e-6; the sketch test leaves a margin of 5.5
@@ -36,11 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, tidy
 
 BANDS, ROWS, BITS = 24, 4, 512
-#: Classes in a block; classes in a bucket beyond which full sets are sent to the blocks.
-BLOCK, HOT = 512, 64
+#: Classes in a block, without and with sets; classes in a bucket beyond which sets are sent to the blocks.
+BLOCK, SET_BLOCK, HOT = 2048, 1024, 64
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | _U(1)
@@ -58,7 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct shingle hashes of a text; word hashes are kept in a bounded cache."""
 
-    def __init__(self, k: int, cache: int = 400_000):
+    def __init__(self, k: int, cache: int = 150_000):
         self.k, self.cache, self.codes = k, cache, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -113,18 +114,22 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(k)
         for b in batches:
-            sets = [shingle(t) if isinstance(t, str) else np.empty(0, np.uint64) for t in b["text"]]
-            n = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(n)
-            prints = np.array([(xxhash.xxh64_intdigest(s.tobytes(), 1), xxhash.xxh64_intdigest(s.tobytes(), 2)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            keys, sketch = [None] * len(sets), [None] * len(sets)
-            if len(some):
-                a, c = fold(np.array([samples(sets[i]) for i in some]))
-                for i, x, y in zip(some, a, c, strict=True):
+            n, prints, least, some = np.zeros(len(b), np.int64), np.zeros((len(b), 2), np.uint64), [], []
+            for i, t in enumerate(b["text"]):  # one set at a time
+                s = shingle(t) if isinstance(t, str) else np.empty(0, np.uint64)
+                raw = s.tobytes()
+                n[i], prints[i] = len(s), (xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2))
+                if len(s):
+                    some.append(i)
+                    least.append(samples(s))
+            prints = prints.view(np.int64)
+            keys, sketch = [None] * len(b), [None] * len(b)
+            if some:
+                for i, x, y in zip(some, *fold(np.array(least)), strict=True):
                     keys[i], sketch[i] = x, y
             yield pd.DataFrame({"id": b["id"].array, "n": n, "f1": prints[:, 0], "f2": prints[:, 1], "keys": keys, "sketch": sketch})
 
-    return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>")
+    return docs.mapInPandas(tidy("near_dup", run), "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -135,23 +140,23 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingle(t).view(np.int64) for t in b["text"]]})
 
-    return docs.mapInPandas(run, "id long, shingles array<long>")
+    return docs.mapInPandas(tidy("near_dup", run), "id long, shingles array<long>")
 
 
 def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64)), F.lit(0))
 
 
-def _blocks(cross: DataFrame, percent: int, confirm: bool) -> DataFrame:
-    """(a, b) of different components in one bucket and alike by size and sketch; confirm: by full sets, too.
+def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
+    """(a, b) of different components in one bucket and alike by size and sketch; with_sets: by folded sets, too.
 
-    cross: bucket, rep, component, n, keys, sketch, count and, to confirm, shingles.
+    cross: bucket, rep, component, n, keys, sketch, count and, with sets, shingles (array<int>).
     """
-    deal = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
+    deal = F.greatest(F.lit(1), F.ceil(F.col("count") / (SET_BLOCK if with_sets else BLOCK))).cast("int")
     rows = cross.withColumn("parts", deal).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     # A block meets every other once: a row of block o goes to the tasks (min(o, x), max(o, x)) for all x.
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    more = ["shingles"] if confirm else []
+    more = ["shingles"] if with_sets else []
     rows = rows.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "rep", "component", "n", "keys", "sketch", *more)
     most = most_bits(percent)
 
@@ -166,7 +171,7 @@ def _blocks(cross: DataFrame, percent: int, confirm: bool) -> DataFrame:
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
         ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
         key, same = g["bucket"].iat[0], g["i"].iat[0] == g["j"].iat[0]
-        if confirm:
+        if with_sets:
             # The block's own vocabulary: then one row's overlaps with all others are one look-up and sum.
             vocab, flat = np.unique(np.concatenate(right["shingles"].to_list()), return_inverse=True)
             starts = np.r_[0, np.cumsum(nb)[:-1]]
@@ -182,7 +187,7 @@ def _blocks(cross: DataFrame, percent: int, confirm: bool) -> DataFrame:
             if len(at):
                 eq = ka[r] == kb[at]  # only in the first bucket that they share
                 at = at[ka[r][eq.argmax(1)] == key]
-            if len(at) and confirm:
+            if len(at) and with_sets:
                 place = np.minimum(np.searchsorted(vocab, sets[r]), len(vocab) - 1)
                 mark = np.zeros(len(vocab), np.int64)
                 mark[place[vocab[place] == sets[r]]] = 1
@@ -209,7 +214,7 @@ def _blocks(cross: DataFrame, percent: int, confirm: bool) -> DataFrame:
                 yield pd.DataFrame({"a": x, "b": y})
 
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    found = rows.mapInPandas(run, "a long, b long")
+    found = rows.mapInPandas(tidy("near_dup", run), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -261,8 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     cross = members.join(open_, "bucket").join(classes.select("rep", "n", "keys", "sketch"), "rep")
     cross = materialize(cross, "cross")
-    hot = cross.where(F.col("count") > HOT).join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
-    last = confirmed(_blocks(cross.where(F.col("count") <= HOT), percent, False)).unionByName(_blocks(hot, percent, True))
+    folded = sets.select(F.col("id").alias("rep"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
+    hot = cross.where(F.col("count") > HOT).join(folded, "rep")
+    last = confirmed(_blocks(cross.where(F.col("count") <= HOT), percent, False).unionByName(_blocks(hot, percent, True)).distinct())
     component = components(materialize(links.unionByName(last), "links"))
     reps = classes.select("f1", "f2", "rep").join(component, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = own.select("id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left")
