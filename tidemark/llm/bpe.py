@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy, worker_cache
+
 
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100."""
@@ -40,7 +42,7 @@ def byte_chars() -> list[str]:
 class SpeculativeBpe:
     """Encodes words of the vocabulary in `path` (a tokenizers JSON file)."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 230_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -230,7 +232,7 @@ class SpeculativeBpe:
         return out
 
 
-_CODERS: dict[str, SpeculativeBpe] = {}
+_CODERS: dict[str, SpeculativeBpe] = worker_cache()
 
 
 def coder(path: str) -> SpeculativeBpe:
@@ -240,7 +242,7 @@ def coder(path: str) -> SpeculativeBpe:
     return _CODERS[path]
 
 
-def _some(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
+def _some(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters, so that what is held at once is bounded by that or one text."""
     run, size = [], 0
     for t in texts:
@@ -258,20 +260,21 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(path)
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
-            rows = []
-            for some in _some(texts):
+            at = 0
+            for some in _some([t if isinstance(t, str) else "" for t in batch["_text"]]):
+                rows = []
                 for ids, decoded in bpe.encode(some):
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([np.frombuffer(ids, "<u4").astype(np.int32)] if with_ids else [])))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_col, batch[id_col].array)
-            yield out
+                out = pd.DataFrame(rows, columns=names)
+                out.insert(0, id_col, batch[id_col].iloc[at : at + len(some)].array)
+                at += len(some)
+                yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(tidy("bpe", run), schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
