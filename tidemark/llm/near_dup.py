@@ -10,7 +10,7 @@ linked if 100 * intersection >= percent * union. The result is each document's c
 2. Documents of one fingerprint are one class, represented by its least id. Only classes go on.
 3. Classes that share a band key share a bucket. In each bucket one leader is compared with the others (not all
    pairs): sizes and sketches discard what can't be similar, full sets confirm the rest; components are formed.
-   This is done twice with other leaders, in buckets that still hold more than one component.
+   This is done `rounds` times with other leaders, in buckets that still hold more than one component.
 4. In buckets that still do, every pair of classes of different components is compared by sketch, in blocks of
    bounded size that are dealt over all tasks. In buckets of up to HOT classes what passes goes to the full sets by
    joins; in larger ones the sets, folded to 31-bit hashes, come to the blocks, which return what may still be a link
@@ -218,7 +218,7 @@ def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = materialize(describe(texts, k), "described")
