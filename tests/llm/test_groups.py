@@ -190,6 +190,22 @@ def test_html_template_and_odd_rows(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    page = "<nav>Menu</nav><article><h1>Title {n}</h1><p>Body {n}</p><div>Share this</div><section>Subscribe now</section></article><p>End</p>"
+    rows = [(i, f"https://h.example/{i}", page.format(n=i)) for i in range(10)]
+    # On one page the template's tokens stand in another order: its class isn't valid there, so its text stays.
+    rows.append((10, "https://h.example/10", "<article><section>Subscribe now</section><div>Share this</div><h1>Title 10</h1><p>Body 10</p></article><nav>Menu</nav><p>End</p>"))
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3 Body 3" and got[10] == "Subscribe now Share this Title 10 Body 10"
+
+
+def test_html_classes_nest():
+    # Tokens 1 to 3 are one class; 5 and 6 occur twice, each time in one slot of it or, in the second list, across two.
+    template = {1: (7, 0), 5: (8, 1), 6: (8, 2), 2: (7, 3), 3: (7, 4)}
+    assert html_extract.valid_classes([1, 5, 6, 2, 5, 6, 3], template) == {7, 8}
+    assert html_extract.valid_classes([1, 5, 2, 6, 5, 6, 3], template) == {7}
+
+
 def test_html_long_page():
     assert len(html_extract.main_text(html_extract.Page("<article>" + "<p>word</p>" * 50_000), {}, set())) == 50_000 * 5 - 1
 

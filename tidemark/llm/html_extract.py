@@ -4,13 +4,14 @@
 2. Per host, tokens that occur equally often in each of the host's different pages have the same occurrence vector
    and form an equivalence class. Vectors are compared by a sum of page hashes times counts, so they are built by a
    plain aggregation; exact copies of a page count once.
-3. Large and frequent classes (at least `min_pages` pages and `share` of the host's, two tokens or more) make the
-   host's template, ordered by their mean place. On a page, a class is valid if its once-only tokens stand in the
-   template's order; tokens of other classes nest in the slots between them.
-4. What fills the slots is the page's own. Slots under tags whose name, class, id or role marks menus, headers, footers, sidebars,
-   notices, adverts, forms or comments go, as do scripts, styles and the head. If an article (else a main element, else
-   a content container) has text left, the slots outside it go too; text blocks of the template itself go unless they
-   stand inside an article, whose text is never taken for a template however often a host repeats it.
+3. Large and frequent classes (at least `min_pages` pages and `share` of the host's, two tokens or more, one of them a
+   tag) make the host's template; a class's tokens are in the order that most pages have. On a page, a class is valid if its tokens stand in the
+   template's order, as often as the class occurs, and each occurrence lies in one slot of every larger valid class, or
+   the other way round: valid classes nest. Text of a valid class is template wherever it stands, inside an article too.
+4. What fills the slots is the page's own. Marks then help to choose among the slots: those under tags whose name,
+   class, id or role marks menus, headers, footers, sidebars, notices, adverts, forms or comments go, as do scripts,
+   styles and the head. If an article (else a main element, else a content container) has text left, the slots outside
+   it go too.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 in page order by one space. Nothing else is dropped or cut.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import functools
 import html as _html
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -115,27 +117,43 @@ def _open(name: str, attrs: str, up: Frame) -> Frame:
 
 
 class Page:
-    """A page's tags (path hashes in order) and text blocks: (text, path, root, outside chrome)."""
+    """A page's tokens (of tags and text blocks, in order) and text blocks: (text, token, root, whether under marks of chrome)."""
 
     def __init__(self, source: str):
-        self.tags: list[int] = []
-        self.blocks: list[tuple[str, int, int]] = []
+        self.tokens: list[int] = []
+        self.blocks: list[tuple[str, int, int, bool]] = []
         self._stack = [_TOP]
         self._parts: list[str] = []
         self._at: Frame = _TOP
+        # Text under marks of chrome, apart, so that it doesn't split the text around it.
+        self._aside: list[str] = []
+        self._aside_at: Frame = _TOP
         self._read(source)
         self._flush()
 
     def _flush(self) -> None:
+        if self._aside:
+            self._block(self._aside, self._aside_at, True)
+            self._aside = []
         if self._parts:
-            text = " ".join("".join(self._parts).split())
-            if text:
-                self.blocks.append((text, self._at.path, self._at.root))
+            self._block(self._parts, self._at, False)
             self._parts = []
 
+    def _block(self, parts: list[str], at: Frame, chrome: bool) -> None:
+        text = " ".join("".join(parts).split())
+        if text:
+            token = _h(at.path, "=", text)
+            self.blocks.append((text, token, at.root, chrome))
+            self.tokens.append(token)
+
     def _text(self, raw: str) -> None:
         top = self._stack[-1]
-        if top.chrome or not raw:
+        if not raw:
+            return
+        if top.chrome:
+            if not self._aside:
+                self._aside_at = next((f for f in reversed(self._stack) if f.name not in INLINE), top)
+            self._aside.append(_html.unescape(raw) if "&" in raw else raw)
             return
         if not self._parts or top.root != self._at.root:
             # A block belongs to one root; where it changes (unclosed tags), a new block begins.
@@ -193,7 +211,7 @@ class Page:
             if name not in INLINE:
                 self._flush()
             f = _open(name, m.group(3), stack[-1])
-            self.tags.append(f.path)
+            self.tokens.append(f.path)
             if name in RAW and not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(s, at)
                 at = end.end() if end else n
@@ -201,44 +219,56 @@ class Page:
             if name not in VOID and not m.group(3).endswith("/"):
                 stack.append(f)
 
-    def text_token(self, block: tuple[str, int, int]) -> int:
-        return _h(block[1], "=", block[0])
-
-
-def template_tokens(page: Page) -> Iterator[tuple[int, bool, int, int]]:
-    """(token, is text, count, first place) for the tokens that may be a template's."""
-    first: dict[int, int] = {}
-    for i, t in enumerate(page.tags):
-        first.setdefault(t, i)
-    counts = Counter(page.tags)
-    for t, n in counts.items():
-        yield t, False, n, first[t]
-    texts = Counter(page.text_token(b) for b in page.blocks if b[2] != ARTICLE)
-    for t, n in texts.items():
-        yield t, True, n, len(page.tags)
-
-
-def main_text(page: Page, tags: dict[int, tuple[int, int]], texts: set[int]) -> str:
-    """The slots' text. tags: template tag -> (class, place); texts: the template's own text blocks."""
-    if texts and tags:
-        # Classes whose tokens stand out of order on this page are not valid here; with none valid, no text is template.
-        place: dict[int, int] = {}
-        bad, seen = set(), set()
-        for t in page.tags:
-            if (c := tags.get(t)) and t not in seen:
-                seen.add(t)
-                if c[1] < place.get(c[0], -1):
-                    bad.add(c[0])
-                place[c[0]] = c[1]
-        if place and len(bad) == len(place):
-            texts = set()
-    slots = [b for b in page.blocks if b[2] == ARTICLE or not texts or page.text_token(b) not in texts]
+
+def template_tokens(page: Page) -> Iterator[tuple[int, bool, int]]:
+    """(token, is text, count) for the tokens that may be a template's."""
+    texts = {b[1] for b in page.blocks}
+    for t, n in Counter(page.tokens).items():
+        yield t, t in texts, n
+
+
+def orders(page: Page, cls: dict[int, int]) -> dict[int, list[int]]:
+    """Class to its tokens in the order of their first places on this page."""
+    out: dict[int, list[int]] = {}
+    for t in dict.fromkeys(page.tokens):
+        if (c := cls.get(t)) is not None:
+            out.setdefault(c, []).append(t)
+    return out
+
+
+def _nests(inner: tuple[list[int], int], outer: tuple[list[int], int]) -> bool:
+    """Whether each occurrence of one class lies in one slot of the other; a class is its places and how many make an occurrence."""
+    (at, m), (others, _) = inner, outer
+    return all(bisect(others, at[i]) == bisect(others, at[i + m - 1]) for i in range(0, len(at), m))
+
+
+def valid_classes(tokens: list[int], template: dict[int, tuple[int, int]]) -> set[int]:
+    """The classes whose tokens stand in the template's order on this page and nest with the larger valid classes."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for i, t in enumerate(tokens):
+        if c := template.get(t):
+            found.setdefault(c[0], []).append((i, c[1]))
+    members = Counter(c for c, _ in template.values())
+    valid: dict[int, tuple[list[int], int]] = {}
+    for c in sorted(found, key=lambda c: (-members[c], c)):
+        order = sorted({place for _, place in found[c]})
+        if len(order) == members[c] and [place for _, place in found[c]] == order * (len(found[c]) // len(order)):
+            own = ([i for i, _ in found[c]], len(order))
+            if all(_nests(own, other) or _nests(other, own) for other in valid.values()):
+                valid[c] = own
+    return set(valid)
+
+
+def main_text(page: Page, template: dict[int, tuple[int, int]], texts: set[int]) -> str:
+    """The slots' text. template: token -> (class, place); texts: those of its tokens that are text blocks."""
+    valid = valid_classes(page.tokens, template) if texts else set()
+    slots = [b for b in page.blocks if not b[3] and not (b[1] in texts and template[b[1]][0] in valid)]
     root = max((b[2] for b in slots), default=0)
     return " ".join([b[0] for b in slots if root == 0 or b[2] == root or (root < ARTICLE and b[2] >= root)])
 
 
-def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4) -> DataFrame:
-    """(host, tags, texts): each host's template; pages: url, html."""
+def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4, broadcast_tokens: int = 200_000) -> DataFrame:
+    """(host, tokens): each host's template, (cls, at, token, is_text) by class and order; pages: url, html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -249,17 +279,15 @@ def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4) -> DataFram
                 if (host, p) in done:
                     continue
                 done.add((host, p))
-                rows.append((host, 0, False, p, 1, 0.0))
-                page = Page(s)
-                n = max(1, len(page.tags))
-                rows += [(host, t, is_text, p, k, at / n) for t, is_text, k, at in template_tokens(page)]
-            yield pd.DataFrame(rows, columns=["host", "token", "is_text", "page", "n", "at"])
+                rows.append((host, 0, False, p, 1))
+                rows += [(host, t, is_text, p, k) for t, is_text, k in template_tokens(Page(s))]
+            yield pd.DataFrame(rows, columns=["host", "token", "is_text", "page", "n"])
 
-    seen = pages.mapInPandas(tidy("html", run), "host string, token long, is_text boolean, page long, n long, at double")
+    seen = pages.mapInPandas(tidy("html", run), "host string, token long, is_text boolean, page long, n long")
     # Copies of a page count once; then one number stands for a token's occurrence vector over the host's pages.
-    seen = seen.groupBy("host", "token", "page").agg(F.first("is_text").alias("is_text"), F.first("n").alias("n"), F.first("at").alias("at"))
+    seen = seen.groupBy("host", "token", "page").agg(F.first("is_text").alias("is_text"), F.first("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1)))
-    tokens = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.count("*").alias("pages"), vector.alias("vector"), F.avg("at").alias("at"), F.max("n").alias("most"))
+    tokens = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.count("*").alias("pages"), vector.alias("vector"))
     tokens = materialize(tokens.where(F.col("pages") >= min_pages), "tokens")
     whole = tokens.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     frequent = tokens.where("token <> 0").join(whole, "host").where(F.col("pages") >= share * F.col("host_pages"))
@@ -267,28 +295,48 @@ def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4) -> DataFram
     # A class needs two tokens: a text that shares its vector with no tag is repeated content, not template.
     sizes = frequent.groupBy("host", cls.alias("cls")).agg(F.count("*").alias("size"), F.max((~F.col("is_text")).cast("int")).alias("has_tag")).where("size > 1 AND has_tag = 1")
     frequent = frequent.withColumn("cls", cls).join(sizes, ["host", "cls"])
-    ordered = F.array_sort(F.collect_list(F.when(~F.col("is_text") & (F.col("most") == 1), F.struct("at", "token", "cls"))))
-    return frequent.groupBy("host").agg(F.transform(ordered, lambda x: F.struct(x["token"].alias("token"), x["cls"].alias("cls"))).alias("tags"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
+    members = materialize(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "cls", "is_text")).alias("tokens")), "members")
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            votes: Counter = Counter()
+            for url, source, tokens in zip(b["url"], b["html"], b["tokens"], strict=True):
+                if tokens is not None:
+                    own = orders(Page(source if isinstance(source, str) else ""), {t["token"]: t["cls"] for t in tokens})
+                    votes.update((host_of(url), c, tuple(o)) for c, o in own.items())
+            yield pd.DataFrame([(h, c, list(o), n) for (h, c, o), n in votes.items()], columns=["host", "cls", "tokens", "n"])
+
+    # The order of most pages is the class's; pages vote by the whole order.
+    votes = _with_host(pages, members, broadcast_tokens).mapInPandas(tidy("html", vote), "host string, cls long, tokens array<long>, n long")
+    votes = votes.groupBy("host", "cls", "tokens").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("host", "cls").agg(F.max_by("tokens", F.struct(F.col("n"), F.col("tokens"))).alias("tokens"))
+    placed = best.select("host", "cls", F.posexplode("tokens").alias("at", "token"))
+    placed = placed.join(members.select("host", F.inline("tokens")), ["host", "token", "cls"])
+    return placed.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("cls", "at", "token", "is_text"))).alias("tokens"))
+
+
+def _with_host(rows: DataFrame, template: DataFrame, broadcast_tokens: int) -> DataFrame:
+    """rows with the columns of their host in template; small templates (checked) go to the rows, otherwise Spark joins by host and splits a host with many pages."""
+    tokens = template.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    side = F.broadcast(template) if tokens <= broadcast_tokens else template
+    return rows.withColumn("host", host).join(side, "host", "left").drop("host")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = 200_000, **rule) -> DataFrame:
     """(id, url, text) of every row."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    template = materialize(deduce(rows.select("url", "html"), **rule), "template")
-    tokens = template.agg(F.coalesce(F.sum(F.size("tags") + F.size("texts")), F.lit(0))).first()[0]
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    # Small templates (checked) go to the pages; otherwise Spark joins by host and splits a host with many pages.
-    side = F.broadcast(template) if tokens <= broadcast_tokens else template
-    joined = rows.withColumn("host", host).join(side, "host", "left").drop("host")
+    template = materialize(deduce(rows.select("url", "html"), broadcast_tokens=broadcast_tokens, **rule), "template")
+    joined = _with_host(rows, template, broadcast_tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for source, tags, texts in zip(b["html"], b["tags"], b["texts"], strict=True):
-                page = Page(source if isinstance(source, str) else "")
-                own = {t["token"]: (t["cls"], i) for i, t in enumerate(tags)} if tags is not None else {}
-                out.append(main_text(page, own, set(texts) if texts is not None else set()))
+            for source, tokens in zip(b["html"], b["tokens"], strict=True):
+                tokens = tokens if tokens is not None else []
+                own = {t["token"]: (t["cls"], t["at"]) for t in tokens}
+                out.append(main_text(Page(source if isinstance(source, str) else ""), own, {t["token"] for t in tokens if t["is_text"]}))
             yield pd.DataFrame({"id": b["id"].array, "url": b["url"].array, "text": out})
 
     return joined.mapInPandas(tidy("html", run), f"id {kind}, url string, text string")
