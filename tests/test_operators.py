@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import TESTDATA
 from tidemark.functions.columns import require
 from tidemark.operators import brand, entity, features, forecast, models, quality, timeseries, topics, virality
+from tidemark.plans.texts import QUERIES
 from tidemark.sources import readers, sinks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -135,6 +136,24 @@ def test_typo(spark, terms):
     assert got.brands[0].brand == "Samsung" and got.brands[0].match_type == "fuzzy" and got.brands[0].confidence < 1
 
 
+def test_similar_terms_of_any_start_and_length(spark):
+    terms = entity.terms_of(spark.createDataFrame([("Thing", "goods", ["heatnt"], ["ration", "internationally"], [])], "brand string, industry string, aliases array<string>, products array<string>, keywords array<string>"))
+    # The first letter differs, or four letters are missing: 80, 83.3, 83.3 and 73.3 by the ratio.
+    for word, term in (("whing", "thing"), ("reatnt", "heatnt"), ("pation", "ration"), ("internation", "internationally")):
+        got = entity.matches(spark.createDataFrame([(1, f"x {word} y")], "id long, text string"), terms, whole=True).collect()
+        assert [(r.chunk, r.term) for r in got] == [(word, term)]
+    words = ["whing", "thin", "rationing", "heat", "stationary", "internation", "thing"]
+    each = spark.createDataFrame([(w,) for w in words], "chunk string")
+    for least in (40.0, 70.0, 75.0):
+        every = each.crossJoin(terms.select("term")).where(entity.ratio(F.col("chunk"), F.col("term")) >= least)
+        assert set(entity.similar_pairs(each, terms, least).select("chunk", "term").collect()) == set(every.collect())
+
+
+def test_brand_recognition_query_is_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "pation", "en", "x")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.brands for r in QUERIES["brand_recognition"](spark, str(tmp_path)).collect()] == ["Onion:0.83"]
+
+
 def test_products_and_context(spark, terms):
     texts = spark.createDataFrame([(1, "iphone 12 beats galaxy")], "id long, text string")
     assert {(r.product, r.brand) for r in entity.extract_products(texts, terms).collect()} == {("iphone", "Apple"), ("galaxy", "Samsung")}

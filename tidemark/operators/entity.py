@@ -1,7 +1,7 @@
 """Dictionary entity recognition as joins: n-gram chunks against a table of terms.
 
 The dictionary is a table (brand, industry, kind, term): kinds are name, alias, product and keyword. It goes to the
-chunks by broadcast if it has at most `broadcast_terms` rows (checked), else by a join on the term or its block.
+chunks by broadcast if it has at most `broadcast_terms` rows (checked), else by a join on the term or its length.
 
 Similarity is the Levenshtein ratio 100 * (1 - distance / longer length), both sides in lower case.
 """
@@ -100,34 +100,48 @@ def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4) -> Da
     return reduce(DataFrame.unionByName, parts).where(F.char_length("chunk") >= 3)
 
 
-def _size(terms: DataFrame) -> tuple[int, int, int]:
-    """The longest term's words (4 at most), and the least and greatest length of terms."""
-    n, low, high = terms.agg(F.max(F.size(F.split("term", " "))), F.min(F.char_length("term")), F.max(F.char_length("term"))).first()
-    return min(4, n or 1), low or 0, high or 0
+def _size(terms: DataFrame) -> int:
+    """The longest term's words, 4 at most."""
+    return min(4, terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1)
 
 
 def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000) -> DataFrame:
+def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True) -> DataFrame:
+    """each (distinct chunks) with all terms whose ratio is `least` or more, and the ratio.
+
+    The distance is at least the difference of the lengths, so only lengths that permit the ratio are joined.
+    Unless whole, see matches.
+    """
+    sizes = sorted(r["l"] for r in terms.select(F.char_length("term").alias("l")).distinct().collect())  # at most the longest term's length
+    length = F.char_length("chunk")
+    permits = lambda x: F.least(length, x) * 100.0 >= F.greatest(length, x) * float(least) - 1e-6 if whole else F.abs(length - x) <= 2
+    able = each.withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), permits)))
+    letter = lambda c: F.lit("") if whole else F.substring(c, 1, 1)
+    blocked = terms.withColumns({"_f": letter("term"), "_l": F.char_length("term")})
+    pairs = able.withColumn("_f", letter("chunk")).join(_side(blocked, broadcast_terms), ["_f", "_l"]).drop("_f", "_l")
+    return pairs.withColumn("ratio", ratio(F.col("chunk"), F.col("term"))).where(F.col("ratio") >= least)
+
+
+def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000, whole: bool = False) -> DataFrame:
     """(id, position, n, chunk, brand, industry, kind, term, score) for exact and, unless fuzzy is None, similar chunks.
 
-    Similar terms share the first letter and differ by two letters in length at most; distinct chunks are compared once.
+    Distinct chunks are compared once: if whole, with every term of a length that the ratio permits, else with terms of
+    the same first letter and two letters more or less at most, which misses others that are as alike.
     """
     known = terms.where("kind <> 'keyword'")
-    longest, low, high = _size(known)
+    longest = _size(known)
     found = chunks(texts, id_col, text_col, longest)
     exact = found.join(_side(known, broadcast_terms), found["chunk"] == known["term"]).withColumn("score", F.lit(100.0))
     cols = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
     if fuzzy is None:
         return exact.select(cols)
-    able = found.where(F.char_length("chunk").between(low - 2, high + 2))
-    each = able.select("chunk").distinct().withColumns({"_f": F.substring("chunk", 1, 1), "_l": F.explode(F.sequence(F.char_length("chunk") - 2, F.char_length("chunk") + 2))})
-    blocked = known.withColumns({"_f": F.substring("term", 1, 1), "_l": F.char_length("term")})
-    near = each.join(_side(blocked, broadcast_terms), ["_f", "_l"]).where(F.col("chunk") != F.col("term")).where(ratio(F.col("chunk"), F.col("term")) >= fuzzy)
+    each = found.select("chunk").distinct()
+    near = similar_pairs(each, known, fuzzy, broadcast_terms, whole).drop("ratio").where(F.col("chunk") != F.col("term"))
     near = near.withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r", "_f", "_l")
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
     return exact.select(cols).unionByName(found.join(best, "chunk").select(cols))
 
 
@@ -137,19 +151,19 @@ def without_overlaps(cands: Column) -> Column:
     return F.aggregate(cands, F.slice(cands, 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, context: bool = True) -> DataFrame:
+def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, context: bool = True, whole: bool = False) -> DataFrame:
     """(id, brands): array<struct(brand, confidence, match_type, position)>, best match a brand, surest first; texts without one have no row.
 
     With fewer than three brands found, a brand with two or more of its keywords in the text is added by context at
-    confidence min(50 + 10 k, 85) / 100 and position -1.
+    confidence min(50 + 10 k, 85) / 100 and position -1. whole: see matches.
     """
-    got = matches(texts, terms, id_col, text_col, fuzzy)
+    got = matches(texts, terms, id_col, text_col, fuzzy, whole=whole)
     packed = F.struct((-F.col("n")).alias("o"), (-F.col("score")).alias("s"), "position", "n", "brand", "industry", "kind", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
     flat = per.select("id", F.explode("m").alias("x")).select("id", F.col("x.brand").alias("brand"), (-F.col("x.s") / 100).alias("confidence"), F.when(F.col("x.s") == -100, "exact").otherwise("fuzzy").alias("match_type"), F.col("x.position").alias("position"))
     if context:
         keys = terms.where("kind = 'keyword'")
-        words = chunks(texts, id_col, text_col, _size(keys)[0]).select("id", "chunk").distinct()
+        words = chunks(texts, id_col, text_col, _size(keys)).select("id", "chunk").distinct()
         hits = words.join(_side(keys, 20_000), words["chunk"] == keys["term"]).groupBy("id", "brand").agg(F.count("*").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")

@@ -200,7 +200,7 @@ QUERIES = {
     "competitive_context": _context,
     "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens")), size=500),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
-    "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id").select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
+    "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", whole=True).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
     "product_extraction": lambda s, d: entity.extract_products(_docs(s, d), terms(s), "doc_id"),
     "balanced_sample": lambda s, d: quality.balanced_sample(_posts(s, d).where("sentiment IS NOT NULL"), "tweet_id", 0.1).select("tweet_id", "sentiment"),
     "hash_sample": lambda s, d: quality.hash_sample(_docs(s, d), "doc_id", 0.1).select("doc_id"),
