@@ -156,3 +156,12 @@ def test_lm_is_a_distribution_and_takes_odd_rows(spark):
     assert a == b and ("None", 1, 1) in {x[:3] for x in a} and ("2", 50_001, 1) in {x[:3] for x in a}
     assert lm_score.score_texts(rows.limit(0), "id").count() == 0
     assert {r.train_tokens for r in lm_score.score_texts(rows, "id", learn="false").collect()} == {0}
+
+
+def test_lm_classes_come_from_all_learning_texts(spark, monkeypatch):
+    seen = []
+    real = lm_score.classes_of_keys
+    monkeypatch.setattr(lm_score, "classes_of_keys", lambda train: seen.append(train.count()) or real(train))
+    rows = spark.range(4_000).selectExpr("id", "concat('aa b', id % 7, ' c', id % 11) AS text")
+    lm_score.score_texts(rows, "id").count()
+    assert seen == [4_000]
