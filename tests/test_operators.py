@@ -251,3 +251,12 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_scan_is_pruned_and_native(spark):
     plan = brand.brand_sentiment(readers.brand_mentions(spark, TESTDATA), "1 week")._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "p_retailprice" not in plan and "Python" not in plan
+
+
+def test_word2vec_query_returns_mean_vectors(spark, tmp_path):
+    texts = ["alpha", "beta", "alpha beta", "seldom"] + ["alpha beta gamma"] * 20
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: np.array(r.word2vec_features) for r in QUERIES["word2vec_similar"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(v.shape == (100,) for v in got.values())
+    assert np.abs(got[0]).max() > 0 and np.allclose(got[2], (got[0] + got[1]) / 2, atol=1e-6) and not np.allclose(got[0], got[1])
+    assert not got[3].any() and np.allclose(got[4], got[23])

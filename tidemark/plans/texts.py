@@ -158,6 +158,13 @@ def _compare(spark, d):
     return models.compare(spark, data, names).drop("train_seconds", "predict_seconds")
 
 
+def _vectors(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens"))
+    return features.word2vec(rows, "tokens").select("conv_id", "turn", vector_to_array("word2vec_features").alias("word2vec_features"))
+
+
 def _topics(online: bool):
     def run(spark, d):
         docs = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens")).where("size(tokens) > 2")
@@ -207,7 +214,7 @@ QUERIES = {
     "preprocessed_posts": lambda s, d: preprocess.pipeline(_posts(s, d)).drop("text").withColumns({"hashtags": _joined("hashtags"), "tokens_lemmatized": _joined("tokens_lemmatized")}),
     "lexicon_sentiment": lambda s, d: _docs(s, d).select("doc_id", lexicon_sentiment(F.col("text")).alias("s")).select("doc_id", "s.compound", "s.positive", "s.negative", "s.neutral"),
     "feature_table": lambda s, d: _features(s, d).select("tweet_id", "token_count", "2gram_count", "3gram_count", "exclamation_count", "uppercase_ratio", "vader_compound", "brand_count", "category_count"),
-    "word2vec_similar": lambda s, d: features.word2vec(s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens")), "tokens", size=16, rounds=1).select("conv_id", "turn"),
+    "word2vec_similar": _vectors,
     "lda_topics": _topics(False),
     "lda_topics_online": _topics(True),
     "kmeans_clusters": _clusters,
