@@ -121,18 +121,36 @@ def crc_mod(col: str, m: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
 
-def least_by_hash(df: DataFrame, seed: int, columns: list[str], k: int) -> DataFrame:
-    """The k rows of least hash of `columns` (ties by the columns): a sample of bounded size that any run repeats.
+def hash_cut(df: DataFrame, key: str, k: int) -> int:
+    """The k-th least distinct value of a column of 64-bit hashes, or the largest value where there are fewer.
 
-    Rows that can't be among them are filtered by a threshold first, so that no task sends k rows of its own to the
-    driver: with n rows, the threshold lets about twice k pass.
+    Rows under a threshold are looked at first, so that no task sends k values of its own: the threshold lets about
+    twice k of the distinct values pass, and is widened until k pass or all do.
     """
-    h = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40))
-    n = df.count()
-    rows = df.withColumn("_hash", h)
-    if n > 4 * k:
-        rows = rows.where(F.col("_hash") < int((1 << 40) * (2 * k + 100) / n))
-    return rows.orderBy("_hash", *columns).limit(k).drop("_hash")
+    low, high = -(1 << 63), (1 << 63) - 1
+    n = df.agg(F.approx_count_distinct(key)).first()[0]
+    span = (1 << 64) * (2 * k + 100) // max(1, n)
+    while True:
+        top = min(high, low + span)
+        found = df.where(F.col(key) <= top).select(key).distinct().orderBy(key).limit(k)
+        many, cut = found.agg(F.count("*"), F.max(key)).first()
+        if many == k or top == high:
+            return low if cut is None else cut
+        span *= 4
+
+
+def bounded_sample(df: DataFrame, seed: int, columns: list[str], k: int) -> DataFrame:
+    """At most k different rows by `columns` (texts among them), those of least hash; repeats of a row count once.
+
+    Any run and any partitioning give the same rows. Fewer than k different rows are all returned.
+    """
+    rows = df.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
+    return rows.where(F.col("_hash") <= hash_cut(rows, "_hash", k)).dropDuplicates(["_hash"]).drop("_hash")
+
+
+def task_count(spark: SparkSession, pieces: int, each: int = 8) -> int:
+    """Tasks for so many pieces of work: adaptive execution leaves a stated number alone, however small the rows are."""
+    return int(max(1, min(pieces, max(4 * spark.sparkContext.defaultParallelism, pieces // each), 200_000)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:

@@ -3,16 +3,17 @@
 Pieces come from a fixed public vocabulary (the path of a sentencepiece model is a parameter). Each language has a
 probability for every piece; a word's likelihood is the sum over all ways to cut it into pieces, computed by the
 forward algorithm for all languages and a whole batch of words at once. The probabilities are fitted by expectation
-maximisation (forward and backward sums give the expected piece counts) on a bounded sample: the `fit_rows` learning
-documents of least hash. Expected counts are summed on the executors; the driver holds pieces x languages numbers.
+maximisation (forward and backward sums give the expected piece counts) on a bounded sample: the `fit_rows` different
+learning rows (id, language, text) of least hash. Expected counts are summed on the executors; the driver holds pieces
+x languages numbers.
 
 A word is a letter followed by letters and marks, lower-cased and NFC; a text's log likelihood is the sum over all
 its words, the prior is even, and the score is the posterior of the predicted language.
 
 Cases: a null text or one without a letter is `und` with score 0. With no learning rows every text is `und`. Ties go
 to the language that comes first by name. Letters outside the vocabulary have one small fixed probability. Words of
-any length work: sums are rescaled as they go. Repeated rows count, and are predicted, each by itself. Empty tables
-give empty results; other columns are ignored.
+any length work, in learning as in scoring: sums are rescaled as they go. Repeated rows are each predicted; in learning,
+repeats of a row count once. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, least_by_hash, materialize, tidy, worker_cache
+from .common import bounded_sample, crc_mod, materialize, tidy, worker_cache
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MARK = "▁"
@@ -108,6 +109,7 @@ class Lattice:
 
     def __init__(self, words: list[str], pieces: Pieces):
         self.size, self.k = len(words[0]) + 1, len(words)
+        self.long, self.longest = self.size >= 32, pieces.longest
         edges = pieces.edges(words)
         self.into = [[(k, *edges[j, k]) for k in range(1, min(j, pieces.longest) + 1) if (j, k) in edges] for j in range(self.size + 1)]
 
@@ -133,20 +135,38 @@ class Lattice:
             alpha.append(now)
         return alpha, np.log(np.maximum(alpha[-1], 1e-300)) + self.scales[-1]
 
+    def backward(self, prob: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(sums by position, each times exp(-scale of the position); the scales)."""
+        shape = (self.k, prob.shape[1])
+        out: list[list] = [[] for _ in range(self.size + 1)]
+        for j, into in enumerate(self.into):
+            for k, w, p in into:
+                out[j - k].append((k, w, p))
+        beta, scales = [np.ones(shape)] * (self.size + 1), [np.zeros(shape)] * (self.size + 1)
+        for i in range(self.size - 1, -1, -1):
+            now, scale = np.zeros(shape), scales[i + 1]
+            for k, w, p in out[i]:
+                got = prob[p] * beta[i + k][w]
+                if self.long and k > 1:
+                    got *= np.exp(scales[i + k][w] - scale[w])
+                now[w] += got
+            if self.long:
+                m = np.maximum(now, 1e-300)
+                scale, now = scale + np.log(m), now / m
+            beta[i], scales[i] = now, scale
+        return beta, scales
+
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece, language], words weighted by weight[word, language]."""
         alpha, total = self.forward(prob)
+        beta, scales = self.backward(prob)
         out = np.zeros_like(prob)
-        if self.size >= 32:
-            return out  # a handful of junk words; they are scored, not learned from
-        beta = [np.zeros_like(alpha[0]) for _ in alpha]
-        beta[-1] += 1
         unit = weight / np.maximum(alpha[-1], 1e-300)
         for j in range(self.size, 0, -1):
+            if self.long:
+                unit = [weight * np.exp(np.minimum(self.scales[j - k] + scales[j] - total, 700)) for k in range(1, min(j, self.longest) + 1)]
             for k, w, p in self.into[j]:
-                onward = prob[p] * beta[j][w]
-                beta[j - k][w] += onward
-                share = alpha[j - k][w] * onward * unit[w]
+                share = alpha[j - k][w] * prob[p] * beta[j][w] * (unit[k - 1] if self.long else unit)[w]
                 for x in range(prob.shape[1]):
                     out[:, x] += np.bincount(p, share[:, x], minlength=len(out))
         return out
@@ -227,9 +247,8 @@ def runs(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
 def fit(rows: DataFrame, path: str, fit_rows: int = 4_000, rounds: int = 3, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, prob[piece, language]) from rows (id, text, lang), by EM on the fit_rows of least hash."""
     vocab_size = pieces(path).n
-    able = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col(id_col).alias("id"), "lang")
-    picked = least_by_hash(able, 11, ["id", "lang"], fit_rows).distinct()  # bounded by fit_rows
-    sample = rows.select(F.col(id_col).alias("id"), "lang", "text").join(F.broadcast(picked), ["id", "lang"]).where("text IS NOT NULL")
+    able = rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col(id_col).alias("id"), "lang", "text")
+    sample = bounded_sample(able, 11, ["id", "lang", "text"], fit_rows)
     sample = materialize(sample.select("lang", "text").repartition(max(2, fit_rows // 500)), "langfit")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:

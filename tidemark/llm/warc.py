@@ -7,14 +7,17 @@ that no other attempt uses, and returns it as a row of the manifest; files of fa
 
 Reading: tasks get byte ranges of the files. A task scans its range for the gzip magic, takes a candidate only if the
 member inflates to a WARC version line with a readable header, and owns every record that starts inside its range,
-reading past the range's end to finish the last one. After a valid member the next one starts where it ended.
+reading past the range's end to finish the last one. After a valid member the next one starts where it ended. One window
+of bytes moves over the range, so every byte is read once (and a little past the end twice).
 UTF-8 payloads can't hold the magic (1F 8B), so no payload imitates a member.
 
 Files are reached through pyarrow.fs by the URI of the shared folder (file:, s3:, hdfs:, gs:).
 
 Cases: a null url is written as an empty target; a null page_id is marked in the record's id, is never the largest,
 and comes back as null. Repeated rows of one page_id each get a record; if that id is the payload's largest, each
-is a response. Empty tables give no files and an empty result. Other columns are ignored.
+is a response. Empty tables give no files and an empty result. Other columns are ignored. In archives from elsewhere, a
+record whose id isn't of this writer's form has a null page_id; records of other kinds are passed over; a member with a
+good header that doesn't inflate to its end comes back as a row of record_type `damaged` with what its header says.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,11 +47,15 @@ def record_id(page_id: int | None) -> str:
     return f"urn:uuid:7469646d-{raw[:4]}-8000-{'9' if page_id is None else '8'}000-{raw[4:]}"
 
 
+_OWN_ID = re.compile(r"<?urn:uuid:7469646d-([0-9a-f]{4})-8000-([89])000-([0-9a-f]{12})>?")
+
+
 def page_of(urn: str) -> int | None:
-    p = urn.strip("<>").split(":")[-1].split("-")
-    if p[3][0] == "9":
+    """The page id in a record's id; None where it marks null or isn't of this writer's form."""
+    m = _OWN_ID.fullmatch(urn.strip())
+    if m is None or m.group(2) == "9":
         return None
-    n = int(p[1] + p[4], 16)
+    n = int(m.group(1) + m.group(3), 16)
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -72,13 +80,25 @@ def record(page_id: int | None, url: str, digest: bytes, size: int, refers: int
     return z.compress(raw) + z.flush()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def _with_holders(rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """rows (page_id, sha1, ...) with holder: the largest page_id of the payload where more than one row has it, else null.
+
+    Few shared payloads (counted) go to the rows. Otherwise ids and digests alone are joined by payload, and rows are
+    joined by (page_id, sha1), so that no html of a payload that many pages share has to meet in one place.
+    """
+    shared = rows.groupBy("sha1").agg(F.max("page_id").alias("holder"), F.count("*").alias("many")).where("many > 1 AND holder IS NOT NULL")
+    shared = materialize(shared.select("sha1", "holder"), "holders")
+    if shared.count() <= broadcast_rows:
+        return rows.join(F.broadcast(shared), "sha1", "left")
+    again = rows.select("page_id", "sha1").join(shared, "sha1").distinct().select(F.col("page_id").alias("_p"), F.col("sha1").alias("_s"), "holder")
+    return rows.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("sha1") == F.col("_s")), "left").drop("_p", "_s")
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
     """Write the archives; returns the manifest (file, size, records), itself stored in the shared folder."""
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha1"))
-    # One row a payload; combined before the shuffle, so a payload that a third of the pages share is one row a task.
-    holders = rows.groupBy("sha1").agg(F.max("page_id").alias("holder"))
-    rows = rows.join(holders, "sha1")
+    rows = _with_holders(rows, broadcast_rows)
     revisit = (F.octet_length("html") >= min_bytes) & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     rows = rows.select("page_id", "url", F.unhex("sha1").alias("sha1"), F.octet_length("html").cast("long").alias("size"), revisit.alias("revisit"), F.when(revisit, F.col("holder")).alias("holder"), F.when(~revisit, F.col("html")).alias("html"))
 
@@ -105,41 +125,73 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(rows.mapInPandas(tidy("warc", write), "file string, size long, records long"), "manifest")
 
 
-def members(read, start: int, stop: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
-    """The inflated records that start in [start, stop) of a file; read(at, n) gives its bytes."""
-    at = start
-    while at < stop:
-        # Find a candidate: the magic's first byte must lie before stop.
-        window = read(at, min(step, size - at) + 2)
-        k = window.find(MAGIC)
+class Window:
+    """The bytes of a file from `base` on that are held; it moves forward only."""
+
+    def __init__(self, read, start: int, stop: int, size: int, step: int, tail: int = 1 << 13):
+        self.read, self.base, self.stop, self.size, self.step, self.tail = read, start, stop, size, step, tail
+        self.held = bytearray()
+
+    def fill(self) -> bool:
+        """Read on: by `step` up to the range's end, then by `tail`, doubled each time; False at the file's end."""
+        at = self.base + len(self.held)
+        if at < self.stop:
+            much = min(self.step, self.stop - at)
+        else:
+            much = min(self.tail, self.size - at)
+            self.tail = min(self.tail * 2, self.step)
+        data = self.read(at, much) if much > 0 else b""
+        self.held += data
+        return bool(data)
+
+    def drop(self, n: int) -> None:
+        del self.held[:n]
+        self.base += n
+
+
+def _inflate(window: Window, k: int) -> tuple[bytearray, int | None, bool]:
+    """(inflated bytes, place in the window after the member or None, whether its header is good) of the candidate at k."""
+    z, out, pos, piece, checked = zlib.decompressobj(31), bytearray(), k, 1 << 14, False
+    while not z.eof:
+        if pos == len(window.held) and not window.fill():
+            return out, None, checked
+        data = window.held[pos : pos + piece]
+        try:
+            out += z.decompress(data)
+        except zlib.error:
+            return out, None, checked
+        pos += len(data)
+        piece = min(piece * 2, 1 << 20)
+        if not checked and (b"\r\n\r\n" in out or len(out) >= 1 << 16 or z.eof):
+            checked = header(out) is not None
+            if not checked:
+                return out, None, False
+    return out, pos - len(z.unused_data), checked
+
+
+def members(read, start: int, stop: int, size: int, step: int = 1 << 20) -> Iterator[tuple[bytes, bool]]:
+    """(inflated bytes, whether whole) of the records that start in [start, stop) of a file; read(at, n) gives its bytes."""
+    window, k = Window(read, start, stop, size, step), 0
+    while window.base + k < stop:
+        k = window.held.find(MAGIC, k)
         if k < 0:
-            at += max(1, len(window) - 2)
+            # The magic's first bytes may stand at the end of what is held.
+            window.drop(max(0, len(window.held) - 2))
+            k = 0
+            if not window.fill():
+                return
             continue
-        at += k
-        if at >= stop:
+        if window.base + k >= stop:
             return
-        z, out, pos, checked, good = zlib.decompressobj(31), bytearray(), at, False, True
-        data = window[k:]
-        while True:
-            try:
-                out += z.decompress(data)
-            except zlib.error:
-                good = False
-                break
-            if not checked and (b"\r\n\r\n" in out or len(out) >= 1 << 16 or z.eof):
-                checked = True
-                if header(out) is None:
-                    good = False
-                    break
-            pos += len(data)
-            if z.eof or pos >= size:
-                break
-            data = read(pos, min(step, size - pos))
-        if good and z.eof:
-            yield bytes(out)
-            at = pos - len(z.unused_data)
+        window.drop(k)
+        out, after, good = _inflate(window, 0)
+        if good:
+            yield bytes(out), after is not None
+        if good and after is not None:
+            window.drop(after)
+            k = 0
         else:
-            at += 1
+            k = 1
 
 
 def header(raw: bytes) -> tuple[dict[str, str], int] | None:
@@ -155,29 +207,38 @@ def header(raw: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
-def parse(raw: bytes) -> tuple | None:
+def parse(raw: bytes, whole: bool = True) -> tuple | None:
     """A record as a row of FIELDS; None for other kinds of record. A response's digest and length are of what it holds."""
     fields, at = header(raw)
     kind = fields["warc-type"]
-    if kind not in ("response", "revisit"):
+    if whole and kind not in ("response", "revisit"):
         return None
     block = raw[at : at + int(fields["content-length"])]
     head, _, payload = block.partition(b"\r\n\r\n")
     digest = fields.get("warc-payload-digest", "sha1:").partition(":")[2]
-    if kind == "response":
+    if not whole:
+        kind, size = "damaged", 0
+    elif kind == "response":
         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     else:
-        size = next((int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+        size = next((int(x.partition(b":")[2]) for x in head.split(b"\r\n") if re.fullmatch(rb"(?i)content-length:\s*\d+\s*", x)), 0)
     refers = page_of(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-    return page_of(fields["warc-record-id"]), fields.get("warc-target-uri", ""), size, digest, kind, refers
+    return page_of(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), size, digest, kind, refers
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
-    """The records of the manifest's files (FIELDS), read by byte ranges of `split_bytes`."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("size") / split_bytes)).cast("long")
+    """The records of the manifest's files (FIELDS), read by byte ranges of `split_bytes` at most.
+
+    Small archives get smaller ranges, so that all cores read, and the ranges are dealt evenly over a stated number of
+    tasks, which adaptive execution leaves alone.
+    """
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    total, files = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    split = int(min(split_bytes, max(1 << 18, total // (2 * cores))))
+    n = F.greatest(F.lit(1), F.ceil(F.col("size") / split)).cast("long")
     ranges = manifest.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
-    ranges = ranges.select("file", "size", (F.col("k") * split_bytes).alias("start"), F.least("size", (F.col("k") + 1) * split_bytes).alias("stop"))
-    ranges = ranges.repartition("file", "start")
+    ranges = ranges.select("file", "size", (F.col("k") * split).alias("start"), F.least("size", (F.col("k") + 1) * split).alias("stop"))
+    ranges = ranges.repartition(max(1, min(100_000, total // split + files)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -190,8 +251,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame
                         f.seek(where)
                         return f.read(much)
 
-                    for raw in members(get, int(start), int(stop), int(size)):
-                        if row := parse(raw):
+                    for raw, whole in members(get, int(start), int(stop), int(size)):
+                        if row := parse(raw, whole):
                             rows.append(json.dumps(row))
                         if len(rows) >= 5000:
                             yield pd.DataFrame({"row": rows})
