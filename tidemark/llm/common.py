@@ -116,6 +116,21 @@ def tidy(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator]
     return wrapped
 
 
+def beside(docs: DataFrame, found: DataFrame, new: list[str]) -> DataFrame:
+    """found's columns `new` beside all of docs', which found holds as a struct `row`.
+
+    A new column whose name docs has already (in any case) gets underscores in front until the name is free.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for c in new:
+        name = c
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        names.append(F.col(c).alias(name))
+    return found.select("row.*", *names)
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32(column as text) mod m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m

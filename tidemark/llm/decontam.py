@@ -12,7 +12,7 @@ prefix table is broadcast in blocks of at most `block` windows, so that its size
 
 Cases: a null or empty text has no words, is hit by nothing and isn't contaminated; items without words have no
 window. Repeated rows of documents each get a result; repeated items of one id count once; a null item id takes no
-part in n_items or the digest. Empty tables work: no item hits, or no row comes out.
+part in n_items or the digest. Empty tables work: no item hits, or no row comes out. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, materialize
+from .common import LOWER, UPPER, ascii_lower, beside, materialize
 
 #: Separators of words, before lower-casing: ASCII other than digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -76,17 +76,23 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return spans.select("_id", "_t", n_hit.alias("n_hit")).join(ids, ["_id", "_t"], "left")
 
 
-def mark_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, **how) -> DataFrame:
-    """docs with every column, plus _n_words, _n_hit, _items and _contaminated (_n_hit > 0 and share * _n_hit >= _n_words)."""
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, **how) -> DataFrame:
+    """(row, _n_words, _n_hit, _items, _contaminated): all of docs' columns as the struct `row`, whatever their names."""
     found = hits(docs, items, id_col, text_col, **how)
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), "*")
-    on = rows["_id"].eqNullSafe(found["_id"]) & (rows["_t"] == found["_t"])
-    rows = rows.join(found, on, "left")
-    n_words, n_hit = F.size(words(F.col(text_col))).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
-    out = rows.select(*[docs[c] for c in docs.columns], n_words.alias("_n_words"), n_hit.alias("_n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("_items"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own_t"), F.size(words(F.col(text_col))).cast("long").alias("_n_words"))
+    rows = rows.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")
+    out = rows.select("row", "_n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("_items"))
     return out.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
 
 
+def mark_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """docs with every column, plus _n_words, _n_hit, _items and _contaminated (_n_hit > 0 and share * _n_hit >= _n_words).
+
+    Where docs has such a column, the new one's name gets underscores in front.
+    """
+    return beside(docs, contaminated(docs, items, **how), ["_n_words", "_n_hit", "_items", "_contaminated"])
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; see the module for the rule."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

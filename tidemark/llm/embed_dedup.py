@@ -220,7 +220,7 @@ def _compare(least: float, wide: bool):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, recall: float = 0.9999, fit_rows: int = 8192, cell_rows: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, recall: float = 0.9999, fit_rows: int = 8192, cell_rows: int = 256) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of vectors."""
     spark = vectors.sparkSession
     kind = vectors.schema[vec_col].dataType

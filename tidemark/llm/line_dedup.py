@@ -14,15 +14,16 @@ How it works
 
 Cases: a null or empty text is one empty line, hash sha256(''). A row of the table is a document: repeated rows
 each count and each get a result. Rows of null id come last in the order of ids, so another holder wins over them.
-An empty table gives an empty result. Columns other than id and text are ignored (or carried by `dedup_lines`).
+An empty table gives an empty result. Columns other than id and text are ignored (or carried by `dedup_lines`,
+whatever their names).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, key128, materialize
+from .common import WS, ascii_lower, beside, key128, materialize
 
 _LOW = -(2**63)
 
@@ -60,14 +61,14 @@ class LineRuns:
         return (self._merged(runs) if len(runs) > 1 else runs[0]).where(F.col("n") >= self.min_docs).select("h1", "h2", "holder")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"), "*")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"), *more)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
     """(_id, _t, gone): for each document that loses lines, the sorted numbers (from 0) of those it loses."""
-    rows = _rows(docs.select(id_col, text_col), id_col, text_col).select("_id", "_t", "_text")
+    rows = _rows(docs, id_col, text_col)
     key = lambda x: F.btrim(x, F.lit(WS))
     numbered = F.transform(F.split("_text", "\n", -1), lambda x, k: F.struct(key(x).alias("s"), k.cast("int").alias("k")))
     hashed = F.transform(F.filter(numbered, lambda x: F.char_length(x["s"]) >= min_chars), lambda x: F.struct(*key128(ascii_lower(x["s"])), x["k"].alias("k")))
@@ -88,14 +89,22 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hit.groupBy("_id", "_t").agg(F.array_sort(F.collect_set("k")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
-    """docs with every column, plus _kept (the text that stays), _n_lines and _n_dropped."""
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """(row, _kept, _n_lines, _n_dropped): all of docs' columns as the struct `row`, whatever their names."""
     gone = dropped_lines(docs, id_col, text_col, **rule)
     # The lines are split before the join, so that what stays is picked by number from a ready array.
-    rows = _rows(docs, id_col, text_col).withColumn("_lines", F.split("_text", "\n", -1)).drop("_text").join(gone, ["_id", "_t"], "left")
+    rows = _rows(docs, id_col, text_col, F.struct("*").alias("row")).withColumn("_lines", F.split("_text", "\n", -1)).drop("_text").join(gone, ["_id", "_t"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda k: F.get("_lines", k)), "\n"))
-    return rows.select(*[docs[c] for c in docs.columns], kept.alias("_kept"), F.size("_lines").cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_dropped"))
+    return rows.select("row", kept.alias("_kept"), F.size("_lines").cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
+    """docs with every column, plus _kept (the text that stays), _n_lines and _n_dropped.
+
+    Where docs has such a column, the new one's name gets underscores in front.
+    """
+    return beside(docs, deduped(docs, **rule), ["_kept", "_n_lines", "_n_dropped"])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

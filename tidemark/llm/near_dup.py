@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, tidy
+from .common import components, materialize, task_count, tidy
 
 BANDS, ROWS, BITS = 24, 4, 512
 #: Classes in a block, without and with sets; classes in a bucket beyond which sets are sent to the blocks.
@@ -109,7 +109,7 @@ def most_bits(percent: int, deviations: float = 5.5) -> int:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, f1, f2, keys, sketch) of every row of (id, text)."""
+    """(id, t, n, f1, f2, keys, sketch) of every row of (id, t, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(k)
@@ -127,20 +127,20 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             if some:
                 for i, x, y in zip(some, *fold(np.array(least)), strict=True):
                     keys[i], sketch[i] = x, y
-            yield pd.DataFrame({"id": b["id"].array, "n": n, "f1": prints[:, 0], "f2": prints[:, 1], "keys": keys, "sketch": sketch})
+            yield pd.DataFrame({"id": b["id"].array, "t": b["t"].array, "n": n, "f1": prints[:, 0], "f2": prints[:, 1], "keys": keys, "sketch": sketch})
 
-    return docs.mapInPandas(tidy("near_dup", run), "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>")
+    return docs.mapInPandas(tidy("near_dup", run), "id long, t long, n long, f1 long, f2 long, keys array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of every row of (id, text)."""
+    """(node, shingles) of every row of (node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(k)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "shingles": [shingle(t).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"node": b["node"], "shingles": [shingle(t).view(np.int64) for t in b["text"]]})
 
-    return docs.mapInPandas(tidy("near_dup", run), "id long, shingles array<long>")
+    return docs.mapInPandas(tidy("near_dup", run), "node long, shingles array<long>")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -150,14 +150,16 @@ def _apart(a: str, b: str) -> Column:
 def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
     """(a, b) of different components in one bucket and alike by size and sketch; with_sets: by folded sets, too.
 
-    cross: bucket, rep, component, n, keys, sketch, count and, with sets, shingles (array<int>).
+    cross: bucket, node, component, n, keys, sketch, count and, with sets, shingles (array<int>).
     """
+    spark = cross.sparkSession
     deal = F.greatest(F.lit(1), F.ceil(F.col("count") / (SET_BLOCK if with_sets else BLOCK))).cast("int")
-    rows = cross.withColumn("parts", deal).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    compared = cross.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    rows = cross.withColumn("parts", deal).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # A block meets every other once: a row of block o goes to the tasks (min(o, x), max(o, x)) for all x.
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     more = ["shingles"] if with_sets else []
-    rows = rows.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "rep", "component", "n", "keys", "sketch", *more)
+    rows = rows.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "component", "n", "keys", "sketch", *more)
     most = most_bits(percent)
 
     def pairs(g: pd.DataFrame) -> tuple[list[int], list[int]]:
@@ -169,12 +171,12 @@ def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
         sa, sb = np.stack(left["sketch"]), np.stack(right["sketch"])
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
+        ra, rb = left["node"].to_numpy(), right["node"].to_numpy()
         key, same = g["bucket"].iat[0], g["i"].iat[0] == g["j"].iat[0]
         if with_sets:
             # The block's own vocabulary: then one row's overlaps with all others are one look-up and sum.
             vocab, flat = np.unique(np.concatenate(right["shingles"].to_list()), return_inverse=True)
-            starts = np.r_[0, np.cumsum(nb)[:-1]]
+            starts = np.r_[0, np.cumsum(right["shingles"].map(len).to_numpy())[:-1]]
             sets = left["shingles"].to_list()
         ia, ib = [], []
         for r in range(len(left)):
@@ -213,66 +215,70 @@ def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
             if x:
                 yield pd.DataFrame({"a": x, "b": y})
 
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    # Dealt by the number of comparisons, as rows say little of the work.
+    tasks = task_count(spark, compared // 1_000_000 + 4 * spark.sparkContext.defaultParallelism, 1)
+    rows = rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     found = rows.mapInPandas(tidy("near_dup", run), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of docs."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     own = materialize(describe(texts, k), "described")
     able = own.where("n > 0 AND id IS NOT NULL")
-    # Classes: equal sets. Partial aggregates keep one row a fingerprint and task.
-    classes = able.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
+    # Classes: equal sets, each a node. Partial aggregates keep one row a fingerprint and task.
+    classes = able.groupBy("f1", "f2").agg(F.min(F.struct("id", "t")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select(F.xxhash64("f1", "f2").alias("node"), "f1", "f2", F.col("rep.id").alias("rep"), F.col("rep.t").alias("t"), "n", "keys", "sketch"), "classes")
     # An id with several texts stands for several classes: those are linked by sharing the id.
-    shared = able.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("id")
-    twins = able.join(shared, "id", "left_semi").select("id", "f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    named = able.select("id", F.xxhash64("f1", "f2").alias("node"))
+    shared = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+    twins = named.join(shared, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
 
-    bands = classes.select(F.explode("keys").alias("bucket"), "rep")
+    bands = classes.select(F.explode("keys").alias("bucket"), "node")
     counts = bands.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
     bands = materialize(bands.join(counts, "bucket"), "buckets")
-    involved = bands.select(F.col("rep").alias("id")).distinct()
+    involved = classes.join(bands.select("node").distinct(), "node").select("node", F.col("rep").alias("id"), "t")
     # The texts of classes that share a bucket, once each.
-    held = texts.where("text IS NOT NULL").withColumn("t", F.xxhash64("text")).join(involved, "id", "left_semi").dropDuplicates(["id", "t"])
-    sets = materialize(full_sets(held.select("id", "text"), k), "sets")
-    facts = classes.select("rep", "n", "sketch")
+    held = texts.where("text IS NOT NULL").join(involved, ["id", "t"]).dropDuplicates(["node"])
+    sets = materialize(full_sets(held.select("node", "text"), k), "sets")
+    facts = classes.select("node", "n", "sketch")
     links = twins
     most = most_bits(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar."""
-        left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(left, "a").join(right, "b")
         inter = F.size(F.array_intersect("x", "y")).cast("long")
         return both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b")
 
     component = None
     for t in range(rounds):
-        members = bands.select("bucket", "rep")
+        members = bands.select("bucket", "node")
         if component is None:
-            members = members.withColumn("component", F.col("rep"))
+            members = members.withColumn("component", F.col("node"))
         else:
-            members = members.join(component, members["rep"] == component["id"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(t), "rep") if t else F.lit(0).cast("long"), "rep", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        pairs = members.join(lead.select("bucket", F.col("lead.rep").alias("a"), F.col("lead.component").alias("ca")), "bucket").where("component <> ca")
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        pairs = pairs.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+            members = members.join(component, members["node"] == component["id"], "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(t), "node") if t else F.lit(0).cast("long"), "node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        pairs = members.join(lead.select("bucket", F.col("lead.node").alias("a"), F.col("lead.component").alias("ca")), "bucket").where("component <> ca")
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most)).select("a", "b")
         links = materialize(links.unionByName(confirmed(pairs)), f"links{t}")
         component = components(links)
-    members = bands.join(component, bands["rep"] == component["id"], "left").select("bucket", "rep", "count", F.coalesce("component", "rep").alias("component"))
+    members = bands.join(component, bands["node"] == component["id"], "left").select("bucket", "node", "count", F.coalesce("component", "node").alias("component"))
     open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    cross = members.join(open_, "bucket").join(classes.select("rep", "n", "keys", "sketch"), "rep")
+    cross = members.join(open_, "bucket").join(classes.select("node", "n", "keys", "sketch"), "node")
     cross = materialize(cross, "cross")
-    folded = sets.select(F.col("id").alias("rep"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
-    hot = cross.where(F.col("count") > HOT).join(folded, "rep")
+    folded = sets.select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
+    hot = cross.where(F.col("count") > HOT).join(folded, "node")
     last = confirmed(_blocks(cross.where(F.col("count") <= HOT), percent, False).unionByName(_blocks(hot, percent, True)).distinct())
     component = components(materialize(links.unionByName(last), "links"))
-    reps = classes.select("f1", "f2", "rep").join(component, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    reps = classes.select("f1", "f2", "rep", "node").join(component, F.col("node") == F.col("id"), "left").select("f1", "f2", "rep", F.coalesce("component", "node").alias("component"))
+    reps = reps.join(reps.groupBy("component").agg(F.min("rep").alias("least")), "component").select("f1", "f2", "least")
     out = own.select("id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left")
-    group = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    group = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
 
 
