@@ -13,7 +13,8 @@ predecessor kept, and its decisions take effect:
 - decontamination: documents whose words are hit by benchmark windows to a twentieth or more go.
 - bpe: every text's token ids, their number and the digests of ids and decoded text.
 
-Nulls, empty and very long texts, empty tables and extra columns are handled as the operators' modules say.
+Nulls, empty and very long texts, empty tables and extra columns, which may have any name, are handled as the operators'
+modules say.
 """
 
 from __future__ import annotations
@@ -34,23 +35,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(docs)
-    kept = F.when((F.col("_n_dropped") == 0) & F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("_kept"))
-    new = {"text": kept, "n_chars": F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("_kept").cast("long"))}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = line_dedup.deduped(docs)
+    row, same = F.col("row"), F.col("_n_dropped") == 0
+    new = {"text": F.when(same, row["text"]).otherwise(F.col("_kept")), "n_chars": F.when(same, row["n_chars"]).otherwise(F.char_length("_kept").cast("long"))}
+    return found.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dup.near_duplicates(docs.select("doc_id", "text"), k=5)
     stay = groups.where("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = docs.join(stay, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    one = docs.join(stay, "doc_id", "left_semi").select(F.struct("*").alias("row"), F.row_number().over(first).alias("n")).where("n = 1").select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontam.mark_contaminated(docs, items).where(~F.col("_contaminated")).select(*docs.columns)
+    return decontam.contaminated(docs, items).where(~F.col("_contaminated")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
