@@ -176,7 +176,7 @@ PAGE = "<html><head><title>T</title></head><body><header><a>Logo</a></header><na
     ],
 )
 def test_html_cases(source, text):
-    assert html_extract.main_text(html_extract.Page(source or ""), {}, set()) == text
+    assert html_extract.main_text(html_extract.Page(source or "")) == text
 
 
 def test_html_template_and_odd_rows(spark):
@@ -207,7 +207,7 @@ def test_html_classes_nest():
 
 
 def test_html_long_page():
-    assert len(html_extract.main_text(html_extract.Page("<article>" + "<p>word</p>" * 50_000), {}, set())) == 50_000 * 5 - 1
+    assert len(html_extract.main_text(html_extract.Page("<article>" + "<p>word</p>" * 50_000))) == 50_000 * 5 - 1
 
 
 def test_html_query(spark):

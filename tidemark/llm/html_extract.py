@@ -1,6 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Each page becomes tokens: tags with the path of tags and classes above them, and text blocks with their path.
+1. Each page becomes tokens: tags with the path of tags and classes above them, and text blocks with their path. Pages
+   are parsed once; tokens and blocks are stored, and all that follows works on them.
 2. Per host, tokens that occur equally often in each of the host's different pages have the same occurrence vector
    and form an equivalence class. Vectors are compared by a sum of page hashes times counts, so they are built by a
    plain aggregation; exact copies of a page count once.
@@ -8,18 +9,21 @@
    tag) make the host's template; a class's tokens are in the order that most pages have. On a page, a class is valid if its tokens stand in the
    template's order, as often as the class occurs, and each occurrence lies in one slot of every larger valid class, or
    the other way round: valid classes nest. Text of a valid class is template wherever it stands, inside an article too.
-4. What fills the slots is the page's own. Marks then help to choose among the slots: those under tags whose name,
-   class, id or role marks menus, headers, footers, sidebars, notices, adverts, forms or comments go, as do scripts,
-   styles and the head. If an article (else a main element, else a content container) has text left, the slots outside
-   it go too.
+4. Block tags of valid classes that occur once a page cut it into slots; classes nested in a slot belong to it. What is
+   left in a slot is the page's own. The slot with most text outside of links over all pages of the host, at least
+   `lead` times that of the next, is the host's main slot, and its blocks are the page's text, with a slot of headings
+   right before it and what stands in the same article.
+5. Elements that HTML names as menus, headers, footers, asides, forms, scripts, styles or the head never count. Marks
+   (class, id and role words of adverts, notices, comments and the like; the article, else a main element, else a
+   content container) choose among the blocks of the main slot, unless they would take most of it. Alone they decide only where
+   no template does: hosts of few pages, pages that don't follow their host's template, and slots too even to tell.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 in page order by one space. Nothing else is dropped or cut.
 
 Cases: null and empty html give the empty text; unclosed, crossed and truncated tags are closed as browsers do for
 the common cases; a null or odd url belongs to the host ''. Repeated rows each get a result; null page ids are kept.
-Hosts with few pages have no template, so only the marks of step 4 decide. Empty tables give empty results; other
-columns are ignored.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +53,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that a new one of the same group ends.
 GROUPS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table td th ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CHROME_TAGS = frozenset("head nav footer aside form button select menu dialog".split()) | RAW
 #: Words in class, id or role that mark what isn't the article.
@@ -72,15 +78,18 @@ def host_of(url: object) -> str:
 
 
 class Frame:
-    """An open element: its path's hash and what it makes of the text inside."""
+    """An open element: its path's hash and what it makes of the text inside.
 
-    __slots__ = ("name", "path", "chrome", "root")
+    hard: by its tags the text isn't the article's; chrome: by its tags or marks.
+    """
 
-    def __init__(self, name: str, path: int, chrome: bool, root: int):
-        self.name, self.path, self.chrome, self.root = name, path, chrome, root
+    __slots__ = ("name", "path", "chrome", "hard", "root", "link")
 
+    def __init__(self, name: str, path: int, chrome: bool, hard: bool, root: int, link: bool):
+        self.name, self.path, self.chrome, self.hard, self.root, self.link = name, path, chrome, hard, root, link
 
-_TOP = Frame("", 0, False, 0)
+
+_TOP = Frame("", 0, False, False, 0, False)
 ARTICLE, MAIN, CONTENT = 3, 2, 1
 
 
@@ -103,7 +112,8 @@ def _open(name: str, attrs: str, up: Frame) -> Frame:
                 hidden = True
     words = {w for m in marks for w in (m, *re.split(r"[-_:]+", m))}
     root = up.root
-    chrome = up.chrome or hidden or name in CHROME_TAGS or (name == "header" and up.root < ARTICLE)
+    hard = up.hard or hidden or name in CHROME_TAGS or (name == "header" and up.root < ARTICLE)
+    chrome = up.chrome or hard
     if not chrome and marks and name not in ("html", "body", "main"):
         chrome = any(map(_is_chrome, marks)) and not (name == "article" and not words & {"comment", "comments", "reply"})
     if not chrome:
@@ -113,54 +123,70 @@ def _open(name: str, attrs: str, up: Frame) -> Frame:
             root = max(root, MAIN)
         elif words & CONTENT_WORDS:
             root = max(root, CONTENT)
-    return Frame(name, _h(up.path, name, *sorted(marks)), chrome, root)
+    return Frame(name, _h(up.path, name, *sorted(marks)), chrome, hard, root, up.link or name == "a")
+
+
+#: Kinds of tokens: block tags, inline tags, text.
+TAG, INNER, TEXT = 0, 1, 2
+#: What a block's flags hold beside its root (two lowest bits).
+CHROME, HARD, HEADING = 4, 8, 16
 
 
 class Page:
-    """A page's tokens (of tags and text blocks, in order) and text blocks: (text, token, root, whether under marks of chrome)."""
+    """A page's tokens (of tags and text blocks, in order), their kinds, and its text blocks.
+
+    Of each block: text, its token's place in the page, flags, and how much of it is not a link's.
+    """
 
     def __init__(self, source: str):
         self.tokens: list[int] = []
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.kinds: list[int] = []
+        self.texts: list[str] = []
+        self.at: list[int] = []
+        self.flags: list[int] = []
+        self.free: list[int] = []
         self._stack = [_TOP]
-        self._parts: list[str] = []
-        self._at: Frame = _TOP
-        # Text under marks of chrome, apart, so that it doesn't split the text around it.
-        self._aside: list[str] = []
-        self._aside_at: Frame = _TOP
+        # Text under chrome is held apart, so that it doesn't split the text around it.
+        self._parts: tuple[list[str], list[str]] = ([], [])
+        self._from: list[Frame] = [_TOP, _TOP]
+        self._linked = [0, 0]
         self._read(source)
         self._flush()
 
     def _flush(self) -> None:
-        if self._aside:
-            self._block(self._aside, self._aside_at, True)
-            self._aside = []
-        if self._parts:
-            self._block(self._parts, self._at, False)
-            self._parts = []
-
-    def _block(self, parts: list[str], at: Frame, chrome: bool) -> None:
-        text = " ".join("".join(parts).split())
+        for side in (1, 0):
+            if parts := self._parts[side]:
+                self._block("".join(parts), self._from[side], self._linked[side])
+                parts.clear()
+                self._linked[side] = 0
+
+    def _block(self, raw: str, at: Frame, linked: int) -> None:
+        text = " ".join(raw.split())
         if text:
-            token = _h(at.path, "=", text)
-            self.blocks.append((text, token, at.root, chrome))
-            self.tokens.append(token)
+            self.at.append(len(self.tokens))
+            self.texts.append(text)
+            self.flags.append(at.root + CHROME * at.chrome + HARD * at.hard + HEADING * (at.name in HEADINGS))
+            self.free.append(max(0, len(text) - linked))
+            self.tokens.append(_h(at.path, "=", text))
+            self.kinds.append(TEXT)
+
+    def _tag(self, f: Frame) -> None:
+        self.tokens.append(f.path)
+        self.kinds.append(INNER if f.name in INLINE else TAG)
 
     def _text(self, raw: str) -> None:
         top = self._stack[-1]
         if not raw:
             return
-        if top.chrome:
-            if not self._aside:
-                self._aside_at = next((f for f in reversed(self._stack) if f.name not in INLINE), top)
-            self._aside.append(_html.unescape(raw) if "&" in raw else raw)
-            return
-        if not self._parts or top.root != self._at.root:
+        side, text = int(top.chrome), _html.unescape(raw) if "&" in raw else raw
+        parts, at = self._parts[side], self._from[side]
+        if parts and (top.hard != at.hard if side else top.root != at.root):
             # A block belongs to one root; where it changes (unclosed tags), a new block begins.
-            if self._parts:
-                self._flush()
-            self._at = next((f for f in reversed(self._stack) if f.name not in INLINE), top)
-        self._parts.append(_html.unescape(raw) if "&" in raw else raw)
+            self._flush()
+        if not parts:
+            self._from[side] = next((f for f in reversed(self._stack) if f.name not in INLINE), top)
+        parts.append(text)
+        self._linked[side] += len(text) * top.link
 
     def _pop_to(self, k: int) -> None:
         while len(self._stack) > k:
@@ -197,8 +223,8 @@ class Page:
             if name == "br" or name == "hr":
                 if name == "hr":
                     self._flush()
-                elif self._parts:
-                    self._parts.append(" ")
+                elif self._parts[0]:
+                    self._parts[0].append(" ")
                 continue
             group = GROUPS.get(name, {"p"} if name in ENDS_P else None)
             if group:
@@ -211,7 +237,7 @@ class Page:
             if name not in INLINE:
                 self._flush()
             f = _open(name, m.group(3), stack[-1])
-            self.tokens.append(f.path)
+            self._tag(f)
             if name in RAW and not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(s, at)
                 at = end.end() if end else n
@@ -220,17 +246,10 @@ class Page:
                 stack.append(f)
 
 
-def template_tokens(page: Page) -> Iterator[tuple[int, bool, int]]:
-    """(token, is text, count) for the tokens that may be a template's."""
-    texts = {b[1] for b in page.blocks}
-    for t, n in Counter(page.tokens).items():
-        yield t, t in texts, n
-
-
-def orders(page: Page, cls: dict[int, int]) -> dict[int, list[int]]:
+def orders(tokens: list[int], cls: dict[int, int]) -> dict[int, list[int]]:
     """Class to its tokens in the order of their first places on this page."""
     out: dict[int, list[int]] = {}
-    for t in dict.fromkeys(page.tokens):
+    for t in dict.fromkeys(tokens):
         if (c := cls.get(t)) is not None:
             out.setdefault(c, []).append(t)
     return out
@@ -259,87 +278,175 @@ def valid_classes(tokens: list[int], template: dict[int, tuple[int, int]]) -> se
     return set(valid)
 
 
-def main_text(page: Page, template: dict[int, tuple[int, int]], texts: set[int]) -> str:
-    """The slots' text. template: token -> (class, place); texts: those of its tokens that are text blocks."""
-    valid = valid_classes(page.tokens, template) if texts else set()
-    slots = [b for b in page.blocks if not b[3] and not (b[1] in texts and template[b[1]][0] in valid)]
-    root = max((b[2] for b in slots), default=0)
-    return " ".join([b[0] for b in slots if root == 0 or b[2] == root or (root < ARTICLE and b[2] >= root)])
+class Template:
+    """A host's template: token -> (class, place), the text tokens, the block tags, and the main slot, if one leads."""
+
+    def __init__(self, rows: list | None = None, main: int | None = None):
+        rows = rows if rows is not None else []
+        self.place = {t["token"]: (t["cls"], t["at"]) for t in rows}
+        self.texts = {t["token"] for t in rows if t["kind"] == TEXT}
+        self.tags = {t["token"] for t in rows if t["kind"] == TAG}
+        self.main = None if main is None or main != main else int(main)
+
+    def cut(self, tokens: list[int], at: list[int]) -> tuple[set[int], list[int | None]]:
+        """(template texts that count on this page, each block's slot); a slot is named by the tag that opens it."""
+        if not self.place:
+            return set(), [None] * len(at)
+        valid = valid_classes(tokens, self.place)
+        texts = {t for t in self.texts if self.place[t][0] in valid}
+        often = Counter(t for t in tokens if t in self.tags)
+        places = [(i, t) for i, t in enumerate(tokens) if often.get(t) == 1 and self.place[t][0] in valid]
+        found = [bisect(places, (k,)) - 1 for k in at]
+        return texts, [places[k][1] if k >= 0 else None for k in found]
+
+
+EMPTY = Template()
 
 
-def deduce(pages: DataFrame, share: float = 0.5, min_pages: int = 4, broadcast_tokens: int = 200_000) -> DataFrame:
-    """(host, tokens): each host's template, (cls, at, token, is_text) by class and order; pages: url, html."""
+def chosen(tokens: list[int], at: list[int], flags: list[int], free: list[int], template: Template = EMPTY) -> list[int]:
+    """The numbers of the blocks that are the page's text, in page order."""
+    texts, slots = template.cut(tokens, at)
+    own = [k for k in range(len(at)) if not flags[k] & HARD and tokens[at[k]] not in texts]
+    plain = [k for k in own if not flags[k] & CHROME]
+    main = [k for k in own if slots[k] == template.main] if template.main is not None else []
+    if main:
+        unmarked = [k for k in main if not flags[k] & CHROME]
+        # Marks that would take most of the main slot are wrong here.
+        main = unmarked if 2 * sum(free[k] for k in unmarked) >= sum(free[k] for k in main) else main
+        first, root = main[0], max(flags[k] & 3 for k in main)
+        before = slots[next((k for k in range(first - 1, -1, -1) if slots[k] != template.main), first)]
+        titles = [k for k in plain if k < first and slots[k] == before and before != template.main]
+        titles = titles if all(flags[k] & HEADING for k in titles) else []
+        plain = sorted({*main, *titles, *(k for k in plain if root and flags[k] & 3 == root)})
+    root = max((flags[k] & 3 for k in plain), default=0)
+    return [k for k in plain if root == 0 or flags[k] & 3 == root or (root < ARTICLE and flags[k] & 3 >= root)]
+
+
+def main_text(page: Page, template: Template = EMPTY) -> str:
+    return " ".join([page.texts[k] for k in chosen(page.tokens, page.at, page.flags, page.free, template)])
+
+
+def tokenise(pages: DataFrame) -> DataFrame:
+    """The rows of pages (id, url, html) as (id, url, host, page, tokens, kinds, nth, texts, at, flags, free).
+
+    page: hash of the html; nth: how manieth occurrence of its token on the page each is; the rest as in Page.
+    """
+    kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, done = [], set()
-            for url, source in zip(b["url"], b["html"], strict=True):
-                host, s = host_of(url), source if isinstance(source, str) else ""
-                p = _h(s)
-                if (host, p) in done:
-                    continue
-                done.add((host, p))
-                rows.append((host, 0, False, p, 1))
-                rows += [(host, t, is_text, p, k) for t, is_text, k in template_tokens(Page(s))]
-            yield pd.DataFrame(rows, columns=["host", "token", "is_text", "page", "n"])
-
-    seen = pages.mapInPandas(tidy("html", run), "host string, token long, is_text boolean, page long, n long")
-    # Copies of a page count once; then one number stands for a token's occurrence vector over the host's pages.
-    seen = seen.groupBy("host", "token", "page").agg(F.first("is_text").alias("is_text"), F.first("n").alias("n"))
+            rows, size = [], 0
+            for i, url, source in zip(b["id"], b["url"], b["html"], strict=True):
+                s = source if isinstance(source, str) else ""
+                p = Page(s)
+                rows.append((i, url, host_of(url), _h(s), np.array(p.tokens, np.int64), np.array(p.kinds, np.int8), _nth(p.tokens), p.texts, np.array(p.at, np.int32), np.array(p.flags, np.int8), np.array(p.free, np.int32)))
+                size += len(s)
+                if size > 4_000_000:
+                    yield _frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _frame(rows)
+
+    # Ids travel as strings: pandas would turn a column with nulls into floats.
+    rows = pages.withColumn("id", F.col("id").cast("string"))
+    out = rows.mapInPandas(tidy("html", run), "id string, url string, host string, page long, tokens array<long>, kinds array<byte>, nth array<int>, texts array<string>, at array<int>, flags array<byte>, free array<int>")
+    return out.withColumn("id", F.col("id").cast(kind))
+
+
+def _nth(tokens: list[int]) -> np.ndarray:
+    count: Counter = Counter()
+    out = np.empty(len(tokens), np.int32)
+    for i, t in enumerate(tokens):
+        count[t] += 1
+        out[i] = count[t]
+    return out
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["id", "url", "host", "page", "tokens", "kinds", "nth", "texts", "at", "flags", "free"])
+
+
+def deduce(parsed: DataFrame, share: float = 0.5, min_pages: int = 4, lead: float = 2.0, broadcast_tokens: int = 200_000) -> DataFrame:
+    """(host, rows, main): each host's template, rows (cls, at, token, kind) by class and order, and its main slot."""
+    # How often a token occurs on a page is the number of its last occurrence there, so copies of a page count once; then
+    # one number stands for a token's occurrence vector over the host's pages. Token 0 is the page itself.
+    every = F.arrays_zip(F.col("tokens").alias("token"), F.col("kinds").alias("kind"), F.col("nth").alias("n"))
+    page = F.array(F.struct(F.lit(0).cast("long").alias("token"), F.lit(0).cast("byte").alias("kind"), F.lit(1).alias("n")))
+    seen = parsed.select("host", "page", F.inline(F.concat(page, every))).groupBy("host", "token", "page").agg(F.first("kind").cast("int").alias("kind"), F.max("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1)))
-    tokens = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.count("*").alias("pages"), vector.alias("vector"))
+    tokens = seen.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"), vector.alias("vector"))
     tokens = materialize(tokens.where(F.col("pages") >= min_pages), "tokens")
     whole = tokens.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     frequent = tokens.where("token <> 0").join(whole, "host").where(F.col("pages") >= share * F.col("host_pages"))
     cls = F.xxhash64("pages", "vector")
     # A class needs two tokens: a text that shares its vector with no tag is repeated content, not template.
-    sizes = frequent.groupBy("host", cls.alias("cls")).agg(F.count("*").alias("size"), F.max((~F.col("is_text")).cast("int")).alias("has_tag")).where("size > 1 AND has_tag = 1")
+    sizes = frequent.groupBy("host", cls.alias("cls")).agg(F.count("*").alias("size"), F.max((F.col("kind") != TEXT).cast("int")).alias("has_tag")).where("size > 1 AND has_tag = 1")
     frequent = frequent.withColumn("cls", cls).join(sizes, ["host", "cls"])
-    members = materialize(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "cls", "is_text")).alias("tokens")), "members")
+    members = materialize(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "cls", "kind")).alias("rows")), "members")
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             votes: Counter = Counter()
-            for url, source, tokens in zip(b["url"], b["html"], b["tokens"], strict=True):
-                if tokens is not None:
-                    own = orders(Page(source if isinstance(source, str) else ""), {t["token"]: t["cls"] for t in tokens})
-                    votes.update((host_of(url), c, tuple(o)) for c, o in own.items())
+            cls: dict[str, dict[int, int]] = {}
+            for host, tokens, rows in zip(b["host"], b["tokens"], b["rows"], strict=True):
+                if host not in cls:
+                    cls[host] = {t["token"]: t["cls"] for t in rows}
+                votes.update((host, c, tuple(o)) for c, o in orders(tokens.tolist(), cls[host]).items())
             yield pd.DataFrame([(h, c, list(o), n) for (h, c, o), n in votes.items()], columns=["host", "cls", "tokens", "n"])
 
     # The order of most pages is the class's; pages vote by the whole order.
-    votes = _with_host(pages, members, broadcast_tokens).mapInPandas(tidy("html", vote), "host string, cls long, tokens array<long>, n long")
+    votes = _with_host(parsed.select("host", "tokens"), members, broadcast_tokens, "inner").mapInPandas(tidy("html", vote), "host string, cls long, tokens array<long>, n long")
     votes = votes.groupBy("host", "cls", "tokens").agg(F.sum("n").alias("n"))
     best = votes.groupBy("host", "cls").agg(F.max_by("tokens", F.struct(F.col("n"), F.col("tokens"))).alias("tokens"))
     placed = best.select("host", "cls", F.posexplode("tokens").alias("at", "token"))
-    placed = placed.join(members.select("host", F.inline("tokens")), ["host", "token", "cls"])
-    return placed.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("cls", "at", "token", "is_text"))).alias("tokens"))
-
+    placed = placed.join(members.select("host", F.inline("rows")), ["host", "token", "cls"])
+    template = materialize(placed.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("cls", "at", "token", "kind"))).alias("rows")), "placed")
 
-def _with_host(rows: DataFrame, template: DataFrame, broadcast_tokens: int) -> DataFrame:
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums: Counter = Counter()
+            known: dict[str, Template] = {}
+            for host, tokens, at, flags, free, rows in zip(b["host"], b["tokens"], b["at"], b["flags"], b["free"], b["rows"], strict=True):
+                if host not in known:
+                    known[host] = Template(rows)
+                tokens, at = tokens.tolist(), at.tolist()
+                texts, slots = known[host].cut(tokens, at)
+                for k, f, n, slot in zip(at, flags.tolist(), free.tolist(), slots, strict=True):
+                    if slot is not None and not f & HARD and tokens[k] not in texts:
+                        sums[host, slot] += n
+            yield pd.DataFrame([(h, x, n) for (h, x), n in sums.items()], columns=["host", "slot", "n"])
+
+    slots = _with_host(parsed.select("host", "tokens", "at", "flags", "free"), template, broadcast_tokens, "inner").mapInPandas(tidy("html", weigh), "host string, slot long, n long")
+    slots = slots.groupBy("host", "slot").agg(F.sum("n").alias("n")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "slot")), False).alias("s"))
+    first, next_ = F.get("s", 0), F.coalesce(F.get("s", 1)["n"], F.lit(0))
+    slots = slots.select("host", F.when((first["n"] > 0) & (first["n"] >= lead * next_), first["slot"]).alias("main"))
+    return template.join(slots, "host", "left").select("host", "rows", "main")
+
+
+def _with_host(rows: DataFrame, template: DataFrame, broadcast_tokens: int, how: str) -> DataFrame:
     """rows with the columns of their host in template; small templates (checked) go to the rows, otherwise Spark joins by host and splits a host with many pages."""
-    tokens = template.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    side = F.broadcast(template) if tokens <= broadcast_tokens else template
-    return rows.withColumn("host", host).join(side, "host", "left").drop("host")
+    tokens = template.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(template) if tokens <= broadcast_tokens else template, "host", how)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = 200_000, **rule) -> DataFrame:
     """(id, url, text) of every row."""
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    template = materialize(deduce(rows.select("url", "html"), broadcast_tokens=broadcast_tokens, **rule), "template")
-    joined = _with_host(rows, template, broadcast_tokens)
+    parsed = materialize(tokenise(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "parsed")
+    template = materialize(deduce(parsed, broadcast_tokens=broadcast_tokens, **rule), "template")
+    joined = _with_host(parsed.drop("page", "kinds", "nth"), template, broadcast_tokens, "left").withColumns({"id": F.col("id").cast("string"), "main": F.col("main").cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            known: dict[str, Template] = {}
             out = []
-            for source, tokens in zip(b["html"], b["tokens"], strict=True):
-                tokens = tokens if tokens is not None else []
-                own = {t["token"]: (t["cls"], t["at"]) for t in tokens}
-                out.append(main_text(Page(source if isinstance(source, str) else ""), own, {t["token"] for t in tokens if t["is_text"]}))
+            for host, tokens, texts, at, flags, free, rows, main in zip(b["host"], b["tokens"], b["texts"], b["at"], b["flags"], b["free"], b["rows"], b["main"], strict=True):
+                if host not in known:
+                    known[host] = Template(rows, None if main is None else int(main))
+                out.append(" ".join([texts[k] for k in chosen(tokens.tolist(), at.tolist(), flags.tolist(), free.tolist(), known[host])]))
             yield pd.DataFrame({"id": b["id"].array, "url": b["url"].array, "text": out})
 
-    return joined.mapInPandas(tidy("html", run), f"id {kind}, url string, text string")
+    return joined.mapInPandas(tidy("html", run), "id string, url string, text string").withColumn("id", F.col("id").cast(kind))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
