@@ -1,11 +1,14 @@
 """HTML extraction, WARC, embeddings, near duplicates and the pipeline."""
 
 import base64
+import gzip
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tidemark.llm import embed_dedup, html_extract, near_dup, registry, warc
@@ -83,6 +86,23 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts_in_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 2)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    docs = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(14)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(900)}"
+        docs.append((i // 2, " ".join(copy)))
+    docs += [(i, f"other text number {i} of its own") for i in range(20)]
+    got = {(r.id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+    parts = [shingles(t, 2) for _, t in docs]
+    links = [(docs[a][0], docs[b][0]) for a in range(len(docs)) for b in range(a + 1, len(docs)) if 100 * len(parts[a] & parts[b]) >= 80 * len(parts[a] | parts[b])]
+    assert dict(got) == groups(sorted({i for i, _ in docs}), links)
+
+
 def test_odd_sketch_tells_similarity():
     rng = np.random.default_rng(0)
     for share in (1.0, 0.9, 0.8):
@@ -117,6 +137,23 @@ def test_embeddings_equal_brute_force(spark, cell_rows):
     assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in links) for i in want}
 
 
+def test_embeddings_reach_the_target_recall(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.9801, 0.985, size=(1500, 1))  # planted partners right above the threshold
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos * cos) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.id: r.n_links for r in embed_dedup.near_vectors(df, cell_rows=64).collect()}
+    want = ((x @ x.T) >= 0.98).sum(1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+    sure = {r.id: r.n_links for r in embed_dedup.near_vectors(df, cell_rows=64, recall=1.0).collect()}
+    assert all(sure[i] == want[i] for i in sure)
+
+
 def test_embeddings_of_odd_tables(spark):
     df = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (4, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     got = sorted((str(r.id), r.n_links, str(r.component_id), r.kept) for r in embed_dedup.near_vectors(df).collect())
@@ -158,6 +195,53 @@ def test_warc_reader_skips_what_only_looks_like_a_member():
         assert len(list(warc.members(read, 0, cut, len(data)))) + len(list(warc.members(read, cut, len(data), len(data)))) == 2
 
 
+def test_warc_reader_reads_each_byte_about_once(spark):
+    rng = random.Random(2)
+    data = b"".join(warc.record(i, f"http://h/{i}", hashlib.sha1(b"x").digest(), 400, None, bytes(rng.randrange(256) for _ in range(400)), False) for i in range(4_000))
+    count = [0, 0]
+
+    def read(at, n):
+        count[0] += n
+        count[1] += 1
+        return data[at : at + n]
+
+    got = []
+    for start in range(0, len(data), 1 << 18):
+        got += list(warc.members(read, start, min(len(data), start + (1 << 18)), len(data)))
+    assert len(got) == 4_000 and all(whole for _, whole in got)
+    assert count[0] <= 1.1 * len(data) and count[1] < 40
+
+
+def test_warc_archives_from_elsewhere(spark):
+    def member(head, block=b"x", cut=None):
+        raw = "\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+        data = gzip.compress(raw)
+        return data[:cut] if cut else data
+
+    ours = warc.record(5, "u", hashlib.sha1(b"p").digest(), 1, None, b"p", False)
+    page = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    noise = bytes(random.Random(1).randrange(256) for _ in range(3000))
+    data = (
+        member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>"]) + member(["WARC-Type: response", "WARC-Record-ID: <http://x/1>"], page)
+        + member(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:0f5b9b8e-1c5f-4a86-9a1e-2d6b7c8d9e0f>"], page) + member(["WARC-Type: response"], page)
+        + member(["WARC-Type: response", "WARC-Record-ID: <x>"], noise, -900) + ours
+    )
+    path = scratch_path(spark, "foreign").removeprefix("file://")
+    os.makedirs(path)
+    with open(f"{path}/a.warc.gz", "wb") as f:
+        f.write(data)
+    manifest = spark.createDataFrame([(f"file://{path}/a.warc.gz", len(data), 6)], "file string, size long, records long")
+    got = sorted((r.record_type, str(r.page_id), r.payload_bytes) for r in warc.read_archives(manifest).collect())
+    assert got == [("damaged", "None", 0), ("response", "5", 1), ("response", "None", 4), ("response", "None", 4), ("response", "None", 4)]
+
+
+def test_warc_shared_payloads_by_join(spark):
+    rows = [(i % 40 if i % 7 else None, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(str, warc.read_archives(warc.write_archives(df, scratch_path(spark, "warc"), broadcast_rows=n)).collect())) for n in (1000, -1)]
+    assert got[0] == got[1] and len(got[0]) == 120
+
+
 def test_warc_query(spark):
     got = registry.queries()["op8_warc"](spark, TESTDATA)
     pages = spark.read.parquet(f"{TESTDATA}/pages.parquet")
@@ -206,6 +290,69 @@ def test_html_classes_nest():
     assert html_extract.valid_classes([1, 5, 2, 6, 5, 6, 3], template) == {7}
 
 
+def test_html_template_decides_without_marks(spark):
+    # On hosts of four pages or more, neither the article's tags nor class names are needed.
+    pages = spark.read.parquet(f"{TESTDATA.replace('sf0.001', 'sf0.01')}/pages.parquet").select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "</?(article|main)[^>]*>", ""), ' class="[^"]*"', ""))
+    with_, without = ({r.id: r.text for r in html_extract.extract(x).collect()} for x in (pages, bare))
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(html_extract.host_of(r.url), {})[r.page_id] = r.html
+    large = [i for found in hosts.values() if len(set(found.values())) >= 4 for i in found]
+    assert len(large) > 150 and all(with_[i] == without[i] for i in large)
+    assert sum(with_[i] != without[i] for i in with_) > 10  # small hosts have no template
+
+
+def test_html_main_slot_against_marks(spark):
+    # The class names lie: what fills the leading slot is the article; a menu of links and comments are not.
+    page = "<body><div class='content'>Hello reader</div><h1>Title {n}</h1><div class='widget'><p>{t}</p><p>{t}</p></div><div class='links'><a>{t} {t} {t} {t} link</a></div><section>c{n}</section></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(n=i, t=f"words of page {i} that go on and on")) for i in range(8)]
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} " + " ".join([f"words of page {i} that go on and on"] * 2) for i in range(8))
+
+
+def test_html_classes_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{TESTDATA.replace('sf0.001', 'sf0.01')}/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
+    got = {r.host: r for r in html_extract.deduce(html_extract.tokenise(pages.unionByName(pages.where("id % 3 = 0")))).collect()}
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(html_extract.host_of(r.url), {})[r.html] = html_extract.Page(r.html)
+    checked = 0
+    for host, found in hosts.items():
+        vectors, order = {}, list(found.values())
+        for k, page in enumerate(order):
+            for t in page.tokens:
+                vectors.setdefault(t, [0] * len(order))[k] += 1
+        kinds = {t: k for page in order for t, k in zip(page.tokens, page.kinds, strict=True)}
+        classes = {}
+        for t, vector in vectors.items():
+            seen = sum(n > 0 for n in vector)
+            if seen >= 4 and seen >= 0.5 * len(order):
+                classes.setdefault(tuple(vector), set()).add(t)
+        want = {frozenset(c) for c in classes.values() if len(c) > 1 and any(kinds[t] != html_extract.TEXT for t in c)}
+        mine = {}
+        for t in got[host].rows if host in got else []:
+            mine.setdefault(t.cls, set()).add(t.token)
+        assert {frozenset(c) for c in mine.values()} == want
+        if not want:
+            continue
+        template = html_extract.Template(got[host].rows)
+        for page in order:
+            valid = html_extract.valid_classes(page.tokens, template.place)
+            spans = {}
+            for c in valid:
+                at = [i for i, t in enumerate(page.tokens) if template.place.get(t, (None,))[0] == c]
+                m = len({page.tokens[i] for i in at})
+                spans[c] = (at, [(at[i], at[i + m - 1]) for i in range(0, len(at), m)])
+            for a in valid:
+                for b in valid - {a}:
+                    # Nesting: each occurrence of one class has no token of the other inside, or the other way round.
+                    inside = [any(lo < x < hi for lo, hi in spans[p][1] for x in spans[q][0]) for p, q in ((a, b), (b, a))]
+                    assert not all(inside)
+                    checked += 1
+    assert checked > 50
+
+
 def test_html_long_page():
     assert len(html_extract.main_text(html_extract.Page("<article>" + "<p>word</p>" * 50_000))) == 50_000 * 5 - 1
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tests.oracle import check
@@ -100,3 +101,21 @@ def test_contamination_of_empty_tables(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+CLASH = "items n_hit _id _t _n_hit _items _contaminated gone _text _lines _kept _row row n doc words".split()
+
+
+def test_columns_of_any_name_are_carried(spark):
+    d = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    for i, name in enumerate(CLASH):
+        d = d.withColumn(name, F.lit(100 + i))
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    a = decontam.mark_contaminated(d, items)
+    assert a.columns == [*d.columns, "_n_words", "__n_hit", "__items", "__contaminated"]
+    got = {r.doc_id: r for r in a.collect()}
+    assert (got[1]["_n_words"], got[1]["__n_hit"], got[2]["__n_hit"]) == (3, 2, 0)
+    b = line_dedup.dedup_lines(d)
+    assert b.columns == [*d.columns, "__kept", "_n_lines", "_n_dropped"]
+    for r in [*got.values(), *b.collect()]:
+        assert [r[c] for c in CLASH] == [100 + i for i in range(len(CLASH))]

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.llm.test_groups import brute_groups
@@ -75,3 +76,16 @@ def test_empty_docs(spark, folder):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in C.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, folder):
+    names = "_row row n items n_hit _id _t _n_hit gone _text _lines _kept _contaminated id component_id kept score".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 OR doc_id IS NULL")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(70 + i))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert all([r[c] for c in names] == [70 + i for i in range(len(names))] for r in rows), name
+    assert C.STAGES[-1][1](spark, docs, folder).count() == docs.count()

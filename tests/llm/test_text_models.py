@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import TESTDATA
 from tidemark.llm import bpe, langid, lm_score, registry, toxicity
+from tidemark.llm.common import bounded_sample
 
 BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -158,10 +159,142 @@ def test_lm_is_a_distribution_and_takes_odd_rows(spark):
     assert {r.train_tokens for r in lm_score.score_texts(rows, "id", learn="false").collect()} == {0}
 
 
-def test_lm_classes_come_from_all_learning_texts(spark, monkeypatch):
-    seen = []
-    real = lm_score.classes_of_keys
-    monkeypatch.setattr(lm_score, "classes_of_keys", lambda train: seen.append(train.count()) or real(train))
-    rows = spark.range(4_000).selectExpr("id", "concat('aa b', id % 7, ' c', id % 11) AS text")
-    lm_score.score_texts(rows, "id").count()
-    assert seen == [4_000]
+def test_lm_counts_come_from_all_learning_texts(spark):
+    rows = spark.range(4_000).selectExpr("concat('aa b', id % 7, ' c', id % 11) AS text").repartition(5)
+    counts = lm_score.survey(rows)
+    sums = {r.kind: r.n for r in counts.groupBy("kind").sum("n").toDF("kind", "n").collect()}
+    assert sums == {0: 4_000 * 4, 1: 4_000 * 3}  # tokens with ends, and pairs
+    classes = lm_score.classes_of_keys(counts)
+    symbols = lm_score.common_words(counts, classes)
+    grams = lm_score.gather(rows, symbols).toPandas()
+    assert grams["n"].sum() == 4_000 * 4
+    # Every text begins with the same word after two starts.
+    first = grams[grams["history"] == lm_score.START * lm_score.WIDE + lm_score.START]
+    assert first["n"].tolist() == [4_000] and first["s"].iat[0] >= lm_score.CLASSES
+
+
+def test_lm_words_and_unknown_slots_sum_to_one(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(400)}", f"x{rng.randrange(30)}ing"]) for _ in range(40)) for _ in range(60)]
+    counts = lm_score.survey(spark.createDataFrame([(t,) for t in texts], "text string"))
+    classes = lm_score.classes_of_keys(counts)
+    symbols = lm_score.common_words(counts, classes)
+    noise = np.random.default_rng(1)
+    w, v = noise.normal(size=(lm_score.ROWS, lm_score.CLASSES)), noise.normal(size=(lm_score.INNER, lm_score.SYMBOLS))
+    words = counts.where("kind = 0").toPandas()
+    totals = np.zeros((2, lm_score.CLASSES))
+    np.add.at(totals[0], classes[words["key"]], words["n"])
+    np.add.at(totals[1], classes[words["key"]], 1)
+    table = lm_score.log_table(w, v, symbols, totals).astype(float)
+    sym = symbols(words["id"].to_numpy(), words["key"].to_numpy())
+    assert set(sym) >= set(range(lm_score.CLASSES, lm_score.SYMBOLS))
+    for history in (0, 5 * lm_score.WIDE + 40, lm_score.START * lm_score.WIDE + lm_score.START, 150 * lm_score.WIDE + 3):
+        known = (10 ** table[history][sym] * (words["n"].to_numpy() + lm_score.ALPHA)).sum()
+        unknown = (10 ** table[history][: lm_score.CLASSES] * lm_score.ALPHA).sum()
+        assert abs(known + unknown - 1) < 1e-3
+
+
+def test_lm_score_equals_a_plain_walk(spark):
+    rows = [(i, f"the cat w{i % 5} sat on the mat x{i % 3}ing {'the dog ' * (i % 4)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    train = df.where("id % 10 <> 0").select("text")
+    counts = lm_score.survey(train)
+    classes = lm_score.classes_of_keys(counts)
+    symbols = lm_score.common_words(counts, classes)
+    w, v = lm_score.train_weights(lm_score.gather(train, symbols), symbols)
+    c = {r.id: r.n for r in counts.where("kind = 0").collect()}
+    top = {h: lm_score.CLASSES + k for k, h in enumerate(symbols.hash.tolist())}
+    rest_n, rest_v = [0] * lm_score.CLASSES, [0] * lm_score.CLASSES
+    for r in counts.where("kind = 0").collect():
+        if r.id not in top:
+            rest_n[classes[r.key]] += r.n
+            rest_v[classes[r.key]] += 1
+    for r in lm_score.score_texts(df, "id", learn="id % 10 <> 0", frequent=3).collect():
+        s2 = s1 = lm_score.START
+        want = 0.0
+        for word in [*dict(rows)[r.id].encode().lower().split(), lm_score.END]:
+            h = lm_score._hash(word)
+            k = classes[lm_score.key_of(word)]
+            s = top.get(h, k)
+            history = np.array([s2 * lm_score.WIDE + s1])
+            want += lm_score.class_logs(w.astype(float), lm_score.feature_rows(history, symbols.of))[0, k] / math.log(10)
+            want += lm_score.symbol_logs(v.astype(float), lm_score.inner_rows(history, symbols.of), symbols)[0, s] / math.log(10)
+            if s < lm_score.CLASSES:
+                want += math.log10((c.get(h, 0) + 0.1) / (rest_n[k] + 0.1 * (rest_v[k] + 1)))
+            s2, s1 = s1, s
+        assert abs(r.score - want) < 1e-3
+
+
+def test_toxicity_decoder_equals_enumeration():
+    grams = Counter()
+    for word in ("idiot", "moron", "pathetic", "river", "toil", "allow"):
+        s = "^^" + word + "^"
+        grams.update(s[i : i + 3] for i in range(len(word) + 1))
+    channel = toxicity.Channel(dict(grams))
+
+    def paths(span, k=0, last="^", out=""):
+        """Every reading of the span: (its letters, what its steps cost beside the letters)."""
+        if k == len(span):
+            yield out, 0.0
+            return
+        c = span[k]
+        steps = []
+        if c.isalpha():
+            steps.append((c, 0.0))
+            if k and last == c:
+                steps.append(("", toxicity.REPEAT))
+        for x in toxicity.LOOKS.get(c, ""):
+            steps.append((x, toxicity.LOOK))
+            if last == x:
+                steps.append(("", toxicity.LOOK + toxicity.REPEAT))
+        if not c.isalpha():
+            steps.append(("", toxicity.GAP if c in toxicity.SEPARATORS else toxicity.SIGN))
+        for letter, cost in steps:
+            for o, more in paths(span, k + 1, letter or last, out + letter):
+                yield o, cost + more
+
+    def score(word):
+        s = "^^" + word + "^"
+        return sum(channel.cost(s[i : i + 2], s[i + 2]) for i in range(len(word) + 1))
+
+    rng = random.Random(5)
+    for span in ["1d10t", "m0r0n", "i d i o t", "p@th3t1c", "aaa11", *("".join(rng.choice("ail01!| t3$") for _ in range(rng.randint(1, 8))) for _ in range(300))]:
+        got = channel.decode(span)
+        best = max(score(o) - cost for o, cost in paths(span))
+        own = max(score(o) - cost for o, cost in paths(span) if o == got)
+        assert abs(own - best) < 1e-9, span
+
+
+def test_repeated_rows_do_not_empty_or_swell_a_sample(spark):
+    rows = spark.range(200_000).selectExpr("id % 3 AS k", "concat('text ', id % 3) AS text")
+    assert sorted(r.k for r in bounded_sample(rows, 1, ["k", "text"], 4_000).collect()) == [0, 1, 2]
+    assert bounded_sample(rows, 1, ["k", "text"], 2).count() == 2
+    many = spark.range(50_000).selectExpr("id AS k", "cast(NULL AS string) AS text")
+    first = {r.k for r in bounded_sample(many, 1, ["k", "text"], 300).collect()}
+    assert len(first) == 300 and first == {r.k for r in bounded_sample(many.repartition(7), 1, ["k", "text"], 300).collect()}
+    assert bounded_sample(many.limit(0), 1, ["k", "text"], 300).count() == 0
+
+
+def test_models_of_repeated_rows_equal_those_of_the_different_ones(spark):
+    texts = {0: ("der Mann und die Frau gehen nach Hause", "de", 0), 1: ("the man and the woman are going home", "en", 0), 2: ("what an idiot, you idiot, idiot", "en", 1)}
+    once = spark.createDataFrame([(i, *t) for i, t in texts.items()], "doc_id long, text string, lang string, toxic int")
+    often = spark.range(60_000).selectExpr("id % 3 AS doc_id").join(once, "doc_id")
+    a, b = (langid.fit(x, PIECES) for x in (once, often))
+    assert a[0] == b[0] == ["de", "en"] and np.allclose(a[1], b[1])
+    a, b = (toxicity.fit(x.select("doc_id", "text"), x.select("doc_id", "toxic").distinct()) for x in (once, often))
+    assert a.names == b.names and a.grams == b.grams and np.allclose(a.weights, b.weights) and a.base == b.base
+
+
+def test_long_words_are_learned_from():
+    table = langid.pieces(PIECES)
+    prob = np.random.default_rng(2).random((table.n + 1, 2)) / table.n
+    prob[-1] = langid.RARE
+    for size in (20, 31, 40, 200):
+        lattice = langid.Lattice([("theandofing" * 20)[:size]], table)
+        got = lattice.expected(prob, np.ones((1, 2)))
+        # Each cut covers every letter once: expected pieces weighted by length add up to the word's length with its mark.
+        length = np.zeros(table.n + 1)
+        for k, (_, ids) in table.tables.items():
+            length[ids] = k
+        length[-1] = 1
+        assert np.allclose((got * length[:, None]).sum(0), size + 1)

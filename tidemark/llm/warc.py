@@ -151,7 +151,7 @@ class Window:
 
 def _inflate(window: Window, k: int) -> tuple[bytearray, int | None, bool]:
     """(inflated bytes, place in the window after the member or None, whether its header is good) of the candidate at k."""
-    z, out, pos, piece, checked = zlib.decompressobj(31), bytearray(), k, 1 << 14, False
+    z, out, pos, piece, checked = zlib.decompressobj(31), bytearray(), k, 1 << 9, False
     while not z.eof:
         if pos == len(window.held) and not window.fill():
             return out, None, checked
