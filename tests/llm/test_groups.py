@@ -220,7 +220,7 @@ def test_warc_archives_from_elsewhere(spark):
 
     ours = warc.record(5, "u", hashlib.sha1(b"p").digest(), 1, None, b"p", False)
     page = b"HTTP/1.1 200 OK\r\n\r\nbody"
-    noise = bytes(random.Random(1).randrange(256) for _ in range(3000))
+    noise = random.Random(1).randbytes(3000)
     data = (
         member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>"]) + member(["WARC-Type: response", "WARC-Record-ID: <http://x/1>"], page)
         + member(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:0f5b9b8e-1c5f-4a86-9a1e-2d6b7c8d9e0f>"], page) + member(["WARC-Type: response"], page)
