@@ -260,3 +260,71 @@ def test_word2vec_query_returns_mean_vectors(spark, tmp_path):
     assert len(got) == len(texts) and all(v.shape == (100,) for v in got.values())
     assert np.abs(got[0]).max() > 0 and np.allclose(got[2], (got[0] + got[1]) / 2, atol=1e-6) and not np.allclose(got[0], got[1])
     assert not got[3].any() and np.allclose(got[4], got[23])
+
+
+def test_context_keywords_may_be_misspelt(spark, terms):
+    texts = spark.createDataFrame([(1, "a smartfone or tablett"), (2, "one smartphone smartphone"), (3, "Tesla and a smartphone or tablet")], "id long, text string")
+    got = {r.id: {b.brand: (round(b.confidence, 2), b.match_type) for b in r.brands} for r in entity.recognise(texts, terms).collect()}
+    assert got == {1: {"Apple": (0.7, "context")}, 3: {"Tesla": (1.0, "exact"), "Apple": (0.7, "context")}}
+    assert 1 not in {r.id for r in entity.recognise(texts, terms, fuzzy=None).collect()}
+
+
+def test_products_by_ratio(spark, terms):
+    texts = spark.createDataFrame([(1, "my iphnoe 12 is old"), (2, "the s model of Tesla"), (3, "a galaxy"), (4, None)], "id long, text string")
+    got = {(r.id, r.product, r.brand): round(r.confidence, 3) for r in entity.extract_products(texts, terms).collect()}
+    assert got[3, "galaxy", "Samsung"] == 1.0 and got[2, "model s", "Tesla"] == 1.0 and 0.7 <= got[1, "iphone", "Apple"] < 1
+    seen = spark.createDataFrame([(1, "Apple"), (3, "Samsung")], "id long, brand string")
+    more = {(r.id, r.product): r.confidence for r in entity.extract_products(texts, terms, brands=seen).collect()}
+    assert abs(more[1, "iphone"] - min(got[1, "iphone", "Apple"] * 1.1, 1)) < 1e-3 and more[3, "galaxy"] == 1.0
+    # Against every phrase and term.
+    words = "my iphnoe 12 is old".split()
+    phrases = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+    every = spark.createDataFrame([(p,) for p in phrases if len(p) > 2], "chunk string").crossJoin(entity.product_terms(terms)).where(entity.token_sort_ratio(F.col("chunk"), F.col("term")) >= 70)
+    near = entity.similar_pairs(spark.createDataFrame([(p,) for p in phrases if len(p) > 2], "chunk string"), entity.product_terms(terms), 70.0, by=entity.token_sort_ratio)
+    assert {(r.chunk, r.term) for r in near.collect()} == {(r.chunk, r.term) for r in every.collect()}
+    full = entity.detect_products(entity.detect_brands(texts.withColumnRenamed("id", "tweet_id"), terms, "tweet_id"), terms, "tweet_id")
+    rows = {r.tweet_id: r.p for r in full.select("tweet_id", entity.encode_products(F.col("detected_products")).alias("p")).collect()}
+    assert rows[3] == ["galaxy|Samsung:100.00"] and rows[4] == []
+
+
+def test_comparisons_by_ratio(spark, terms):
+    df = spark.createDataFrame([(1, "Apple is beter than Samsung", ["Apple", "Samsung"]), (2, "Apple and Samsung", ["Apple", "Samsung"]), (3, "Apple beats all", ["Apple"])], "id long, text string, brands array<string>")
+    rivals = entity.competitor_map(spark.createDataFrame([("Apple", "Samsung")], "brand string, competitor string"))
+    side = terms.select("brand", "industry")
+    assert {r.id: r.context for r in entity.competitive_context(df, rivals, side).collect()} == {1: "comparison", 2: "co-mention"}
+    assert {r.id: r.context for r in entity.competitive_context(df, rivals, side, phrases=None).collect()} == {1: "co-mention", 2: "co-mention"}
+
+
+def test_industry_words_may_be_misspelt(spark):
+    df = spark.createDataFrame([(1, "apple softwre here", "Apple", "tech", 0.8, 0, 1), (2, "apple unphones", "Apple", "tech", 0.8, 0, 1)], "id long, text string, brand string, industry string, confidence double, position int, n int")
+    words = spark.createDataFrame([("tech", "software"), ("tech", "phone")], "industry string, word string")
+    assert {r.id: round(r.confidence, 2) for r in entity.disambiguate(df, words).collect()} == {1: 0.85, 2: 0.8}
+
+
+def test_samples_are_bounded_and_ordered(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("topic"), F.format_string("t%04d", "id").alias("text"), F.lit(0.9).alias("virality_score"), F.lit(1.0).alias("sentiment"), F.when(F.col("id") < 900, "b").otherwise("c").alias("brand"), F.lit(1.0).alias("confidence"), F.lit(DAY).alias("timestamp"))
+    got = {r.topic: r for r in topics.viral_topics(rows, "topic", samples="text").collect()}
+    assert got["1"].viral_count == 500 and got["1"].sample_texts == [f"t{k:04d}" for k in (1, 3, 5, 7, 9)]
+    assert {r.topic: r.sample_texts for r in topics.topic_sentiment(rows, "topic", samples="text").collect()}["0"] == [f"t{k:04d}" for k in (0, 2, 4, 6, 8)]
+    one = brand.brand_sentiment(rows, samples="text").where("brand = 'b'").first()
+    assert one.mention_count == 900 and one.sample_texts == [f"t{k:04d}" for k in range(5)] and one.unique_text_count == 5
+    plan = brand.brand_sentiment(rows, samples="text")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_model_names_and_columns(spark):
+    assert models.chosen("SVM") == "svm" and models.chosen("mlp") == "mlp" and models.chosen("nonsense") == models.chosen("Random Forest") == "random_forest"
+    assert len(models.FEATURES) == 17 and models.pipeline("svm").getStages()[0].getInputCols() == models.FEATURES
+
+
+def test_token_ids(spark):
+    rows = spark.createDataFrame([(1, ["a", "x", "b", "a"]), (2, None), (3, []), (4, ["b"] * 9)], "id long, tokens array<string>")
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "word string, index int")
+    assert {r.id: r.ids for r in models.token_ids(rows, known, "id", length=5).collect()} == {1: [0, 0, 1, 2, 1], 2: [0] * 5, 3: [0] * 5, 4: [2] * 5}
+
+
+def test_pandas_batches(spark):
+    df = spark.range(2_500).select("id", F.array("id").alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("s")).repartition(3)
+    got = list(sinks.pandas_batches(df, 1_000))
+    assert [len(b) for b in got] == [1_000, 1_000, 500] and sorted(x for b in got for x in b["id"]) == list(range(2_500))
+    assert list(sinks.pandas_batches(df.limit(0))) == []

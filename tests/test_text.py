@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -87,3 +89,38 @@ def test_pipeline_columns(spark):
     docs = spark.createDataFrame([(1, "The cat is running on the tables of the house"), (2, None)], "tweet_id long, text string")
     got = preprocess.pipeline(docs).collect()
     assert [r.tweet_id for r in got] == [1] and got[0].text_processed == "cat run table house" and got[0].token_count == 4
+
+
+def test_detector_stands_once_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "The cat")], "tweet_id long, text string")
+    plan = preprocess.pipeline(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:the|be|to|") == 1 and plan.count("regexp_count") <= 6
+    assert preprocess.pipeline(docs, languages=None)._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") == 0
+
+
+def test_terms_that_overlap(spark):
+    terms = ["model s", "s class", "model", "c++"]
+    t = "a model s class and c++ code, model models"
+    assert not X._apart(terms) and X._apart(X.BRAND_TERMS)
+    assert one(spark, t, lambda c: X.brand_mentions(c, terms)) == ["model s", "s class", "model"]
+    assert one(spark, t, lambda c: X.brand_count(c, terms)) == 4
+    # One pass over the text finds what a test of each term finds.
+    words = X.BRAND_TERMS[:12] + ["applepie", "my", "model"]
+    for k in range(40):
+        text = " ".join(words[(k * 7 + i * i) % len(words)] for i in range(9))
+        alone = [t for t in X.BRAND_TERMS if one(spark, text, lambda c, t=t: F.rlike(c, F.lit(X._quoted(t))))] if k < 3 else None
+        if alone is not None:
+            assert one(spark, text, X.brand_mentions) == alone
+
+
+def test_language_shares_equal_word_by_word_counts(spark):
+    texts = ["the  cat\tis on the mat and the dog", "El perro de la casa que no está en la calle", "le chat dans la maison est sur il et elle qui va où", "thethe and,the the, was singing walked", "Été là où ça été fait ing ed", "x ing yed zing the the"]
+    for t in texts:
+        words = t.lower().split()
+        share = lambda known: sum(w in known for w in words) / len(words)  # noqa: E731, B023
+        en, es, fr = share(X.COMMON_EN), share(X.COMMON_ES), share(X.COMMON_FR)
+        bonus = sum(0.1 for p in X.ENGLISH_SIGNS if re.search(p, t.lower()))
+        en = (en + min(bonus, 0.3)) * (0.8 if sum(ord(c) > 127 for c in t) / len(t) > 0.1 else 1.0)
+        want = ("en", min(en * 2, 0.95)) if en > max(es, fr) and en > 0.15 else ("es", es * 2) if es > fr and es > 0.15 else ("fr", fr * 2) if fr > 0.15 else ("unknown", 0.0)
+        got = tuple(one(spark, t, X.detect_language))
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, t

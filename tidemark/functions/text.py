@@ -33,15 +33,16 @@ SCRIPTS = (("ru", r"[а-яА-Я]", 0.7), ("zh", r"[\x{4e00}-\x{9fff}]", 0.8), ("
 EMOJI_GOOD = "😊😃😄😆😁😂🤣😍🥰😘😗😙😚🙂🤗🤩🥳😋😛😜🤪😇🥲🧡🤍🤎🤞🤟🤘🤙🙌🤲🙏🤛🤜🦾🦿🧁🥇🥁"
 EMOJI_MILD = "😌😉😏🤨🤓😎🥸🤯🥱🤤"
 EMOJI_BAD = "😢😭😿😾🙀😰😨😧😦😮😯😲😱😳🥵🥶😞😔😟😕🙁😣😖😫😩🥺😤😠😡🤬😈🛑🚫🤢🤮🤧😷🤒🤕🩹🩺🦠🦷🦴"
-EMOJI_WORDS = (
-    ("happy", "😊 😃 😄"), ("laugh", "😆 😂 🤣"), ("love", "😍 🥰 ❤️ 💕"), ("good", "👍 👌"), ("celebrate", "🎉"), ("sparkle", "✨"), ("star", "🌟"),
-    ("sad", "😢"), ("cry", "😭"), ("angry", "😡 😠"), ("broken heart", "💔"), ("bad", "👎"), ("worried", "😰"), ("scared", "😨"),
-)
+EMOJI_WORDS = {
+    "😊": "happy", "😃": "happy", "😄": "happy", "😆": "laugh", "😂": "laugh", "🤣": "laugh", "😍": "love", "🥰": "love", "❤️": "love", "💕": "love", "👍": "good", "👌": "good", "🎉": "celebrate", "✨": "sparkle", "🌟": "star",
+    "😢": "sad", "😭": "cry", "😡": "angry", "😠": "angry", "💔": "broken heart", "👎": "bad", "😰": "worried", "😨": "scared",
+}
 EMOJI_RANGES = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
 
 IRREGULAR = {
-    "be": "was were been being", "have": "had has having", "do": "did does doing done", "go": "went goes going gone", "say": "said says saying",
-    "get": "got gets getting gotten", "come": "came comes coming", "take": "took takes taking taken", "make": "made makes making", "give": "gave gives giving given",
+    "was": "be", "were": "be", "been": "be", "being": "be", "had": "have", "has": "have", "having": "have", "did": "do", "does": "do", "doing": "do", "done": "do", "went": "go", "goes": "go", "going": "go", "gone": "go",
+    "said": "say", "says": "say", "saying": "say", "got": "get", "gets": "get", "getting": "get", "gotten": "get", "came": "come", "comes": "come", "coming": "come", "took": "take", "takes": "take", "taking": "take", "taken": "take",
+    "made": "make", "makes": "make", "making": "make", "gave": "give", "gives": "give", "giving": "give", "given": "give",
 }
 
 BRAND_TERMS = (
@@ -86,9 +87,8 @@ def emoji_score(text: Column) -> Column:
 
 def emoji_words(text: Column) -> Column:
     """Known emoji as words; all other symbols of the emoji ranges go."""
-    for word, signs in EMOJI_WORDS:
-        for sign in signs.split():
-            text = F.replace(text, F.lit(sign), F.lit(f" {word} "))
+    for sign, word in EMOJI_WORDS.items():
+        text = F.replace(text, F.lit(sign), F.lit(f" {word} "))
     return F.trim(F.regexp_replace(F.regexp_replace(text, EMOJI_RANGES, " "), r"\s+", " "))
 
 
@@ -114,7 +114,7 @@ def without_stop_words(words: Column, stops: list[str] | None = None) -> Column:
 def lemma(word: Column) -> Column:
     """Irregular forms by a map, else the first suffix rule that fits."""
     low, size = F.lower(word), F.char_length(word)
-    irregular = F.create_map(*[F.lit(x) for base, forms in IRREGULAR.items() for f in forms.split() for x in (f, base)])
+    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
 
     def ends(*suffixes: str) -> Column:
         return reduce(lambda a, b: a | b, [F.endswith(low, F.lit(s)) for s in suffixes])
@@ -146,26 +146,41 @@ def lemmas(words: Column) -> Column:
 # -- language and sentiment
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words_of(known: list[str]) -> str:
+    """A pattern of whole words, between white space, that are in the list."""
+    return r"(?<!\S)(?:" + "|".join(known) + r")(?!\S)"
+
+
 def detect_language(text: Column) -> Column:
     """struct(language, confidence) by stop-list shares, English signs and scripts.
 
-    Null, texts under ten characters and under three words are unknown with confidence 0.
+    Null, texts under ten characters and under three words are unknown with confidence 0. Each pattern is a literal and
+    runs once over the text; what is decided from their counts refers to those alone.
     """
     low = F.lower(text)
-    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    share = lambda known: F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(strings(known), w))), n)
-    bonus = reduce(lambda a, b: a + b, [F.when(F.rlike(low, F.lit("(?U)" + p)), 0.1).otherwise(0.0) for p in ENGLISH_SIGNS])
-    foreign = F.try_divide(F.char_length(F.regexp_replace(text, r"[\x00-\x7F]", "")), F.char_length(text)) > 0.1
-    en = (share(COMMON_EN) + F.least(bonus, F.lit(0.3))) * F.when(foreign, 0.8).otherwise(1.0)
-    es, fr = share(COMMON_ES), share(COMMON_FR)
+    # A word of one letter or more before an ending is as good as all of its letters.
+    signs = [F.when(F.rlike(low, F.lit("(?U)" + p.replace(r"\b\w+", r"\w"))), 0.1).otherwise(0.0) for p in ENGLISH_SIGNS]
+    facts = F.struct(
+        F.regexp_count(low, F.lit(r"\S+")).alias("n"), *[F.regexp_count(low, F.lit(words_of(ws))).alias(k) for k, ws in (("en", COMMON_EN), ("es", COMMON_ES), ("fr", COMMON_FR))],
+        reduce(lambda a, b: a + b, signs).alias("bonus"), (F.try_divide(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")), F.char_length(text)) > 0.1).alias("foreign"), (text.isNull() | (F.char_length(F.trim(text)) < 10)).alias("short"),
+    )
+    shares = lambda x: F.struct(((F.try_divide(x["en"], x["n"]) + F.least(x["bonus"], F.lit(0.3))) * F.when(x["foreign"], 0.8).otherwise(1.0)).alias("en"), F.try_divide(x["es"], x["n"]).alias("es"), F.try_divide(x["fr"], x["n"]).alias("fr"), (x["short"] | (x["n"] < 3)).alias("short"))
     made = lambda code, conf: F.struct(F.lit(code).alias("language"), (conf if isinstance(conf, Column) else F.lit(float(conf))).alias("confidence"))
-    out = F.when(text.isNull() | (F.char_length(F.trim(text)) < 10) | (n < 3), made("unknown", 0.0))
-    out = out.when((en > F.greatest(es, fr)) & (en > 0.15), made("en", F.least(en * 2, F.lit(0.95))))
-    out = out.when((es > fr) & (es > 0.15), made("es", es * 2)).when(fr > 0.15, made("fr", fr * 2))
-    for code, pattern, confidence in SCRIPTS:
-        out = out.when(F.rlike(text, F.lit(pattern)), made(code, confidence))
-    return out.otherwise(made("unknown", 0.0))
+
+    def verdict(x: Column) -> Column:
+        en, es, fr = x["en"], x["es"], x["fr"]
+        out = F.when(x["short"], made("unknown", 0.0)).when((en > F.greatest(es, fr)) & (en > 0.15), made("en", F.least(en * 2, F.lit(0.95))))
+        out = out.when((es > fr) & (es > 0.15), made("es", es * 2)).when(fr > 0.15, made("fr", fr * 2))
+        for code, pattern, confidence in SCRIPTS:
+            out = out.when(F.rlike(text, F.lit(pattern)), made(code, confidence))
+        return out.otherwise(made("unknown", 0.0))
+
+    return once(facts, lambda x: once(shares(x), verdict))
 
 
 def keyword_sentiment(text: Column) -> Column:
@@ -203,16 +218,35 @@ def punctuation_density(text: Column) -> Column:
     return share_of(text, r"[^!?.,;:'\"-]")
 
 
+def _quoted(term: str) -> str:
+    return r"\b\Q" + term + r"\E\b"
+
+
+def _apart(terms: list[str]) -> bool:
+    """Whether no two terms can share a word in a text, so that one pass finds all of them."""
+    cut = [t.split(" ") for t in terms]
+    meet = lambda a, b: any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + 1)) or any(a[i : i + len(b)] == b for i in range(len(a)))
+    return all(not meet(a, b) for i, a in enumerate(cut) for j, b in enumerate(cut) if i != j) and all(t.replace(" ", "").isalnum() for t in terms)
+
+
+def _any_term(terms: list[str]) -> Column:
+    return F.lit(r"\b(?:" + "|".join(terms) + r")\b")
+
+
 def brand_mentions(text: Column, terms: list[str] = BRAND_TERMS) -> Column:
-    """The terms that stand as words in the text, in the list's order."""
+    """The terms that stand as words in the text, in the list's order; one pass over the text where terms can't overlap."""
     low = F.coalesce(F.lower(text), F.lit(""))
-    return F.filter(strings(terms), lambda t: F.rlike(low, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))))
+    if _apart(terms):
+        return F.array_intersect(strings(terms), F.regexp_extract_all(low, _any_term(terms), F.lit(0)))
+    return F.filter(F.array(*[F.when(F.rlike(low, F.lit(_quoted(t))), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
 
 
 def brand_count(text: Column, terms: list[str] = BRAND_TERMS) -> Column:
     """All occurrences of all terms."""
     low = F.coalesce(F.lower(text), F.lit(""))
-    return F.aggregate(strings(terms), F.lit(0), lambda n, t: n + F.regexp_count(low, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))))
+    if _apart(terms):
+        return F.regexp_count(low, _any_term(terms))
+    return reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(_quoted(t))) for t in terms])
 
 
 def categories(text: Column) -> Column:

@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Phrases that make two brands in one text a comparison; endings that a product's name may take.
-COMPARISONS = "vs|versus|better than|worse than|compared to|comparison|competitor|alternative|instead of|switch from|switched to|prefer|rather than".split("|")
-DESCRIPTORS = "pro|max|plus|mini|ultra|lite".split("|")
+from tidemark.functions.text import ngrams, strings
+
+# -- fixed values that results depend on: phrases that make two brands in one text a comparison, endings that a product's
+# name may take, the weights of the composite score, and the least ratios of each fuzzy test
+COMPARISONS = ["better than", "worse than", "vs", "versus", "compared to", "comparison", "prefer", "instead of", "switched from", "upgraded from", "downgraded from", "beats", "outperforms"]
+DESCRIPTORS = ["pro", "plus", "max", "mini", "ultra", "lite"]
 WEIGHTS = {"ratio": 0.4, "partial": 0.2, "token_sort": 0.25, "token_set": 0.15}
+KEYWORD_RATIO, PHRASE_RATIO, PRODUCT_RATIO, INDUSTRY_RATIO = 80.0, 80.0, 70.0, 85.0
 
 DICTIONARY = T.StructType([T.StructField(n, T.StringType()) for n in ("brand", "industry", "kind", "term")])
 
@@ -74,6 +78,11 @@ def _sorted(words: Column) -> Column:
     return F.array_join(F.array_sort(F.split(words, " ")), " ")
 
 
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """The ratio of both with their words in alphabetical order; sorting leaves lengths as they are."""
+    return ratio(_sorted(a), _sorted(b))
+
+
 def similarity(a: Column, b: Column, weights: dict[str, float] = WEIGHTS) -> Column:
     """Weighted plain, partial (100 if one holds the other), sorted-word and word-set ratios; equal ones get a tenth more, up to 100."""
     plain = ratio(a, b)
@@ -109,8 +118,8 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True) -> DataFrame:
-    """each (distinct chunks) with all terms whose ratio is `least` or more, and the ratio.
+def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True, by=ratio) -> DataFrame:
+    """each (distinct chunks) with all terms whose ratio is `least` or more, and the ratio; by: ratio or token_sort_ratio.
 
     The distance is at least the difference of the lengths, so only lengths that permit the ratio are joined.
     Unless whole, see matches.
@@ -122,7 +131,7 @@ def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_ter
     letter = lambda c: F.lit("") if whole else F.substring(c, 1, 1)
     blocked = terms.withColumns({"_f": letter("term"), "_l": F.char_length("term")})
     pairs = able.withColumn("_f", letter("chunk")).join(_side(blocked, broadcast_terms), ["_f", "_l"]).drop("_f", "_l")
-    return pairs.withColumn("ratio", ratio(F.col("chunk"), F.col("term"))).where(F.col("ratio") >= least)
+    return pairs.withColumn("ratio", by(F.col("chunk"), F.col("term"))).where(F.col("ratio") >= least)
 
 
 def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000, whole: bool = False) -> DataFrame:
@@ -130,6 +139,7 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: st
 
     Distinct chunks are compared once: if whole, with every term of a length that the ratio permits, else with terms of
     the same first letter and two letters more or less at most, which misses others that are as alike.
+    A single word's composite score isn't under its ratio, so words that no run claims have been tried here, too.
     """
     known = terms.where("kind <> 'keyword'")
     longest = _size(known)
@@ -155,7 +165,8 @@ def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     """(id, brands): array<struct(brand, confidence, match_type, position)>, best match a brand, surest first; texts without one have no row.
 
     With fewer than three brands found, a brand with two or more of its keywords in the text is added by context at
-    confidence min(50 + 10 k, 85) / 100 and position -1. whole: see matches.
+    confidence min(50 + 10 k, 85) / 100 and position -1. A keyword is in the text if a run of words equals it or, unless
+    fuzzy is None, a word is alike by KEYWORD_RATIO. whole: see matches.
     """
     got = matches(texts, terms, id_col, text_col, fuzzy, whole=whole)
     packed = F.struct((-F.col("n")).alias("o"), (-F.col("score")).alias("s"), "position", "n", "brand", "industry", "kind", "term")
@@ -164,7 +175,12 @@ def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     if context:
         keys = terms.where("kind = 'keyword'")
         words = chunks(texts, id_col, text_col, _size(keys)).select("id", "chunk").distinct()
-        hits = words.join(_side(keys, 20_000), words["chunk"] == keys["term"]).groupBy("id", "brand").agg(F.count("*").alias("k")).where("k >= 2")
+        alike = words.select("chunk").distinct()
+        alike = alike.join(_side(keys, 20_000), alike["chunk"] == keys["term"]).select("chunk", "brand", "term")
+        if fuzzy is not None:
+            single = words.select("chunk").distinct().where(~F.contains("chunk", F.lit(" ")))
+            alike = alike.unionByName(similar_pairs(single, keys, KEYWORD_RATIO).select("chunk", "brand", "term")).distinct()
+        hits = words.join(alike, "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")
         flat = flat.unionByName(hits.select("id", "brand", (F.least(50 + 10 * F.col("k"), F.lit(85)) / 100).alias("confidence"), F.lit("context").alias("match_type"), F.lit(-1).alias("position")))
@@ -191,34 +207,82 @@ def product_terms(terms: DataFrame) -> DataFrame:
     return terms.where("kind = 'product'").select("brand", F.col("term").alias("product"), F.explode(ends).alias("e")).select("brand", "product", F.concat("product", "e").alias("term"))
 
 
-def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, product, brand, confidence in 0 to 1): longest phrases first, a word claimed once, best a product and brand."""
+def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = PRODUCT_RATIO, brands: DataFrame | None = None) -> DataFrame:
+    """(id, product, brand, confidence in 0 to 1): the most alike phrases first, of those the longest; a word is claimed
+    once, and the best of a product and brand stays.
+
+    A phrase of one to three words takes its best term by the token-sort ratio, if that is `fuzzy` or more (None: equal
+    phrases only); phrases and terms are compared once each, at lengths that the ratio permits. brands: (id, brand) seen
+    in the texts; a product of such a brand gets a tenth more confidence, up to 1.
+    """
     known = product_terms(terms)
     found = chunks(texts, id_col, text_col, 3)
-    got = found.join(_side(known, 20_000), found["chunk"] == known["term"])
-    packed = F.struct((-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
+    exact = known.withColumn("chunk", F.col("term")).withColumn("ratio", F.lit(100.0)).select("chunk", "brand", "product", "term", "ratio")
+    if fuzzy is None:
+        got = found.join(_side(exact, 20_000), "chunk")
+    else:
+        near = similar_pairs(found.select("chunk").distinct(), known, fuzzy, by=token_sort_ratio)
+        best = near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio")
+        got = found.join(best, "chunk")
+    packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
-    return per.select("id", F.explode("m").alias("x")).groupBy("id", F.col("x.product").alias("product"), F.col("x.brand").alias("brand")).agg(F.lit(1.0).alias("confidence"))
+    out = per.select("id", F.explode("m").alias("x")).groupBy("id", F.col("x.product").alias("product"), F.col("x.brand").alias("brand")).agg((-F.min("x.s") / 100).alias("confidence"))
+    if brands is not None:
+        seen = brands.select("id", "brand").distinct().withColumn("_seen", F.lit(1.1))
+        out = out.join(seen, ["id", "brand"], "left").withColumn("confidence", F.least(F.col("confidence") * F.coalesce("_seen", F.lit(1.0)), F.lit(1.0))).drop("_seen")
+    return out.select("id", "product", "brand", "confidence")
+
+
+def detect_products(df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text", brands: str | None = "detected_brands", **how) -> DataFrame:
+    """df with detected_products as array<struct(product, brand, confidence)>; the column `brands`, if df has it, is the context."""
+    seen = df.select(F.col(id_col).alias("id"), F.explode(brands).alias("b")).select("id", "b.brand") if brands in df.columns else None
+    got = extract_products(df, terms, id_col, text_col, brands=seen, **how)
+    got = got.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("product", "brand", "confidence"))).alias("detected_products"))
+    return df.join(got, df[id_col] == got["_id"], "left").drop("_id").withColumn("detected_products", F.coalesce("detected_products", F.array().cast("array<struct<product:string,brand:string,confidence:double>>")))
 
 
-def competitive_context(df: DataFrame, rivals: DataFrame, industries: DataFrame, brands: str = "brands", text: str = "text", id_col: str = "id") -> DataFrame:
+def encode_products(products: Column) -> Column:
+    """The compact form "iphone|Apple:97.00", with the confidence in percent."""
+    return F.transform(products, lambda p: F.format_string("%s|%s:%.2f", p["product"], p["brand"], p["confidence"] * 100))
+
+
+def says(text: Column, phrases: list[str], least: float | None) -> Column:
+    """Whether a run of as many words as a phrase has is alike by `least` or more; None: whether the text holds a phrase."""
+    if least is None:
+        return F.exists(strings(phrases), lambda p: F.contains(text, p))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    close = lambda run, p: F.when(F.least(F.char_length(run), F.char_length(p)) * 100.0 >= F.greatest(F.char_length(run), F.char_length(p)) * least, ratio(run, p) >= least).otherwise(F.lit(False))
+
+    def any_run(n: int) -> Column:
+        some = strings([p for p in phrases if len(p.split()) == n])
+        return F.exists(F.array_distinct(ngrams(words, n)), lambda run: F.exists(some, lambda p: close(run, p)))
+
+    alike = [any_run(n) for n in sorted({len(p.split()) for p in phrases})]
+    return reduce(lambda a, b: a | b, alike)
+
+
+def competitive_context(df: DataFrame, rivals: DataFrame, industries: DataFrame, brands: str = "brands", text: str = "text", id_col: str = "id", phrases: float | None = PHRASE_RATIO) -> DataFrame:
     """(id, brand_a, brand_b, context): pairs of a row's brands that are rivals or share an industry; comparison if a phrase says so.
 
+    phrases: the least ratio of a run of words to a phrase; None: the text holds the phrase.
+
     rivals: (brand, competitor), symmetric; industries: (brand, industry). A row's list of brands bounds its pairs.
     """
     names = F.array_sort(F.array_distinct(F.transform(F.col(brands), lambda b: F.lower(b))))
-    rows = df.select(F.col(id_col).alias("id"), F.lower(text).alias("t"), names.alias("b"))
-    pairs = rows.select("id", "t", "b", F.posexplode("b").alias("i", "brand_a")).select("id", "t", "brand_a", F.explode(F.slice("b", F.col("i") + 2, F.greatest(F.size("b") - F.col("i") - 1, F.lit(0)))).alias("brand_b"))
+    # Only texts of two brands or more are looked at, each once.
+    rows = df.select(F.col(id_col).alias("id"), F.lower(text).alias("t"), names.alias("b")).where("size(b) > 1")
+    rows = rows.select("id", "b", F.explode(F.array(says(F.col("t"), COMPARISONS, phrases))).alias("says"))
+    pairs = rows.select("id", "says", "b", F.posexplode("b").alias("i", "brand_a")).select("id", "says", "brand_a", F.explode(F.slice("b", F.col("i") + 2, F.greatest(F.size("b") - F.col("i") - 1, F.lit(0)))).alias("brand_b"))
     side = industries.select(F.lower("brand").alias("brand"), "industry").distinct()
     pairs = pairs.join(side.select(F.col("brand").alias("brand_a"), F.col("industry").alias("ia")), "brand_a", "left").join(side.select(F.col("brand").alias("brand_b"), F.col("industry").alias("ib")), "brand_b", "left")
     known = rivals.select(F.col("brand").alias("brand_a"), F.col("competitor").alias("brand_b"), F.lit(True).alias("known"))
     pairs = pairs.join(known, ["brand_a", "brand_b"], "left").where("known OR ia = ib")
-    says = F.exists(F.array(*[F.lit(p) for p in COMPARISONS]), lambda p: F.contains(F.col("t"), p))
-    return pairs.select("id", "brand_a", "brand_b", F.when(says, "comparison").otherwise("co-mention").alias("context")).distinct()
+    return pairs.select("id", "brand_a", "brand_b", F.when(F.col("says"), "comparison").otherwise("co-mention").alias("context")).distinct()
 
 
-def disambiguate(df: DataFrame, industry_words: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """Of overlapping detections the surer stays; confidence gains min(0.05 k, 0.15) for k industry words in the text.
+def disambiguate(df: DataFrame, industry_words: DataFrame, id_col: str = "id", text: str = "text", least: float = INDUSTRY_RATIO) -> DataFrame:
+    """Of overlapping detections the surer stays; confidence gains min(0.05 k, 0.15) for k industry words in the text, that
+    is industry words to which a word of the text is alike by `least` or more.
 
     df: (id, text, brand, industry, confidence, position, n); industry_words: (industry, word).
     """
@@ -227,5 +291,6 @@ def disambiguate(df: DataFrame, industry_words: DataFrame, id_col: str = "id", t
     kept = per.select("id", "t", F.explode("m").alias("x")).select("id", "t", "x.brand", "x.industry", "x.confidence", "x.position")
     words = industry_words.groupBy("industry").agg(F.collect_set(F.lower("word")).alias("ws"))
     out = kept.join(words, "industry", "left")
-    k = F.size(F.filter(F.coalesce("ws", F.array().cast("array<string>")), lambda w: F.contains(F.col("t"), w)))
+    mine = F.array_distinct(F.split(F.col("t"), r"[^\p{L}\p{N}_]+"))
+    k = F.size(F.filter(F.coalesce("ws", F.array().cast("array<string>")), lambda w: F.exists(mine, lambda m: ratio(m, w) >= least)))
     return out.select("id", "brand", "industry", "position", F.least(F.col("confidence") + F.least(0.05 * k, F.lit(0.15)), F.lit(1.0)).alias("confidence")).orderBy("id", "position")

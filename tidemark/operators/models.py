@@ -13,6 +13,12 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns that models take unless told otherwise, and the names under which models are asked for.
+FEATURES = [
+    "text_length", "processed_length", "token_count", "emoji_sentiment", "exclamation_count", "question_count", "uppercase_ratio", "punctuation_density",
+    "vader_compound", "vader_positive", "vader_negative", "vader_neutral", "hour_sin", "hour_cos", "is_weekend", "2gram_count", "3gram_count",
+]
+NAMES = {"Naive Bayes": "naive_bayes", "Logistic Regression": "logistic_regression", "Random Forest": "random_forest", "Gradient Boosting": "gradient_boosting", "SVM": "svm"}
 MODELS = ("naive_bayes", "logistic_regression", "random_forest", "gradient_boosting", "svm", "mlp")
 
 
@@ -27,11 +33,17 @@ def classifier(name: str, width: int = 0, seed: int = 42):
     return made[name]()
 
 
-def pipeline(name: str, features: list[str], seed: int = 42) -> Pipeline:
-    """Assemble, scale (to 0..1 for naive Bayes, else to mean 0 and spread 1) and classify.
+def chosen(name: str) -> str:
+    """A model's name from either form; one that isn't known stands for the random forest."""
+    return name if name in MODELS else NAMES.get(name, "random_forest")
+
+
+def pipeline(name: str, features: list[str] | None = None, seed: int = 42) -> Pipeline:
+    """Assemble (FEATURES unless given), scale (to 0..1 for naive Bayes, else to mean 0 and spread 1) and classify.
 
     Naive Bayes is Gaussian: test rows outside the range of the training rows scale to negative values, which it takes.
     """
+    features = list(features or FEATURES)
     scale = MinMaxScaler(inputCol="raw_features", outputCol="features") if name == "naive_bayes" else StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="skip"), scale, classifier(name, len(features), seed)])
 
@@ -70,7 +82,7 @@ def metrics(scored: DataFrame) -> DataFrame:
     return per.agg(F.try_divide(F.sum("hit"), total).alias("accuracy"), weighted("p").alias("precision"), weighted("r").alias("recall"), weighted("f").alias("f1"))
 
 
-def train(df: DataFrame, name: str, features: list[str], label: str = "sentiment", seed: int = 42) -> tuple[PipelineModel, float]:
+def train(df: DataFrame, name: str, features: list[str] | None = None, label: str = "sentiment", seed: int = 42) -> tuple[PipelineModel, float]:
     """The fitted pipeline and the seconds that took."""
     start = time.time()
     return pipeline(name, features, seed).fit(labelled(df, label)), time.time() - start
@@ -85,7 +97,8 @@ def evaluate(model: PipelineModel, df: DataFrame, label: str = "sentiment") -> d
     return row
 
 
-def cross_validate(df: DataFrame, name: str, features: list[str], folds: int = 3, label: str = "sentiment", seed: int = 42):
+def cross_validate(df: DataFrame, name: str, features: list[str] | None = None, folds: int = 3, label: str = "sentiment", seed: int = 42):
+    name = chosen(name)
     p = pipeline(name, features, seed)
     cv = CrossValidator(estimator=p, estimatorParamMaps=grid(name, p), evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed, parallelism=2)
     return cv.fit(labelled(df, label))
@@ -145,3 +158,18 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", size: int = 10_000) -> Dat
 
     top = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return top.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word")))
+
+
+def token_ids(df: DataFrame, vocabulary: DataFrame, id_col: str, tokens: str = "tokens", length: int = 100) -> DataFrame:
+    """(id, ids): the vocabulary's numbers of a row's words in order, as a deep model takes them.
+
+    Words outside the vocabulary are left out; of longer rows the last `length` words stay, shorter ones have zeros in
+    front. The vocabulary is bounded by its own size and goes to the rows. Rows of null or no tokens are all zeros.
+    """
+    words = df.select(F.col(id_col).alias("id"), F.posexplode(tokens).alias("at", "word"))
+    known = words.join(F.broadcast(vocabulary.select("word", "index")), "word")
+    got = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "index"))).alias("x"))
+    ids = F.coalesce(F.transform("x", lambda x: x["index"]), F.array().cast("array<int>"))
+    last = F.slice(ids, F.greatest(F.size(ids) - length + 1, F.lit(1)), F.lit(length))
+    rows = df.select(F.col(id_col).alias("id")).join(got, "id", "left").select("id", last.alias("ids"))
+    return rows.select("id", F.concat(F.array_repeat(F.lit(0), F.lit(length) - F.size("ids")), "ids").alias("ids"))

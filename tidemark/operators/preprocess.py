@@ -19,8 +19,8 @@ def emoji(df: DataFrame, text: str = "text", cleaned: str = "text_clean") -> Dat
 
 
 def language(df: DataFrame, text: str = "text") -> DataFrame:
-    out = df.withColumn("_l", X.detect_language(F.col(text)))
-    return out.withColumns({"detected_language": F.col("_l.language"), "language_confidence": F.col("_l.confidence")}).drop("_l")
+    # As rows of a generator: a filter on the result isn't pushed into it, so the detector is in the plan once.
+    return df.select("*", F.inline(F.array(X.detect_language(F.col(text)))).alias("detected_language", "language_confidence"))
 
 
 def filter_language(df: DataFrame, text: str = "text", languages: list[str] | None = ("en",), least: float = 0.5) -> DataFrame:
@@ -41,6 +41,9 @@ def processed(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pipeline(df: DataFrame, languages: list[str] | None = ("en",), least: float = 0.5) -> DataFrame:
-    """clean, emoji, language, words and lengths; of the result the known columns that exist."""
-    out = df.transform(clean).transform(emoji).transform(filter_language, "text", languages, least).transform(words, "text_clean_demojized").transform(processed)
+    """language, clean, emoji, words and lengths; of the result the known columns that exist.
+
+    The filter comes first, since it needs the text alone: other rows aren't cleaned. Without languages, none is detected.
+    """
+    out = df.transform(filter_language, "text", languages, least).transform(clean).transform(emoji).transform(words, "text_clean_demojized").transform(processed)
     return out.select(*[c for c in KEPT if c in out.columns])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def place(id_col: str, seed: int = 42) -> Column:
+    """Where in [0, 1) a row stands by the MD5 of seed and id: the same in every engine, run and partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
 def quality_report(df: DataFrame, text: str = "text", label: str = "sentiment", ts: str = "timestamp") -> DataFrame:
     """One row of metrics; removal_percentage is null for an empty table."""
     blank = F.col(text).isNotNull() & (F.char_length(F.trim(text)) == 0)
@@ -37,13 +43,12 @@ def balanced_sample(df: DataFrame, id_col: str, fraction: float = 0.01, label: s
     every = Window.partitionBy(F.lit(0))  # one row a class by now
     per = per.withColumn("target", F.sum("n").over(every) * fraction / F.count("*").over(every))
     per = per.select(F.col(label).alias("_label"), F.least(F.try_divide("target", "n"), F.lit(1.0)).alias("_share"))
-    place = F.pmod(F.xxhash64(F.lit(42), id_col), F.lit(1_000_000)) / 1_000_000
-    return df.join(F.broadcast(per), df[label] == per["_label"]).where(place < F.col("_share")).drop("_label", "_share")
+    return df.join(F.broadcast(per), df[label] == per["_label"]).where(place(id_col) < F.col("_share")).drop("_label", "_share")
 
 
 def hash_sample(df: DataFrame, id_col: str, fraction: float, seed: int = 42) -> DataFrame:
     """Bernoulli-like sampling that any partitioning repeats."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.where(place(id_col, seed) < fraction)
 
 
 def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -52,8 +57,7 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
 
 def hash_split(df: DataFrame, id_col: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test by the hash of the id."""
-    place = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000))
-    return df.where(place < int(share * 1_000_000)), df.where(place >= int(share * 1_000_000))
+    return df.where(place(id_col, seed) < share), df.where(place(id_col, seed) >= share)
 
 
 def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> list[DataFrame]:

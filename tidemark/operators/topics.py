@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import bucket, has
 from tidemark.functions.text import STOP_WORDS
 
-#: Words that say nothing of a post's topic, beside the common stop words.
+#: Words that say nothing of a post's topic, beside the common stop words (fixed values).
 MORE_STOPS = "url user rt amp http https com org www bit ly tweet twitter say get go know like time people good bad new day way year think".split()
 
 
@@ -20,14 +20,19 @@ def topic_sentiment(df: DataFrame, topic: str = "dominant_topic", label: str = "
     """Count, mean, spread and shares a topic; positive_ratio is over rows with a label."""
     y = F.col(label)
     more = [F.avg("vader_compound").alias("avg_vader_compound")] if has(df, "vader_compound") else []
-    rows = df
-    if samples:
-        rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(topic).orderBy(samples)))
-        more.append(F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.col(samples)))).alias("sample_texts"))
-    out = rows.groupBy(topic).agg(F.count("*").alias("doc_count"), F.count(y).alias("labelled"), F.avg(y).alias("avg_sentiment"), F.stddev(y).alias("sentiment_stddev"), F.count_if(y == 1).alias("positive_count"), F.count_if(y == 0).alias("negative_count"), *more)
+    out = df.groupBy(topic).agg(F.count("*").alias("doc_count"), F.count(y).alias("labelled"), F.avg(y).alias("avg_sentiment"), F.stddev(y).alias("sentiment_stddev"), F.count_if(y == 1).alias("positive_count"), F.count_if(y == 0).alias("negative_count"), *more)
+    out = with_samples(out, df, topic, samples) if samples else out
     return out.withColumn("positive_ratio", F.try_divide("positive_count", "labelled"))
 
 
+def with_samples(out: DataFrame, rows: DataFrame, topic: str, samples: str, n: int = 5) -> DataFrame:
+    """out (one row a topic) with sample_texts, the n least texts of each topic; each task keeps n rows a topic at most."""
+    first = rows.select(F.col(topic).alias("_topic"), F.col(samples).alias("_t")).where("_t IS NOT NULL")
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("_topic").orderBy("_t"))).where(F.col("_n") <= n)
+    first = first.groupBy("_topic").agg(F.array_sort(F.collect_list("_t")).alias("sample_texts"))
+    return out.join(first, out[topic].eqNullSafe(first["_topic"]), "left").drop("_topic")
+
+
 def polarising(df: DataFrame, topic: str = "dominant_topic", least: int = 50, label: str = "sentiment") -> DataFrame:
     """polarization = 2 p n, controversy = polarization times the spread, for topics of `least` rows or more."""
     out = topic_sentiment(df, topic, label).where(F.col("doc_count") >= least)
@@ -57,8 +62,11 @@ def trending(df: DataFrame, tags: str = "hashtags", window: str = "1 day", least
     return out.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def viral_topics(df: DataFrame, topic: str, score: str = "virality_score", least: float = 0.7) -> DataFrame:
-    return df.where(F.col(score) > least).groupBy(topic).agg(F.count("*").alias("viral_count"), F.avg(score).alias("avg_virality"))
+def viral_topics(df: DataFrame, topic: str, score: str = "virality_score", least: float = 0.7, samples: str | None = None) -> DataFrame:
+    """Count and mean score a topic of rows above `least`; samples: a text column of which five are kept."""
+    rows = df.where(F.col(score) > least)
+    out = rows.groupBy(topic).agg(F.count("*").alias("viral_count"), F.avg(score).alias("avg_virality"))
+    return with_samples(out, rows, topic, samples) if samples else out
 
 
 def topic_edges(df: DataFrame, topics: str, least: float = 0.1) -> DataFrame:

@@ -84,7 +84,7 @@ SQL: dict[str, str] = {
     "viral_topics": "SELECT event_type AS topic, count(*) AS viral_count, round(avg(value), 6) AS avg_virality FROM events WHERE value > 0.7 GROUP BY 1",
     "topic_network": f"""WITH t AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(p_type))) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), r AS (SELECT * FROM t WHERE len(t) >= 2), x AS (SELECT id, unnest(t) AS a FROM r), n AS (SELECT count(*) AS n FROM r)
   SELECT x.a, y.a AS b, count(*) AS docs, round(count(*) / (SELECT n FROM n), 6) AS weight FROM x JOIN x y ON x.id = y.id AND x.a < y.a GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM n) >= 0.1""",
-    "word_overlap": """WITH w AS (SELECT event_type AS topic, list_sort(list_distinct(list(hour(ts)::VARCHAR))) AS w FROM events WHERE user_id < 4 GROUP BY 1)
+    "word_overlap": """WITH w AS (SELECT p_brand AS topic, list_sort(list_distinct(list(p_name))) AS w FROM part GROUP BY 1)
   SELECT a.topic AS a, b.topic AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.topic < b.topic WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.1""",
     "brand_sentiment_daily": f"""WITH {_b('1 day')} SELECT brand, mention_count, round(avg_sentiment, 6) AS avg_sentiment, round(sentiment_stddev, 6) AS sentiment_stddev, positive_mentions, negative_mentions, neutral_mentions, round(avg_confidence, 6) AS avg_confidence, first_mention, last_mention, window_start, window_start + INTERVAL '1 day' AS window_end,
   round(positive_ratio, 6) AS positive_ratio, round(negative_ratio, 6) AS negative_ratio, round(sentiment_score, 6) AS sentiment_score, round(positive_ratio - negative_ratio, 6) AS net_sentiment, round((epoch(last_mention) - epoch(first_mention)) / 3600, 6) AS mention_duration_hours, hour(window_start)::INT AS hour, dayname(window_start) AS day_of_week, (dayofweek(window_start) IN (0, 6))::INT AS is_weekend FROM b""",
@@ -114,6 +114,16 @@ SQL: dict[str, str] = {
     "primary_brands": "SELECT lower(p_brand) AS primary_brand, count(*) AS count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "event_statistics": "SELECT 'value' AS \"column\", count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, min(value) AS min, max(value) AS max FROM events UNION ALL SELECT 'user_id', count(user_id), round(avg(user_id), 6), round(stddev_samp(user_id), 6), min(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events",
     "event_correlations": "SELECT 'event_id' AS a, 'user_id' AS b, round(corr(event_id, user_id), 6) AS corr FROM events UNION ALL SELECT 'event_id', 'value', round(corr(event_id, value), 6) FROM events UNION ALL SELECT 'user_id', 'value', round(corr(user_id, value), 6) FROM events",
+    "viral_samples": """WITH v AS (SELECT event_type AS topic, value, props, row_number() OVER (PARTITION BY event_type ORDER BY props, event_id) AS k FROM events WHERE value > 0.7)
+  SELECT topic, count(*) AS viral_count, round(avg(value), 6) AS avg_virality, string_agg(props, '|' ORDER BY k) FILTER (k <= 5) AS sample_texts FROM v GROUP BY 1""",
+    "brand_samples": f"""WITH {_M}, r AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start, brand, aspect, row_number() OVER (PARTITION BY time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01'), brand ORDER BY ts, aspect) AS k FROM m WHERE confidence >= 0.9::DOUBLE)
+  SELECT window_start, brand, count(*) AS mention_count, string_agg(aspect, '|' ORDER BY k) FILTER (k <= 5) AS sample_texts, count(DISTINCT aspect) FILTER (k <= 5)::INT AS unique_text_count FROM r GROUP BY 1, 2""",
+    "strategic_summary": f"""WITH {_b('7 days')}, i AS (SELECT brand, window_start, sentiment_score AS s, mention_count AS n, coalesce((sentiment_score - lag(sentiment_score, 7) OVER (PARTITION BY brand ORDER BY window_start)) / 7, 0) AS mo FROM b WHERE mention_count >= 1),
+  g AS (SELECT brand, avg(s) AS s, avg(n) AS n, arg_max(s, window_start) AS ls, arg_max(mo, window_start) AS lm FROM i GROUP BY 1), x AS (SELECT * FROM g WHERE brand = 'brand#11'),
+  r AS (SELECT count(*) AS rivals, count(*) FILTER (x.s > g.s) AS ahead, coalesce(string_agg(g.brand, '|' ORDER BY g.brand) FILTER (x.s - g.s > 10), '') AS opportunities, coalesce(string_agg(g.brand, '|' ORDER BY g.brand) FILTER (x.s - g.s < -10), '') AS threats FROM g, x WHERE g.brand IN ('brand#12', 'brand#13', 'brand#21')),
+  a AS (SELECT list_filter([CASE WHEN ls < -20 THEN 'critical:sentiment' END, CASE WHEN ls < 0 AND ls >= -20 THEN 'high:sentiment' END, CASE WHEN lm < -2 THEN 'high:trend' END, CASE WHEN lm > 2 THEN 'medium:trend' END, CASE WHEN n < 100 THEN 'medium:visibility' END], lambda v: v IS NOT NULL) AS recs FROM x)
+  SELECT brand, printf('%s: %s on the whole (%.1f)', brand, CASE WHEN s > 0 THEN 'liked' ELSE 'disliked' END, s) || CASE WHEN rivals > 0 THEN printf('; ahead of %d/%d rivals', ahead, rivals) ELSE '' END || CASE WHEN lm > 0 THEN '; getting better' ELSE '; not getting better' END || '; work on: ' || CASE WHEN len(recs) > 0 THEN array_to_string(list_transform(list_slice(recs, 1, 3), lambda v: split_part(v, ':', 2)), ', ') ELSE 'nothing urgent' END AS strategic_summary,
+  opportunities, threats, array_to_string(recs, '|') AS recommendations FROM x, r, a""",
     "streamed_hourly": f"WITH {_E} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL '1 hour' AS window_end, topic, count(*) AS mention_count, count(y) AS labelled, sum(y) AS sentiment_sum, avg(y) AS avg_sentiment, count(*) FILTER (y = 1) AS positive_count FROM e GROUP BY 1, 2, 3",
 }
 
@@ -147,6 +157,12 @@ def _insights(spark, d):
     return rounded(out.select("brand", "avg_sentiment", "avg_mentions", "total_mentions", "volatility", "stability", F.col("latest.sentiment_score").alias("latest_sentiment"), F.col("latest.mention_count").alias("latest_mentions"), F.explode("competitors").alias("c")).select("*", F.col("c.brand").alias("competitor"), F.col("c.average_sentiment").alias("competitor_sentiment"), "c.sentiment_gap", "c.competitive_position").drop("c"))
 
 
+def _summary(spark, d):
+    out = brand.insight_table(brand.brand_momentum(brand.share_of_voice(_brands(spark, d, "1 week"), 1)), TARGET, RIVALS)
+    given = F.transform("recommendations", lambda r: F.concat_ws(":", r["priority"], r["area"]))
+    return out.select("brand", "strategic_summary", F.array_join("opportunities", "|").alias("opportunities"), F.array_join("threats", "|").alias("threats"), F.array_join(given, "|").alias("recommendations"))
+
+
 def _decomposed(spark, d):
     rows = _events(spark, d).groupBy(F.window("timestamp", "1 day").alias("w")).agg(F.count("*").cast("double").alias("tweet_count")).select(F.col("w.start").alias("window_start"), "tweet_count")
     return rounded(timeseries.decompose(rows, "tweet_count", 7)).select("window_start", "tweet_count", F.col("phase").cast("int").alias("phase"), "trend", "seasonal", "residual")
@@ -175,7 +191,7 @@ QUERIES = {
     "topic_histogram": lambda s, d: topics.histogram(_events(s, d), "topic"),
     "viral_topics": lambda s, d: rounded(topics.viral_topics(_events(s, d), "topic", "value")),
     "topic_network": lambda s, d: rounded(topics.topic_edges(readers.brand_mentions(s, d).groupBy("l_orderkey").agg(F.collect_set("aspect").alias("t")), "t")),
-    "word_overlap": lambda s, d: rounded(topics.word_overlap(s.read.parquet(f"{d}/events.parquet").where("user_id < 4").groupBy(F.col("event_type").alias("topic")).agg(F.array_sort(F.collect_set(F.hour("ts").cast("string"))).alias("words")))),
+    "word_overlap": lambda s, d: rounded(topics.word_overlap(s.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("topic")).agg(F.array_sort(F.collect_set("p_name")).alias("words")))),
     "brand_sentiment_daily": lambda s, d: rounded(_brands(s, d)),
     "share_of_voice_weekly": lambda s, d: rounded(brand.share_of_voice(_brands(s, d, "1 week", 0.9))).select("window_start", "brand", "mention_count", "sentiment_score", "total_mentions", "active_brands", "share_of_voice", "relative_sentiment", "market_concentration", "sov_rank", "sov_change", "sov_change_percent", "market_position"),
     "competitor_comparison": lambda s, d: rounded(brand.compare_competitors(_brands(s, d, "1 week"), TARGET, RIVALS)).select("window_start", "brand", "mention_count", "sentiment_score", "market_rank", "sentiment_rank", "market_share", "sentiment_gap", "mention_gap"),
@@ -190,7 +206,9 @@ QUERIES = {
     "event_statistics": lambda s, d: _statistics(s, d),
     "event_correlations": lambda s, d: _correlations(s, d),
     "streamed_hourly": _streamed,
-    "strategic_summary": lambda s, d: brand.insight_table(brand.brand_momentum(brand.share_of_voice(_brands(s, d, "1 week"), 1)), TARGET, RIVALS).select("brand", "strategic_summary", "opportunities", "threats", "recommendations"),
+    "strategic_summary": _summary,
+    "viral_samples": lambda s, d: rounded(topics.viral_topics(s.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "topic"), "topic", "value", samples="props").withColumn("sample_texts", F.array_join("sample_texts", "|"))),
+    "brand_samples": lambda s, d: brand.brand_sentiment(readers.brand_mentions(s, d), "1 week", 0.9, samples="aspect").select("window_start", "brand", "mention_count", F.array_join("sample_texts", "|").alias("sample_texts"), "unique_text_count"),
     "forecast_brands": lambda s, d: forecast.forecast(_brands(s, d, "1 week"), "brand", "sentiment_score", step_days=7.0),
     "forecast_metrics": lambda s, d: forecast.forecast_metrics(timeseries.sentiment_by_time(_events(s, d), "daily"), ["tweet_count", "avg_sentiment"]),
     "forecast_sentiment": lambda s, d: forecast.forecast_sentiment(_events(s, d)),

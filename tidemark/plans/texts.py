@@ -44,7 +44,7 @@ _T = f"t AS (SELECT doc_id, {_TOK} AS w FROM documents)"
 _F = f"f AS (SELECT doc_id, list_filter(w, lambda x: NOT list_contains({_q(X.STOP_WORDS)}, lower(x))) AS w FROM t)"
 _END = lambda n: f"left(x, length(x) - {n})"
 _DBL = lambda n, least: f"CASE WHEN length(x) - {n} >= {least} AND right({_END(n)}, 1) = right(left(x, length(x) - {n + 1}), 1) AND NOT list_contains(['a','e','i','o','u'], lower(right({_END(n)}, 1))) THEN {_END(n + 1)} ELSE {_END(n)} END"
-_IRR = " ".join(f"WHEN list_contains({_q(v.split())}, lower(x)) THEN '{k}'" for k, v in X.IRREGULAR.items())
+_IRR = " ".join(f"WHEN list_contains({_q([f for f, k in X.IRREGULAR.items() if k == base])}, lower(x)) THEN '{base}'" for base in dict.fromkeys(X.IRREGULAR.values()))
 _LEM = f"""CASE {_IRR} WHEN (lower(x) LIKE '%ies' OR lower(x) LIKE '%ied') AND length(x) > 4 THEN {_END(3)} || 'y' WHEN lower(x) LIKE '%ing' AND length(x) > 4 THEN {_DBL(3, 2)} WHEN lower(x) LIKE '%ed' AND length(x) > 3 THEN {_DBL(2, 3)}
  WHEN lower(x) LIKE '%er' AND length(x) > 3 THEN {_END(2)} WHEN lower(x) LIKE '%est' AND length(x) > 4 THEN {_END(3)} WHEN lower(x) LIKE '%ly' AND length(x) > 3 THEN {_END(2)} WHEN lower(x) LIKE '%ness' AND length(x) > 5 THEN {_END(4)} WHEN lower(x) LIKE '%ment' AND length(x) > 5 THEN {_END(4)}
  WHEN (lower(x) LIKE '%tion' OR lower(x) LIKE '%sion') AND length(x) > 5 THEN {_END(4)} WHEN lower(x) LIKE '%s' AND lower(x) NOT LIKE '%ss' AND lower(x) NOT LIKE '%us' AND length(x) > 2 THEN {_END(1)} ELSE x END"""
@@ -62,6 +62,19 @@ _CNT = lambda c: f"({_N} - length(replace(text, '{c}', '')))"
 _DICT = "(VALUES " + ", ".join(f"('{b}', '{t.lower()}')" for b, _, a, p, _k in BRANDS for t in (b, *a, *p)) + ") AS d(brand, term)"
 _CHUNK = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}'' ]+', ' ', 'g'), '\s+'), lambda x: x <> '')"
 
+#: Where a row stands in [0, 1) by the MD5 of seed and id.
+_PLACE = lambda c: f"(('0x' || substr(md5('42:' || CAST({c} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_EMOJI_CLEAN = f"trim(regexp_replace(regexp_replace({_CLEAN}, '{X.EMOJI_RANGES}', ' ', 'g'), '\\s+', ' ', 'g'))"
+# The words of each English post in the order of their first places, without stop words and as lemmas.
+_WORDS = f"""u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace({_EMOJI_CLEAN}, '{_PUNCT}', ' ', 'g'), '\\s+'), lambda w: w <> '') AS w FROM documents)),
+  o AS (SELECT doc_id, x, min(k) AS k FROM u WHERE NOT list_contains({_q(X.STOP_WORDS)}, lower(x)) GROUP BY 1, 2), e AS (SELECT doc_id, string_agg({_LEM}, chr(1) ORDER BY k) AS j FROM o GROUP BY 1)"""
+_ROWS = "(SELECT doc_id, text FROM documents)"
+_TERMS3 = "(VALUES " + ", ".join(f"('{b}', '{p}')" for b, _, _a, ps, _k in BRANDS for p in ps) + ") AS d(brand, product)"
+_ENDS = "(VALUES (''), " + ", ".join(f"(' {e}')" for e in (*entity.DESCRIPTORS, *range(1, 21))) + ") AS e(ending)"
+_KEYWORDS = "(VALUES " + ", ".join(f"('{b}', '{k}')" for b, _, _a, _p, ks in BRANDS for k in ks if len(k) > 3) + ") AS d(brand, term)"
+_SORTED = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+_RATIO = lambda a, b: f"((greatest(length({a}), length({b})) - levenshtein(regexp_replace({a}, '[^\\x00-\\x7F]', '~', 'g'), regexp_replace({b}, '[^\\x00-\\x7F]', '~', 'g'))) * 100.0::DOUBLE / greatest(length({a}), length({b})))"
+
 SQL: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text_clean, array_to_string(regexp_extract_all(text, '#(\\w+)', 1), '|') AS hashtags FROM documents",
     "emoji_scores": f"SELECT doc_id, (2 * length(regexp_replace(text, '[^{X.EMOJI_GOOD}]', '', 'g')) + length(regexp_replace(text, '[^{X.EMOJI_MILD}]', '', 'g')) - 2 * length(regexp_replace(text, '[^{X.EMOJI_BAD}]', '', 'g')))::INT AS emoji_sentiment FROM documents",
@@ -81,16 +94,33 @@ SQL: dict[str, str] = {
     "data_quality": f"""WITH {_P}, c AS (SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS a, count(*) FILTER (length(trim(text)) = 0) AS b, count(*) FILTER (y IS NULL) AS s, count(*) FILTER (ts IS NULL) AS i, count(*) FILTER (length(trim(text)) > 0 AND y IS NOT NULL AND ts IS NOT NULL) AS f FROM p)
   SELECT n AS initial_count, a AS null_text_count, b AS empty_text_count, s AS null_sentiment_count, i AS invalid_date_count, f AS final_count, n - f AS removed_count, round((n - f) * 100.0::DOUBLE / n, 6) AS removal_percentage FROM c""",
     "class_distribution": f"WITH {_P} SELECT y AS sentiment, count(*) AS count FROM p GROUP BY 1",
-    "trending_hashtags": f"""WITH {_P}, h AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, lower(unnest(string_split_regex(text, '\\s+'))) AS hashtag, y FROM p), c AS (SELECT window_start, hashtag, count(*) AS mention_count, round(avg(y), 6) AS avg_sentiment FROM h GROUP BY 1, 2 HAVING count(*) >= 10)
+    "trending_hashtags": f"""WITH {_P}, h AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, lower(unnest(regexp_extract_all(text, '\\w+'))) AS hashtag, y FROM p), c AS (SELECT window_start, hashtag, count(*) AS mention_count, round(avg(y), 6) AS avg_sentiment FROM h GROUP BY 1, 2 HAVING count(*) >= 10)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY mention_count DESC, hashtag)::INT AS rank FROM c) WHERE rank <= 10""",
-    "virality_text": f"""SELECT doc_id, round(0.5 * 0.3 + (len(regexp_extract_all(text, '#(\\w+)', 1)) > 0)::INT * 0.2 + contains(text, 'http')::INT * 0.1 + ({_CNT('!')} + {_CNT('?')}) * 0.01::DOUBLE, 6) AS virality_score, CASE WHEN round(0.5 * 0.3 + (len(regexp_extract_all(text, '#(\\w+)', 1)) > 0)::INT * 0.2 + contains(text, 'http')::INT * 0.1 + ({_CNT('!')} + {_CNT('?')}) * 0.01::DOUBLE, 6) > 0.7 THEN 'high'
-  WHEN round(0.5 * 0.3 + (len(regexp_extract_all(text, '#(\\w+)', 1)) > 0)::INT * 0.2 + contains(text, 'http')::INT * 0.1 + ({_CNT('!')} + {_CNT('?')}) * 0.01::DOUBLE, 6) > 0.4 THEN 'medium' ELSE 'low' END AS virality_potential FROM documents""",
-    "virality_engagement": """SELECT o_orderkey, round((o_custkey * 2 + o_orderkey) / (o_totalprice + 1) * 0.4 + 0.25 * 0.2, 6) AS virality_score FROM orders""",
+    "virality_text": f"""WITH {_P}, s AS (SELECT doc_id, round(abs(coalesce(y, 0.5::DOUBLE) * 2 - 1) * 0.3 + (len(regexp_extract_all(text, '#(\\w+)', 1)) > 0)::INT * 0.2 + contains(text, 'http')::INT * 0.1 + ({_CNT('!')} + {_CNT('?')} + 2 * length(regexp_replace(text, '[^{X.EMOJI_GOOD}]', '', 'g')) + length(regexp_replace(text, '[^{X.EMOJI_MILD}]', '', 'g')) - 2 * length(regexp_replace(text, '[^{X.EMOJI_BAD}]', '', 'g'))) * 0.01::DOUBLE, 6) AS virality_score FROM p)
+  SELECT *, CASE WHEN virality_score > 0.7 THEN 'high' WHEN virality_score > 0.4 THEN 'medium' ELSE 'low' END AS virality_potential FROM s""",
+    "virality_engagement": """SELECT o_orderkey, round((o_custkey * 2 + o_orderkey) / (o_totalprice + 1) * 0.4 + abs((o_custkey % 21 - 10) / 10.0::DOUBLE) * 0.2 + (o_orderstatus <> 'P')::INT * 0.15 + (o_orderpriority LIKE '1%')::INT * 0.15 + (o_orderpriority LIKE '2%')::INT * 0.1, 6) AS virality_score FROM orders""",
     "brand_chunks_exact": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk FROM w) SELECT doc_id AS id, brand, count(*) AS hits FROM c JOIN {_DICT} ON chunk = term GROUP BY 1, 2""",
     "brand_terms_fuzzy": f"""WITH w AS (SELECT {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT unnest(w) AS chunk FROM w) SELECT chunk, term, brand, round((greatest(length(chunk), length(term)) - levenshtein(regexp_replace(chunk, '[^\\x00-\\x7F]', '~', 'g'), term)) * 100.0::DOUBLE / greatest(length(chunk), length(term)), 6) AS ratio FROM c JOIN {_DICT} ON left(chunk, 1) = left(term, 1) AND abs(length(chunk) - length(term)) <= 2 AND length(chunk) >= 3
   WHERE (greatest(length(chunk), length(term)) - levenshtein(regexp_replace(chunk, '[^\\x00-\\x7F]', '~', 'g'), term)) * 100.0 / greatest(length(chunk), length(term)) >= 75""",
     "competitive_context": f"""WITH w AS (SELECT doc_id, lower(text) AS t, {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT doc_id, t, lower(brand) AS brand FROM (SELECT doc_id, t, unnest(w) AS chunk FROM w) JOIN {_DICT} ON chunk = term)
   SELECT a.doc_id AS id, a.brand AS brand_a, b.brand AS brand_b, CASE WHEN {' OR '.join(f"contains(a.t, '{p}')" for p in entity.COMPARISONS)} THEN 'comparison' ELSE 'co-mention' END AS context FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.brand < b.brand WHERE (a.brand, b.brand) IN (('reed', 'thing'), ('onion', 'thing'))""",
+    "hash_sample": f"SELECT doc_id FROM documents WHERE {_PLACE('doc_id')} < 0.1::DOUBLE",
+    "balanced_sample": f"""WITH {_P}, c AS (SELECT y, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1), t AS (SELECT y, least(sum(n) OVER () * 0.1::DOUBLE / count(*) OVER () / n, 1) AS share FROM c) SELECT doc_id AS tweet_id, y AS sentiment FROM p JOIN t USING (y) WHERE {_PLACE('doc_id')} < share""",
+    "preprocessed_posts": f"""WITH {_LANG}, {_WORDS}, {_P} SELECT p.doc_id AS tweet_id, replace(coalesce(j, ''), chr(1), ' ') AS text_processed, y AS sentiment, ts AS timestamp, '' AS hashtags,
+  (2 * length(regexp_replace(p.text, '[^{X.EMOJI_GOOD}]', '', 'g')) + length(regexp_replace(p.text, '[^{X.EMOJI_MILD}]', '', 'g')) - 2 * length(regexp_replace(p.text, '[^{X.EMOJI_BAD}]', '', 'g')))::INT AS emoji_sentiment,
+  length(p.text)::INT AS text_length, length(coalesce(j, ''))::INT AS processed_length, (CASE WHEN j IS NULL THEN 0 ELSE len(string_split(j, chr(1))) END)::INT AS token_count, replace(coalesce(j, ''), chr(1), '|') AS tokens_lemmatized, language AS detected_language, round(confidence, 6) AS language_confidence
+  FROM p JOIN r USING (doc_id) LEFT JOIN e USING (doc_id) WHERE language = 'en' AND confidence >= 0.5""",
+    "product_extraction": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS chunk FROM w)
+  SELECT DISTINCT doc_id AS id, product, brand, 1.0::DOUBLE AS confidence FROM c JOIN (SELECT brand, product, product || ending AS term FROM {_TERMS3}, {_ENDS}) ON chunk = term""",
+    "product_matches": f"""WITH w AS (SELECT conv_id, turn, {_CHUNK} AS w FROM conversations), c AS (SELECT DISTINCT unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS chunk FROM w),
+  t AS (SELECT brand, product, product || ending AS term FROM {_TERMS3}, {_ENDS}), m AS (SELECT chunk, term, brand, product, {_RATIO(_SORTED('chunk'), _SORTED('term'))} AS ratio FROM c JOIN t ON length(chunk) >= 3 AND least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 70.0 - 0.000001)
+  SELECT chunk, term, brand, product, round(ratio, 6) AS ratio FROM m WHERE ratio >= 70""",
+    "brand_recognition_exact": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk, unnest(range(0, len(w))) AS position FROM w), x AS (SELECT doc_id, brand, min(position) AS position FROM c JOIN {_DICT} ON chunk = term WHERE length(chunk) >= 3 GROUP BY 1, 2),
+  k AS (SELECT doc_id, brand, count(DISTINCT chunk) AS k FROM c JOIN {_KEYWORDS} ON chunk = term GROUP BY 1, 2 HAVING count(DISTINCT chunk) >= 2), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+  a AS (SELECT doc_id, brand, 1.0::DOUBLE AS confidence, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85) / 100, -1 FROM k LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
+  SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, confidence), '|' ORDER BY confidence DESC, position, brand) AS brands FROM a GROUP BY 1""",
+    "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
+  g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
     "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
     "model_metrics": """WITH c AS (SELECT toxic AS label, 1 - quality AS prediction, count(*) AS n FROM labels GROUP BY 1, 2), r AS (SELECT label, sum(n) AS actual, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hit FROM c GROUP BY 1), s AS (SELECT prediction AS label, sum(n) AS said FROM c GROUP BY 1), p AS (SELECT actual, hit, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / actual, 0) AS r FROM r LEFT JOIN s USING (label)), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM p)
   SELECT round(sum(hit) / sum(actual), 6) AS accuracy, round(sum(p * actual) / sum(actual), 6) AS precision, round(sum(r * actual) / sum(actual), 6) AS recall, round(sum(f * actual) / sum(actual), 6) AS f1 FROM f""",
@@ -114,14 +144,18 @@ def _language(spark, d):
 
 
 def _viral(spark, d):
-    rows = _docs(spark, d).withColumns({"hashtags": X.hashtags(F.col("text")), "vader_compound": F.lit(-0.5), "exclamation_count": X.count_of(F.col("text"), "!"), "question_count": X.count_of(F.col("text"), "?"), "emoji_sentiment": F.lit(0)})
+    mood = F.coalesce(F.col("sentiment"), F.lit(0.5)) * 2 - 1
+    rows = _posts(spark, d).withColumns({"hashtags": X.hashtags(F.col("text")), "vader_compound": mood, "exclamation_count": X.count_of(F.col("text"), "!"), "question_count": X.count_of(F.col("text"), "?"), "emoji_sentiment": X.emoji_score(F.col("text"))})
     out = virality.text_virality(rows)
     score = F.round("virality_score", 6)
-    return out.select("doc_id", score.alias("virality_score"), F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low").alias("virality_potential"))
+    return out.select(F.col("tweet_id").alias("doc_id"), score.alias("virality_score"), F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low").alias("virality_potential"))
 
 
 def _engaged(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.lit("plain").alias("text"), F.array().cast("array<string>").alias("hashtags"), F.lit(0.25).alias("vader_compound"), F.col("o_custkey").alias("retweet_count"), F.col("o_orderkey").alias("favorite_count"), F.col("o_totalprice").alias("follower_count"))
+    """Orders as posts: the priority tells whether one mentions somebody or has a link, the status whether it has a tag."""
+    sign = F.when(F.startswith("o_orderpriority", F.lit("1")), "@shop ").when(F.startswith("o_orderpriority", F.lit("2")), "http://shop ").otherwise("")
+    text = F.concat(sign, F.when(F.col("o_orderstatus") != "P", "#sold").otherwise("pending"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.alias("text"), X.hashtags(text).alias("hashtags"), ((F.col("o_custkey") % 21 - 10) / 10).alias("vader_compound"), F.col("o_custkey").alias("retweet_count"), F.col("o_orderkey").alias("favorite_count"), F.col("o_totalprice").alias("follower_count"))
     return rounded(virality.engagement_virality(rows).select("o_orderkey", "virality_score"))
 
 
@@ -140,7 +174,7 @@ def _context(spark, d):
     hits = entity.matches(_docs(spark, d), terms(spark), "doc_id", "text", fuzzy=None).where("n = 1")
     rows = hits.groupBy("id").agg(F.collect_set("brand").alias("brands")).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
     rivals = entity.competitor_map(spark.createDataFrame([("Thing", "Onion")], "brand string, competitor string"))
-    return entity.competitive_context(rows, rivals, terms(spark).select("brand", "industry").distinct())
+    return entity.competitive_context(rows, rivals, terms(spark).select("brand", "industry").distinct(), phrases=None)
 
 
 def _features(spark, d):
@@ -149,7 +183,7 @@ def _features(spark, d):
 
 
 def _model_data(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(F.col("l_extendedprice") > 25 * 1400 + 1000 * F.rand(1), 1).otherwise(0).alias("sentiment"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(F.col("l_extendedprice") > 25 * 1400 + 1000 * quality.place("l_orderkey", 1), 1).otherwise(0).alias("sentiment"))
     return quality.hash_split(rows, "id"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -178,7 +212,22 @@ def _clusters(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector("embedding").alias("features"))
-    return topics.kmeans_clusters(rows, 10).groupBy("cluster").agg(F.count("*").alias("size"))
+    return topics.kmeans_clusters(rows, 10).select("vec_id", "cluster")
+
+
+def _product_matches(spark, d):
+    each = entity.chunks(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "text", 3).select("chunk").distinct()
+    return rounded(entity.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, by=entity.token_sort_ratio).select("chunk", "term", "brand", "product", "ratio"))
+
+
+def _token_ids(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _plain_words(F.lower("text")).alias("tokens"))
+    return models.token_ids(rows, models.vocabulary(rows, size=500), "id").select("id", F.array_join("ids", " ").alias("ids"))
+
+
+def _preprocessed(spark, d):
+    out = preprocess.pipeline(_posts(spark, d)).drop("text").withColumns({"hashtags": _joined("hashtags"), "tokens_lemmatized": _joined("tokens_lemmatized")})
+    return rounded(out)
 
 
 QUERIES = {
@@ -199,7 +248,8 @@ QUERIES = {
     "keyword_summary": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select(X.keyword_sentiment(F.col("text"))["sentiment"].alias("sentiment")).groupBy("sentiment").count(),
     "data_quality": lambda s, d: rounded(quality.quality_report(_posts(s, d))),
     "class_distribution": lambda s, d: quality.class_counts(_posts(s, d)),
-    "trending_hashtags": lambda s, d: rounded(topics.trending(_posts(s, d).withColumn("hashtags", F.split("text", r"\s+")))),
+    # The texts have no tags of their own, so every word is written as one.
+    "trending_hashtags": lambda s, d: rounded(topics.trending(_posts(s, d).withColumn("hashtags", X.hashtags(F.regexp_replace("text", r"(\w+)", "#$1"))))),
     "virality_text": _viral,
     "virality_engagement": _engaged,
     "brand_chunks_exact": _exact,
@@ -208,10 +258,14 @@ QUERIES = {
     "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens")), size=500),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
     "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", whole=True).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
-    "product_extraction": lambda s, d: entity.extract_products(_docs(s, d), terms(s), "doc_id"),
+    "brand_recognition_exact": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", fuzzy=None).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
+    "product_extraction": lambda s, d: entity.extract_products(_docs(s, d), terms(s), "doc_id", fuzzy=None),
+    "product_matches": _product_matches,
+    "product_extraction_fuzzy": lambda s, d: entity.extract_products(s.read.parquet(f"{d}/conversations.parquet").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), terms(s)),
+    "token_ids": _token_ids,
     "balanced_sample": lambda s, d: quality.balanced_sample(_posts(s, d).where("sentiment IS NOT NULL"), "tweet_id", 0.1).select("tweet_id", "sentiment"),
     "hash_sample": lambda s, d: quality.hash_sample(_docs(s, d), "doc_id", 0.1).select("doc_id"),
-    "preprocessed_posts": lambda s, d: preprocess.pipeline(_posts(s, d)).drop("text").withColumns({"hashtags": _joined("hashtags"), "tokens_lemmatized": _joined("tokens_lemmatized")}),
+    "preprocessed_posts": _preprocessed,
     "lexicon_sentiment": lambda s, d: _docs(s, d).select("doc_id", lexicon_sentiment(F.col("text")).alias("s")).select("doc_id", "s.compound", "s.positive", "s.negative", "s.neutral"),
     "feature_table": lambda s, d: _features(s, d).select("tweet_id", "token_count", "2gram_count", "3gram_count", "exclamation_count", "uppercase_ratio", "vader_compound", "brand_count", "category_count"),
     "word2vec_similar": _vectors,

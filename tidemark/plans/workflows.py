@@ -26,7 +26,7 @@ def intelligence(spark: SparkSession, posts: DataFrame, terms: DataFrame, folder
     """Brands, share of voice, momentum, insights, topics and forecasts; brand sentiment is computed once and reused."""
     stages = Stages(spark, folder)
     found = stages.save("brands", brand_rows(posts, terms, id_col))
-    flat = found.select("*", F.explode("detected_brands").alias("b")).withColumns({"brand": F.lower("b.brand"), "confidence": F.col("b.confidence")}).drop("b", "detected_brands")
+    flat = found.select("*", F.explode("detected_brands").alias("b")).withColumns({"brand": F.lower("b.brand"), "confidence": F.col("b.confidence")}).drop("b", "detected_brands", "detected_products")
     daily = stages.save("brand_sentiment", brand.brand_sentiment(flat))
     out = {"brands": found, "brand_sentiment": daily, "share_of_voice": brand.share_of_voice(daily, least=1), "momentum": brand.brand_momentum(daily)}
     if target:
@@ -39,6 +39,6 @@ def intelligence(spark: SparkSession, posts: DataFrame, terms: DataFrame, folder
 
 
 def brand_rows(posts: DataFrame, terms: DataFrame, id_col: str = "tweet_id") -> DataFrame:
-    """posts with detected_brands and the first of them as primary_brand; those without any go."""
-    out = entity.detect_brands(posts, terms, id_col)
+    """posts with detected_brands, detected_products and the first brand as primary_brand; those without any brand go."""
+    out = entity.detect_products(entity.detect_brands(posts, terms, id_col), terms, id_col)
     return out.where("size(detected_brands) > 0").withColumn("primary_brand", F.get("detected_brands", F.lit(0))["brand"])

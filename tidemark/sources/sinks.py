@@ -60,13 +60,30 @@ def write_insight(insight: DataFrame, path: str) -> None:
     insight.select(F.to_json(F.struct(*insight.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _packed(batches: Iterator) -> Iterator:
+    """Each Arrow batch as one row that holds its stream."""
+    import pyarrow as pa
+
+    for b in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, b.schema) as stream:
+            stream.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+
 def pandas_batches(df: DataFrame, rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """The rows as pandas frames of `rows` rows at most, one partition at a time on the driver."""
-    batch: list = []
-    for r in df.toLocalIterator():
-        batch.append(r)
-        if len(batch) == rows:
-            yield pd.DataFrame(batch, columns=df.columns)
-            batch = []
-    if batch:
-        yield pd.DataFrame(batch, columns=df.columns)
+    """The rows as pandas frames of `rows` rows at most, in Arrow batches, one partition at a time on the driver."""
+    import pyarrow as pa
+
+    held: list = []
+    size = 0
+    for r in df.mapInArrow(_packed, "batch binary").toLocalIterator():
+        table = pa.ipc.open_stream(bytes(r["batch"])).read_all()
+        held.append(table)
+        size += table.num_rows
+        while size >= rows:
+            every = pa.concat_tables(held)
+            yield every.slice(0, rows).to_pandas()
+            held, size = [every.slice(rows)], size - rows
+    if size:
+        yield pa.concat_tables(held).to_pandas()
