@@ -284,3 +284,22 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector, at a cosine of 0.98 within a label."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     return near_vectors(vectors).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs of a label, and what is reachable over links.
+ORACLE: dict[str, str] = {
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT vec_id, label, e, len(e) AS n, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98::DOUBLE
+), r AS (
+  SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a
+), c AS (
+  SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+}

@@ -10,7 +10,9 @@ How it works
   batch. Each batch, in turn, is merge-anti-joined with the settled hashes of the runs so far (a settled hash needs
   nothing more, since later batches only hold smaller ids); what is left is sorted and becomes a run of level 0.
 - Two runs of one level are compacted into one of the next, summing documents and taking the largest id.
-- The last run's settled hashes are joined to the hash table; what they hit is dropped from the texts.
+- The last run's settled hashes are joined to the hash table; what they hit is dropped from the texts. Hashes that
+  have more than 1 / `hot` of all lines within one batch, of which there are `hot` at most, are broadcast, so that no line
+  however common meets in one place; the others are joined by hash.
 
 Cases: a null or empty text is one empty line, hash sha256(''). A row of the table is a document: repeated rows
 each count and each get a result. Rows of null id come last in the order of ids, so another holder wins over them.
@@ -56,9 +58,9 @@ class LineRuns:
         return union.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
     def settled(self) -> DataFrame:
-        """(h1, h2, holder) of the hashes in at least min_docs documents."""
+        """(h1, h2, n, holder) of the hashes in at least min_docs documents."""
         runs = [run for level in self.levels for run in level]
-        return (self._merged(runs) if len(runs) > 1 else runs[0]).where(F.col("n") >= self.min_docs).select("h1", "h2", "holder")
+        return (self._merged(runs) if len(runs) > 1 else runs[0]).where(F.col("n") >= self.min_docs)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -66,7 +68,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"), *more)
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, hot: int = 20_000) -> DataFrame:
     """(_id, _t, gone): for each document that loses lines, the sorted numbers (from 0) of those it loses."""
     rows = _rows(docs, id_col, text_col)
     key = lambda x: F.btrim(x, F.lit(WS))
@@ -85,7 +87,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = LineRuns(min_docs)
     for b in range(batches if cuts else 1):
         runs.add(held.where(F.col("batch") == b).drop("batch"))
-    hit = lines.join(runs.settled(), ["h1", "h2"]).where("_id < holder")
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = held.where(F.col("n") > total / hot).select("h1", "h2").distinct()  # at most `hot` rows
+    settled = materialize(runs.settled().select("h1", "h2", "holder"), "settled")
+    common = settled.join(F.broadcast(common), ["h1", "h2"], "left_semi").select("h1", "h2", F.col("holder").alias("top"))
+    lines = lines.join(F.broadcast(common), ["h1", "h2"], "left")
+    hit = lines.where("_id < top").drop("top").unionByName(lines.where("top IS NULL").drop("top").join(settled, ["h1", "h2"]).where("_id < holder").drop("holder"))
     return hit.groupBy("_id", "_t").agg(F.array_sort(F.collect_set("k")).alias("gone"))
 
 

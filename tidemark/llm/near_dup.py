@@ -286,3 +286,32 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document, by shingles of two words and a similarity of 0.8."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, k=2).withColumnRenamed("id", "doc_id")
+
+
+#: Sets of shingles, all pairs that share one, and what is reachable over links. Code points stand for bytes: both cut the same words.
+ORACLE: dict[str, str] = {
+    "op10_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), u AS (
+  SELECT min(doc_id) AS rep, any_value(n) AS n, bits FROM (SELECT doc_id, n.n, md5(string_agg(shingle, chr(0) ORDER BY shingle)) AS bits FROM s JOIN n USING (doc_id) GROUP BY doc_id, n.n) GROUP BY bits
+), k AS (
+  SELECT s.* FROM s JOIN u ON s.doc_id = u.rep
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM k x JOIN k y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)
+), r AS (
+  SELECT rep, rep AS reached FROM u UNION SELECT r.rep, l.b FROM r JOIN l ON r.reached = l.a
+), c AS (
+  SELECT rep, min(reached) AS component_id FROM r GROUP BY rep
+), f AS (
+  SELECT doc_id, md5(string_agg(shingle, chr(0) ORDER BY shingle)) AS bits FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN u USING (bits) LEFT JOIN c ON u.rep = c.rep""",
+}

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**decontam.ORACLE, **line_dedup.ORACLE}
+    return {**decontam.ORACLE, **embed_dedup.ORACLE, **line_dedup.ORACLE, **warc.ORACLE, **near_dup.ORACLE}

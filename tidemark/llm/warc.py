@@ -273,4 +273,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ORACLE: dict[str, str] = {}
+#: Base32 of SHA-1: eight groups of five hexadecimal digits, four letters each.
+ORACLE: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), h AS (
+  SELECT hex, max(page_id) AS holder FROM p GROUP BY hex
+), d AS (
+  SELECT hex, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, i * 5 + 1, 5))::INTEGER >> b::INTEGER) % 32 + 1, 1)), '')), '') AS digest FROM h
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM holder AND holder IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM p JOIN h USING (hex) JOIN d USING (hex)""",
+}
