@@ -100,8 +100,7 @@ SQL: dict[str, str] = {
   SELECT *, CASE WHEN virality_score > 0.7 THEN 'high' WHEN virality_score > 0.4 THEN 'medium' ELSE 'low' END AS virality_potential FROM s""",
     "virality_engagement": """SELECT o_orderkey, round((o_custkey * 2 + o_orderkey) / (o_totalprice + 1) * 0.4 + abs((o_custkey % 21 - 10) / 10.0::DOUBLE) * 0.2 + (o_orderstatus <> 'P')::INT * 0.15 + (o_orderpriority LIKE '1%')::INT * 0.15 + (o_orderpriority LIKE '2%')::INT * 0.1, 6) AS virality_score FROM orders""",
     "brand_chunks_exact": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk FROM w) SELECT doc_id AS id, brand, count(*) AS hits FROM c JOIN {_DICT} ON chunk = term GROUP BY 1, 2""",
-    "brand_terms_fuzzy": f"""WITH w AS (SELECT {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT unnest(w) AS chunk FROM w) SELECT chunk, term, brand, round((greatest(length(chunk), length(term)) - levenshtein(regexp_replace(chunk, '[^\\x00-\\x7F]', '~', 'g'), term)) * 100.0::DOUBLE / greatest(length(chunk), length(term)), 6) AS ratio FROM c JOIN {_DICT} ON left(chunk, 1) = left(term, 1) AND abs(length(chunk) - length(term)) <= 2 AND length(chunk) >= 3
-  WHERE (greatest(length(chunk), length(term)) - levenshtein(regexp_replace(chunk, '[^\\x00-\\x7F]', '~', 'g'), term)) * 100.0 / greatest(length(chunk), length(term)) >= 75""",
+    "brand_terms_fuzzy": f"""WITH w AS (SELECT {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT unnest(w) AS chunk FROM w) SELECT chunk, term, brand, round({_RATIO('chunk', 'term')}, 6) AS ratio FROM c JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 75.0 - 0.000001 AND length(chunk) >= 3 WHERE {_RATIO('chunk', 'term')} >= 75""",
     "competitive_context": f"""WITH w AS (SELECT doc_id, lower(text) AS t, {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT doc_id, t, lower(brand) AS brand FROM (SELECT doc_id, t, unnest(w) AS chunk FROM w) JOIN {_DICT} ON chunk = term)
   SELECT a.doc_id AS id, a.brand AS brand_a, b.brand AS brand_b, CASE WHEN {' OR '.join(f"contains(a.t, '{p}')" for p in entity.COMPARISONS)} THEN 'comparison' ELSE 'co-mention' END AS context FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.brand < b.brand WHERE (a.brand, b.brand) IN (('reed', 'thing'), ('onion', 'thing'))""",
     "hash_sample": f"SELECT doc_id FROM documents WHERE {_PLACE('doc_id')} < 0.1::DOUBLE",
@@ -164,10 +163,9 @@ def _exact(spark, d):
 
 
 def _fuzzy(spark, d):
-    known = terms(spark).where("kind <> 'keyword'").withColumns({"f": F.substring("term", 1, 1), "l": F.char_length("term")})
-    each = entity.chunks(_docs(spark, d), "doc_id", "text", 1).select("chunk").distinct().withColumns({"f": F.substring("chunk", 1, 1), "l": F.explode(F.sequence(F.char_length("chunk") - 2, F.char_length("chunk") + 2))})
-    out = each.join(F.broadcast(known), ["f", "l"]).withColumn("ratio", entity.ratio(F.col("chunk"), F.col("term"))).where("ratio >= 75")
-    return rounded(out.select("chunk", "term", "brand", "ratio"))
+    each = entity.chunks(_docs(spark, d), "doc_id", "text", 1).select("chunk").distinct()
+    known = terms(spark).where("kind <> 'keyword'")
+    return rounded(entity.similar_pairs(each, known, 75.0).select("chunk", "term", "brand", "ratio"))
 
 
 def _context(spark, d):
