@@ -15,7 +15,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "tolist") and getattr(v, "ndim", 0):
         return [_plain(x) for x in v.tolist()]
