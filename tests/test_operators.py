@@ -328,3 +328,15 @@ def test_pandas_batches(spark):
     got = list(sinks.pandas_batches(df, 1_000))
     assert [len(b) for b in got] == [1_000, 1_000, 500] and sorted(x for b in got for x in b["id"]) == list(range(2_500))
     assert list(sinks.pandas_batches(df.limit(0))) == []
+
+
+def test_tfidf_weights_against_plain_counts(spark):
+    import math
+
+    docs = {1: ["a", "b", "a"], 2: ["b", "c"], 3: None, 4: ["d"]}
+    rows = spark.createDataFrame([(i, t) for i, t in docs.items()], "id long, tokens array<string>")
+    got = {r.id: r.tfidf_features.toArray() for r in features.tfidf(rows, "tokens", width=1 << 12, min_docs=1).collect()}
+    df = {"a": 1, "b": 2, "c": 1, "d": 1}
+    for i, words in docs.items():
+        want = sorted((words or []).count(w) * math.log(5 / (df[w] + 1)) for w in set(words or []))
+        assert np.allclose(sorted(x for x in got[i] if x), want)

@@ -152,7 +152,8 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: st
     near = similar_pairs(each, known, fuzzy, broadcast_terms, whole).drop("ratio").where(F.col("chunk") != F.col("term"))
     near = near.withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
-    return exact.select(cols).unionByName(found.join(best, "chunk").select(cols))
+    # Chunks that are like a term are few as a rule; counted, they go to the texts, whose chunks then needn't be shuffled.
+    return exact.select(cols).unionByName(found.join(_side(best, 10 * broadcast_terms), "chunk").select(cols))
 
 
 def without_overlaps(cands: Column) -> Column:
@@ -174,13 +175,14 @@ def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     flat = per.select("id", F.explode("m").alias("x")).select("id", F.col("x.brand").alias("brand"), (-F.col("x.s") / 100).alias("confidence"), F.when(F.col("x.s") == -100, "exact").otherwise("fuzzy").alias("match_type"), F.col("x.position").alias("position"))
     if context:
         keys = terms.where("kind = 'keyword'")
-        words = chunks(texts, id_col, text_col, _size(keys)).select("id", "chunk").distinct()
+        # Distinct only once they are few: most words are no keyword.
+        words = chunks(texts, id_col, text_col, _size(keys)).select("id", "chunk")
         alike = words.select("chunk").distinct()
         alike = alike.join(_side(keys, 20_000), alike["chunk"] == keys["term"]).select("chunk", "brand", "term")
         if fuzzy is not None:
             single = words.select("chunk").distinct().where(~F.contains("chunk", F.lit(" ")))
             alike = alike.unionByName(similar_pairs(single, keys, KEYWORD_RATIO).select("chunk", "brand", "term")).distinct()
-        hits = words.join(alike, "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
+        hits = words.join(_side(alike, 200_000), "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")
         flat = flat.unionByName(hits.select("id", "brand", (F.least(50 + 10 * F.col("k"), F.lit(85)) / 100).alias("confidence"), F.lit("context").alias("match_type"), F.lit(-1).alias("position")))
@@ -223,7 +225,7 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
     else:
         near = similar_pairs(found.select("chunk").distinct(), known, fuzzy, by=token_sort_ratio)
         best = near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio")
-        got = found.join(best, "chunk")
+        got = found.join(_side(best, 200_000), "chunk")
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
     out = per.select("id", F.explode("m").alias("x")).groupBy("id", F.col("x.product").alias("product"), F.col("x.brand").alias("brand")).agg((-F.min("x.s") / 100).alias("confidence"))

@@ -197,6 +197,13 @@ def _vectors(spark, d):
     return features.word2vec(rows, "tokens").select("conv_id", "turn", vector_to_array("word2vec_features").alias("word2vec_features"))
 
 
+def _tfidf(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens"))
+    return features.tfidf(rows, "tokens", width=256).select("conv_id", "turn", vector_to_array("tfidf_features").alias("tfidf_features"))
+
+
 def _topics(online: bool):
     def run(spark, d):
         docs = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens")).where("size(tokens) > 2")
@@ -267,6 +274,7 @@ QUERIES = {
     "lexicon_sentiment": lambda s, d: _docs(s, d).select("doc_id", lexicon_sentiment(F.col("text")).alias("s")).select("doc_id", "s.compound", "s.positive", "s.negative", "s.neutral"),
     "feature_table": lambda s, d: _features(s, d).select("tweet_id", "token_count", "2gram_count", "3gram_count", "exclamation_count", "uppercase_ratio", "vader_compound", "brand_count", "category_count"),
     "word2vec_similar": _vectors,
+    "tfidf_vectors": _tfidf,
     "lda_topics": _topics(False),
     "lda_topics_online": _topics(True),
     "kmeans_clusters": _clusters,
