@@ -16,7 +16,8 @@ linked if 100 * intersection >= percent * union. The result is each document's c
    joins; in larger ones the sets, folded to 31-bit hashes, come to the blocks, which return what may still be a link
    (folding only adds to an intersection) for the full sets to confirm, so that near misses in a large group make no
    rows. Every pair that shares a bucket is either connected already or checked; none is capped.
-   A large group of copies is connected in step 3 and costs a row each.
+   A large group of copies is connected in step 3 and costs a row each. Facts of the buckets that hold more than
+   1 / COMMON of all rows, COMMON of them at most, are broadcast to their rows; the others are joined by bucket.
 
 At a similarity of 0.8, 24 bands of 4 rows miss a pair with probability 3e-6; the sketch test leaves a margin of 5.5
 standard deviations.
@@ -42,6 +43,8 @@ from .common import components, materialize, task_count, tidy
 BANDS, ROWS, BITS = 24, 4, 512
 #: Classes in a block, without and with sets; classes in a bucket beyond which sets are sent to the blocks.
 BLOCK, SET_BLOCK, HOT = 2048, 1024, 64
+#: Buckets at most whose facts are broadcast.
+COMMON = 20_000
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | _U(1)
@@ -236,8 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = named.join(shared, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
 
     bands = classes.select(F.explode("keys").alias("bucket"), "node")
-    counts = bands.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
-    bands = materialize(bands.join(counts, "bucket"), "buckets")
+    counts = materialize(bands.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1"), "counts")
+    cut = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] / COMMON
+    large = F.col("count") > cut
+    found = bands.join(F.broadcast(counts.where(large)), "bucket", "left")
+    found = found.where("count IS NOT NULL").unionByName(found.where("count IS NULL").drop("count").join(counts.where(~large), "bucket"))
+    bands = materialize(found, "buckets")
+
+    def by_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """rows (bucket, count, ...) with the facts (bucket, count, ...) of their bucket."""
+        near = rows.where(large).join(F.broadcast(facts.where(large).drop("count")), "bucket")
+        return near.unionByName(rows.where(~large).join(facts.where(~large).drop("count"), "bucket"))
+
     involved = classes.join(bands.select("node").distinct(), "node").select("node", F.col("rep").alias("id"), "t")
     # The texts of classes that share a bucket, once each.
     held = texts.where("text IS NOT NULL").join(involved, ["id", "t"]).dropDuplicates(["node"])
@@ -255,21 +268,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component = None
     for t in range(rounds):
-        members = bands.select("bucket", "node")
+        members = bands.select("bucket", "node", "count")
         if component is None:
             members = members.withColumn("component", F.col("node"))
         else:
-            members = members.join(component, members["node"] == component["id"], "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(t), "node") if t else F.lit(0).cast("long"), "node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        pairs = members.join(lead.select("bucket", F.col("lead.node").alias("a"), F.col("lead.component").alias("ca")), "bucket").where("component <> ca")
+            members = members.join(component, members["node"] == component["id"], "left").select("bucket", "node", "count", F.coalesce("component", "node").alias("component"))
+        lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(t), "node") if t else F.lit(0).cast("long"), "node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("count").alias("count")).where("lo <> hi")
+        pairs = by_bucket(members, lead.select("bucket", "count", F.col("lead.node").alias("a"), F.col("lead.component").alias("ca"))).where("component <> ca")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most)).select("a", "b")
         links = materialize(links.unionByName(confirmed(pairs)), f"links{t}")
         component = components(links)
     members = bands.join(component, bands["node"] == component["id"], "left").select("bucket", "node", "count", F.coalesce("component", "node").alias("component"))
-    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    cross = members.join(open_, "bucket").join(classes.select("node", "n", "keys", "sketch"), "node")
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("count").alias("count")).where("lo <> hi").select("bucket", "count")
+    cross = by_bucket(members, open_).join(classes.select("node", "n", "keys", "sketch"), "node")
     cross = materialize(cross, "cross")
     folded = sets.select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
     hot = cross.where(F.col("count") > HOT).join(folded, "node")
