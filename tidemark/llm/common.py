@@ -54,11 +54,11 @@ def clear_scratch(spark: SparkSession, since: int, but: str = "") -> None:
     _SCRATCH[since:] = [but] if but else []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

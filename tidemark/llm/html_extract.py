@@ -432,7 +432,7 @@ def _with_host(rows: DataFrame, template: DataFrame, broadcast_tokens: int, how:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = 200_000, **rule) -> DataFrame:
     """(id, url, text) of every row."""
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = materialize(tokenise(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "parsed")
+    parsed = materialize(tokenise(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "parsed", "zstd")
     template = materialize(deduce(parsed, broadcast_tokens=broadcast_tokens, **rule), "template")
     joined = _with_host(parsed.drop("page", "kinds", "nth"), template, broadcast_tokens, "left").withColumns({"id": F.col("id").cast("string"), "main": F.col("main").cast("string")})
 
