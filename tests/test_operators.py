@@ -280,7 +280,7 @@ def test_products_by_ratio(spark, terms):
     words = "my iphnoe 12 is old".split()
     phrases = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
     every = spark.createDataFrame([(p,) for p in phrases if len(p) > 2], "chunk string").crossJoin(entity.product_terms(terms)).where(entity.token_sort_ratio(F.col("chunk"), F.col("term")) >= 70)
-    near = entity.similar_pairs(spark.createDataFrame([(p,) for p in phrases if len(p) > 2], "chunk string"), entity.product_terms(terms), 70.0, by=entity.token_sort_ratio)
+    near = entity.similar_pairs(spark.createDataFrame([(p,) for p in phrases if len(p) > 2], "chunk string"), entity.product_terms(terms), 70.0, words_sorted=True)
     assert {(r.chunk, r.term) for r in near.collect()} == {(r.chunk, r.term) for r in every.collect()}
     full = entity.detect_products(entity.detect_brands(texts.withColumnRenamed("id", "tweet_id"), terms, "tweet_id"), terms, "tweet_id")
     rows = {r.tweet_id: r.p for r in full.select("tweet_id", entity.encode_products(F.col("detected_products")).alias("p")).collect()}

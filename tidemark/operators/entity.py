@@ -118,8 +118,8 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True, by=ratio) -> DataFrame:
-    """each (distinct chunks) with all terms whose ratio is `least` or more, and the ratio; by: ratio or token_sort_ratio.
+def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True, words_sorted: bool = False) -> DataFrame:
+    """each (distinct chunks) with all terms whose ratio, or token-sort ratio, is `least` or more, and that ratio.
 
     The distance is at least the difference of the lengths, so only lengths that permit the ratio are joined.
     Unless whole, see matches.
@@ -127,11 +127,12 @@ def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_ter
     sizes = sorted(r["l"] for r in terms.select(F.char_length("term").alias("l")).distinct().collect())  # at most the longest term's length
     length = F.char_length("chunk")
     permits = lambda x: F.least(length, x) * 100.0 >= F.greatest(length, x) * float(least) - 1e-6 if whole else F.abs(length - x) <= 2
-    able = each.withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), permits)))
+    form = _sorted if words_sorted else lambda c: c  # once a chunk and a term, not once a pair
+    able = each.withColumn("_a", form(F.col("chunk"))).withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), permits)))
     letter = lambda c: F.lit("") if whole else F.substring(c, 1, 1)
-    blocked = terms.withColumns({"_f": letter("term"), "_l": F.char_length("term")})
+    blocked = terms.withColumns({"_f": letter("term"), "_l": F.char_length("term"), "_b": form(F.col("term"))})
     pairs = able.withColumn("_f", letter("chunk")).join(_side(blocked, broadcast_terms), ["_f", "_l"]).drop("_f", "_l")
-    return pairs.withColumn("ratio", by(F.col("chunk"), F.col("term"))).where(F.col("ratio") >= least)
+    return pairs.withColumn("ratio", ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= least).drop("_a", "_b")
 
 
 def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000, whole: bool = False) -> DataFrame:
@@ -223,7 +224,7 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
     if fuzzy is None:
         got = found.join(_side(exact, 20_000), "chunk")
     else:
-        near = similar_pairs(found.select("chunk").distinct(), known, fuzzy, by=token_sort_ratio)
+        near = similar_pairs(found.select("chunk").distinct(), known, fuzzy, words_sorted=True)
         best = near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio")
         got = found.join(_side(best, 200_000), "chunk")
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")

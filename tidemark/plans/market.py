@@ -124,6 +124,10 @@ SQL: dict[str, str] = {
   a AS (SELECT list_filter([CASE WHEN ls < -20 THEN 'critical:sentiment' END, CASE WHEN ls < 0 AND ls >= -20 THEN 'high:sentiment' END, CASE WHEN lm < -2 THEN 'high:trend' END, CASE WHEN lm > 2 THEN 'medium:trend' END, CASE WHEN n < 100 THEN 'medium:visibility' END], lambda v: v IS NOT NULL) AS recs FROM x)
   SELECT brand, printf('%s: %s on the whole (%.1f)', brand, CASE WHEN s > 0 THEN 'liked' ELSE 'disliked' END, s) || CASE WHEN rivals > 0 THEN printf('; ahead of %d/%d rivals', ahead, rivals) ELSE '' END || CASE WHEN lm > 0 THEN '; getting better' ELSE '; not getting better' END || '; work on: ' || CASE WHEN len(recs) > 0 THEN array_to_string(list_transform(list_slice(recs, 1, 3), lambda v: split_part(v, ':', 2)), ', ') ELSE 'nothing urgent' END AS strategic_summary,
   opportunities, threats, array_to_string(recs, '|') AS recommendations FROM x, r, a""",
+    # The regression on a constant, the last value and the last change, by partial sums of squares.
+    "unit_root_test": f"""WITH {_b('7 days')}, v AS (SELECT brand, sentiment_score AS y, lag(sentiment_score) OVER w AS y1, lag(sentiment_score, 2) OVER w AS y2 FROM b WINDOW w AS (PARTITION BY brand ORDER BY window_start)), l AS (SELECT brand, y - y1 AS d, y1 AS x, y1 - y2 AS z FROM v WHERE y2 IS NOT NULL),
+  c AS (SELECT brand, count(*) AS n, var_pop(x) AS xx, var_pop(z) AS zz, var_pop(d) AS dd, covar_pop(x, z) AS xz, covar_pop(x, d) AS xd, covar_pop(z, d) AS zd FROM l GROUP BY 1), q AS (SELECT brand, n, xx - xz * xz / zz AS px, xd - xz * zd / zz AS pxd, dd - zd * zd / zz AS pd FROM c), t AS (SELECT brand, n, pxd / px / sqrt((pd - pxd * pxd / px) / (n - 3) / px) AS s FROM q)
+  SELECT brand, round(s, 6) AS statistic, s < -2.8615::DOUBLE - 2.738::DOUBLE / n - 8.36::DOUBLE / (n * n) AS stationary FROM t""",
     "streamed_hourly": f"WITH {_E} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL '1 hour' AS window_end, topic, count(*) AS mention_count, count(y) AS labelled, sum(y) AS sentiment_sum, avg(y) AS avg_sentiment, count(*) FILTER (y = 1) AS positive_count FROM e GROUP BY 1, 2, 3",
 }
 
@@ -214,7 +218,7 @@ QUERIES = {
     "forecast_sentiment": lambda s, d: forecast.forecast_sentiment(_events(s, d)),
     "forecast_topics": lambda s, d: forecast.forecast_topics(_events(s, d), "topic"),
     "isolation_anomalies": lambda s, d: forecast.isolation_anomalies(_brands(s, d, "1 week"), "brand", ["sentiment_score", "mention_count"]),
-    "unit_root_test": lambda s, d: forecast.unit_root(_brands(s, d, "1 week"), "brand", "sentiment_score"),
+    "unit_root_test": lambda s, d: rounded(forecast.unit_root(_brands(s, d, "1 week"), "brand", "sentiment_score")),
 }
 
 

@@ -117,6 +117,13 @@ SQL: dict[str, str] = {
     "brand_recognition_exact": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk, unnest(range(0, len(w))) AS position FROM w), x AS (SELECT doc_id, brand, min(position) AS position FROM c JOIN {_DICT} ON chunk = term WHERE length(chunk) >= 3 GROUP BY 1, 2),
   k AS (SELECT doc_id, brand, count(DISTINCT chunk) AS k FROM c JOIN {_KEYWORDS} ON chunk = term GROUP BY 1, 2 HAVING count(DISTINCT chunk) >= 2), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
   a AS (SELECT doc_id, brand, 1.0::DOUBLE AS confidence, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85) / 100, -1 FROM k LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
+  SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, confidence), '|' ORDER BY confidence DESC, position, brand) AS brands FROM a GROUP BY 1""",
+    "brand_recognition": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk, unnest(range(0, len(w))) AS position FROM w), u AS (SELECT DISTINCT chunk FROM c WHERE length(chunk) >= 3),
+  r AS (SELECT chunk, term, brand, {_RATIO('chunk', 'term')} AS r FROM u JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 70.0 - 0.000001),
+  m AS (SELECT chunk, term, brand, CASE WHEN chunk = term THEN 100 ELSE 0.8 * r + 0.2 * CASE WHEN contains(chunk, term) OR contains(term, chunk) THEN 100 ELSE r END END AS score, row_number() OVER (PARTITION BY chunk, chunk = term ORDER BY CASE WHEN contains(chunk, term) OR contains(term, chunk) THEN 0.8 * r + 20 ELSE r END DESC, term) AS k FROM r WHERE r >= 70),
+  p AS (SELECT doc_id, position, arg_min(brand, (-score, brand)) AS brand, max(score) AS score FROM c JOIN m USING (chunk) WHERE k <= 5 OR chunk = term GROUP BY 1, 2), x AS (SELECT doc_id, brand, max(score) AS score, arg_min(position, (-score, position)) AS position FROM p GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+  q AS (SELECT chunk, brand, term FROM u JOIN {_KEYWORDS} ON {_RATIO('chunk', 'term')} >= 80), k AS (SELECT doc_id, brand, count(DISTINCT term) AS k FROM c JOIN q USING (chunk) GROUP BY 1, 2 HAVING count(DISTINCT term) >= 2),
+  a AS (SELECT doc_id, brand, score / 100 AS confidence, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85) / 100, -1 FROM k LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
   SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, confidence), '|' ORDER BY confidence DESC, position, brand) AS brands FROM a GROUP BY 1""",
     "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
@@ -222,7 +229,7 @@ def _clusters(spark, d):
 
 def _product_matches(spark, d):
     each = entity.chunks(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "text", 3).select("chunk").distinct()
-    return rounded(entity.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, by=entity.token_sort_ratio).select("chunk", "term", "brand", "product", "ratio"))
+    return rounded(entity.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, words_sorted=True).select("chunk", "term", "brand", "product", "ratio"))
 
 
 def _token_ids(spark, d):
