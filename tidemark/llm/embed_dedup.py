@@ -239,7 +239,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = packed.where("dim > 0").groupBy("label", "dim", "f1", "f2").agg(F.count("*").alias("m"), F.min("id").alias("rep"), F.first("v").alias("v"))
     # A class's node is the hash of its label, length and contents.
     classes = materialize(classes.select(F.xxhash64("label", "dim", "f1", "f2").alias("node"), "*"), "classes")
-    n, alike = classes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()
+    n, alike = classes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.col("count").cast("double") * F.col("count")), F.lit(0.0))).first()
     # The label of a class holds alike / n others on average.
     cells = int(np.clip(round((alike / max(1, n) / cell_rows) ** 0.5), 1, 1024))
     sample = bounded_sample(classes.select("node", "v"), 3, ["node"], fit_rows).orderBy("node").select("v").collect()  # bounded by fit_rows

@@ -157,7 +157,7 @@ def _blocks(cross: DataFrame, percent: int, with_sets: bool) -> DataFrame:
     """
     spark = cross.sparkSession
     deal = F.greatest(F.lit(1), F.ceil(F.col("count") / (SET_BLOCK if with_sets else BLOCK))).cast("int")
-    compared = cross.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    compared = int(cross.agg(F.coalesce(F.sum(F.col("count").cast("double")), F.lit(0.0))).first()[0])
     rows = cross.withColumn("parts", deal).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # A block meets every other once: a row of block o goes to the tasks (min(o, x), max(o, x)) for all x.
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
