@@ -29,7 +29,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tidy, worker_cache
+from .common import small_batches, tidy, worker_cache
+
+#: Words and white-space chunks that a worker keeps, each.
+CACHE = 230_000
 
 
 def byte_chars() -> list[str]:
@@ -42,7 +45,7 @@ def byte_chars() -> list[str]:
 class SpeculativeBpe:
     """Encodes words of the vocabulary in `path` (a tokenizers JSON file)."""
 
-    def __init__(self, path: str, cache: int = 230_000):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -235,11 +238,12 @@ class SpeculativeBpe:
 _CODERS: dict[str, SpeculativeBpe] = worker_cache()
 
 
-def coder(path: str) -> SpeculativeBpe:
+def coder(path: str, cache: int = CACHE) -> SpeculativeBpe:
     """One encoder a worker process."""
-    if path not in _CODERS:
-        _CODERS[path] = SpeculativeBpe(path)
-    return _CODERS[path]
+    key = f"{cache} {path}"
+    if key not in _CODERS:
+        _CODERS[key] = SpeculativeBpe(path, cache)
+    return _CODERS[key]
 
 
 def _some(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
@@ -255,11 +259,11 @@ def _some(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
         yield run
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Every row's id, n_tokens, ids_sha256, decoded_sha256 and, on wish, its ids (array<int>)."""
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+    """Every row's id, n_tokens, ids_sha256, decoded_sha256 and, on wish, its ids (array<int>); cache: entries a worker keeps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = coder(path)
+        bpe = coder(path, cache)
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
             at = 0
@@ -272,6 +276,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 at += len(some)
                 yield out
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(tidy("bpe", run), schema)

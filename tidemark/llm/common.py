@@ -15,10 +15,20 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SCRATCH: list[str] = []
+#: Rows of an Arrow batch: texts may be long, and a task holds a batch in the JVM and in its Python worker at once.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS rows, unless it has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests), a temporary one."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
