@@ -57,7 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_texts(docs, str(public_tokenizers.path("word_bpe_49k.json")), with_ids=True)
+    # Smaller caches than the operator's own: the workers of the stages before share the executors' memory.
+    return bpe.encode_texts(docs, str(public_tokenizers.path("word_bpe_49k.json")), with_ids=True, cache=170_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("bpe", encode)]
