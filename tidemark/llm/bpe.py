@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, worker_cache
+from .common import tidy, worker_cache
 
 #: Words and white-space chunks that a worker keeps, each.
-CACHE = 230_000
+CACHE = 300_000
 
 
 def byte_chars() -> list[str]:
@@ -276,7 +276,6 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 at += len(some)
                 yield out
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(tidy("bpe", run), schema)
