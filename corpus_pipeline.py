@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, line_dedup, near_dup, toxicity
-from tidemark.llm.common import clear_scratch, crc_mod, scratch_mark, scratch_path
+from tidemark.llm.common import clear_scratch, crc_mod, scratch_mark, scratch_path, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # Smaller caches than the operator's own: the workers of the stages before share the executors' memory.
+    # Smaller batches and caches than the operator's own: the workers of the stages before share the executors' memory.
+    small_batches(spark)
     return bpe.encode_texts(docs, str(public_tokenizers.path("word_bpe_49k.json")), with_ids=True, cache=170_000)
 
 
