@@ -28,7 +28,6 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests), a temporary one."""
-    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
