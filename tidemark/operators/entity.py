@@ -3,7 +3,7 @@
 The dictionary is a table (brand, industry, kind, term): kinds are name, alias, product and keyword. It goes to the
 chunks by broadcast if it has at most `broadcast_terms` rows (checked), else by a join on the term or its length.
 
-Similarity is the Levenshtein ratio 100 * (1 - distance / longer length), both sides in lower case.
+Similarity is the Levenshtein ratio of module fuzzy, both sides in lower case; its index finds every pair that is alike.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import ngrams, strings
+from tidemark.operators.fuzzy import partial_ratio, ratio, similar_pairs, token_sort_ratio
+from tidemark.sources.shared import stored
 
 # -- fixed values that results depend on: phrases that make two brands in one text a comparison, endings that a product's
 # name may take, the weights of the composite score, and the least ratios of each fuzzy test
@@ -69,27 +71,12 @@ def brand_info(terms: DataFrame, brand: str) -> DataFrame:
 # -- similarity
 
 
-def ratio(a: Column, b: Column) -> Column:
-    longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.coalesce(F.try_divide((longer - F.levenshtein(a, b)) * 100.0, longer), F.lit(0.0))
-
-
-def _sorted(words: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(words, " ")), " ")
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """The ratio of both with their words in alphabetical order; sorting leaves lengths as they are."""
-    return ratio(_sorted(a), _sorted(b))
-
-
 def similarity(a: Column, b: Column, weights: dict[str, float] = WEIGHTS) -> Column:
-    """Weighted plain, partial (100 if one holds the other), sorted-word and word-set ratios; equal ones get a tenth more, up to 100."""
-    plain = ratio(a, b)
-    partial = F.when(F.contains(a, b) | F.contains(b, a), 100.0).otherwise(plain)
+    """Weighted plain, partial (best alignment), sorted-word and word-set ratios; equal ones get a tenth more, up to 100."""
+    plain, partial = ratio(a, b), partial_ratio(a, b)
     common = F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
-    sets = F.when(common == F.least(F.size(F.array_distinct(F.split(a, " "))), F.size(F.array_distinct(F.split(b, " ")))), 100.0).otherwise(ratio(_sorted(a), _sorted(b)))
-    total = plain * weights["ratio"] + partial * weights["partial"] + ratio(_sorted(a), _sorted(b)) * weights["token_sort"] + sets * weights["token_set"]
+    sets = F.when(common == F.least(F.size(F.array_distinct(F.split(a, " "))), F.size(F.array_distinct(F.split(b, " ")))), 100.0).otherwise(token_sort_ratio(a, b))
+    total = plain * weights["ratio"] + partial * weights["partial"] + token_sort_ratio(a, b) * weights["token_sort"] + sets * weights["token_set"]
     return F.when(a == b, F.least(total * 1.1, F.lit(100.0))).otherwise(total)
 
 
@@ -102,11 +89,11 @@ def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4) -> Da
     rows = texts.select(F.col(id_col).alias("id"), words.alias("w"))
 
     def runs(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("position"), F.array_join(F.slice("w", i + 1, n), " ").alias("chunk")))
 
-    parts = [rows.select("id", F.lit(n).alias("n"), F.posexplode(runs(n)).alias("position", "chunk")) for n in range(1, longest + 1)]
-    return reduce(DataFrame.unionByName, parts).where(F.char_length("chunk") >= 3)
+    # All lengths in one generator, so that a text is read and split once.
+    return rows.select("id", F.inline(F.concat(*map(runs, range(1, longest + 1))))).where(F.char_length("chunk") >= 3)
 
 
 def _size(terms: DataFrame) -> int:
@@ -118,43 +105,35 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def similar_pairs(each: DataFrame, terms: DataFrame, least: float, broadcast_terms: int = 20_000, whole: bool = True, words_sorted: bool = False) -> DataFrame:
-    """each (distinct chunks) with all terms whose ratio, or token-sort ratio, is `least` or more, and that ratio.
+def alike(found: DataFrame, terms: DataFrame, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
+    """The distinct chunks of found (chunk, n), runs of up to `longest` words, with every term that is alike by `least`, and the ratio.
 
-    The distance is at least the difference of the lengths, so only lengths that permit the ratio are joined.
-    Unless whole, see matches.
+    Single words repeat much and are made distinct first; longer runs hardly do, and only what the index leaves of them is.
     """
-    sizes = sorted(r["l"] for r in terms.select(F.char_length("term").alias("l")).distinct().collect())  # at most the longest term's length
-    length = F.char_length("chunk")
-    permits = lambda x: F.least(length, x) * 100.0 >= F.greatest(length, x) * float(least) - 1e-6 if whole else F.abs(length - x) <= 2
-    form = _sorted if words_sorted else lambda c: c  # once a chunk and a term, not once a pair
-    able = each.withColumn("_a", form(F.col("chunk"))).withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), permits)))
-    letter = lambda c: F.lit("") if whole else F.substring(c, 1, 1)
-    blocked = terms.withColumns({"_f": letter("term"), "_l": F.char_length("term"), "_b": form(F.col("term"))})
-    pairs = able.withColumn("_f", letter("chunk")).join(_side(blocked, broadcast_terms), ["_f", "_l"]).drop("_f", "_l")
-    return pairs.withColumn("ratio", ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= least).drop("_a", "_b")
-
-
-def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000, whole: bool = False) -> DataFrame:
+    single = found.where("n = 1").select("chunk").distinct()
+    if longest > 1:
+        single = single.unionByName(found.where("n > 1").select("chunk"))
+    return similar_pairs(single, terms, least, words_sorted)
+
+
+def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000) -> DataFrame:
     """(id, position, n, chunk, brand, industry, kind, term, score) for exact and, unless fuzzy is None, similar chunks.
 
-    Distinct chunks are compared once: if whole, with every term of a length that the ratio permits, else with terms of
-    the same first letter and two letters more or less at most, which misses others that are as alike.
+    Chunks meet every term that is alike by `fuzzy` (see fuzzy.candidate_pairs), of which the five best stay.
     A single word's composite score isn't under its ratio, so words that no run claims have been tried here, too.
     """
     known = terms.where("kind <> 'keyword'")
     longest = _size(known)
     found = chunks(texts, id_col, text_col, longest)
-    exact = found.join(_side(known, broadcast_terms), found["chunk"] == known["term"]).withColumn("score", F.lit(100.0))
     cols = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
-    if fuzzy is None:
-        return exact.select(cols)
-    each = found.select("chunk").distinct()
-    near = similar_pairs(each, known, fuzzy, broadcast_terms, whole).drop("ratio").where(F.col("chunk") != F.col("term"))
-    near = near.withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
-    # Chunks that are like a term are few as a rule; counted, they go to the texts, whose chunks then needn't be shuffled.
-    return exact.select(cols).unionByName(found.join(_side(best, 10 * broadcast_terms), "chunk").select(cols))
+    best = known.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
+    if fuzzy is not None:
+        near = alike(found, known, fuzzy, longest).drop("ratio").where(F.col("chunk") != F.col("term"))
+        near = near.withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
+        # Stored once: counted, they go to the texts, whose chunks then needn't be shuffled.
+        best = stored(best.unionByName(near, allowMissingColumns=False), "alike")
+    return found.join(_side(best, 10 * broadcast_terms), "chunk").select(cols)
 
 
 def without_overlaps(cands: Column) -> Column:
@@ -163,27 +142,24 @@ def without_overlaps(cands: Column) -> Column:
     return F.aggregate(cands, F.slice(cands, 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, context: bool = True, whole: bool = False) -> DataFrame:
+def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, context: bool = True) -> DataFrame:
     """(id, brands): array<struct(brand, confidence, match_type, position)>, best match a brand, surest first; texts without one have no row.
 
     With fewer than three brands found, a brand with two or more of its keywords in the text is added by context at
     confidence min(50 + 10 k, 85) / 100 and position -1. A keyword is in the text if a run of words equals it or, unless
-    fuzzy is None, a word is alike by KEYWORD_RATIO. whole: see matches.
+    fuzzy is None, a word is alike by KEYWORD_RATIO.
     """
-    got = matches(texts, terms, id_col, text_col, fuzzy, whole=whole)
+    got = matches(texts, terms, id_col, text_col, fuzzy)
     packed = F.struct((-F.col("n")).alias("o"), (-F.col("score")).alias("s"), "position", "n", "brand", "industry", "kind", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
     flat = per.select("id", F.explode("m").alias("x")).select("id", F.col("x.brand").alias("brand"), (-F.col("x.s") / 100).alias("confidence"), F.when(F.col("x.s") == -100, "exact").otherwise("fuzzy").alias("match_type"), F.col("x.position").alias("position"))
     if context:
         keys = terms.where("kind = 'keyword'")
-        # Distinct only once they are few: most words are no keyword.
-        words = chunks(texts, id_col, text_col, _size(keys)).select("id", "chunk")
-        alike = words.select("chunk").distinct()
-        alike = alike.join(_side(keys, 20_000), alike["chunk"] == keys["term"]).select("chunk", "brand", "term")
+        words = chunks(texts, id_col, text_col, _size(keys))
+        near = keys.select(F.col("term").alias("chunk"), "brand", "term")
         if fuzzy is not None:
-            single = words.select("chunk").distinct().where(~F.contains("chunk", F.lit(" ")))
-            alike = alike.unionByName(similar_pairs(single, keys, KEYWORD_RATIO).select("chunk", "brand", "term")).distinct()
-        hits = words.join(_side(alike, 200_000), "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
+            near = near.unionByName(alike(words.where("n = 1"), keys, KEYWORD_RATIO, 1).select("chunk", "brand", "term")).distinct()
+        hits = words.join(_side(stored(near, "keywords"), 200_000), "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")
         flat = flat.unionByName(hits.select("id", "brand", (F.least(50 + 10 * F.col("k"), F.lit(85)) / 100).alias("confidence"), F.lit("context").alias("match_type"), F.lit(-1).alias("position")))
@@ -215,7 +191,7 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
     once, and the best of a product and brand stays.
 
     A phrase of one to three words takes its best term by the token-sort ratio, if that is `fuzzy` or more (None: equal
-    phrases only); phrases and terms are compared once each, at lengths that the ratio permits. brands: (id, brand) seen
+    phrases only); phrases and terms are compared where the index lets them meet. brands: (id, brand) seen
     in the texts; a product of such a brand gets a tenth more confidence, up to 1.
     """
     known = product_terms(terms)
@@ -224,8 +200,8 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
     if fuzzy is None:
         got = found.join(_side(exact, 20_000), "chunk")
     else:
-        near = similar_pairs(found.select("chunk").distinct(), known, fuzzy, words_sorted=True)
-        best = near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio")
+        near = alike(found, known, fuzzy, 3, words_sorted=True)
+        best = stored(near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio"), "products")
         got = found.join(_side(best, 200_000), "chunk")
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))

@@ -25,7 +25,7 @@ def _joined(c) -> object:
 
 
 #: A dictionary of words that the synthetic texts have, for the entity queries.
-BRANDS = (("Thing", "goods", ("things", "thingou"), ("heat", "heatnt"), ("inner", "station")), ("Onion", "food", ("onions", "onand"), ("ration", "thread"), ("then", "nation")), ("Reed", "goods", ("reeds",), ("shed", "shin"), ("that", "edition")))
+BRANDS = (("Thing", "goods", ("things", "thingou"), ("heat", "heatnt"), ("inner", "station")), ("Onion", "food", ("onions", "onand", "thing of", "of heat"), ("ration", "thread"), ("then", "nation")), ("Reed", "goods", ("reeds", "the reed", "and that shin"), ("shed", "shin"), ("that", "edition")))
 
 
 def terms(spark: SparkSession) -> DataFrame:
@@ -75,6 +75,17 @@ _KEYWORDS = "(VALUES " + ", ".join(f"('{b}', '{k}')" for b, _, _a, _p, ks in BRA
 _SORTED = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
 _RATIO = lambda a, b: f"((greatest(length({a}), length({b})) - levenshtein(regexp_replace({a}, '[^\\x00-\\x7F]', '~', 'g'), regexp_replace({b}, '[^\\x00-\\x7F]', '~', 'g'))) * 100.0::DOUBLE / greatest(length({a}), length({b})))"
 
+_STRETCH = lambda a, b: f"CASE WHEN contains({b}, {a}) THEN 100 ELSE list_max(list_transform(range(1, length({b}) - length({a}) + 2), lambda i: {_RATIO(a, f'substr({b}, i::INT, length({a})::INT)')})) END"
+_PARTIAL = f"CASE WHEN length(chunk) > length(term) THEN {_STRETCH('term', 'chunk')} ELSE {_STRETCH('chunk', 'term')} END"
+# Runs of up to three words, by place.
+_RUNS = f"""w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, n, i AS position, array_to_string(w[i + 1:i + n], ' ') AS chunk FROM (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n)) WHERE length(array_to_string(w[i + 1:i + n], ' ')) >= 3)"""
+# From hits (h) and words like keywords (q): longer runs claim their words first, then better ones, then earlier ones; the best of a brand stays.
+_FOUND = """g AS (SELECT doc_id, list_reduce(list([{'n': n, 's': score, 'p': position, 'b': brand}] ORDER BY n DESC, score DESC, position, brand), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.p < x[1].p + x[1].n AND x[1].p < y.p + y.n)) > 0 THEN a ELSE list_concat(a, x) END) AS xs FROM h GROUP BY 1),
+  x AS (SELECT doc_id, x.b AS brand, max(x.s) AS score, arg_min(x.p, (-x.s, x.p)) AS position FROM (SELECT doc_id, unnest(xs) AS x FROM g) GROUP BY 1, 2), o AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+  k AS (SELECT doc_id, brand, count(DISTINCT term) AS k FROM c JOIN q USING (chunk) GROUP BY 1, 2 HAVING count(DISTINCT term) >= 2),
+  a AS (SELECT doc_id, brand, score, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85), -1 FROM k LEFT JOIN o USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
+  SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, round(score) / 100), '|' ORDER BY score DESC, position, brand) AS brands FROM a GROUP BY 1"""
+
 SQL: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text_clean, array_to_string(regexp_extract_all(text, '#(\\w+)', 1), '|') AS hashtags FROM documents",
     "emoji_scores": f"SELECT doc_id, (2 * length(regexp_replace(text, '[^{X.EMOJI_GOOD}]', '', 'g')) + length(regexp_replace(text, '[^{X.EMOJI_MILD}]', '', 'g')) - 2 * length(regexp_replace(text, '[^{X.EMOJI_BAD}]', '', 'g')))::INT AS emoji_sentiment FROM documents",
@@ -114,17 +125,14 @@ SQL: dict[str, str] = {
     "product_matches": f"""WITH w AS (SELECT conv_id, turn, {_CHUNK} AS w FROM conversations), c AS (SELECT DISTINCT unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS chunk FROM w),
   t AS (SELECT brand, product, product || ending AS term FROM {_TERMS3}, {_ENDS}), m AS (SELECT chunk, term, brand, product, {_RATIO(_SORTED('chunk'), _SORTED('term'))} AS ratio FROM c JOIN t ON length(chunk) >= 3 AND least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 70.0 - 0.000001)
   SELECT chunk, term, brand, product, round(ratio, 6) AS ratio FROM m WHERE ratio >= 70""",
-    "brand_recognition_exact": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk, unnest(range(0, len(w))) AS position FROM w), x AS (SELECT doc_id, brand, min(position) AS position FROM c JOIN {_DICT} ON chunk = term WHERE length(chunk) >= 3 GROUP BY 1, 2),
-  k AS (SELECT doc_id, brand, count(DISTINCT chunk) AS k FROM c JOIN {_KEYWORDS} ON chunk = term GROUP BY 1, 2 HAVING count(DISTINCT chunk) >= 2), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
-  a AS (SELECT doc_id, brand, 1.0::DOUBLE AS confidence, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85) / 100, -1 FROM k LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
-  SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, confidence), '|' ORDER BY confidence DESC, position, brand) AS brands FROM a GROUP BY 1""",
-    "brand_recognition": f"""WITH w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, unnest(w) AS chunk, unnest(range(0, len(w))) AS position FROM w), u AS (SELECT DISTINCT chunk FROM c WHERE length(chunk) >= 3),
-  r AS (SELECT chunk, term, brand, {_RATIO('chunk', 'term')} AS r FROM u JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 70.0 - 0.000001),
-  m AS (SELECT chunk, term, brand, CASE WHEN chunk = term THEN 100 ELSE 0.8 * r + 0.2 * CASE WHEN contains(chunk, term) OR contains(term, chunk) THEN 100 ELSE r END END AS score, row_number() OVER (PARTITION BY chunk, chunk = term ORDER BY CASE WHEN contains(chunk, term) OR contains(term, chunk) THEN 0.8 * r + 20 ELSE r END DESC, term) AS k FROM r WHERE r >= 70),
-  p AS (SELECT doc_id, position, arg_min(brand, (-score, brand)) AS brand, max(score) AS score FROM c JOIN m USING (chunk) WHERE k <= 5 OR chunk = term GROUP BY 1, 2), x AS (SELECT doc_id, brand, max(score) AS score, arg_min(position, (-score, position)) AS position FROM p GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
-  q AS (SELECT chunk, brand, term FROM u JOIN {_KEYWORDS} ON {_RATIO('chunk', 'term')} >= 80), k AS (SELECT doc_id, brand, count(DISTINCT term) AS k FROM c JOIN q USING (chunk) GROUP BY 1, 2 HAVING count(DISTINCT term) >= 2),
-  a AS (SELECT doc_id, brand, score / 100 AS confidence, position FROM x UNION ALL SELECT k.doc_id, k.brand, least(50 + 10 * k, 85) / 100, -1 FROM k LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = k.doc_id AND x.brand = k.brand))
-  SELECT doc_id AS id, string_agg(printf('%s:%.2f', brand, confidence), '|' ORDER BY confidence DESC, position, brand) AS brands FROM a GROUP BY 1""",
+    "brand_recognition_exact": f"""WITH {_RUNS}, h AS (SELECT doc_id, n, position, brand, 100.0::DOUBLE AS score FROM c JOIN {_DICT} ON chunk = term), q AS (SELECT chunk, brand, term FROM (SELECT DISTINCT chunk FROM c WHERE n = 1) JOIN {_KEYWORDS} ON chunk = term), {_FOUND}""",
+    "brand_recognition": f"""WITH {_RUNS}, u AS (SELECT DISTINCT chunk FROM c), r AS (SELECT chunk, term, brand, {_RATIO('chunk', 'term')} AS r FROM u JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 70.0 - 0.000001),
+  t AS (SELECT chunk, term, brand, 0.4 * r + 0.2 * {_PARTIAL} + 0.25 * ts + 0.15 * CASE WHEN shared = least(len(list_distinct(string_split(chunk, ' '))), len(list_distinct(string_split(term, ' ')))) THEN 100 ELSE ts END AS score
+    FROM (SELECT *, {_RATIO(_SORTED('chunk'), _SORTED('term'))} AS ts, len(list_intersect(string_split(chunk, ' '), string_split(term, ' '))) AS shared FROM r WHERE r >= 70 AND chunk <> term)),
+  m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY score DESC, term) AS k FROM t WHERE score >= 70), h AS (SELECT doc_id, n, position, brand, score FROM c JOIN (SELECT chunk, brand, score FROM m WHERE k <= 5 UNION ALL SELECT term, brand, 100.0::DOUBLE FROM {_DICT}) USING (chunk)),
+  q AS (SELECT chunk, brand, term FROM (SELECT DISTINCT chunk FROM c WHERE n = 1) JOIN {_KEYWORDS} ON {_RATIO('chunk', 'term')} >= 80), {_FOUND}""",
+    "benchmark_terms_fuzzy": f"""WITH w AS (SELECT {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT chunk FROM (SELECT unnest(w) AS chunk FROM w) WHERE length(chunk) >= 3), t AS (SELECT DISTINCT term FROM (SELECT unnest({_CHUNK}) AS term FROM benchmark) WHERE regexp_full_match(term, '[a-z0-9'']{{5,}}') UNION SELECT DISTINCT lower(p_name) FROM part)
+  SELECT chunk, term, round({_RATIO('chunk', 'term')}, 6) AS ratio FROM c JOIN t ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 80.0 - 0.000001 AND {_RATIO('chunk', 'term')} >= 80""",
     "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
     "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
@@ -175,6 +183,14 @@ def _fuzzy(spark, d):
     return rounded(entity.similar_pairs(each, known, 75.0).select("chunk", "term", "brand", "ratio"))
 
 
+def _benchmark_terms(spark, d):
+    """Words of the documents against a dictionary of the benchmark's plain words of five letters or more, and the parts' names."""
+    words = entity.chunks(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text", 1).where(F.col("chunk").rlike("^[a-z0-9']{5,}$")).select(F.col("chunk").alias("term"))
+    known = words.union(spark.read.parquet(f"{d}/part.parquet").select(F.lower("p_name").alias("term"))).distinct()
+    each = entity.chunks(_docs(spark, d), "doc_id", "text", 1).select("chunk").distinct()
+    return rounded(entity.similar_pairs(each, known, 80.0).select("chunk", "term", "ratio"))
+
+
 def _context(spark, d):
     hits = entity.matches(_docs(spark, d), terms(spark), "doc_id", "text", fuzzy=None).where("n = 1")
     rows = hits.groupBy("id").agg(F.collect_set("brand").alias("brands")).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
@@ -266,10 +282,11 @@ QUERIES = {
     "virality_engagement": _engaged,
     "brand_chunks_exact": _exact,
     "brand_terms_fuzzy": _fuzzy,
+    "benchmark_terms_fuzzy": _benchmark_terms,
     "competitive_context": _context,
     "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens")), size=500),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
-    "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", whole=True).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
+    "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id").select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
     "brand_recognition_exact": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", fuzzy=None).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
     "product_extraction": lambda s, d: entity.extract_products(_docs(s, d), terms(s), "doc_id", fuzzy=None),
     "product_matches": _product_matches,
