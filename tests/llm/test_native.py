@@ -34,11 +34,11 @@ def brute_lines(docs):
     for i, t in docs:
         for k in {lower(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")}:
             if len(k) >= 20:
-                keys.setdefault(k, []).append(i)
+                keys.setdefault(k, set()).add(i)
     out = {}
     for i, t in docs:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(ids := keys.get(lower(x.strip(" \t\n\x0b\x0c\r")), [])) < 3 or max(ids) == i]
+        kept = [x for x in lines if len(ids := keys.get(lower(x.strip(" \t\n\x0b\x0c\r")), ())) < 3 or max(ids) == i]
         out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 
@@ -60,6 +60,24 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_count_documents_not_rows(spark, tmp_path):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, line), (2, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._n_dropped for r in line_dedup.dedup_lines(df).collect()} == {0}
+    more = spark.createDataFrame([*rows, (3, "x\n" + line), (3, line + " ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r._n_dropped) for r in line_dedup.dedup_lines(more).collect()) == [(1, 1), (1, 1), (2, 1), (3, 0), (3, 0)]
+    # By its SQL, too, on repeated ids of different texts.
+    docs = [(i % 7, f"{line} {i % 3}\n{line} {i % 5}\nown {i}") for i in range(21)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = {}
+    for i, t in docs:
+        for x in t.split("\n"):
+            held.setdefault(x, set()).add(i)
+    want = sorted((i, sum(len(x) >= 20 and len(held[x]) >= 3 and max(held[x]) > i for x in t.split("\n"))) for i, t in docs)
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()) == want
+
+
 def brute_hits(docs, items, width=13):
     wins = {}
     for k, t in items:

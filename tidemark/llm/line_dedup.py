@@ -14,8 +14,8 @@ How it works
   have more than 1 / `hot` of all lines within one batch, of which there are `hot` at most, are broadcast, so that no line
   however common meets in one place; the others are joined by hash.
 
-Cases: a null or empty text is one empty line, hash sha256(''). A row of the table is a document: repeated rows
-each count and each get a result. Rows of null id come last in the order of ids, so another holder wins over them.
+Cases: a null or empty text is one empty line, hash sha256(''). Rows of one id are one document: they count once, and
+each gets a result; so are rows of null id, which come last in the order of ids, so another holder wins over them.
 An empty table gives an empty result. Columns other than id and text are ignored (or carried by `dedup_lines`,
 whatever their names).
 """
@@ -82,7 +82,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     batch = F.lit(0)
     for q in cuts or []:
         batch = batch + (F.col("_id") < q).cast("int")
-    held = lines.where("first").groupBy(batch.alias("batch"), "h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("holder"))
+    firsts = lines.where("first").select("_id", "h1", "h2")
+    # Rows of one id are one document: where there are any, a line's documents are counted by distinct ids.
+    per_id = rows.agg(F.count("*").alias("n"), F.countDistinct("_id").alias("ids")).first()
+    if per_id["n"] > per_id["ids"]:
+        firsts = firsts.distinct()
+    held = firsts.groupBy(batch.alias("batch"), "h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("holder"))
     held = materialize(held, "batches")
     runs = LineRuns(min_docs)
     for b in range(batches if cuts else 1):
