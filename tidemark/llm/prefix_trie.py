@@ -129,49 +129,65 @@ def _later(turns: DataFrame, heads: DataFrame, segment: int) -> DataFrame:
 _NODES = "base long, depth long, k1 long, k2 long, p1 long, p2 long, words int, members long, ends long"
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts in a sorted array."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
 def _family_trie(key: tuple, turns: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     """The nodes of one family's segment, with members and ends as bits: bit (conv - base + 19)."""
     base, seg = int(key[0]), int(key[1])
-    head = facts[facts["kind"] == 0].sort_values("pos")
-    later = {int(r.conv): r for r in facts[facts["kind"] == 1].itertuples()}
-    n_head = len(head)
-    turns = turns.sort_values(["conv", "pos"], kind="stable")
-    parts, at = [], []
-    for conv, own in turns.groupby("conv", sort=True):
-        h, bit = int(own["h"].iloc[0]), 1 << int(conv - base + FAMILY - 1)
-        k = min(h, n_head)
-        own = own[own["pos"] > h]
-        depth, t1, t2, words = (own[c].to_numpy(np.int64) for c in ("pos", "t1", "t2", "words"))
-        depth = depth - h + k
-        if seg == 0 and k:
-            lead = head.iloc[:k]
-            depth, t1, t2, words = (np.r_[a, b] for a, b in zip((np.arange(1, k + 1), *(lead[c].to_numpy(np.int64) for c in ("t1", "t2", "words"))), (depth, t1, t2, words), strict=True))
-        x = later.get(int(conv))
-        f1, f2 = step_hashes(depth, t1, t2)
-        x1, x2 = (np.array([x.x1 if x is not None else 0], np.int64).view(np.uint64), np.array([x.x2 if x is not None else 0], np.int64).view(np.uint64))
-        k1, k2 = (np.bitwise_xor.accumulate(np.r_[a, f]).view(np.int64) for a, f in ((x1, f1), (x2, f2)))
-        more = bool(x.more) if x is not None else False
-        at.append((bit, len(depth), more))
-        parts.append((np.r_[depth[:1] - 1 if len(depth) else 0, depth], k1, k2, np.r_[0, words]))
-    depth, k1, k2, words = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    first = np.cumsum([0] + [n + 1 for _, n, _ in at])
-    bits = np.repeat(np.array([b for b, _, _ in at], np.int64), [n + 1 for _, n, _ in at])
-    ends = np.zeros(len(depth), np.int64)
-    for i, (bit, _, more) in enumerate(at):
-        if not more:
-            ends[first[i + 1] - 1] = bit
-    p1, p2 = np.r_[0, k1[:-1]], np.r_[0, k2[:-1]]
-    # The state before a segment's first turn is a node of its own in the first segment (the root), else of another's group;
-    # an end there (a conversation without turns) is kept.
-    keep = np.ones(len(depth), bool)
+    kind, facts = facts["kind"].to_numpy(), {c: facts[c].to_numpy() for c in ("conv", "x1", "x2", "more", "pos", "t1", "t2", "words")}
+    in_order = np.flatnonzero(kind == 0)[np.argsort(facts["pos"][kind == 0])]
+    head = {c: facts[c][in_order].astype(np.int64) for c in ("pos", "t1", "t2", "words")}
+    conv, h, pos, t1, t2, words = (turns[c].to_numpy(np.int64) for c in ("conv", "h", "pos", "t1", "t2", "words"))
+    each, first = np.unique(conv, return_index=True)
+    given = np.minimum(h, len(in_order))  # turns that the head gives
+    own = pos > h
+    parts = [(conv[own], (pos - h + given)[own], t1[own], t2[own], words[own])]
+    starts = np.zeros(len(each), np.int64)
     if seg:
-        keep[first[:-1]] = ends[first[:-1]] != 0
-    p1[first[:-1]] = p2[first[:-1]] = 0
-    nodes = pd.DataFrame({"depth": depth, "k1": k1, "k2": k2, "p1": p1, "p2": p2, "words": words, "members": bits, "ends": ends})[keep]
+        starts[:] = np.iinfo(np.int64).max
+        np.minimum.at(starts, np.searchsorted(each, conv[own]), parts[0][1] - 1)
+    else:
+        many = given[first]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        parts.append((np.repeat(each, many), at + 1, *(head[c][at] for c in ("t1", "t2", "words"))))
+    # Each conversation's path begins with the state before its first turn here: the root, or what earlier segments left.
+    zero = np.zeros(len(each), np.int64)
+    parts.append((each, starts, zero, zero, zero))
+    conv, depth, t1, t2, words = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((depth, conv))
+    conv, depth, t1, t2, words = (c[order] for c in (conv, depth, t1, t2, words))
+    begin = _runs(conv)
+    last = np.r_[begin[1:], len(conv)] - 1
+    keys = []
+    later, more = np.flatnonzero(kind == 1), np.zeros(len(each), bool)
+    place = np.searchsorted(each, facts["conv"][later])
+    more[place] = facts["more"][later].astype(bool)
+    for f, x in zip(step_hashes(depth, t1, t2), ("x1", "x2"), strict=True):
+        f[begin] = 0
+        f[begin[place]] = facts[x][later].astype(np.int64).view(np.uint64)
+        total = np.bitwise_xor.accumulate(f)
+        keys.append((total ^ np.repeat(np.r_[np.uint64(0), total[last[:-1]]], last - begin + 1)).view(np.int64))
+    k1, k2 = keys
+    bits = np.int64(1) << (conv - base + FAMILY - 1)
+    ends = np.zeros(len(conv), np.int64)
+    ends[last[~more]] = bits[last[~more]]
+    p1, p2 = np.r_[0, k1[:-1]], np.r_[0, k2[:-1]]
+    p1[begin] = p2[begin] = 0
+    keep = np.ones(len(conv), bool)
+    if seg:  # the state is a node of an earlier segment
+        keep[begin] = ends[begin] != 0
     # Equal paths of the family become one node; bits of different conversations add up.
-    nodes = nodes.groupby(["depth", "k1", "k2"], sort=False, as_index=False).agg({"p1": "first", "p2": "first", "words": "first", "members": "sum", "ends": "sum"})
-    nodes.insert(0, "base", base)
-    return nodes.astype({"words": np.int32})
+    order = np.lexsort((k2, k1, depth))
+    order = order[keep[order]]
+    if not len(order):
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("base", *KEY, "p1", "p2", "words", "members", "ends")}).astype({"words": np.int32})
+    depth, k1, k2, p1, p2, words, bits, ends = (c[order] for c in (depth, k1, k2, p1, p2, words, bits, ends))
+    new = np.flatnonzero(np.r_[True, (depth[1:] != depth[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    one = {c: v[new] for c, v in zip((*KEY, "p1", "p2", "words"), (depth, k1, k2, p1, p2, words.astype(np.int32)), strict=True)}
+    return pd.DataFrame({"base": np.full(len(new), base), **one, "members": np.add.reduceat(bits, new), "ends": np.add.reduceat(ends, new)})
 
 
 def family_nodes(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -215,15 +231,16 @@ def _family_sums(key: tuple, nodes: pd.DataFrame, owned: pd.DataFrame) -> pd.Dat
     depth = nodes["depth"].to_numpy(np.int64)
     members = nodes["members"].to_numpy(np.int64)
     saved, leaves = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-    for conv, own in owned.groupby("conv"):
-        own = own.sort_values("depth")
-        d = own["depth"].to_numpy(np.int64)
-        mine = (members >> np.int64(int(conv) - base + FAMILY - 1)) & 1 == 1
-        at = np.searchsorted(d, depth[mine])
-        for total, c in ((saved, "value"), (leaves, "leaf")):
-            below = np.r_[np.cumsum(own[c].to_numpy(np.int64)[::-1])[::-1], 0]
-            total[mine] += below[at]
-    return pd.DataFrame({"depth": depth, "k1": nodes["k1"], "k2": nodes["k2"], "saved": saved, "leaves": leaves})
+    conv, d, value, leaf = (owned[c].to_numpy(np.int64) for c in ("conv", "depth", "value", "leaf"))
+    order = np.lexsort((d, conv))
+    conv, d, value, leaf = conv[order], d[order], value[order], leaf[order]
+    begin = _runs(conv) if len(conv) else np.empty(0, np.int64)
+    for i, j in zip(begin, [*begin[1:], len(conv)], strict=False):  # none, if nothing is owned here
+        mine = np.flatnonzero((members >> np.int64(int(conv[i]) - base + FAMILY - 1)) & 1)
+        at = np.searchsorted(d[i:j], depth[mine])
+        for total, c in ((saved, value), (leaves, leaf)):
+            total[mine] += np.r_[np.cumsum(c[i:j][::-1])[::-1], 0][at]
+    return pd.DataFrame({"depth": depth, "k1": nodes["k1"].to_numpy(), "k2": nodes["k2"].to_numpy(), "saved": saved, "leaves": leaves})
 
 
 def subtree_sums(nodes: DataFrame, merged: DataFrame, segment: int = SEGMENT) -> DataFrame:
