@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import ngrams, strings
-from tidemark.operators.fuzzy import partial_ratio, ratio, similar_pairs, token_sort_ratio
+from tidemark.operators.fuzzy import fitting_lengths, partial_ratio, ratio, similar_pairs, token_sort_ratio
 from tidemark.sources.shared import stored
 
 # -- fixed values that results depend on: phrases that make two brands in one text a comparison, endings that a product's
@@ -83,17 +83,20 @@ def similarity(a: Column, b: Column, weights: dict[str, float] = WEIGHTS) -> Col
 # -- recognition
 
 
-def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4) -> DataFrame:
-    """(id, position, n, chunk): every run of 1 to `longest` words of three letters or more, in lower case."""
+def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4, shortest: int = 1, within: tuple[int, int] = (3, 1 << 30)) -> DataFrame:
+    """(id, position, n, chunk): every run of `shortest` to `longest` words whose letters are `within` bounds, in lower case.
+
+    All lengths come from one generator, so that a text is read and split once.
+    """
     words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}' ]+", " "), r"\s+"), lambda w: w != "")
     rows = texts.select(F.col(id_col).alias("id"), words.alias("w"))
+    beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(0))).alias(f"w{k}") for k in range(longest)])
+    rows = rows.select("id", F.posexplode(beside).alias("position", "z"))
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("position"), F.array_join(F.slice("w", i + 1, n), " ").alias("chunk")))
+    def run(n: int) -> Column:
+        return F.struct(F.lit(n).alias("n"), F.when(F.col(f"z.w{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"z.w{k}") for k in range(n)])).alias("chunk"))
 
-    # All lengths in one generator, so that a text is read and split once.
-    return rows.select("id", F.inline(F.concat(*map(runs, range(1, longest + 1))))).where(F.char_length("chunk") >= 3)
+    return rows.select("id", "position", F.inline(F.array(*map(run, range(shortest, longest + 1))))).where(F.char_length("chunk").between(*within))
 
 
 def _size(terms: DataFrame) -> int:
@@ -105,15 +108,16 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def alike(found: DataFrame, terms: DataFrame, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
-    """The distinct chunks of found (chunk, n), runs of up to `longest` words, with every term that is alike by `least`, and the ratio.
-
-    Single words repeat much and are made distinct first; longer runs hardly do, and only what the index leaves of them is.
-    """
-    single = found.where("n = 1").select("chunk").distinct()
-    if longest > 1:
-        single = single.unionByName(found.where("n > 1").select("chunk"))
-    return similar_pairs(single, terms, least, words_sorted)
+def _alike(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, longest: int, words_sorted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Chunks with every term that is alike by `least`, and the ratio: (chunk, ...) of the distinct single words, which repeat
+    much, and (id, position, n, chunk, ...) of longer runs where they stand, since those hardly repeat."""
+    single = chunks(texts, id_col, text_col, 1).select("chunk").distinct()
+    words = similar_pairs(single, terms, least, words_sorted=words_sorted)
+    if longest == 1:
+        return words, None
+    low, high = fitting_lengths(terms, least)
+    runs = chunks(texts, id_col, text_col, longest, 2, (max(3, low), high))
+    return words, similar_pairs(runs, terms, least, words_sorted=words_sorted, by_letters=False)
 
 
 def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000) -> DataFrame:
@@ -124,16 +128,24 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: st
     """
     known = terms.where("kind <> 'keyword'")
     longest = _size(known)
-    found = chunks(texts, id_col, text_col, longest)
     cols = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
-    best = known.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
-    if fuzzy is not None:
-        near = alike(found, known, fuzzy, longest).drop("ratio").where(F.col("chunk") != F.col("term"))
-        near = near.withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
-        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
-        # Stored once: counted, they go to the texts, whose chunks then needn't be shuffled.
-        best = stored(best.unionByName(near, allowMissingColumns=False), "alike")
-    return found.join(_side(best, 10 * broadcast_terms), "chunk").select(cols)
+    exact = known.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
+    if fuzzy is None:
+        return chunks(texts, id_col, text_col, longest).join(_side(exact, broadcast_terms), "chunk").select(cols)
+
+    def best(pairs: DataFrame, place: list[str]) -> DataFrame:
+        near = pairs.drop("ratio").where(F.col("chunk") != F.col("term")).withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
+        return near.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
+
+    words, runs = _alike(texts, known, id_col, text_col, fuzzy, longest)
+    # Stored once: counted, they go to the texts, whose words then needn't be shuffled.
+    words = stored(exact.where(~F.contains("chunk", F.lit(" "))).unionByName(best(words, [])), "alike")
+    out = chunks(texts, id_col, text_col, 1).join(_side(words, 10 * broadcast_terms), "chunk").select(cols)
+    if runs is None:
+        return out
+    runs = stored(runs, "runs")
+    same = runs.where(F.col("chunk") == F.col("term")).withColumn("score", F.lit(100.0))
+    return out.unionByName(same.select(cols)).unionByName(best(runs, ["id", "position", "n"]).select(cols))
 
 
 def without_overlaps(cands: Column) -> Column:
@@ -158,7 +170,7 @@ def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
         words = chunks(texts, id_col, text_col, _size(keys))
         near = keys.select(F.col("term").alias("chunk"), "brand", "term")
         if fuzzy is not None:
-            near = near.unionByName(alike(words.where("n = 1"), keys, KEYWORD_RATIO, 1).select("chunk", "brand", "term")).distinct()
+            near = near.unionByName(_alike(texts, keys, id_col, text_col, KEYWORD_RATIO, 1)[0].select("chunk", "brand", "term")).distinct()
         hits = words.join(_side(stored(near, "keywords"), 200_000), "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")
@@ -195,14 +207,15 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
     in the texts; a product of such a brand gets a tenth more confidence, up to 1.
     """
     known = product_terms(terms)
-    found = chunks(texts, id_col, text_col, 3)
-    exact = known.withColumn("chunk", F.col("term")).withColumn("ratio", F.lit(100.0)).select("chunk", "brand", "product", "term", "ratio")
+    cols = ["id", "position", "n", "brand", "product", "term", "ratio"]
     if fuzzy is None:
-        got = found.join(_side(exact, 20_000), "chunk")
+        exact = known.withColumn("chunk", F.col("term")).withColumn("ratio", F.lit(100.0))
+        got = chunks(texts, id_col, text_col, 3).join(_side(exact, 20_000), "chunk").select(cols)
     else:
-        near = alike(found, known, fuzzy, 3, words_sorted=True)
-        best = stored(near.groupBy("chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select("chunk", "x.brand", "x.product", "x.term", "x.ratio"), "products")
-        got = found.join(_side(best, 200_000), "chunk")
+        best = lambda pairs, place: pairs.groupBy(*place, "chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select(*place, "chunk", "x.brand", "x.product", "x.term", "x.ratio")
+        words, runs = _alike(texts, known, id_col, text_col, fuzzy, 3, words_sorted=True)
+        got = chunks(texts, id_col, text_col, 1).join(_side(stored(best(words, []), "products"), 200_000), "chunk").select(cols)
+        got = got.unionByName(best(runs, ["id", "position", "n"]).select(cols))
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
     out = per.select("id", F.explode("m").alias("x")).groupBy("id", F.col("x.product").alias("product"), F.col("x.brand").alias("brand")).agg((-F.min("x.s") / 100).alias("confidence"))

@@ -26,7 +26,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def in_order(words: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(words, " ")), " ")
+    return F.array_join(F.sort_array(F.split(words, " ")), " ")
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -79,10 +79,17 @@ def _plan(sizes: list[int], least: float) -> tuple[list[tuple], list[tuple]]:
     return sorted(own), theirs
 
 
-def candidate_pairs(each: DataFrame, terms: DataFrame, least: float, words_sorted: bool = False, index_rows: int = INDEX_ROWS) -> DataFrame:
+def fitting_lengths(terms: DataFrame, least: float) -> tuple[int, int]:
+    """The shortest and longest string that may reach `least` with any term; (1, 0) without terms."""
+    low, high = terms.where("term <> ''").agg(F.min(F.char_length("term")), F.max(F.char_length("term"))).first()
+    return (1, 0) if low is None else (math.ceil(low * least / 100 - 1e-6), math.floor(high * 100 / least + 1e-6))
+
+
+def candidate_pairs(each: DataFrame, terms: DataFrame, least: float, words_sorted: bool = False, index_rows: int = INDEX_ROWS, by_letters: bool = True) -> DataFrame:
     """each (a column `chunk`) with those of terms (a column `term`) that may reach `least`; a pair may come several times.
 
-    `_a` and `_b` are the forms that are compared, `_d` the edits that their lengths permit.
+    `_a` and `_b` are the forms that are compared, `_d` the edits that their lengths permit. by_letters: whether the letters of
+    a chunk, which take longer than a few distances, are worth it; they are for distinct chunks and many terms.
     """
     if not 0 < least <= 100:
         raise ValueError("least must be over 0 and at most 100")
@@ -95,16 +102,23 @@ def candidate_pairs(each: DataFrame, terms: DataFrame, least: float, words_sorte
     index = index.withColumn("_s", F.explode(F.array_distinct(F.transform(F.sequence("_first", "_last"), lambda p: F.substring("_b", p + 1, F.col("_n")))))).drop("_m", "_n", "_first", "_last")
     if index.limit(index_rows + 1).count() <= index_rows:
         index = F.broadcast(index)
-    probes = each.withColumns({"_l": F.char_length("chunk"), "_a": form(F.col("chunk")), "_la": _letters(F.col("chunk"))}).join(F.broadcast(own), "_l")
-    probes = probes.withColumn("_s", F.substring("_a", F.col("_p") + 1, F.col("_n"))).drop("_p", "_n")
+    probes = each.withColumns({"_l": F.char_length("chunk"), "_a": form(F.col("chunk"))})
+    if by_letters:
+        probes = probes.withColumn("_la", _letters(F.col("chunk")))
+    probes = probes.join(F.broadcast(own), "_l").withColumn("_s", F.substring("_a", F.col("_p") + 1, F.col("_n"))).drop("_p", "_n")
     pairs = probes.join(index, ["_l", "_d", "_i", "_s"])
     lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= F.col("_d")
-    return pairs.where(lacks("_la", "_lb") & lacks("_lb", "_la")).drop("_l", "_i", "_s", "_la", "_lb")
+    if by_letters:
+        pairs = pairs.where(lacks("_la", "_lb") & lacks("_lb", "_la")).drop("_la")
+    return pairs.drop("_l", "_i", "_s", "_lb")
 
 
-def similar_pairs(each: DataFrame, terms: DataFrame, least: float, words_sorted: bool = False, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """each (distinct strings `chunk`) with all terms whose ratio, or token-sort ratio, is `least` or more, and that ratio, once each."""
-    pairs = candidate_pairs(each, terms, least, words_sorted, index_rows)
+def similar_pairs(each: DataFrame, terms: DataFrame, least: float, **how) -> DataFrame:
+    """each (strings `chunk`) with all terms whose ratio, or token-sort ratio, is `least` or more, and that ratio, once each.
+
+    how: see candidate_pairs.
+    """
+    pairs = candidate_pairs(each, terms, least, **how)
     near = pairs.withColumn("_e", F.call_function("levenshtein", F.col("_a"), F.col("_b"), F.col("_d"))).where("_e >= 0")
     longer = F.greatest(F.char_length("_a"), F.char_length("_b"))
     return near.withColumn("ratio", (longer - F.col("_e")) * 100.0 / longer).where(F.col("ratio") >= least).drop("_a", "_b", "_d", "_e").dropDuplicates()
