@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.alignment import indel_ratio, partial_indel_ratio
 from tidemark.functions.lexicon import lexicon_sentiment
 from tidemark.operators import entity, features, models, preprocess, quality, topics, virality
 from tidemark.plans.market import rounded
@@ -77,6 +78,9 @@ _RATIO = lambda a, b: f"((greatest(length({a}), length({b})) - levenshtein(regex
 
 _STRETCH = lambda a, b: f"CASE WHEN contains({b}, {a}) THEN 100 ELSE list_max(list_transform(range(1, length({b}) - length({a}) + 2), lambda i: {_RATIO(a, f'substr({b}, i::INT, length({a})::INT)')})) END"
 _PARTIAL = f"CASE WHEN length(chunk) > length(term) THEN {_STRETCH('term', 'chunk')} ELSE {_STRETCH('chunk', 'term')} END"
+# A row of the dynamic programme for each letter of a, the best of each place from the places before it.
+_LCS = lambda a, b: f"list_last(list_reduce(list_concat([list_transform(range(0, length({b})), lambda z: 0)], list_transform(string_split({a}, ''), lambda c: [ord(c)])), lambda acc, x: list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[k], coalesce(acc[k - 1], 0) + (ord(substr({b}, k::INT, 1)) = x[1])::INT)))::INT)))"
+_BEST_LCS = lambda a, b: f"list_max(list_transform(range(1, length({b}) - length({a}) + 2), lambda i: 100.0::DOUBLE * {_LCS(a, f'substr({b}, i::INT, length({a})::INT)')} / length({a})))"
 # Runs of up to three words, by place.
 _RUNS = f"""w AS (SELECT doc_id, {_CHUNK} AS w FROM documents), c AS (SELECT doc_id, n, i AS position, array_to_string(w[i + 1:i + n], ' ') AS chunk FROM (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n)) WHERE length(array_to_string(w[i + 1:i + n], ' ')) >= 3)"""
 # From hits (h) and words like keywords (q): longer runs claim their words first, then better ones, then earlier ones; the best of a brand stays.
@@ -133,6 +137,8 @@ SQL: dict[str, str] = {
   q AS (SELECT chunk, brand, term FROM (SELECT DISTINCT chunk FROM c WHERE n = 1) JOIN {_KEYWORDS} ON {_RATIO('chunk', 'term')} >= 80), {_FOUND}""",
     "benchmark_terms_fuzzy": f"""WITH w AS (SELECT {_CHUNK} AS w FROM documents), c AS (SELECT DISTINCT chunk FROM (SELECT unnest(w) AS chunk FROM w) WHERE length(chunk) >= 3), t AS (SELECT DISTINCT term FROM (SELECT unnest({_CHUNK}) AS term FROM benchmark) WHERE regexp_full_match(term, '[a-z0-9'']{{5,}}') UNION SELECT DISTINCT lower(p_name) FROM part)
   SELECT chunk, term, round({_RATIO('chunk', 'term')}, 6) AS ratio FROM c JOIN t ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 80.0 - 0.000001 AND {_RATIO('chunk', 'term')} >= 80""",
+    "indel_scores": f"""WITH w AS (SELECT {_CHUNK} AS w FROM conversations), u AS (SELECT DISTINCT chunk FROM (SELECT unnest(w) AS chunk FROM w) WHERE length(chunk) >= 3), r AS (SELECT chunk, term, brand FROM u JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 65.0 - 0.000001 AND {_RATIO('chunk', 'term')} >= 65)
+  SELECT chunk, term, brand, round(200.0::DOUBLE * {_LCS('chunk', 'term')} / (length(chunk) + length(term)), 6) AS indel, round(CASE WHEN length(chunk) > length(term) THEN {_BEST_LCS('term', 'chunk')} ELSE {_BEST_LCS('chunk', 'term')} END, 6) AS partial FROM r""",
     "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
     "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
@@ -248,6 +254,12 @@ def _product_matches(spark, d):
     return rounded(entity.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, words_sorted=True).select("chunk", "term", "brand", "product", "ratio"))
 
 
+def _indel(spark, d):
+    words = entity.chunks(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "text", 1).select("chunk").distinct()
+    pairs = entity.similar_pairs(words, terms(spark).where("kind <> 'keyword'"), 65.0)
+    return rounded(pairs.select("chunk", "term", "brand", indel_ratio(F.col("chunk"), F.col("term")).alias("indel"), partial_indel_ratio(F.col("chunk"), F.col("term")).alias("partial")))
+
+
 def _token_ids(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _plain_words(F.lower("text")).alias("tokens"))
     return models.token_ids(rows, models.vocabulary(rows, size=500), "id").select("id", F.array_join("ids", " ").alias("ids"))
@@ -291,6 +303,7 @@ QUERIES = {
     "product_extraction": lambda s, d: entity.extract_products(_docs(s, d), terms(s), "doc_id", fuzzy=None),
     "product_matches": _product_matches,
     "product_extraction_fuzzy": lambda s, d: entity.extract_products(s.read.parquet(f"{d}/conversations.parquet").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), terms(s)),
+    "indel_scores": _indel,
     "token_ids": _token_ids,
     "balanced_sample": lambda s, d: quality.balanced_sample(_posts(s, d).where("sentiment IS NOT NULL"), "tweet_id", 0.1).select("tweet_id", "sentiment"),
     "hash_sample": lambda s, d: quality.hash_sample(_docs(s, d), "doc_id", 0.1).select("doc_id"),
