@@ -44,6 +44,26 @@ def sentiment_trends(df: DataFrame, **names) -> dict[str, DataFrame]:
     return grains | {"by_hour": sentiment_by_part(df, "hour", **names), "by_day_of_week": sentiment_by_part(df, "day_of_week", **names)}
 
 
+def trend_cube(df: DataFrame, ts: str = "timestamp", label: str = "sentiment") -> DataFrame:
+    """The five trend tables of sentiment_trends as one, from one scan and one shuffle: (grain, window_start or part, ...).
+
+    grain is hourly, daily or weekly with a window_start, hour or day_of_week (1 for Sunday) with a part.
+    """
+    at, day = F.col(ts), F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+    kind = df.schema[ts].dataType
+    grains = {
+        "hourly": F.date_trunc("hour", at).cast(kind), "daily": F.date_trunc("day", at).cast(kind), "weekly": F.date_add(F.lit("1970-01-01").cast("date"), day - F.pmod(day, F.lit(7))).cast(kind),
+        "hour": F.hour(at), "day_of_week": F.dayofweek(at),
+    }
+    names, y = list(grains), F.col("_y")
+    rows = df.select(*[c.alias(n) for n, c in grains.items()], F.col(label).alias("_y"))
+    aggs = [F.count(y).alias("tweet_count"), F.avg(y).alias("avg_sentiment"), F.stddev(y).alias("sentiment_stddev"), F.count_if(y == 1).alias("positive_count"), F.count_if(y == 0).alias("negative_count")]
+    out = rows.groupingSets([[n] for n in names], *names).agg(F.grouping_id(*names).alias("g"), *aggs)
+    # A bit of the grouping id is 0 for the column that is grouped by.
+    grain = F.coalesce(*[F.when(F.col("g") == (1 << len(names)) - 1 - (1 << len(names) - 1 - i), n) for i, n in enumerate(names)])
+    return out.select(grain.alias("grain"), F.coalesce("hourly", "daily", "weekly").alias("window_start"), F.coalesce("hour", "day_of_week").alias("part"), *[c for c in out.columns if c not in {*names, "g"}], F.try_divide("positive_count", "tweet_count").alias("positive_ratio"))
+
+
 def rolling_anomalies(df: DataFrame, metric: str = "avg_sentiment", window: int = 24, threshold: float = 2.0, key: list[str] | None = None) -> DataFrame:
     """Distance of each bucket's metric from the `window` buckets before it, in standard deviations; null counts as normal."""
     past = _over(key or []).rowsBetween(-window, -1)

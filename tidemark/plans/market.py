@@ -56,6 +56,10 @@ SQL: dict[str, str] = {
     "sentiment_monthly": _grain("date_trunc('month', ts)::TIMESTAMP", "window_start + INTERVAL '1 month'"),
     "sentiment_by_hour_of_day": f"WITH {_E} SELECT hour(ts)::INT AS hour, round(avg(y), 6) AS avg_sentiment, count(y) AS tweet_count FROM e GROUP BY 1",
     "sentiment_by_day_of_week": f"WITH {_E} SELECT (dayofweek(ts) + 1)::INT AS day_of_week, round(avg(y), 6) AS avg_sentiment, count(y) AS tweet_count, dayname(ts) AS day_name FROM e GROUP BY 1, 4",
+    "sentiment_cube": f"""WITH {_E}, k AS (SELECT date_trunc('hour', ts) AS a, date_trunc('day', ts)::TIMESTAMP AS b, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS c, hour(ts)::INT AS h, (dayofweek(ts) + 1)::INT AS d, y FROM e)
+  SELECT CASE grouping_id(a, b, c, h, d) WHEN 15 THEN 'hourly' WHEN 23 THEN 'daily' WHEN 27 THEN 'weekly' WHEN 29 THEN 'hour' ELSE 'day_of_week' END AS grain, coalesce(a, b, c) AS window_start, coalesce(h, d) AS part,
+  count(y) AS tweet_count, round(avg(y), 6) AS avg_sentiment, round(stddev_samp(y), 6) AS sentiment_stddev, count(*) FILTER (y = 1) AS positive_count, count(*) FILTER (y = 0) AS negative_count, round(count(*) FILTER (y = 1) / nullif(count(y), 0), 6) AS positive_ratio
+  FROM k GROUP BY GROUPING SETS ((a), (b), (c), (h), (d))""",
     "sentiment_anomalies": f"""WITH {_t("date_trunc('hour', ts)")}, r AS (SELECT window_start, avg_sentiment, avg(avg_sentiment) OVER w AS rolling_mean, stddev_samp(avg_sentiment) OVER w AS rolling_std FROM t WINDOW w AS (ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
   z AS (SELECT *, (avg_sentiment - rolling_mean) / CASE WHEN rolling_std <> 0 THEN rolling_std END AS z_score FROM r)
   SELECT window_start, round(avg_sentiment, 6) AS avg_sentiment, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, round(z_score, 6) AS z_score, coalesce(abs(z_score) > 2, false)::INT AS is_anomaly,
@@ -179,6 +183,7 @@ def _pairs(spark, d):
 
 QUERIES = {
     **{f"sentiment_{g}": (lambda s, d, g=g: rounded(timeseries.sentiment_by_time(_events(s, d), g))) for g in ("hourly", "daily", "weekly", "monthly")},
+    "sentiment_cube": lambda s, d: rounded(timeseries.trend_cube(_events(s, d))),
     "sentiment_by_hour_of_day": lambda s, d: rounded(timeseries.sentiment_by_part(_events(s, d), "hour")),
     "sentiment_by_day_of_week": lambda s, d: rounded(timeseries.sentiment_by_part(_events(s, d), "day_of_week")),
     "sentiment_anomalies": lambda s, d: rounded(timeseries.rolling_anomalies(timeseries.sentiment_by_time(_events(s, d), "hourly").select("window_start", "avg_sentiment"))),
