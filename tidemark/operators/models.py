@@ -10,9 +10,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quality import place
+from tidemark.sources.shared import stored
+
 #: The columns that models take unless told otherwise, and the names under which models are asked for.
 FEATURES = [
     "text_length", "processed_length", "token_count", "emoji_sentiment", "exclamation_count", "question_count", "uppercase_ratio", "punctuation_density",
@@ -71,17 +74,38 @@ def confusion(scored: DataFrame) -> DataFrame:
 
 
 def metrics(scored: DataFrame) -> DataFrame:
-    """accuracy, weighted precision, recall and F1 as one row, from the confusion counts alone."""
-    c = confusion(scored)
-    rows = c.groupBy("label").agg(F.sum("n").alias("real"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
-    cols = c.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
-    per = rows.join(cols, "label", "left").withColumns({"p": F.coalesce(F.try_divide("hit", "said"), F.lit(0.0)), "r": F.coalesce(F.try_divide("hit", "real"), F.lit(0.0))})
+    """accuracy, weighted precision, recall and F1 as one row, from the confusion counts alone, which are made once."""
+    said = F.sum("n").over(Window.partitionBy("prediction"))  # over a row a pair of classes
+    c = confusion(scored).withColumns({"said": said, "own": F.col("label") == F.col("prediction")})
+    one = lambda x: F.coalesce(F.max(F.when(F.col("own"), F.col(x))), F.lit(0))
+    per = c.groupBy("label").agg(F.sum("n").alias("real"), one("n").alias("hit"), one("said").alias("said"))
+    per = per.withColumns({"p": F.coalesce(F.try_divide("hit", "said"), F.lit(0.0)), "r": F.coalesce(F.try_divide("hit", "real"), F.lit(0.0))})
     per = per.withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
     total = F.sum("real")
     weighted = lambda x: F.try_divide(F.sum(F.col(x) * F.col("real")), total)
     return per.agg(F.try_divide(F.sum("hit"), total).alias("accuracy"), weighted("p").alias("precision"), weighted("r").alias("recall"), weighted("f").alias("f1"))
 
 
+def auc(scored: DataFrame, score: str = "score", label: str = "label", key: list[str] | None = None) -> DataFrame:
+    """(key..., rows, auc): the area under the ROC curve, the share of pairs of a row of class 1 and one of class 0 in which the
+    first scores higher, ties counted half; null where a class is missing. Rows without a score or class don't count.
+
+    Rows become counts of each distinct score, which are sorted by range: how many zeros score less is what earlier ranges
+    hold and what the own range holds before. Nothing meets in one task but a row a range.
+    """
+    key, y = key or [], F.col(label)
+    rows = scored.where(F.col(score).isNotNull() & y.isin(0, 1)).withColumns({"_key": F.struct(*(key or [F.lit(0).alias("all")])), "_s": F.col(score), "_y": y})
+    hist = rows.groupBy("_key", "_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
+    ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = stored(hist.repartitionByRange(ranges, "_key", "_s").withColumn("range", F.spark_partition_id()), "scores")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = hist.groupBy("_key", "range").agg(F.sum("n").alias("n")).select("_key", "range", before(Window.partitionBy("_key").orderBy("range")).alias("below"))
+    hist = hist.withColumn("inside", before(Window.partitionBy("_key", "range").orderBy("_s"))).join(starts, ["_key", "range"])
+    wins = F.sum(F.col("p") * (F.col("below") + F.col("inside") + F.col("n") / 2))
+    out = hist.groupBy("_key").agg((F.sum("p") + F.sum("n")).alias("rows"), F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in key], "rows", "auc")
+
+
 def train(df: DataFrame, name: str, features: list[str] | None = None, label: str = "sentiment", seed: int = 42) -> tuple[PipelineModel, float]:
     """The fitted pipeline and the seconds that took."""
     start = time.time()
@@ -91,16 +115,24 @@ def train(df: DataFrame, name: str, features: list[str] | None = None, label: st
 def evaluate(model: PipelineModel, df: DataFrame, label: str = "sentiment") -> dict[str, float]:
     """The metrics and the area under the ROC curve (nan where the model gives no score or a class is missing)."""
     scored = model.transform(labelled(df, label))
+    raw = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in scored.columns else F.lit(None).cast("double")
+    scored = stored(scored.select("label", "prediction", raw.alias("score")), "scored")  # each row is scored once
     row = metrics(scored).first().asDict()
-    raw = "rawPrediction" if "rawPrediction" in scored.columns else None
-    row["auc"] = BinaryClassificationEvaluator(rawPredictionCol=raw, labelCol="label").evaluate(scored) if raw else float("nan")
+    found = auc(scored).first()
+    row["auc"] = float("nan") if found is None or found["auc"] is None else found["auc"]
     return row
 
 
-def cross_validate(df: DataFrame, name: str, features: list[str] | None = None, folds: int = 3, label: str = "sentiment", seed: int = 42):
+def folds(df: DataFrame, id_col: str, k: int = 3, seed: int = 42) -> DataFrame:
+    """df with `fold` from 0 to k - 1 by the hash of the id: rows of one id are in one fold, however the table is dealt."""
+    return df.withColumn("fold", F.floor(place(id_col, seed) * k).cast("int"))
+
+
+def cross_validate(df: DataFrame, name: str, features: list[str] | None = None, folds: int = 3, label: str = "sentiment", seed: int = 42, fold_col: str = ""):
+    """fold_col: a column of folds (see folds()); without one they are random."""
     name = chosen(name)
     p = pipeline(name, features, seed)
-    cv = CrossValidator(estimator=p, estimatorParamMaps=grid(name, p), evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed, parallelism=2)
+    cv = CrossValidator(estimator=p, estimatorParamMaps=grid(name, p), evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed, parallelism=2, foldCol=fold_col)
     return cv.fit(labelled(df, label))
 
 

@@ -142,6 +142,9 @@ SQL: dict[str, str] = {
     "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
     "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
+    "fold_auc": f"""WITH r AS (SELECT floor({_PLACE('l.doc_id')} * 3)::INT AS fold, toxic AS y, length(text) AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic IS NOT NULL AND text IS NOT NULL),
+  k AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2 AS r FROM r)
+  SELECT fold, count(*) AS rows, round((sum(CASE WHEN y = 1 THEN r END) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS auc FROM k GROUP BY 1""",
     "model_metrics": """WITH c AS (SELECT toxic AS label, 1 - quality AS prediction, count(*) AS n FROM labels GROUP BY 1, 2), r AS (SELECT label, sum(n) AS actual, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hit FROM c GROUP BY 1), s AS (SELECT prediction AS label, sum(n) AS said FROM c GROUP BY 1), p AS (SELECT actual, hit, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / actual, 0) AS r FROM r LEFT JOIN s USING (label)), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM p)
   SELECT round(sum(hit) / sum(actual), 6) AS accuracy, round(sum(p * actual) / sum(actual), 6) AS precision, round(sum(r * actual) / sum(actual), 6) AS recall, round(sum(f * actual) / sum(actual), 6) AS f1 FROM f""",
 }
@@ -297,6 +300,7 @@ QUERIES = {
     "benchmark_terms_fuzzy": _benchmark_terms,
     "competitive_context": _context,
     "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens")), size=500),
+    "fold_auc": lambda s, d: rounded(models.auc(models.folds(s.read.parquet(f"{d}/labels.parquet").join(_docs(s, d), "doc_id"), "doc_id").withColumn("score", F.char_length("text")), label="toxic", key=["fold"])),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
     "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id").select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
     "brand_recognition_exact": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id", fuzzy=None).select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
