@@ -108,44 +108,55 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def _alike(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, longest: int, words_sorted: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Chunks with every term that is alike by `least`, and the ratio: (chunk, ...) of the distinct single words, which repeat
-    much, and (id, position, n, chunk, ...) of longer runs where they stand, since those hardly repeat."""
-    single = chunks(texts, id_col, text_col, 1).select("chunk").distinct()
-    words = similar_pairs(single, terms, least, words_sorted=words_sorted)
-    if longest == 1:
-        return words, None
+def _alike_words(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, words_sorted: bool = False) -> DataFrame:
+    """The distinct single words with every term that is alike by `least`, and the ratio; words repeat much."""
+    return similar_pairs(chunks(texts, id_col, text_col, 1).select("chunk").distinct(), terms, least, words_sorted=words_sorted)
+
+
+def _alike_runs(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
+    """(id, position, n, chunk, ...): runs of two words or more where they stand, since those hardly repeat, with such terms."""
     low, high = fitting_lengths(terms, least)
-    runs = chunks(texts, id_col, text_col, longest, 2, (max(3, low), high))
-    return words, similar_pairs(runs, terms, least, words_sorted=words_sorted, by_letters=False)
+    return similar_pairs(chunks(texts, id_col, text_col, longest, 2, (max(3, low), high)), terms, least, words_sorted=words_sorted, by_letters=False)
 
 
-def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000) -> DataFrame:
-    """(id, position, n, chunk, brand, industry, kind, term, score) for exact and, unless fuzzy is None, similar chunks.
+_HIT = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
 
-    Chunks meet every term that is alike by `fuzzy` (see fuzzy.candidate_pairs), of which the five best stay.
-    A single word's composite score isn't under its ratio, so words that no run claims have been tried here, too.
-    """
-    known = terms.where("kind <> 'keyword'")
-    longest = _size(known)
-    cols = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
-    exact = known.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
+
+def _hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, fuzzy: float | None, broadcast_terms: int = 20_000) -> DataFrame:
+    """_HIT for every chunk that is a term or, unless fuzzy is None, alike one; keywords are alike from KEYWORD_RATIO on, and only
+    to single words. The texts are split for the distinct words, for the longer runs, and for the places of the words."""
+    known, keys = terms.where("kind <> 'keyword'"), terms.where("kind = 'keyword'")
+    exact = terms.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
     if fuzzy is None:
-        return chunks(texts, id_col, text_col, longest).join(_side(exact, broadcast_terms), "chunk").select(cols)
+        return chunks(texts, id_col, text_col, _size(terms)).join(_side(exact, broadcast_terms), "chunk").select(_HIT)
+    brand = F.col("kind") != "keyword"
 
     def best(pairs: DataFrame, place: list[str]) -> DataFrame:
-        near = pairs.drop("ratio").where(F.col("chunk") != F.col("term")).withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
-        return near.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r")
+        near = pairs.where(F.col("chunk") != F.col("term")).withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
+        return near.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r", "ratio")
+
+    words = stored(_alike_words(texts, terms, id_col, text_col, min(fuzzy, KEYWORD_RATIO)), "words")
+    near = best(words.where(brand & (F.col("ratio") >= fuzzy)), []).unionByName(words.where(~brand & (F.col("ratio") >= KEYWORD_RATIO) & (F.col("chunk") != F.col("term"))).withColumnRenamed("ratio", "score"))
+    near = exact.where(~F.contains("chunk", F.lit(" "))).unionByName(near)
+    # Counted, they go to the texts, whose words then needn't be shuffled.
+    out = chunks(texts, id_col, text_col, 1).join(_side(stored(near, "alike"), 10 * broadcast_terms), "chunk").select(_HIT)
+    longest, several = _size(known), _size(keys)
+    if longest > 1:
+        runs = stored(_alike_runs(texts, known, id_col, text_col, fuzzy, longest), "runs")
+        same = runs.where(F.col("chunk") == F.col("term")).withColumn("score", F.lit(100.0))
+        out = out.unionByName(same.select(_HIT)).unionByName(best(runs, ["id", "position", "n"]).select(_HIT))
+    if several > 1:
+        out = out.unionByName(chunks(texts, id_col, text_col, several, 2).join(_side(exact.where(~brand), broadcast_terms), "chunk").select(_HIT))
+    return out
 
-    words, runs = _alike(texts, known, id_col, text_col, fuzzy, longest)
-    # Stored once: counted, they go to the texts, whose words then needn't be shuffled.
-    words = stored(exact.where(~F.contains("chunk", F.lit(" "))).unionByName(best(words, [])), "alike")
-    out = chunks(texts, id_col, text_col, 1).join(_side(words, 10 * broadcast_terms), "chunk").select(cols)
-    if runs is None:
-        return out
-    runs = stored(runs, "runs")
-    same = runs.where(F.col("chunk") == F.col("term")).withColumn("score", F.lit(100.0))
-    return out.unionByName(same.select(cols)).unionByName(best(runs, ["id", "position", "n"]).select(cols))
+
+def matches(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", fuzzy: float | None = 70.0, broadcast_terms: int = 20_000) -> DataFrame:
+    """(id, position, n, chunk, brand, industry, kind, term, score) for exact and, unless fuzzy is None, similar chunks.
+
+    Chunks meet every term that is alike by `fuzzy` (see fuzzy.candidate_pairs), of which the five best stay; keywords
+    are left out. A single word's composite score isn't under its ratio, so words that no run claims have been tried, too.
+    """
+    return _hits(texts, terms.where("kind <> 'keyword'"), id_col, text_col, fuzzy, broadcast_terms)
 
 
 def without_overlaps(cands: Column) -> Column:
@@ -161,17 +172,13 @@ def recognise(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     confidence min(50 + 10 k, 85) / 100 and position -1. A keyword is in the text if a run of words equals it or, unless
     fuzzy is None, a word is alike by KEYWORD_RATIO.
     """
-    got = matches(texts, terms, id_col, text_col, fuzzy)
+    hits = stored(_hits(texts, terms if context else terms.where("kind <> 'keyword'"), id_col, text_col, fuzzy), "hits")
+    got = hits.where("kind <> 'keyword'")
     packed = F.struct((-F.col("n")).alias("o"), (-F.col("score")).alias("s"), "position", "n", "brand", "industry", "kind", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))
     flat = per.select("id", F.explode("m").alias("x")).select("id", F.col("x.brand").alias("brand"), (-F.col("x.s") / 100).alias("confidence"), F.when(F.col("x.s") == -100, "exact").otherwise("fuzzy").alias("match_type"), F.col("x.position").alias("position"))
     if context:
-        keys = terms.where("kind = 'keyword'")
-        words = chunks(texts, id_col, text_col, _size(keys))
-        near = keys.select(F.col("term").alias("chunk"), "brand", "term")
-        if fuzzy is not None:
-            near = near.unionByName(_alike(texts, keys, id_col, text_col, KEYWORD_RATIO, 1)[0].select("chunk", "brand", "term")).distinct()
-        hits = words.join(_side(stored(near, "keywords"), 200_000), "chunk").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
+        hits = hits.where("kind = 'keyword'").groupBy("id", "brand").agg(F.countDistinct("term").alias("k")).where("k >= 2")
         few = flat.groupBy("id").agg(F.countDistinct("brand").alias("b"))
         hits = hits.join(few, "id", "left").where("coalesce(b, 0) < 3")
         flat = flat.unionByName(hits.select("id", "brand", (F.least(50 + 10 * F.col("k"), F.lit(85)) / 100).alias("confidence"), F.lit("context").alias("match_type"), F.lit(-1).alias("position")))
@@ -213,7 +220,8 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
         got = chunks(texts, id_col, text_col, 3).join(_side(exact, 20_000), "chunk").select(cols)
     else:
         best = lambda pairs, place: pairs.groupBy(*place, "chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select(*place, "chunk", "x.brand", "x.product", "x.term", "x.ratio")
-        words, runs = _alike(texts, known, id_col, text_col, fuzzy, 3, words_sorted=True)
+        words = _alike_words(texts, known, id_col, text_col, fuzzy, words_sorted=True)
+        runs = _alike_runs(texts, known, id_col, text_col, fuzzy, 3, words_sorted=True)
         got = chunks(texts, id_col, text_col, 1).join(_side(stored(best(words, []), "products"), 200_000), "chunk").select(cols)
         got = got.unionByName(best(runs, ["id", "position", "n"]).select(cols))
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
