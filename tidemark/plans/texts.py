@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidemark.functions.lexicon import lexicon_sentiment
 from tidemark.operators import entity, features, models, preprocess, quality, topics, virality
 from tidemark.plans.market import rounded
 from tidemark.sources import readers
+from tidemark.sources.shared import shared_path, stored_model
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +105,7 @@ SQL: dict[str, str] = {
     "english_posts": f"WITH {_LANG} SELECT doc_id, lang FROM r WHERE language = 'en' AND confidence >= 0.5",
     "text_statistics": f"""SELECT doc_id, {_CNT('!')}::INT AS exclamation_count, {_CNT('?')}::INT AS question_count, round(coalesce(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / nullif({_N}, 0), 0), 6) AS uppercase_ratio, round(coalesce(length(regexp_replace(text, '[^!?.,;:''"-]', '', 'g')) / nullif({_N}, 0), 0), 6) AS punctuation_density FROM documents""",
     "temporal_features": """SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 6) + 0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0 AS hour_cos, strftime(ts, '%a') AS day_of_week, (dayofweek(ts) IN (0, 6))::INT AS is_weekend, CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(ts) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(ts) >= 18 THEN 'evening' ELSE 'night' END AS time_of_day FROM events""",
+    "csv_scan": "SELECT CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'rejected' WHEN o_orderkey % 19 = 0 THEN 'blank' ELSE (o_orderkey % 2)::VARCHAR END AS kind, count(*) AS n FROM orders GROUP BY 1",
     "dictionary_features": f"""WITH b AS (SELECT doc_id, list_filter({_q(X.BRAND_TERMS)}, lambda t: regexp_matches(lower(text), '\\b' || t || '\\b')) AS m FROM documents) SELECT doc_id, array_to_string(m, '|') AS brand_mentions, len(m)::INT AS n, list_contains(m, 'apple')::INT AS has_apple FROM b""",
     "keyword_sentiment": f"""SELECT conv_id, turn, CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in X.GOOD_WORDS)} THEN 'positive' WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in X.BAD_WORDS)} THEN 'negative' ELSE 'neutral' END AS sentiment FROM conversations""",
     "keyword_summary": f"""SELECT CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in X.GOOD_WORDS)} THEN 'positive' WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in X.BAD_WORDS)} THEN 'negative' ELSE 'neutral' END AS sentiment, count(*) AS count FROM conversations GROUP BY 1""",
@@ -139,9 +142,9 @@ SQL: dict[str, str] = {
   SELECT chunk, term, round({_RATIO('chunk', 'term')}, 6) AS ratio FROM c JOIN t ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 80.0 - 0.000001 AND {_RATIO('chunk', 'term')} >= 80""",
     "indel_scores": f"""WITH w AS (SELECT {_CHUNK} AS w FROM conversations), u AS (SELECT DISTINCT chunk FROM (SELECT unnest(w) AS chunk FROM w) WHERE length(chunk) >= 3), r AS (SELECT chunk, term, brand FROM u JOIN {_DICT} ON least(length(chunk), length(term)) * 100.0 >= greatest(length(chunk), length(term)) * 65.0 - 0.000001 AND {_RATIO('chunk', 'term')} >= 65)
   SELECT chunk, term, brand, round(200.0::DOUBLE * {_LCS('chunk', 'term')} / (length(chunk) + length(term)), 6) AS indel, round(CASE WHEN length(chunk) > length(term) THEN {_BEST_LCS('term', 'chunk')} ELSE {_BEST_LCS('chunk', 'term')} END, 6) AS partial FROM r""",
-    "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500)),
+    "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
-    "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
+    "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
     "fold_auc": f"""WITH r AS (SELECT floor({_PLACE('l.doc_id')} * 3)::INT AS fold, toxic AS y, length(text) AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic IS NOT NULL AND text IS NOT NULL),
   k AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2 AS r FROM r)
   SELECT fold, count(*) AS rows, round((sum(CASE WHEN y = 1 THEN r END) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS auc FROM k GROUP BY 1""",
@@ -214,7 +217,8 @@ def _features(spark, d):
 
 def _model_data(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(F.col("l_extendedprice") > 25 * 1400 + 1000 * quality.place("l_orderkey", 1), 1).otherwise(0).alias("sentiment"))
-    return quality.hash_split(rows, "id"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    # The price decides the label, with noise, and is no feature: models learn it from the quantity.
+    return quality.hash_split(rows, "id"), ["l_quantity", "l_discount", "l_tax"]
 
 
 def _compare(spark, d):
@@ -223,33 +227,56 @@ def _compare(spark, d):
 
 
 def _vectors(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens"))
     return features.word2vec(rows, "tokens").select("conv_id", "turn", vector_to_array("word2vec_features").alias("word2vec_features"))
 
 
-def _tfidf(spark, d):
-    from pyspark.ml.functions import vector_to_array
+def _sparse(c: str):
+    """A vector's entries that aren't 0, as (index, value)."""
+    return F.filter(F.transform(vector_to_array(c), lambda x, i: F.struct(i.alias("index"), x.alias("value"))), lambda e: e["value"] != 0)
+
 
+def _tfidf(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens"))
-    return features.tfidf(rows, "tokens", width=256).select("conv_id", "turn", vector_to_array("tfidf_features").alias("tfidf_features"))
+    return features.tfidf(rows, "tokens").select("conv_id", "turn", _sparse("tfidf_features").alias("tfidf_features"))
+
+
+def _turns(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens")).where("size(tokens) > 2")
 
 
 def _topics(online: bool):
     def run(spark, d):
-        docs = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.tokens(F.lower("text")).alias("tokens")).where("size(tokens) > 2")
-        model = topics.lda_pipeline(k=5, rounds=5, online=online, min_df=2, max_df=0.95).fit(docs)
-        return topics.describe_topics(model, 10).select("topic", _joined(F.col("words")).alias("words"))
+        model = topics.lda_pipeline(online=online, min_df=2, max_df=0.95).fit(_turns(spark, d))
+        return topics.describe_topics(model).select("topic", _joined(F.col("words")).alias("words"), "weights")
 
     return run
 
 
+def _dominant(spark, d):
+    """Each turn's topics by a model that was saved and loaded again."""
+    docs = _turns(spark, d)
+    model = stored_model(spark, topics.lda_pipeline(min_df=2, max_df=0.95).fit(docs), "topics")
+    p = vector_to_array("topic_distribution")
+    return topics.with_topics(model, docs).select("conv_id", "turn", "dominant_topic", F.array_max(p).alias("weight"), topics.strong_topics(F.col("topic_distribution")).alias("strong_topics"))
+
+
+def _csv_scan(spark, d):
+    """Orders written as a CSV of posts with lines that break the schema, and read again with account of them."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit('"He said ""no"", then, yes '), k.cast("string"), F.lit('"'))
+    label = F.when(k % 13 == 0, "x").otherwise(((k % 2) * 4).cast("string"))
+    line = F.when(k % 17 == 0, F.concat_ws(",", label, k.cast("string"))).otherwise(F.concat_ws(",", label, k.cast("string"), F.lit("Mon Apr 06 22:19:45 PDT 2009"), F.lit("NO_QUERY"), F.col("o_custkey").cast("string"), F.when(k % 19 == 0, F.lit('" "')).otherwise(text)))
+    path = shared_path(spark, "csv")
+    spark.read.parquet(f"{d}/orders.parquet").select(line.alias("value")).write.text(path)
+    return readers.scan_counts(readers.scan_posts(spark, path))
+
+
 def _clusters(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector("embedding").alias("features"))
-    return topics.kmeans_clusters(rows, 10).select("vec_id", "cluster")
+    return topics.kmeans_clusters(rows).select("vec_id", "cluster")
 
 
 def _product_matches(spark, d):
@@ -265,7 +292,7 @@ def _indel(spark, d):
 
 def _token_ids(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _plain_words(F.lower("text")).alias("tokens"))
-    return models.token_ids(rows, models.vocabulary(rows, size=500), "id").select("id", F.array_join("ids", " ").alias("ids"))
+    return models.token_ids(rows, models.vocabulary(rows), "id").select("id", F.array_join("ids", " ").alias("ids"))
 
 
 def _preprocessed(spark, d):
@@ -299,7 +326,7 @@ QUERIES = {
     "brand_terms_fuzzy": _fuzzy,
     "benchmark_terms_fuzzy": _benchmark_terms,
     "competitive_context": _context,
-    "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens")), size=500),
+    "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens"))),
     "fold_auc": lambda s, d: rounded(models.auc(models.folds(s.read.parquet(f"{d}/labels.parquet").join(_docs(s, d), "doc_id"), "doc_id").withColumn("score", F.char_length("text")), label="toxic", key=["fold"])),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
     "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id").select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),
@@ -313,11 +340,13 @@ QUERIES = {
     "hash_sample": lambda s, d: quality.hash_sample(_docs(s, d), "doc_id", 0.1).select("doc_id"),
     "preprocessed_posts": _preprocessed,
     "lexicon_sentiment": lambda s, d: _docs(s, d).select("doc_id", lexicon_sentiment(F.col("text")).alias("s")).select("doc_id", "s.compound", "s.positive", "s.negative", "s.neutral"),
-    "feature_table": lambda s, d: _features(s, d).select("tweet_id", "token_count", "2gram_count", "3gram_count", "exclamation_count", "uppercase_ratio", "vader_compound", "brand_count", "category_count"),
+    "feature_table": lambda s, d: _features(s, d).select("tweet_id", "token_count", "2gram_count", "3gram_count", "exclamation_count", "uppercase_ratio", "vader_compound", "brand_count", "category_count", _sparse("tfidf_features").alias("tfidf")),
     "word2vec_similar": _vectors,
     "tfidf_vectors": _tfidf,
     "lda_topics": _topics(False),
     "lda_topics_online": _topics(True),
+    "dominant_topics": _dominant,
+    "csv_scan": _csv_scan,
     "kmeans_clusters": _clusters,
     "model_comparison": _compare,
 }

@@ -33,6 +33,33 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return shape_posts(spark.read.csv(path, schema=RAW, encoding="ISO-8859-1", mode="DROPMALFORMED", quote='"', escape='"'))
 
 
+def scan_posts(spark: SparkSession, path: str) -> DataFrame:
+    """The same CSV with nothing lost: RAW and `rejected`, the whole line where it doesn't fit the schema, else null.
+
+    Lines are read in splits, whatever the size of a file; see accepted, rejects and scan_counts.
+    """
+    schema = T.StructType([*RAW, T.StructField("rejected", T.StringType())])
+    # Without column pruning, since a line of too many or too few fields only shows when all are parsed.
+    reader = spark.read.option("columnPruning", False)
+    return reader.csv(path, schema=schema, encoding="ISO-8859-1", mode="PERMISSIVE", columnNameOfCorruptRecord="rejected", quote='"', escape='"')
+
+
+def accepted(scan: DataFrame) -> DataFrame:
+    return shape_posts(scan.where("rejected IS NULL").drop("rejected"))
+
+
+def rejects(scan: DataFrame) -> DataFrame:
+    """(line): what was not read, to be kept apart."""
+    # A scan can't ask for the whole line alone.
+    return scan.where("rejected IS NOT NULL").select(F.coalesce("rejected", F.concat(F.col("polarity").cast("string"), "tweet_id")).alias("line"))
+
+
+def scan_counts(scan: DataFrame) -> DataFrame:
+    """(kind, n): lines by their label, `blank` for those without a text and `rejected` for those that don't fit."""
+    kind = F.when(F.col("rejected").isNotNull(), "rejected").when(F.char_length(F.trim(F.coalesce("text", F.lit("")))) == 0, "blank").otherwise(F.coalesce(polarity(F.col("polarity")).cast("string"), F.lit("unlabelled")))
+    return scan.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 def balanced_posts(spark: SparkSession, path: str, fraction: float = 0.01) -> DataFrame:
     """A balanced sample of a CSV by label, whatever the order of its rows."""
     from tidemark.operators.quality import balanced_sample
