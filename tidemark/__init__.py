@@ -1,3 +1,3 @@
 """Tidemark: text and market-intelligence analytics as composable Spark DataFrame transformations."""
 
-__version__ = "0.1.0"
+__version__ = "0.3.0"

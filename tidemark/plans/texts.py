@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions.alignment import indel_ratio, partial_indel_ratio
 from tidemark.functions.lexicon import lexicon_sentiment
-from tidemark.operators import entity, features, models, preprocess, quality, topics, virality
+from tidemark.operators import brand, entity, features, models, preprocess, quality, topics, virality
 from tidemark.plans.market import rounded
 from tidemark.sources import readers
 from tidemark.sources.shared import shared_path, stored_model
@@ -31,6 +31,10 @@ def _joined(c) -> object:
 BRANDS = (("Thing", "goods", ("things", "thingou"), ("heat", "heatnt"), ("inner", "station")), ("Onion", "food", ("onions", "onand", "thing of", "of heat"), ("ration", "thread"), ("then", "nation")), ("Reed", "goods", ("reeds", "the reed", "and that shin"), ("shed", "shin"), ("that", "edition")))
 
 
+#: Words that stand for aspects in the synthetic texts.
+ASPECT_WORDS = ["heat", "onion", "reed", "station", "thing", "wheat"]
+
+
 def terms(spark: SparkSession) -> DataFrame:
     rows = [(b, i, list(a), list(p), list(k)) for b, i, a, p, k in BRANDS]
     return entity.terms_of(spark.createDataFrame(rows, "brand string, industry string, aliases array<string>, products array<string>, keywords array<string>"))
@@ -145,6 +149,9 @@ SQL: dict[str, str] = {
     "token_ids": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w), v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS i FROM (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000)),
   g AS (SELECT id, list(i ORDER BY k) AS ids FROM u JOIN v USING (word) GROUP BY 1) SELECT id, array_to_string(list_concat(list_transform(range(0, 100 - least(100, coalesce(len(ids), 0))), lambda z: 0), coalesce(ids[greatest(len(ids) - 99, 1):], [])), ' ') AS ids FROM w LEFT JOIN g USING (id)""",
     "vocabulary_index": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000) SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INT AS index FROM c",
+    "aspect_mentions": f"""WITH m AS (SELECT source AS brand, unnest(list_filter({_q(ASPECT_WORDS)}, lambda a: contains(lower(text), a))) AS aspect, quality::DOUBLE AS y FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  g AS (SELECT brand, aspect, count(*) AS mention_count, avg(y) AS a, count(*) FILTER (y = 1) AS p FROM m GROUP BY 1, 2)
+  SELECT brand, aspect, mention_count, round(a, 6) AS avg_sentiment, round((a * 2 - 1) * 100, 6) AS feature_score, round(p / mention_count, 6) AS positive_ratio, row_number() OVER (PARTITION BY brand ORDER BY mention_count DESC, aspect)::INT AS feature_rank FROM g""",
     "fold_auc": f"""WITH r AS (SELECT floor({_PLACE('l.doc_id')} * 3)::INT AS fold, toxic AS y, length(text) AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic IS NOT NULL AND text IS NOT NULL),
   k AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2 AS r FROM r)
   SELECT fold, count(*) AS rows, round((sum(CASE WHEN y = 1 THEN r END) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS auc FROM k GROUP BY 1""",
@@ -177,6 +184,12 @@ def _viral(spark, d):
     return out.select(F.col("tweet_id").alias("doc_id"), score.alias("virality_score"), F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low").alias("virality_potential"))
 
 
+def _aspects(spark, d):
+    rows = _posts(spark, d).withColumns({"brand": F.col("source"), "confidence": F.lit(1.0)})
+    out = brand.aspect_sentiment(rows, ASPECT_WORDS)
+    return rounded(out.select("brand", "aspect", "mention_count", "avg_sentiment", "feature_score", "positive_ratio", "feature_rank"))
+
+
 def _engaged(spark, d):
     """Orders as posts: the priority tells whether one mentions somebody or has a link, the status whether it has a tag."""
     sign = F.when(F.startswith("o_orderpriority", F.lit("1")), "@shop ").when(F.startswith("o_orderpriority", F.lit("2")), "http://shop ").otherwise("")
@@ -327,6 +340,7 @@ QUERIES = {
     "benchmark_terms_fuzzy": _benchmark_terms,
     "competitive_context": _context,
     "vocabulary_index": lambda s, d: models.vocabulary(s.read.parquet(f"{d}/conversations.parquet").select(_plain_words(F.lower("text")).alias("tokens"))),
+    "aspect_mentions": _aspects,
     "fold_auc": lambda s, d: rounded(models.auc(models.folds(s.read.parquet(f"{d}/labels.parquet").join(_docs(s, d), "doc_id"), "doc_id").withColumn("score", F.char_length("text")), label="toxic", key=["fold"])),
     "model_metrics": lambda s, d: rounded(models.metrics(s.read.parquet(f"{d}/labels.parquet").select(F.col("toxic").cast("double").alias("label"), (1 - F.col("quality")).cast("double").alias("prediction")))),
     "brand_recognition": lambda s, d: entity.recognise(_docs(s, d), terms(s), "doc_id").select("id", _joined(entity.encode_pairs(F.col("brands"))).alias("brands")),

@@ -15,6 +15,12 @@ def write_by_month(df: DataFrame, path: str, partitions: int = 10) -> None:
     df.repartition(partitions, "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
+def update_months(df: DataFrame, path: str, partitions: int = 10) -> None:
+    """write_by_month for the months that df has: their files are replaced, and those of all other months stay as they are."""
+    writer = df.repartition(partitions, "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("year", "month").parquet(path)
+
+
 def save(df: DataFrame, path: str, format: str = "parquet", files: int | None = None) -> None:
     out = (df.coalesce(files) if files else df).write.mode("overwrite")
     if format == "parquet":
