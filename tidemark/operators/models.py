@@ -150,6 +150,8 @@ def soft_vote(models: list[PipelineModel], df: DataFrame, id_col: str) -> DataFr
 def compare(spark: SparkSession, data: tuple[DataFrame, DataFrame], features: list[str], names: tuple[str, ...] = MODELS[:5], label: str = "sentiment") -> DataFrame:
     """A row a model, best area first; a model that fails has zeros and its error. data: train and test."""
     rows = []
+    # Each model reads the same two tables, which are split and cut to their columns once.
+    data = tuple(stored(labelled(d, label).select(*features, label), "models") for d in data)
     for name in names:
         try:
             model, seconds = train(data[0], name, features, label)
