@@ -90,8 +90,6 @@ def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4, short
     """
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}' ]+", " ")), " +")  # no white space but spaces is left
     rows = texts.select(F.col(id_col).alias("id"), words.alias("w"))
-    if longest == 1:
-        return rows.select("id", F.lit(1).alias("n"), F.posexplode("w").alias("position", "chunk")).where(F.char_length("chunk").between(*within))
     beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(0))).alias(f"w{k}") for k in range(longest)])
     rows = rows.select("id", F.posexplode(beside).alias("position", "z"))
 
