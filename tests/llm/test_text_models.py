@@ -127,6 +127,15 @@ def test_toxicity_restores_disguised_words(spark):
     assert toxicity.score_texts(odd, none).where("score > 0").count() == 0 and toxicity.score_texts(odd.limit(0), none).count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    rows = spark.range(12_000).selectExpr("id AS doc_id", "concat(if(id % 10 = 0, 'you moron ', 'fine day '), translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "cast(id % 10 = 0 AS int) AS toxic")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert model.grams["^^f"] >= 10_800 and model.grams["^^y"] >= 1_200 and model.grams["mor"] == 1_200
+    assert ("=moron", 1) in model.names
+    read = toxicity.Reader(toxicity.Channel(model.grams), model.names)
+    assert model.score(read("a m0ron abc")) >= 0.3 > model.score(read("fine day abc"))
+
+
 def test_toxicity_query(spark):
     got = registry.queries()["op4_toxicity"](spark, TESTDATA).collect()
     assert len(got) == spark.read.parquet(f"{TESTDATA}/documents.parquet").count()

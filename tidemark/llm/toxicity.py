@@ -1,18 +1,18 @@
 """Toxicity by noisy-channel deobfuscation.
 
-1. A character trigram model is counted on the learning sample's plain words.
+1. A character trigram model is counted on all learning texts' plain words.
 2. Suspicious spans (letters mixed with look-alike digits or signs, letters set apart by separators, letters repeated
    three times or more) become lattices: each written character may stand for itself, for a letter it looks like, for
    nothing (a separator), or repeat the letter before. Viterbi decoding over the last two letters finds the likeliest
    word. A span without such a character has one path, itself.
 3. Features of the restored words (the word and its beginnings of 4 to 8 letters, seen once, twice or four times) that go with the label on the
-   learning sample get weights by logistic regression; a text's score is the sigmoid of its features' sum.
+   learning texts get weights by logistic regression; a text's score is the sigmoid of its features' sum.
 
 Decoding keeps every state, that is every pair of last two letters that a path can have; none is pruned. A word's
 features are itself, whole, and its beginnings.
 
-The sample is bounded: the `fit_rows` different labelled learning rows (id, label, text) of least hash. What the driver
-holds, trigrams, chosen features and the rows' feature numbers, comes from this sample alone, and nothing of it is cut.
+All different labelled learning rows (id, label, text) count, in tasks that hand on sums. The driver holds the model: the
+trigrams that occur and the features whose evidence is beyond chance, each with its weight; nothing of it is cut.
 
 Cases: null and empty texts have no feature and get the model's base score. With no toxic learning row every score
 is 0; with only toxic ones, the base score. Conflicting labels of one document all count; repeats of a row are each
@@ -24,15 +24,18 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, materialize, tidy
+from .common import crc_mod, key128, materialize, tidy
 
 #: Letters that a sign is written for (fixed values).
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c"}
@@ -51,6 +54,12 @@ LEAST, LONGEST = 4, 8
 REPEAT, LOOK, GAP, SIGN = 1.2, 0.7, 0.3, 3.0
 #: A feature may also stand for so many occurrences at least: one slip is weaker evidence than a run of them.
 LEVELS = (1, 2, 4)
+#: Counts that a task holds before it sends them on.
+HELD = 200_000
+#: Buckets of features' hashes: what the driver gathers of features before they are counted.
+BUCKETS = 1 << 21
+#: Labelled rows that are broadcast; more of them meet the texts by key.
+LABELS = 2_000_000
 
 
 class Channel:
@@ -110,13 +119,13 @@ class Channel:
 
 
 def fold(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).lower()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
 
 
 def chunk_words(chunk: str, channel: Channel | None) -> list[str]:
     """A white-space chunk's words, folded: those written and, where it is suspicious, the one restored."""
     c = fold(chunk)
-    words = _WORD.findall(c)
+    words = [c] if c.isalpha() else _WORD.findall(c)
     if channel is not None and _MIXED.search(c):
         words.append(channel.restore(c.strip("\"'()[]{}<>?:;,.")))
     return words
@@ -133,14 +142,6 @@ def features(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in range(LEAST, min(LONGEST, len(word)) + 1)]
 
 
-def levels(counts: Counter) -> Iterator[tuple[str, int]]:
-    """The features with the levels that they reach."""
-    for f, n in counts.items():
-        for k in LEVELS:
-            if n >= k:
-                yield f, k
-
-
 class Reader:
     """A text's features among those of a model, by chunk and with a bounded cache."""
 
@@ -149,11 +150,13 @@ class Reader:
         self.index: dict[str, list[tuple[int, int]]] = {}
         for i, (f, k) in enumerate(names):
             self.index.setdefault(f, []).append((k, i))
+        self.starts = {f[:LEAST] for f in self.index if f[0] != "="}
         self.new: dict[str, tuple[str, ...]] = {}
         self.old: dict[str, tuple[str, ...]] = {}
 
     def of_words(self, words: list[str]) -> tuple[str, ...]:
-        return tuple([f for w in words for f in features(w) if f in self.index])
+        # No beginning of a word is known whose first letters begin none.
+        return tuple([f for w in words for f in (features(w) if w[:LEAST] in self.starts else ("=" + w,)) if f in self.index])
 
     def __call__(self, text: str) -> list[int]:
         """The numbers of the features that the text has."""
@@ -186,32 +189,24 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def regress(rows: list[list[int]], y: np.ndarray, n: int, rounds: int = 400, decay: float = 0.02, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression over sets of features, by gradient steps with per-weight rates."""
-    size = np.array([len(r) for r in rows])
-    flat = np.array([i for r in rows for i in r], np.int64)
-    owner = np.repeat(np.arange(len(rows)), size)
-    w, base = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    past, past_b = np.full(n, 1e-8), 1e-8
-    for _ in range(rounds):
-        z = base + np.bincount(owner, w[flat], len(rows))
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(flat, d[owner], n) + decay * w / len(y)
-        past += g * g
-        w -= rate * g / np.sqrt(past)
-        past_b += d.sum() ** 2
-        base -= 0.1 * d.sum() / math.sqrt(past_b)
-    return w, base
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from labelled rows (labels: id, toxic); docs and labels hold learning rows only."""
-    able = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col("toxic") != 0).cast("int").alias("y"))
-    # At most fit_rows ids and labels, then at most fit_rows of the rows that carry them.
-    picked = bounded_sample(able, 5, ["id", "y"], fit_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    sample = bounded_sample(rows, 5, ["id", "y", "text"], fit_rows)
-    sample = materialize(sample.select("y", "text").repartition(max(2, fit_rows // 1000)), "toxfit")
+def regress(rows: DataFrame, n: int, decay: float = 0.02, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression over rows (y, f: numbers of features under n, times), of both classes; nothing of them reaches the driver."""
+    names = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], "f", "x")
+    data = names.setBinary(True).transform(rows.select("y", F.col("f").cast("array<string>").alias("f"), F.col("times").cast("double").alias("times"))).drop("f")
+    # Spark's loss is a mean over rows, so that the penalty of the sum is divided by them.
+    many = rows.agg(F.sum("times")).first()[0]
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="times", regParam=decay / many, standardization=False, maxIter=rounds).fit(data)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn from all different labelled rows (labels: id, toxic); docs and labels hold learning rows only."""
+    able = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col("toxic") != 0).cast("int").alias("y")).distinct()
+    if able.count() <= LABELS:
+        able = F.broadcast(able)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(able, "id")
+    rows = rows.select("*", *key128(F.col("text"))).dropDuplicates(["id", "y", "h1", "h2"])
+    sample = materialize(rows.select("y", "text"), "toxfit")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
         return Model({}, [], np.zeros(0), -math.inf)
@@ -226,31 +221,62 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str
                 s = _EDGE * 2 + w + _EDGE
                 for i in range(len(w) + 1):
                     c[s[i : i + 3]] += k
+                if len(c) > HELD:
+                    yield pd.DataFrame({"g": list(c), "n": list(c.values())}).astype({"n": "int64"})
+                    c.clear()
         if c:
             yield pd.DataFrame({"g": list(c), "n": list(c.values())}).astype({"n": "int64"})
 
     grams = sample.mapInPandas(tidy("toxicity", count_grams), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     grams = dict(grams.toPandas().itertuples(index=False, name=None))
 
-    def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel, c = Channel(grams), (Counter(), Counter())
+    def read_counts(batches: Iterator[pd.DataFrame], passes: np.ndarray) -> Iterator[pd.DataFrame]:
+        """(f, k, t, c): toxic and other texts with a feature at a level; of features whose bucket passes."""
+        channel, c = Channel(grams), {(y, k): Counter() for y in (0, 1) for k in LEVELS}
+        new: dict[str, tuple[str, ...]] = {}
+        old: dict[str, tuple[str, ...]] = {}
+
+        def of_words(words: list[str]) -> tuple[str, ...]:
+            return tuple([f for w in words for f in features(w) if passes[zlib.crc32(f.encode()) % BUCKETS]])
+
+        def held() -> Iterator[pd.DataFrame]:
+            for (y, k), found in c.items():
+                if found:  # Arrow takes no frame of strings without a row
+                    n = list(found.values())
+                    yield pd.DataFrame({"f": list(found), "k": k, "t": n if y else 0, "c": 0 if y else n}).astype({"k": "int64", "t": "int64", "c": "int64"})
+                found.clear()
+
         for b in batches:
             for y, t in zip(b["y"], b["text"], strict=True):
-                words = Counter()
-                for x, k in Counter(t.split()).items():
-                    for w in chunk_words(x, channel):
-                        words[w] += k
-                words.update(spaced_words(t, channel))
-                seen = Counter()
-                for w, k in words.items():
-                    for f in features(w):
-                        seen[f] += k
-                c[y].update(levels(seen))
-        every = list(c[1].keys() | c[0].keys())
-        if every:  # Arrow takes no frame of strings without a row
-            yield pd.DataFrame({"f": [f for f, _ in every], "k": [k for _, k in every], "t": [c[1][x] for x in every], "c": [c[0][x] for x in every]}).astype({"k": "int64", "t": "int64", "c": "int64"})
-
-    counted = sample.mapInPandas(tidy("toxicity", count_features), "f string, k long, t long, c long").groupBy("f", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                seen: Counter = Counter()
+                for x, n in Counter(t.split()).items():
+                    got = new.get(x)
+                    if got is None:
+                        got = old.get(x)
+                        if got is None:
+                            got = of_words(chunk_words(x, channel))
+                        new[x] = got
+                    for f in got:
+                        seen[f] += n
+                seen.update(of_words(spaced_words(t, channel)))
+                for k in LEVELS:
+                    c[y, k].update([f for f, n in seen.items() if n >= k])
+                if len(new) > HELD // 4:
+                    new, old = {}, new
+                if sum(map(len, c.values())) > HELD:
+                    yield from held()
+        yield from held()
+
+    def counted_by(rows: DataFrame, passes: np.ndarray) -> DataFrame:
+        found = rows.mapInPandas(tidy("toxicity", lambda batches: read_counts(batches, passes)), "f string, k long, t long, c long")
+        return found.groupBy("f", "k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+    # Features of two toxic texts or more can be chosen, so that those of other buckets than theirs need no count. A bucket
+    # only says what can't be chosen: features that share one are all counted by themselves.
+    twice = counted_by(sample.where("y = 1"), np.ones(BUCKETS, bool)).where("k = 1 AND t >= 2")
+    passes = np.zeros(BUCKETS, bool)
+    passes[twice.select((F.crc32(F.col("f").cast("binary")) % BUCKETS).alias("at")).distinct().toPandas()["at"].to_numpy("int64")] = True
+    counted = counted_by(sample, passes)
     # Evidence: the log likelihood ratio of a feature's own share of toxic texts against the sample's. Chance alone
     # brings some of the tested features up to about the logarithm of their number.
     share = min(toxic / n, 1 - 1 / (n + 1))
@@ -259,15 +285,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str
     counted = materialize(counted.where("t >= 2").withColumn("evidence", part(t, share) + part(c, 1 - share)), "toxfeatures")
     tested = max(1, counted.count())
     chosen = counted.where((t / (t + c) > share) & (F.col("evidence") > math.log(tested) + 1))
-    names = [(r["f"], r["k"]) for r in chosen.orderBy(F.desc("evidence"), "f", "k").collect()]  # of a bounded sample
+    names = [(r["f"], r["k"]) for r in chosen.orderBy(F.desc("evidence"), "f", "k").collect()]  # the model itself: features beyond chance
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(Channel(grams), names)
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "f": [sorted(reader(t)) for t in b["text"]]})
 
-    rows = sample.mapInPandas(tidy("toxicity", read), "y int, f array<int>").toPandas()
-    weights, base = regress([list(f) for f in rows["f"]], rows["y"].to_numpy(float), len(names)) if len(rows) else (np.zeros(len(names)), 0.0)
+    if not names or toxic == n:
+        return Model(grams, names, np.zeros(len(names)), math.log((toxic + 0.5) / (n - toxic + 0.5)))
+    rows = sample.mapInPandas(tidy("toxicity", read), "y int, f array<int>").groupBy("y", "f").agg(F.count("*").alias("times"))
+    weights, base = regress(materialize(rows, "toxrows"), len(names))
     return Model(grams, names, weights, base)
 
 
