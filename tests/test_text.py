@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.oracle import check
 from tidemark.functions import text as X
 from tidemark.functions.lexicon import score
-from tidemark.operators import preprocess
+from tidemark.operators import features, preprocess
 from tidemark.plans.texts import QUERIES, SQL
 
 
@@ -138,3 +138,17 @@ def test_language_queries_equal_their_sql_beside_letters_outside_ascii(spark, tm
     pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "web"}).to_parquet(tmp_path / "documents.parquet")
     for name in ("detected_language", "english_posts", "language_distribution"):
         check(spark, QUERIES[name], SQL[name], str(tmp_path))
+
+
+def test_words_and_signs_are_looked_up_not_searched(spark):
+    docs = spark.createDataFrame([(1, "x", ["Was", "running", "the", None, "", "flies", "cities", "glass", "boxes", "done", "quickly", "station", "É", "tea"])], "id long, text string, w array<string>")
+    out = docs.select(X.lemmas(X.without_stop_words(F.col("w"))).alias("w"), X.emoji_score(F.col("text")).alias("e"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "array_contains" not in plan and "map_contains_key" not in plan
+    least = min(map(ord, X.EMOJI_GOOD + X.EMOJI_MILD + X.EMOJI_BAD))
+    assert least > 0xFFFF and f"x{{{least:x}}}" in plan
+    assert out.first()["w"] == ["run", "", "fly", "city", "glass", "boxe", "do", "quick", "sta", "É", "tea"]
+    counts = features.ngram_counts(spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "t array<string>"), "t")
+    assert [(r["2gram_count"], r["3gram_count"]) for r in counts.collect()] == [(2, 1), (0, 0), (0, 0), (0, 0)]
+    assert [(len(r["2grams"]), len(r["3grams"])) for r in counts.collect()] == [(2, 1), (0, 0), (0, 0), (0, 0)]
+    assert "slice" not in counts.select("2gram_count", "3gram_count")._jdf.queryExecution().optimizedPlan().toString()

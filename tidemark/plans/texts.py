@@ -165,7 +165,7 @@ def _prep(spark, d):
 
 
 def _tokens(col):
-    return lambda s, d: _prep(s, d).select("doc_id", _joined(F.array_sort(col)).alias(col), F.size(col).alias("n"))
+    return lambda s, d: _prep(s, d).select("doc_id", _joined(F.sort_array(col)).alias(col), F.size(col).alias("n"))
 
 
 def _plain_words(c):
