@@ -342,3 +342,10 @@ def test_tfidf_weights_against_plain_counts(spark):
     for i, words in docs.items():
         want = sorted((words or []).count(w) * math.log(5 / (df[w] + 1)) for w in set(words or []))
         assert np.allclose(sorted(x for x in got[i] if x), want)
+
+
+def test_word2vec_learns_in_more_tasks_the_more_tokens(spark):
+    few, many = (spark.range(n).selectExpr("array_repeat(cast(id AS string), 1000) AS tokens") for n in (100, 10 * features.LEARNED // 1000))
+    cores = spark.sparkContext.defaultParallelism
+    assert features.learning_tasks(few, "tokens", 1) == 1 and features.learning_tasks(few, "tokens", 4) == 4 and features.learning_tasks(few.limit(0), "tokens", 4) == 4
+    assert features.learning_tasks(many, "tokens", 1) == min(10, cores)
