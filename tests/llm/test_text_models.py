@@ -307,3 +307,15 @@ def test_long_words_are_learned_from():
             length[ids] = k
         length[-1] = 1
         assert np.allclose((got * length[:, None]).sum(0), size + 1)
+
+
+def test_lm_histories_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, lm_score.SYMBOLS, n) for n in (1, 2, 3, 1, 50)]
+    size = np.array([len(x) for x in texts])
+    got = lm_score.histories(np.concatenate(texts), np.cumsum(size) - size, size)
+    want = []
+    for x in texts:
+        p = [lm_score.START, lm_score.START, *x]
+        want += [p[i] * lm_score.WIDE + p[i + 1] for i in range(len(x))]
+    assert got.tolist() == want

@@ -50,8 +50,8 @@ START, WIDE = SYMBOLS, SYMBOLS + 1
 ROWS, INNER = 1 << 13, 1 << 10
 END = b"\n"
 ALPHA = 0.1
-#: Tokens that are counted at once.
-CHUNK = 1_000_000
+#: Tokens that are counted at once, and scored at once.
+CHUNK, AT_ONCE = 1_000_000, 200_000
 
 
 def key_of(word: bytes) -> int:
@@ -62,6 +62,20 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+class Codes(dict):
+    """Words to numbers; a new word's hash and ending key are noted."""
+
+    def __init__(self) -> None:
+        self.hash: list[int] = []
+        self.key: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.hash.append(_hash(word))
+        self.key.append(key_of(word))
+        return n
+
+
 class Tokens:
     """Token to place in growing arrays of hash and ending key; full() says when to start afresh."""
 
@@ -70,9 +84,7 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self._hash: list[int] = []
-        self._key: list[int] = []
+        self.codes = Codes()
         self.hash, self.key = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def full(self) -> bool:
@@ -81,18 +93,13 @@ class Tokens:
     def __call__(self, text: object) -> np.ndarray:
         words = text.encode().lower().split() if isinstance(text, str) else []
         words.append(END)
-        codes = self.codes
-        for w in set(words).difference(codes):
-            codes[w] = len(codes)
-            self._hash.append(_hash(w))
-            self._key.append(key_of(w))
-        return np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
     def arrays(self) -> int:
         """Bring the arrays up to date; returns how many tokens are new in them."""
         n = len(self.hash)
-        self.hash = np.concatenate([self.hash, np.array(self._hash[n:], np.int64)])
-        self.key = np.concatenate([self.key, np.array(self._key[n:], np.int64)])
+        self.hash = np.concatenate([self.hash, np.array(self.codes.hash[n:], np.int64)])
+        self.key = np.concatenate([self.key, np.array(self.codes.key[n:], np.int64)])
         return len(self.hash) - n
 
 
@@ -187,10 +194,14 @@ def common_words(counts: DataFrame, classes: np.ndarray) -> Symbols:
     return Symbols(classes, [(r["id"], r["key"], r["n"]) for r in top.select("id", "key", "n").collect()])
 
 
-def histories(k: np.ndarray) -> np.ndarray:
-    """The number of the history (last but one, last symbol before) at each place of a text."""
-    p = np.concatenate([np.full(2, START), k])
-    return p[:-2] * WIDE + p[1:-1]
+def histories(k: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The number of the history (last but one, last symbol before) at each place of texts that stand one after the other; they
+    begin at `starts` and have `size` places, one at least."""
+    last, before = np.empty_like(k), np.empty_like(k)
+    last[1:], before[2:] = k[:-1], k[:-2]
+    last[starts] = before[starts] = START
+    before[starts[size > 1] + 1] = START
+    return before * WIDE + last
 
 
 def _rows(parts: list[np.ndarray], size: int) -> np.ndarray:
@@ -368,30 +379,49 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbols, top_ids, top_logs, table = shared.value
         tokens, logs, sym, row = Tokens(), np.empty(0), np.empty(0, np.int64), TaskContext.get().partitionId() << 40
+
+        def summed(some: list[np.ndarray]) -> pd.DataFrame:
+            """The sums of some texts' tokens, all texts at once."""
+            nonlocal logs, sym, row
+            if tokens.arrays():
+                new = tokens.hash[len(logs) :]
+                place = np.minimum(np.searchsorted(top_ids, new), max(0, len(top_ids) - 1))
+                hit = top_ids[place] == new if len(top_ids) else np.zeros(len(new), bool)
+                sym = np.concatenate([sym, symbols(new, tokens.key[len(sym) :])])
+                logs = np.concatenate([logs, np.where(hit, top_logs[place] if len(top_ids) else 0.0, np.nan)])
+            size = np.array([len(x) for x in some])
+            at, starts = np.concatenate(some), np.cumsum(size) - size
+            own = logs[at]
+            rare = np.isnan(own)
+            own[rare] = 0.0
+            k = sym[at]
+            model = table[histories(k, starts, size), k].astype(np.float64)
+            # A text's rare tokens with their numbers, text by text.
+            each, n = np.unique(np.repeat(np.arange(len(some)), size)[rare] * len(logs) + at[rare], return_counts=True)
+            cuts, ids = np.searchsorted(each, np.arange(1, len(some)) * len(logs)), tokens.hash[each % len(logs)]
+            add = np.add.reduceat
+            out = {"row": row + np.arange(len(some)), "n_tokens": size, "known": add((~rare).astype(np.int64), starts), "logs": add(own, starts), "model": add(model, starts)}
+            row += len(some)
+            return pd.DataFrame(out | {"ids": np.split(ids, cuts), "ns": np.split(n, cuts)})
+
         for b in batches:
-            out = []
+            done, some, held = [], [], 0
             for t in b["text"]:
-                at = tokens(t)
-                if tokens.arrays():
-                    new = tokens.hash[len(logs) :]
-                    place = np.minimum(np.searchsorted(top_ids, new), max(0, len(top_ids) - 1))
-                    hit = top_ids[place] == new if len(top_ids) else np.zeros(len(new), bool)
-                    sym = np.concatenate([sym, symbols(new, tokens.key[len(sym) :])])
-                    logs = np.concatenate([logs, np.where(hit, top_logs[place] if len(top_ids) else 0.0, np.nan)])
-                own = logs[at]
-                rare = np.isnan(own)
-                ids, n = np.unique(tokens.hash[at[rare]], return_counts=True)
-                k = sym[at]
-                model = float(table[histories(k), k].sum(dtype=np.float64))
-                out.append((row, len(at), int((~rare).sum()), float(own[~rare].sum()), model, ids, n))
-                row += 1
+                some.append(tokens(t))
+                held += len(some[-1])
+                if held > AT_ONCE or tokens.full():
+                    done.append(summed(some))
+                    some, held = [], 0
                 if tokens.full():
                     tokens.clear()
                     logs, sym = np.empty(0), sym[:0]
-            out = pd.DataFrame(out, columns=["row", "n_tokens", "known", "logs", "model", "ids", "ns"])
-            out.insert(0, "learned", b["learned"].to_numpy())
-            out.insert(0, "id", b["id"].array)
-            yield out
+            if some:
+                done.append(summed(some))
+            if done:
+                out = pd.concat(done, ignore_index=True)
+                out.insert(0, "learned", b["learned"].to_numpy())
+                out.insert(0, "id", b["id"].array)
+                yield out
 
     scored = docs.mapInPandas(tidy("lm", score), f"id {kind}, learned boolean, row long, n_tokens long, known long, logs double, model double, ids array<long>, ns array<long>")
     scored = materialize(scored, "lmscored")
