@@ -319,3 +319,23 @@ def test_lm_histories_of_many_texts_are_those_of_each():
         p = [lm_score.START, lm_score.START, *x]
         want += [p[i] * lm_score.WIDE + p[i + 1] for i in range(len(x))]
     assert got.tolist() == want
+
+
+def test_toxicity_counts_of_many_texts_equal_plain_counting(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    rng = random.Random(8)
+    texts = [(rng.randint(0, 1), " ".join(rng.choice(["idiot,", "1d10t", "goood", "Café", "p a t h", "house!", "2²x", "it's", "(no)"]) for _ in range(rng.randint(0, 25)))) for _ in range(60)]
+    passes = np.ones(toxicity.BUCKETS, bool)
+    passes[zlib.crc32(b"=house") % toxicity.BUCKETS] = False
+    channel, want = toxicity.Channel({"^^i": 3, "idi": 2}), Counter()
+    found = toxicity.Counted(channel, passes)
+    for y, t in texts:
+        found.add(y, t)
+        words = [w for c in t.split() for w in toxicity.chunk_words(c, channel)] + toxicity.spaced_words(t, channel)
+        for f, n in Counter(f for w in words for f in toxicity.features(w) if f != "=house").items():
+            want.update((f, k, y) for k in toxicity.LEVELS if n >= k)
+    got = Counter()
+    for frame in found.frames():
+        for f, k, t, c in frame.itertuples(index=False):
+            got.update({(f, k, 1): t, (f, k, 0): c})
+    assert +got == want

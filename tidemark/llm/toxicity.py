@@ -45,17 +45,24 @@ _SEPS = re.escape(SEPARATORS)
 _LETTER = r"[^\W\d_]"
 #: One character apart from the next by one separator, four times or more.
 _SPACED = re.compile(rf"(?<![^\s{_SEPS}])(?:{_LETTER}|[{_SIGNS}])(?:[{_SEPS}](?:{_LETTER}|[{_SIGNS}])){{3,}}(?![^\s{_SEPS}!?:;)])")
+#: What every such span holds; a search for it starts at a separator, so that most texts are passed over quickly.
+_APART = re.compile(rf"[{_SEPS}][\w{_SIGNS}][{_SEPS}][\w{_SIGNS}][{_SEPS}]")
 #: A sign between or before letters, an inner separator, or a letter three times.
 _MIXED = re.compile(rf"{_LETTER}[{_SIGNS}]+{_LETTER}|(?:^|[^\w])[{_SIGNS}]{{1,2}}{_LETTER}|({_LETTER})\1\1|{_LETTER}[*._~-]{_LETTER}")
 _WORD = re.compile(rf"{_LETTER}+")
+#: All that makes a plain word suspicious.
+_TRIPLE = re.compile(r"(.)\1\1")
+_ENDS = frozenset(".,;:!?)\"'")
 _EDGE = "^"
 LEAST, LONGEST = 4, 8
 #: What a path pays, as a natural logarithm, to repeat a letter, read a sign as a letter, skip a separator, skip another sign.
 REPEAT, LOOK, GAP, SIGN = 1.2, 0.7, 0.3, 3.0
 #: A feature may also stand for so many occurrences at least: one slip is weaker evidence than a run of them.
 LEVELS = (1, 2, 4)
-#: Counts that a task holds before it sends them on.
+#: Features that a task holds before it sends their counts on.
 HELD = 200_000
+#: Words whose features are counted at once.
+CHUNK = 200_000
 #: Buckets of features' hashes: what the driver gathers of features before they are counted.
 BUCKETS = 1 << 21
 #: Labelled rows that are broadcast; more of them meet the texts by key.
@@ -125,7 +132,11 @@ def fold(text: str) -> str:
 def chunk_words(chunk: str, channel: Channel | None) -> list[str]:
     """A white-space chunk's words, folded: those written and, where it is suspicious, the one restored."""
     c = fold(chunk)
-    words = [c] if c.isalpha() else _WORD.findall(c)
+    # Most chunks are a word, or a word and a mark, which can't make it suspicious.
+    word = c[:-1] if c[-1] in _ENDS else c
+    if word.isalpha():
+        return [word] if channel is None or not _TRIPLE.search(word) else [word, channel.restore(c.strip("\"'()[]{}<>?:;,."))]
+    words = _WORD.findall(c)
     if channel is not None and _MIXED.search(c):
         words.append(channel.restore(c.strip("\"'()[]{}<>?:;,.")))
     return words
@@ -133,7 +144,7 @@ def chunk_words(chunk: str, channel: Channel | None) -> list[str]:
 
 def spaced_words(text: str, channel: Channel | None) -> list[str]:
     """The restored words of letters set apart."""
-    if channel is None:
+    if channel is None or not _APART.search(text):
         return []
     return [channel.restore(fold(m.group())) for m in _SPACED.finditer(text)]
 
@@ -143,39 +154,122 @@ def features(word: str) -> list[str]:
 
 
 class Reader:
-    """A text's features among those of a model, by chunk and with a bounded cache."""
+    """A text's features among those of a model; what chunks have is kept, up to `cache` chunks."""
 
-    def __init__(self, channel: Channel | None, names: list[tuple[str, int]], cache: int = 60_000):
+    def __init__(self, channel: Channel | None, names: list[tuple[str, int]], cache: int = 200_000):
         self.channel, self.cache = channel, cache
         self.index: dict[str, list[tuple[int, int]]] = {}
         for i, (f, k) in enumerate(names):
             self.index.setdefault(f, []).append((k, i))
         self.starts = {f[:LEAST] for f in self.index if f[0] != "="}
-        self.new: dict[str, tuple[str, ...]] = {}
-        self.old: dict[str, tuple[str, ...]] = {}
+        self.whole = {f[1:] for f in self.index if f[0] == "="}
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, ...]] = {}
 
     def of_words(self, words: list[str]) -> tuple[str, ...]:
         # No beginning of a word is known whose first letters begin none.
         return tuple([f for w in words for f in (features(w) if w[:LEAST] in self.starts else ("=" + w,)) if f in self.index])
 
     def __call__(self, text: str) -> list[int]:
-        """The numbers of the features that the text has."""
+        """The numbers of the features that the text has, in order."""
         counts: Counter = Counter()
-        new, old = self.new, self.old
-        for c, n in Counter(text.split()).items():
-            got = new.get(c)
-            if got is None:
-                got = old.get(c)
-                if got is None:
-                    got = self.of_words(chunk_words(c, self.channel))
-                new[c] = got
-            for f in got:
-                counts[f] += n
+        chunks = text.split()
+        each = set(chunks)
+        new = each - self.seen
+        if len(self.seen) + len(new) > self.cache:
+            self.seen.clear(), self.found.clear()
+            new = each
+        starts, whole = self.starts, self.whole
+        for c in new:
+            # Most new chunks are one word that isn't suspicious and has no feature.
+            word = fold(c)
+            if word[-1] in _ENDS:
+                word = word[:-1]
+            if word.isalpha() and word[:LEAST] not in starts and word not in whole and not _TRIPLE.search(word):
+                continue
+            got = self.of_words(chunk_words(c, self.channel))
+            if got:
+                self.found[c] = got
+        self.seen |= new
+        # Few chunks have a feature, so that only those are counted.
+        hits = self.found.keys() & each
+        times = Counter(chunks) if len(hits) > 4 else {c: chunks.count(c) for c in hits}
+        for c in hits:
+            for f in self.found[c]:
+                counts[f] += times[c]
         for f in self.of_words(spaced_words(text, self.channel)):
             counts[f] += 1
-        if len(new) > self.cache:
-            self.old, self.new = new, {}
-        return [i for f, n in counts.items() for k, i in self.index[f] if n >= k]
+        return sorted(i for f, n in counts.items() for k, i in self.index[f] if n >= k)
+
+
+class Codes(dict):
+    """Numbers of keys in the order they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Counted:
+    """Texts of each label that have a feature so often as a level says, of features whose bucket passes."""
+
+    def __init__(self, channel: Channel, passes: np.ndarray):
+        self.channel, self.passes = channel, passes.tobytes()
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.names = Codes(), Codes()
+        #: The features of all chunks, one after the other, and where each chunk's end.
+        self.flat: list[int] = []
+        self.ends = [0]
+        self.n = np.zeros((2, len(LEVELS), 0), np.int64)
+        self.texts: list[tuple[int, np.ndarray, list[int]]] = []
+        self.held = 0
+
+    def of_words(self, words: list[str]) -> list[int]:
+        return [self.names[f] for w in words for f in features(w) if self.passes[zlib.crc32(f.encode()) % BUCKETS]]
+
+    def add(self, y: int, text: str) -> None:
+        chunks = text.split()
+        at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        self.texts.append((y, at, self.of_words(spaced_words(text, self.channel))))
+        self.held += len(at)
+        if self.held > CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        """Bring the counts up to date."""
+        if not self.texts:
+            return
+        for c in list(self.chunks)[len(self.ends) - 1 :]:
+            self.flat += self.of_words(chunk_words(c, self.channel))
+            self.ends.append(len(self.flat))
+        flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
+        at, size = np.concatenate([x for _, x, _ in self.texts]), len(self.names)
+        more = ends[at + 1] - ends[at]
+        # Each word's features: its place in the flat list, and from there on as many as it has.
+        place = np.arange(more.sum()) + np.repeat(ends[at] - np.cumsum(more) + more, more)
+        text = np.repeat(np.repeat(np.arange(len(self.texts)), [len(x) for _, x, _ in self.texts]), more)
+        extra = [(i, f) for i, (_, _, apart) in enumerate(self.texts) for f in apart]
+        keys = np.concatenate([text * size + flat[place], np.array([i * size + f for i, f in extra], np.int64)])
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        times, keys = np.diff(first, append=len(keys)), keys[first]
+        toxic = np.array([y for y, _, _ in self.texts])[keys // max(size, 1)]
+        self.n = np.pad(self.n, ((0, 0), (0, 0), (0, size - self.n.shape[2])))
+        for y in (0, 1):
+            for j, k in enumerate(LEVELS):
+                self.n[y, j] += np.bincount(keys[(toxic == y) & (times >= k)] % max(size, 1), minlength=size)
+        self.texts, self.held = [], 0
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        """(f, k, t, c): toxic and other texts with a feature at a level."""
+        self.count()
+        names = np.array(list(self.names), object)
+        for j, k in enumerate(LEVELS):
+            some = np.flatnonzero(self.n[:, j].sum(0))
+            if len(some):  # Arrow takes no frame of strings without a row
+                yield pd.DataFrame({"f": names[some], "k": k, "t": self.n[1, j, some], "c": self.n[0, j, some]}).astype({"k": "int64"})
 
 
 class Model:
@@ -231,41 +325,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     grams = dict(grams.toPandas().itertuples(index=False, name=None))
 
     def read_counts(batches: Iterator[pd.DataFrame], passes: np.ndarray) -> Iterator[pd.DataFrame]:
-        """(f, k, t, c): toxic and other texts with a feature at a level; of features whose bucket passes."""
-        channel, c = Channel(grams), {(y, k): Counter() for y in (0, 1) for k in LEVELS}
-        new: dict[str, tuple[str, ...]] = {}
-        old: dict[str, tuple[str, ...]] = {}
-
-        def of_words(words: list[str]) -> tuple[str, ...]:
-            return tuple([f for w in words for f in features(w) if passes[zlib.crc32(f.encode()) % BUCKETS]])
-
-        def held() -> Iterator[pd.DataFrame]:
-            for (y, k), found in c.items():
-                if found:  # Arrow takes no frame of strings without a row
-                    n = list(found.values())
-                    yield pd.DataFrame({"f": list(found), "k": k, "t": n if y else 0, "c": 0 if y else n}).astype({"k": "int64", "t": "int64", "c": "int64"})
-                found.clear()
-
+        found = Counted(Channel(grams), passes)
         for b in batches:
             for y, t in zip(b["y"], b["text"], strict=True):
-                seen: Counter = Counter()
-                for x, n in Counter(t.split()).items():
-                    got = new.get(x)
-                    if got is None:
-                        got = old.get(x)
-                        if got is None:
-                            got = of_words(chunk_words(x, channel))
-                        new[x] = got
-                    for f in got:
-                        seen[f] += n
-                seen.update(of_words(spaced_words(t, channel)))
-                for k in LEVELS:
-                    c[y, k].update([f for f, n in seen.items() if n >= k])
-                if len(new) > HELD // 4:
-                    new, old = {}, new
-                if sum(map(len, c.values())) > HELD:
-                    yield from held()
-        yield from held()
+                found.add(y, t)
+                if len(found.names) > HELD or len(found.chunks) > HELD:
+                    yield from found.frames()
+                    found.clear()
+        yield from found.frames()
 
     def counted_by(rows: DataFrame, passes: np.ndarray) -> DataFrame:
         found = rows.mapInPandas(tidy("toxicity", lambda batches: read_counts(batches, passes)), "f string, k long, t long, c long")
@@ -290,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(Channel(grams), names)
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "f": [sorted(reader(t)) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "f": [reader(t) for t in b["text"]]})
 
     if not names or toxic == n:
         return Model(grams, names, np.zeros(len(names)), math.log((toxic + 0.5) / (n - toxic + 0.5)))
