@@ -77,3 +77,16 @@ def test_runs_claim_their_words(spark):
     texts = spark.createDataFrame([(1, "a thing of use"), (2, "one thing"), (3, "thing thing of")], "id long, text string")
     got = {r.id: {b.brand for b in r.brands} for r in entity.recognise(texts, terms).collect()}
     assert got == {1: {"Onion"}, 2: {"Thing"}, 3: {"Onion", "Thing"}}
+
+
+def test_texts_are_split_once_and_probes_have_one_number_as_key(spark):
+    """The places of the words come from stored words, and a probe of the index compares a single long."""
+    terms = entity.terms_of(spark.createDataFrame([("Thing", "goods", [], ["thing of"], [])], "brand string, industry string, aliases array<string>, products array<string>, keywords array<string>"))
+    texts = spark.createDataFrame([(1, "..A thin' offer, THING\u00e9 of -- x"), (2, "..."), (3, None), (4, "")], "id long, text string")
+    assert [(r.position, r.n, r.chunk) for r in entity.chunks(texts, "id", "text", 2).orderBy("n", "position").collect()] == [(1, 1, "thin'"), (2, 1, "offer"), (3, 1, "thing\u00e9"), (0, 2, "a thin'"), (1, 2, "thin' offer"), (2, 2, "offer thing\u00e9"), (3, 2, "thing\u00e9 of"), (4, 2, "of x")]
+    assert [(r.position, r.chunk) for r in entity.chunks(texts, "id", "text", 1).orderBy("position").collect()] == [(1, "thin'"), (2, "offer"), (3, "thing\u00e9")]
+    found = entity.matches(texts, terms)
+    assert "p{L}" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.position, r.n, r.term) for r in found.collect()} >= {(1, 1, "thing"), (3, 2, "thing of")}
+    pairs = fuzzy.candidate_pairs(entity.chunks(texts, "id", "text", 2), terms, 70.0)
+    assert "[_k" in pairs._jdf.queryExecution().executedPlan().toString() and dict(pairs.dtypes)["_d"] == "int"

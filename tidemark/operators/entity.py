@@ -88,8 +88,18 @@ def chunks(texts: DataFrame, id_col: str, text_col: str, longest: int = 4, short
 
     All lengths come from one generator, so that a text is read and split once.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}' ]+", " ")), " +")  # no white space but spaces is left
-    rows = texts.select(F.col(id_col).alias("id"), words.alias("w"))
+    return runs_of(texts.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")), longest, shortest, within)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in order, in lower case: runs of letters, digits and apostrophes."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), "")
+
+
+def runs_of(rows: DataFrame, longest: int, shortest: int = 1, within: tuple[int, int] = (3, 1 << 30)) -> DataFrame:
+    """chunks() of (id, w) with the words w of each text."""
+    if longest == shortest == 1:
+        return rows.select("id", F.posexplode("w").alias("position", "chunk")).select("id", "position", F.lit(1).alias("n"), "chunk").where(F.char_length("chunk").between(*within))
     beside = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(0))).alias(f"w{k}") for k in range(longest)])
     rows = rows.select("id", F.posexplode(beside).alias("position", "z"))
 
@@ -108,15 +118,20 @@ def _side(terms: DataFrame, most: int) -> DataFrame:
     return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
 
 
-def _alike_words(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, words_sorted: bool = False) -> DataFrame:
+def _split(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, w): the words of each text, stored, since splitting takes longer than what is done with the words."""
+    return stored(texts.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")), "split")
+
+
+def _alike_words(words: DataFrame, terms: DataFrame, least: float, words_sorted: bool = False) -> DataFrame:
     """The distinct single words with every term that is alike by `least`, and the ratio; words repeat much."""
-    return similar_pairs(chunks(texts, id_col, text_col, 1).select("chunk").distinct(), terms, least, words_sorted=words_sorted)
+    return similar_pairs(runs_of(words, 1).select("chunk").distinct(), terms, least, words_sorted=words_sorted)
 
 
-def _alike_runs(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
+def _alike_runs(words: DataFrame, terms: DataFrame, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
     """(id, position, n, chunk, ...): runs of two words or more where they stand, since those hardly repeat, with such terms."""
     low, high = fitting_lengths(terms, least)
-    return similar_pairs(chunks(texts, id_col, text_col, longest, 2, (max(3, low), high)), terms, least, words_sorted=words_sorted, by_letters=False)
+    return similar_pairs(runs_of(words, longest, 2, (max(3, low), high)), terms, least, words_sorted=words_sorted, by_letters=False)
 
 
 _HIT = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
@@ -124,7 +139,7 @@ _HIT = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "sc
 
 def _hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, fuzzy: float | None, broadcast_terms: int = 20_000) -> DataFrame:
     """_HIT for every chunk that is a term or, unless fuzzy is None, alike one; keywords are alike from KEYWORD_RATIO on, and only
-    to single words. The texts are split for the distinct words, for the longer runs, and for the places of the words."""
+    to single words. The texts are split once, for the distinct words, for the longer runs, and for the places of the words."""
     known, keys = terms.where("kind <> 'keyword'"), terms.where("kind = 'keyword'")
     exact = terms.withColumns({"chunk": F.col("term"), "score": F.lit(100.0)})
     if fuzzy is None:
@@ -135,18 +150,19 @@ def _hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, fuzzy:
         near = pairs.where(F.col("chunk") != F.col("term")).withColumn("score", similarity(F.col("chunk"), F.col("term"))).where(F.col("score") >= fuzzy)
         return near.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "chunk").orderBy(F.desc("score"), "term"))).where("_r <= 5").drop("_r", "ratio")
 
-    words = stored(_alike_words(texts, terms, id_col, text_col, min(fuzzy, KEYWORD_RATIO)), "words")
+    split = _split(texts, id_col, text_col)
+    words = stored(_alike_words(split, terms, min(fuzzy, KEYWORD_RATIO)), "words")
     near = best(words.where(brand & (F.col("ratio") >= fuzzy)), []).unionByName(words.where(~brand & (F.col("ratio") >= KEYWORD_RATIO) & (F.col("chunk") != F.col("term"))).withColumnRenamed("ratio", "score"))
     near = exact.where(~F.contains("chunk", F.lit(" "))).unionByName(near)
     # Counted, they go to the texts, whose words then needn't be shuffled.
-    out = chunks(texts, id_col, text_col, 1).join(_side(stored(near, "alike"), 10 * broadcast_terms), "chunk").select(_HIT)
+    out = runs_of(split, 1).join(_side(stored(near, "alike"), 10 * broadcast_terms), "chunk").select(_HIT)
     longest, several = _size(known), _size(keys)
     if longest > 1:
-        runs = stored(_alike_runs(texts, known, id_col, text_col, fuzzy, longest), "runs")
+        runs = stored(_alike_runs(split, known, fuzzy, longest), "runs")
         same = runs.where(F.col("chunk") == F.col("term")).withColumn("score", F.lit(100.0))
         out = out.unionByName(same.select(_HIT)).unionByName(best(runs, ["id", "position", "n"]).select(_HIT))
     if several > 1:
-        out = out.unionByName(chunks(texts, id_col, text_col, several, 2).join(_side(exact.where(~brand), broadcast_terms), "chunk").select(_HIT))
+        out = out.unionByName(runs_of(split, several, 2).join(_side(exact.where(~brand), broadcast_terms), "chunk").select(_HIT))
     return out
 
 
@@ -220,9 +236,10 @@ def extract_products(texts: DataFrame, terms: DataFrame, id_col: str = "id", tex
         got = chunks(texts, id_col, text_col, 3).join(_side(exact, 20_000), "chunk").select(cols)
     else:
         best = lambda pairs, place: pairs.groupBy(*place, "chunk").agg(F.min(F.struct((-F.col("ratio")).alias("o"), "term", "brand", "product", "ratio")).alias("x")).select(*place, "chunk", "x.brand", "x.product", "x.term", "x.ratio")
-        words = _alike_words(texts, known, id_col, text_col, fuzzy, words_sorted=True)
-        runs = _alike_runs(texts, known, id_col, text_col, fuzzy, 3, words_sorted=True)
-        got = chunks(texts, id_col, text_col, 1).join(_side(stored(best(words, []), "products"), 200_000), "chunk").select(cols)
+        split = _split(texts, id_col, text_col)
+        words = _alike_words(split, known, fuzzy, words_sorted=True)
+        runs = _alike_runs(split, known, fuzzy, 3, words_sorted=True)
+        got = runs_of(split, 1).join(_side(stored(best(words, []), "products"), 200_000), "chunk").select(cols)
         got = got.unionByName(best(runs, ["id", "position", "n"]).select(cols))
     packed = F.struct((-F.col("ratio")).alias("s"), (-F.col("n")).alias("o"), "position", "n", "product", "brand", "term")
     per = got.groupBy("id").agg(without_overlaps(F.array_sort(F.collect_set(packed))).alias("m"))

@@ -99,18 +99,21 @@ def candidate_pairs(each: DataFrame, terms: DataFrame, least: float, words_sorte
     own = spark.createDataFrame(own, "_l int, _d int, _i int, _p int, _n int")
     theirs = spark.createDataFrame(theirs, "_m int, _l int, _d int, _i int, _n int, _first int, _last int")
     index = terms.withColumns({"_m": F.char_length("term"), "_b": form(F.col("term")), "_lb": _letters(F.col("term"))}).join(F.broadcast(theirs), "_m")
-    index = index.withColumn("_s", F.explode(F.array_distinct(F.transform(F.sequence("_first", "_last"), lambda p: F.substring("_b", p + 1, F.col("_n")))))).drop("_m", "_n", "_first", "_last")
+    # A segment, its place and the lengths are one number: a probe then costs a fraction of one by four columns, and a pair
+    # that meets by chance of the hash only goes to the distance.
+    key = lambda s: F.xxhash64("_l", "_d", "_i", s)
+    index = index.withColumn("_s", F.explode(F.array_distinct(F.transform(F.sequence("_first", "_last"), lambda p: F.substring("_b", p + 1, F.col("_n")))))).withColumn("_k", key("_s")).drop("_m", "_n", "_first", "_last", "_l", "_i", "_s")
     if index.limit(index_rows + 1).count() <= index_rows:
         index = F.broadcast(index)
     probes = each.withColumns({"_l": F.char_length("chunk"), "_a": form(F.col("chunk"))})
     if by_letters:
         probes = probes.withColumn("_la", _letters(F.col("chunk")))
-    probes = probes.join(F.broadcast(own), "_l").withColumn("_s", F.substring("_a", F.col("_p") + 1, F.col("_n"))).drop("_p", "_n")
-    pairs = probes.join(index, ["_l", "_d", "_i", "_s"])
+    probes = probes.join(F.broadcast(own), "_l").withColumn("_k", key(F.substring("_a", F.col("_p") + 1, F.col("_n")))).drop("_l", "_i", "_p", "_n", "_d")
+    pairs = probes.join(index, "_k")
     lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= F.col("_d")
     if by_letters:
         pairs = pairs.where(lacks("_la", "_lb") & lacks("_lb", "_la")).drop("_la")
-    return pairs.drop("_l", "_i", "_s", "_lb")
+    return pairs.drop("_k", "_lb")
 
 
 def similar_pairs(each: DataFrame, terms: DataFrame, least: float, **how) -> DataFrame:
