@@ -1,9 +1,10 @@
 """Saved topic models, and scans that lose no line."""
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
-from tidemark.operators import topics
+from tidemark.operators import models, topics
 from tidemark.plans.texts import _turns
 from tidemark.sources import readers
 from tidemark.sources.shared import stored_model
@@ -28,3 +29,18 @@ def test_every_line_is_accounted_for(spark, tmp_path):
     assert sorted(r.line for r in readers.rejects(scan).collect()) == sorted([lines[2], lines[3], lines[6]]), "all of a broken line is kept"
     got = {r.tweet_id: (r.sentiment, r.text) for r in readers.accepted(scan).collect()}
     assert got == {"1": (0, 'a "quoted", text'), "2": (1, "more"), "6": (None, "neutral")}
+
+
+def test_equal_rows_are_learned_and_scored_once(spark):
+    """A row with its number is what as many rows are, for the models, the metrics and the area; the forest reads all rows."""
+    k = F.col("id")
+    df = spark.range(4000).select((k % 7).cast("double").alias("x"), (k % 3).cast("double").alias("y"), ((k % 7 + k % 5) > 5).cast("int").alias("sentiment")).coalesce(2)
+    alike = models.with_counts(df, ["x", "y", "sentiment"]).cache()
+    assert alike.count() <= 42 and alike.agg(F.sum(models.MANY)).first()[0] == 4000
+    for name in ("naive_bayes", "logistic_regression", "svm", "gradient_boosting", "random_forest"):
+        plain, counted = models.train(df, name, ["x", "y"])[0], models.train(df, name, ["x", "y"], alike=alike)[0]
+        assert counted.stages[-1].uid and (name == "random_forest") == (counted.stages[-1].isDefined("weightCol") is False)
+        a, b = models.evaluate(plain, df), models.evaluate(counted, alike)
+        assert a.keys() == b.keys() and all(abs(a[m] - b[m]) < 1e-6 for m in a), name
+        one, two = (m.transform(alike).select("x", "y", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("s")).distinct().orderBy("x", "y").collect() for m in (plain, counted))
+        assert all(abs(p.s - q.s) < 1e-3 for p, q in zip(one, two, strict=True)), name

@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import has
 from tidemark.operators.quality import place
 from tidemark.sources.shared import stored
 
@@ -22,6 +23,10 @@ FEATURES = [
     "vader_compound", "vader_positive", "vader_negative", "vader_neutral", "hour_sin", "hour_cos", "is_weekend", "2gram_count", "3gram_count",
 ]
 NAMES = {"Naive Bayes": "naive_bayes", "Logistic Regression": "logistic_regression", "Random Forest": "random_forest", "Gradient Boosting": "gradient_boosting", "SVM": "svm"}
+#: The column of how many equal rows one stands for.
+MANY = "_many"
+#: Models whose fit is a sum over rows, so that a row of weight n stands for n equal ones.
+WEIGHTED = ("naive_bayes", "logistic_regression", "gradient_boosting", "svm")
 MODELS = ("naive_bayes", "logistic_regression", "random_forest", "gradient_boosting", "svm", "mlp")
 
 
@@ -68,9 +73,14 @@ def grid(name: str, p: Pipeline) -> list:
     return b.build()
 
 
+def with_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows of these columns, each with how many rows it stands for (MANY)."""
+    return df.groupBy(*columns).agg(F.count("*").alias(MANY))
+
+
 def confusion(scored: DataFrame) -> DataFrame:
-    """(label, prediction, n)."""
-    return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    """(label, prediction, n); rows of with_counts() stand for as many as they say."""
+    return scored.groupBy("label", "prediction").agg((F.sum(MANY) if has(scored, MANY) else F.count("*")).alias("n"))
 
 
 def metrics(scored: DataFrame) -> DataFrame:
@@ -91,11 +101,14 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", key: list
     first scores higher, ties counted half; null where a class is missing. Rows without a score or class don't count.
 
     Rows become counts of each distinct score, which are sorted by range: how many zeros score less is what earlier ranges
-    hold and what the own range holds before. Nothing meets in one task but a row a range.
+    hold and what the own range holds before. Nothing meets in one task but a row a range. Rows of with_counts() stand
+    for as many as they say.
     """
     key, y = key or [], F.col(label)
     rows = scored.where(F.col(score).isNotNull() & y.isin(0, 1)).withColumns({"_key": F.struct(*(key or [F.lit(0).alias("all")])), "_s": F.col(score), "_y": y})
-    hist = rows.groupBy("_key", "_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
+    many = F.col(MANY) if has(scored, MANY) else F.lit(1).cast("long")
+    of = lambda k: F.sum(F.when(F.col("_y") == k, many).otherwise(0))
+    hist = rows.groupBy("_key", "_s").agg(of(1).alias("p"), of(0).alias("n"))
     ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hist = stored(hist.repartitionByRange(ranges, "_key", "_s").withColumn("range", F.spark_partition_id()), "scores")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -106,17 +119,30 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", key: list
     return out.select(*[F.col(f"_key.{k}").alias(k) for k in key], "rows", "auc")
 
 
-def train(df: DataFrame, name: str, features: list[str] | None = None, label: str = "sentiment", seed: int = 42) -> tuple[PipelineModel, float]:
-    """The fitted pipeline and the seconds that took."""
+def train(df: DataFrame, name: str, features: list[str] | None = None, label: str = "sentiment", seed: int = 42, alike: DataFrame | None = None) -> tuple[PipelineModel, float]:
+    """The fitted pipeline and the seconds that took.
+
+    alike: df's rows by with_counts(). Models that minimise a sum over rows then learn from a row a distinct one, weighted by
+    its number. The scaler, which takes no weights, and the random forest, which draws single rows, always read df.
+    """
     start = time.time()
-    return pipeline(name, features, seed).fit(labelled(df, label)), time.time() - start
+    steps, rows = pipeline(name, features, seed).getStages(), labelled(df, label)
+    if alike is None or name not in WEIGHTED:
+        return Pipeline(stages=steps).fit(rows), time.time() - start
+    # The least and greatest values are those of the distinct rows; mean and spread aren't.
+    shape = Pipeline(stages=steps[:-1]).fit(labelled(alike, label) if name == "naive_bayes" else rows)
+    last = steps[-1].setWeightCol(MANY).fit(shape.transform(labelled(alike, label)))
+    return PipelineModel(stages=[*shape.stages, last]), time.time() - start
 
 
 def evaluate(model: PipelineModel, df: DataFrame, label: str = "sentiment") -> dict[str, float]:
-    """The metrics and the area under the ROC curve (nan where the model gives no score or a class is missing)."""
+    """The metrics and the area under the ROC curve (nan where the model gives no score or a class is missing).
+
+    df: rows, or distinct ones by with_counts(), of which each is scored once.
+    """
     scored = model.transform(labelled(df, label))
     raw = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in scored.columns else F.lit(None).cast("double")
-    scored = stored(scored.select("label", "prediction", raw.alias("score")), "scored")  # each row is scored once
+    scored = stored(scored.select("label", "prediction", raw.alias("score"), *([MANY] if has(df, MANY) else [])), "scored")  # each row is scored once
     row = metrics(scored).first().asDict()
     found = auc(scored).first()
     row["auc"] = float("nan") if found is None or found["auc"] is None else found["auc"]
@@ -150,13 +176,15 @@ def soft_vote(models: list[PipelineModel], df: DataFrame, id_col: str) -> DataFr
 def compare(spark: SparkSession, data: tuple[DataFrame, DataFrame], features: list[str], names: tuple[str, ...] = MODELS[:5], label: str = "sentiment") -> DataFrame:
     """A row a model, best area first; a model that fails has zeros and its error. data: train and test."""
     rows = []
-    # Each model reads the same two tables, which are split and cut to their columns once.
-    data = tuple(stored(labelled(d, label).select(*features, label), "models") for d in data)
+    # Each model reads the same tables, which are split and cut to their columns once. A model of many rounds learns from
+    # the distinct rows, and all are tested on them, with how many rows each stands for.
+    learn = stored(labelled(data[0], label).select(*features, label), "models")
+    alike, test = (stored(with_counts(d, [*features, label]), "alike") for d in (learn, labelled(data[1], label)))
     for name in names:
         try:
-            model, seconds = train(data[0], name, features, label)
+            model, seconds = train(learn, name, features, label, alike=alike)
             start = time.time()
-            got = evaluate(model, data[1], label)
+            got = evaluate(model, test, label)
             rows.append((name, got["accuracy"], got["precision"], got["recall"], got["f1"], got["auc"], seconds, time.time() - start, None))
         except Exception as e:  # noqa: BLE001  reported in the row
             rows.append((name, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, str(e)[:200]))
