@@ -90,3 +90,15 @@ def test_texts_are_split_once_and_probes_have_one_number_as_key(spark):
     assert {(r.position, r.n, r.term) for r in found.collect()} >= {(1, 1, "thing"), (3, 2, "thing of")}
     pairs = fuzzy.candidate_pairs(entity.chunks(texts, "id", "text", 2), terms, 70.0)
     assert "[_k" in pairs._jdf.queryExecution().executedPlan().toString() and dict(pairs.dtypes)["_d"] == "int"
+
+
+def test_only_words_are_made_distinct_before_they_meet_products(spark):
+    """product_matches gives a repeated run once, but doesn't shuffle the runs that are alike nothing."""
+    from tidemark.plans.texts import _product_matches, terms
+
+    got = _product_matches(spark, TESTDATA)
+    assert "p{L}" not in got._jdf.queryExecution().optimizedPlan().toString()
+    each = entity.chunks(spark.read.parquet(f"{TESTDATA}/conversations.parquet"), "conv_id", "text", 3).select("chunk").distinct()
+    want = fuzzy.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, words_sorted=True).select("chunk", "term", "brand", "product")
+    rows = sorted(got.drop("ratio").collect())
+    assert rows and rows == sorted(want.collect()) and any(" " in r.chunk for r in rows)

@@ -134,6 +134,16 @@ def _alike_runs(words: DataFrame, terms: DataFrame, least: float, longest: int,
     return similar_pairs(runs_of(words, longest, 2, (max(3, low), high)), terms, least, words_sorted=words_sorted, by_letters=False)
 
 
+def alike_chunks(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: float, longest: int, words_sorted: bool = False) -> DataFrame:
+    """The different runs of one to `longest` words with every term that is alike by `least`, and the ratio, once each.
+
+    Only words are made distinct before they meet the terms; of the runs, those that are alike, which are few.
+    """
+    split = _split(texts, id_col, text_col)
+    runs = _alike_runs(split, terms, least, longest, words_sorted).drop("id", "position", "n").dropDuplicates()
+    return _alike_words(split, terms, least, words_sorted).unionByName(runs)
+
+
 _HIT = ["id", "position", "n", "chunk", "brand", "industry", "kind", "term", "score"]
 
 

@@ -293,8 +293,8 @@ def _clusters(spark, d):
 
 
 def _product_matches(spark, d):
-    each = entity.chunks(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "text", 3).select("chunk").distinct()
-    return rounded(entity.similar_pairs(each, entity.product_terms(terms(spark)), entity.PRODUCT_RATIO, words_sorted=True).select("chunk", "term", "brand", "product", "ratio"))
+    found = entity.alike_chunks(spark.read.parquet(f"{d}/conversations.parquet"), entity.product_terms(terms(spark)), "conv_id", "text", entity.PRODUCT_RATIO, 3, words_sorted=True)
+    return rounded(found.select("chunk", "term", "brand", "product", "ratio"))
 
 
 def _indel(spark, d):
