@@ -264,6 +264,15 @@ def test_word2vec_query_returns_mean_vectors(spark, tmp_path):
     assert not got[3].any() and np.allclose(got[4], got[23])
 
 
+def test_word2vec_query_makes_tokens_once(spark, tmp_path):
+    source = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(["alpha beta"] * 5 + [None, "", "..."])], "conv_id long, turn long, text string").write.parquet(source)
+    got = QUERIES["word2vec_similar"](spark, str(tmp_path))
+    # What is left for the result neither reads nor cuts texts again, and rows without words are in it.
+    assert source not in " ".join(got.inputFiles()) and "regexp_replace" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.conv_id: bool(np.any(r.word2vec_features)) for r in got.collect()} == {i: i < 5 for i in range(8)}
+
+
 def test_context_keywords_may_be_misspelt(spark, terms):
     texts = spark.createDataFrame([(1, "a smartfone or tablett"), (2, "one smartphone smartphone"), (3, "Tesla and a smartphone or tablet")], "id long, text string")
     got = {r.id: {b.brand: (round(b.confidence, 2), b.match_type) for b in r.brands} for r in entity.recognise(texts, terms).collect()}
